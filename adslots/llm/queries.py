@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, oracles, quality, sharding
+from . import decontaminate, mixing, near, oracles, quality, sharding
 from .common import table
 
 
@@ -33,7 +33,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classify(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "first_id")
+
+
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op4_sharding": op4_sharding,
