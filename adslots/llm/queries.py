@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near, oracles, quality, sharding
+from . import decontaminate, mixing, near, oracles, quality, sharding, suffix
 from .common import table
 
 
@@ -37,7 +37,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classify(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "first_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op1_jaccard_join": op1_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
