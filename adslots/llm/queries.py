@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near, oracles, quality, sharding, suffix
+from . import decontaminate, mixing, near, oracles, quality, sharding, suffix, urls
 from .common import table
 
 
@@ -41,7 +41,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op1_jaccard_join": op1_jaccard_join,
     "op5_decontamination": op5_decontamination,
@@ -51,6 +56,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": oracles.OP3,
     "op5_decontamination": oracles.OP5,
     "op6_quality": oracles.OP6,
 }
