@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near, oracles, quality, sharding, suffix, urls
+from . import decontaminate, mixing, near, oracles, pii, quality, sharding, suffix, urls
 from .common import table
 
 
@@ -45,7 +45,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a parameter of the operator; this one is only for the query's reruns to agree."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="rerun key")
+
+
 QUERIES = {
+    "op8_pii": op8_pii,
     "op3_url_filter": op3_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op1_jaccard_join": op1_jaccard_join,
