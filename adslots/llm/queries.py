@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near, oracles, pii, quality, sharding, suffix, urls
+from . import decontaminate, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
 from .common import table
 
 
@@ -50,7 +50,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key="rerun key")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op9_lm_scoring": op9_lm_scoring,
     "op8_pii": op8_pii,
     "op3_url_filter": op3_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
