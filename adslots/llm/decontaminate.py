@@ -269,10 +269,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
         def keep(batches, phrases=phrases):
             for batch in batches:
-                for at in range(0, max(batch.num_rows, 1), 1000):
-                    part = batch.slice(at, 1000)
-                    found = phrases.search(Postings.of_texts(part.column(texts).to_pylist()))
-                    yield part.filter(pa.array([d not in found for d in range(part.num_rows)], pa.bool_()))
+                column = batch.column(texts).to_pylist()
+                at = size = 0
+                for end, t in enumerate(column, 1):
+                    size += len(t or "") // 6 + 1
+                    if size >= BLOCK_WORDS or end == len(column):
+                        found = phrases.search(Postings.of_texts(column[at:end]))
+                        yield batch.slice(at, end - at).filter(pa.array([d not in found for d in range(end - at)], pa.bool_()))
+                        at, size = end, 0
 
         out = out.mapInArrow(keep, docs.schema)
     return out

@@ -138,3 +138,17 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), m
         )
     )
     return round_to_copies(rated, max_copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_copies: int = MAX_COPIES) -> DataFrame:
+    """The rows of `docs`, with their columns, each as often as its copies. Copies are decided on slim rows and
+    joined back by doc_id and a fingerprint of the whole row; equal rows share the sum of their copies."""
+    mark = F.xxhash64(*[F.col(c) for c in docs.columns])
+    slim = docs.select(F.struct("doc_id", mark.alias("mark")).alias("doc_id"), "source", "text")
+    copies = (
+        mix_documents(slim, weights, max_copies).groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.mark").alias("_mark"))
+        .agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    )
+    rows = docs.withColumn("_row", mark)
+    once = rows.join(copies, (F.col("_row") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_row", "_id"])
+    return once.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)

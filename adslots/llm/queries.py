@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
+from . import decontaminate, htmltext, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
 from .common import table
 
 
@@ -54,7 +54,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
     "op8_pii": op8_pii,
     "op3_url_filter": op3_url_filter,
