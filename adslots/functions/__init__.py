@@ -1 +1,49 @@
+"""Column expressions shared by the operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: The mark of a missing transcript, and what a finished sentence ends with.
+UNAVAILABLE = "TRANSCRIPT_UNAVAILABLE"
+BOUNDARY = r"""[.!?]["')\]]?\s*$"""
+
+
+def trimmed(text: Column | str) -> Column:
+    """`text` without white space, of any kind, at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def by_track(*order: Column | str):
+    """The window of one recording, in the given order."""
+    w = W.partitionBy("track_id")
+    return w.orderBy(*order) if order else w
+
+
+def half_up(x: Column) -> Column:
+    """Rounds halves up, towards positive infinity."""
+    return F.floor(x + F.lit(0.5)).cast("long")
+
+
+def ends_sentence(text: Column) -> Column:
+    return F.coalesce(trimmed(text), F.lit("")).rlike(BOUNDARY)
+
+
+def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
+    return F.least(high, F.greatest(low, x))
+
+
+def unfenced(raw: Column) -> Column:
+    """A model's answer without a code fence, cut to its outermost braces if it starts otherwise."""
+    text = trimmed(raw)
+    text = F.when(text.startswith("```"), F.regexp_replace(F.regexp_replace(text, "^```[a-zA-Z0-9_-]*\\n", ""), "\\n```$", "")).otherwise(text)
+    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(text.startswith("{") | (braced == ""), text).otherwise(braced)
+
+
+def field(v: Column, path: str, kind: str = "string") -> Column:
+    """A field of a variant, null where it's missing or can't be read as `kind`."""
+    return F.try_variant_get(v, path, kind)

@@ -1 +1,69 @@
+"""Catalogue inputs: durations, nested analysis payloads, reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import field, half_up, trimmed
+
+
+def episodes(raw: DataFrame) -> DataFrame:
+    """(track_id, mode, duration_s) of raw(track_id, mode, probe_s, analysis_ms).
+
+    A probed length counts if it's finite and positive; else the analysis' length, if it isn't 0; else null."""
+    probe = F.col("probe_s")
+    probed = F.when(probe.isNotNull() & ~F.isnan(probe) & (probe > 0) & (probe < F.lit(float("inf"))), probe)
+    analysed = F.nullif(F.col("analysis_ms"), F.lit(0).cast("long")) / F.lit(1000.0)
+    return raw.select(
+        "track_id",
+        F.when(F.lower(trimmed(F.coalesce("mode", F.lit("podcast")))) == "song", "song").otherwise("podcast").alias("mode"),
+        F.coalesce(probed, analysed).alias("duration_s"),
+    )
+
+
+def read_analysis(payloads: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Candidates (track_id, seq, ms, silence_ms, snippet, source) of payloads(track_id, payload).
+
+    Numbers may come as strings. A bad element goes, the others stay; a payload that isn't JSON gives one row
+    with nulls and source `fallback`, so that its recording isn't lost."""
+    v = payloads.select("track_id", F.try_parse_json("payload").alias("v"))
+    items = v.select("track_id", "v", F.posexplode_outer(F.try_variant_get("v", "$.candidates", "array<variant>")).alias("seq", "c"))
+    place = F.coalesce(field(F.col("c"), "$.mid_ms"), field(F.col("c"), "$.ms"), field(F.col("c"), "$.time_ms"), F.lit("0")).try_cast("double")
+    silence = field(F.col("c"), "$.silence_ms").try_cast("double")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    rows = items.select(
+        "track_id", "seq", "v", F.col("c").isNotNull().alias("is_item"), place.alias("place"),
+        F.when(finite(silence), silence).otherwise(0.0).alias("silence_ms"), F.col("v").isNull().alias("broken"),
+    )
+    good = (
+        rows.where(F.col("is_item") & finite(F.col("place")) & (F.col("place") >= 0))
+        .withColumn("ms", half_up(F.col("place")))
+        .join(lengths.select("track_id", "duration_s"), "track_id", "left")
+        .where(F.col("duration_s").isNull() | (F.col("ms") <= F.col("duration_s") * 1000))
+    )
+    snippets = F.try_variant_get("v", "$.snippets", "map<string,string>")
+    return good.select(
+        "track_id", "seq", "ms", F.col("silence_ms").cast("long").alias("silence_ms"),
+        F.coalesce(trimmed(F.try_element_at(snippets, F.col("ms").cast("string"))), F.lit("")).alias("snippet"), F.lit("heuristic").alias("source"),
+    ).union(
+        rows.where("broken").select("track_id", F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit("fallback"))
+    )
+
+
+def slot_report(slots: DataFrame, lengths: DataFrame) -> DataFrame:
+    """S3: one row per track with its slots, most confident first (ties in the order of selection).
+
+    A track has at most a few slots, so its list is bounded."""
+    best = F.sort_array(F.collect_list(F.struct((-F.col("confidence_percent")).alias("rank"), F.col("ord").alias("ord"), F.struct(*[c for c in slots.columns if c not in ("track_id", "ord")]).alias("slot"))))
+    out = slots.groupBy("track_id").agg(best.alias("s")).select("track_id", F.transform("s", lambda x: x["slot"]).alias("slots"))
+    return out.join(lengths.select("track_id", F.col("duration_s").alias("duration")), "track_id", "left").select(
+        "track_id", "duration", "slots",
+        F.transform("slots", lambda s: s["insertion_time_seconds"]).alias("points"),
+        F.transform("slots", lambda s: s["confidence_percent"]).alias("confidences"),
+    )
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """S3's sink: the report as JSON lines."""
+    report.write.mode("overwrite").json(path)
