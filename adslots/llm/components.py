@@ -2,7 +2,8 @@
 
 A round joins every edge with the least neighbour of its end, found by a pre-aggregated minimum, so that a node
 with very many neighbours is neither collected nor sorted in one task. Rounds go on until the edges no longer
-change; every round's edges are written to shared storage."""
+change; every round's edges, and the minima they are joined with, are written to shared storage, so that joins are
+between plain shuffles, whose hot nodes Spark can split."""
 
 from __future__ import annotations
 
@@ -26,11 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: every larger neighbour of a node is tied to the node's least neighbour
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: the smaller neighbours of a node, and the node, are tied to the least of them
         large = cut(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = cut(tidy(small))
         was, seen = seen, mark(now)

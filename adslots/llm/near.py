@@ -112,7 +112,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 def families(nodes: DataFrame) -> DataFrame:
     """(node, family, size) of nodes(node, bands) that share a band with another node."""
     banded = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
+    leaders = cut(banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader"))
     ties = banded.join(leaders, "band").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = cut(components(ties).select("node", F.col("label").alias("family")))
     return found.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family")
