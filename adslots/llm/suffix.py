@@ -135,9 +135,10 @@ def _rerank(rows: DataFrame, rank: list[str], name: str, at: list[str]) -> tuple
     """One round: (repeated, open) of rows whose `rank` occurs at least twice. Repeated: the longer string `name`
     occurs again under the same rank. Open: the others, and one partner (`settled`) of each repeated string,
     where the rank holds more than one name."""
-    ranked = rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_least"), F.max(name).alias("_most")).where("_n > 1")
+    # the counts are stored, so that both sides of the joins are plain shuffles, whose hot ranks Spark can split
+    ranked = cut(rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_least"), F.max(name).alias("_most")).where("_n > 1"))
     alive = cut(rows.join(ranked, rank).withColumn("_mixed", F.col("_least") != F.col("_most")).drop("_n", "_least", "_most"))
-    named = alive.groupBy(*rank, name).agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct(*at)).alias("_first"))
+    named = cut(alive.groupBy(*rank, name).agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct(*at)).alias("_first")))
     judged = cut(alive.join(named, [*rank, name]))
     repeated = judged.where("_times > 1").drop("_times", "_first", "_mixed")
     is_first = F.struct(*at).eqNullSafe(F.col("_first"))
@@ -160,13 +161,19 @@ def _cuts(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
             out = {k: [] for k in ("doc_id", "h", "seed", "j", "core", "hull", "a", "lo", "hi", "settled")}
             for r in batch.to_pylist():
                 data = r["text"].encode()
+                # a range that two pieces of a text share is one place, not two
+                found: dict[tuple[int, int, int], tuple[int, int, bool]] = {}
                 for p in r["parts"]:
                     a = p["a"]
                     for j in range((a - p["hi"]) // CUT, (a - p["lo"]) // CUT + 1):
-                        lo, hi = a - CUT * j - CUT + 1, a - CUT * j  # starts in this cut
-                        whole = lo >= 0 and hi + length <= len(data)
-                        for k, v in zip(out, (r["doc_id"], r["h"], p["seed"], j, _name(data[hi : lo + length]), _name(data[lo : hi + length]) if whole else _name(b"%d %d" % (r["h"], a)), a, max(lo, p["lo"]), min(hi, p["hi"]), p["settled"]), strict=True):
-                            out[k].append(v)
+                        lo, hi, settled = max(a - CUT * j - CUT + 1, p["lo"]), min(a - CUT * j, p["hi"]), p["settled"]
+                        was = found.get((p["seed"], a, j), (lo, hi, settled))
+                        found[p["seed"], a, j] = (min(lo, was[0]), max(hi, was[1]), settled and was[2])
+                for (seed, a, j), (lo, hi, settled) in found.items():
+                    low, high = a - CUT * j - CUT + 1, a - CUT * j  # all starts in this cut
+                    whole = low >= 0 and high + length <= len(data)
+                    for k, v in zip(out, (r["doc_id"], r["h"], seed, j, _name(data[high : low + length]), _name(data[low : high + length]) if whole else _name(b"%d %d" % (r["h"], a)), a, lo, hi, settled), strict=True):
+                        out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.bool_() if k == "settled" else pa.int64()) for k in out]))
 
     return _with_text(going, texts, "seed", "a", "lo", "hi", "settled").mapInArrow(run, "doc_id bigint, h bigint, seed bigint, j bigint, core bigint, hull bigint, a bigint, lo bigint, hi bigint, settled boolean")
@@ -203,7 +210,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     some, going2 = _rerank(cuts, ["seed", "j", "core"], "hull", ["doc_id", "h", "a", "lo"])
     some, going2 = some.where("NOT settled"), cut(going2)
     singles = cut(_singles(texts, going2, length))
-    twice = singles.groupBy("seed", "d", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "d", "name")
+    twice = cut(singles.groupBy("seed", "d", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "d", "name"))
     one = singles.where("NOT settled").join(twice, ["seed", "d", "name"])
     starts = whole.select("doc_id", "h", "lo", "hi").union(some.select("doc_id", "h", "lo", "hi")).union(one.select("doc_id", "h", F.col("p").alias("lo"), F.col("p").alias("hi")))
     return starts, texts
