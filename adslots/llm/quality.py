@@ -95,6 +95,12 @@ def statistics(text: Column) -> Column:
     )
 
 
+def with_statistics(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """`columns` of docs and the statistics `s` of its text. Generated rows keep the optimiser from copying the
+    expression into every filter that reads a count, which would compute it again for each."""
+    return docs.select(*columns, F.explode(F.array(statistics(F.col("text")))).alias("s"))
+
+
 def base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
@@ -170,7 +176,7 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs(doc_id, text, lang). Texts are read once."""
-    rows = cut(docs.select("doc_id", _stratum(F.col("lang")).alias("stratum"), statistics(F.col("text")).alias("s")))
+    rows = cut(with_statistics(docs, "doc_id", _stratum(F.col("lang")).alias("stratum")))
     labelled = rows.join(_labels(labels), "doc_id").select("stratum", "good", "s")
     return judge(rows, certified_cutoffs(labelled, alpha, delta)).select("doc_id", "s.*", "base_failed", "kept")
 
@@ -179,7 +185,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """The rows of `docs` that are kept, with their columns. Rows carry their texts, so nothing is written but
     the cutoffs; the labelled documents' statistics are computed a second time instead."""
     slim = docs.select("doc_id", "text", "lang").join(_labels(labels), "doc_id")
-    labelled = slim.select(_stratum(F.col("lang")).alias("stratum"), "good", statistics(F.col("text")).alias("s"))
-    named = [c for c in docs.columns]
-    rows = docs.select(F.struct(*named).alias("row"), _stratum(F.col("lang")).alias("stratum"), statistics(F.col("text")).alias("s"))
+    labelled = with_statistics(slim, _stratum(F.col("lang")).alias("stratum"), "good")
+    rows = with_statistics(docs, F.struct(*docs.columns).alias("row"), _stratum(F.col("lang")).alias("stratum"))
     return judge(rows, certified_cutoffs(labelled, alpha, delta)).where("kept").select("row.*")
