@@ -1,18 +1,25 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both are interpolated bigram models over one vocabulary: words fall into 2^WORD_BITS classes and word pairs into
-2^PAIR_BITS classes by a fixed hash, so that no word is unknown and the models have a fixed size at any size of
-the corpus. The background model counts all documents, the target model those labelled good. Counts are summed
-in each task, then over tasks by Spark; only the finished tables, a fixed number of classes, go to the tasks that
-score. A document's score is its loss for a word under the target model less that under the background model;
-low scores are near the target.
+Both are interpolated bigram models with exact counts of every word and every pair of neighbouring words; what they
+hold grows with the corpus. The background model counts all documents, the target model those labelled good.
+A document's score is its loss for a word under the target model less that under the background model; low
+scores are near the target.
+
+Texts are taken in blocks, stored as numbers of a block's own words. A block asks for the counts of each of its
+words and pairs once: it sends its own counts, by ranges of the 64-bit hash of word or pair (names, unique up to
+colliding hashes). A range sums what all blocks sent and answers each block in the order in which it asked, so
+no frequent word is ever more than one number of a block, and neither model is ever in one place. The answers meet
+the stored block, which scores its texts.
 
 A target document has been counted by the target model, so what it counted there is taken away again when it is
 scored (leave one out); likewise for the background model.
 
-Defined cases: a null text, or one without words, has zero words and null losses; a text's first word has the
-empty word before it; of repeated labels the lowest counts; repeated rows are counted each; without any target
-document the target model is uniform; empty tables give an empty result.
+Fixed value: a word's smoothed share is (count + ADDED) / (total + ADDED * 2^WORD_BITS), whatever the number of
+different words, so that losses of corpora of any size are on one scale.
+
+Defined cases: a null text, or one without words, has zero words and null losses; a text's first word has no word
+before it; of repeated labels the lowest counts; repeated rows are counted each; without any target document the
+target model is uniform; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,117 +32,211 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: 2^WORD_BITS words share the added counts; PAIR_BITS is the room that tests keep for the pairs of a few texts.
 WORD_BITS, PAIR_BITS = 18, 20
-#: Weight of the pair estimate, and the count added to every word class.
+#: Weight of the pair estimate, and the count added to every word.
 PAIR_WEIGHT, ADDED = 0.6, 0.1
-
-COUNTS = "slot int, target bigint, background bigint"
+#: Words in a block (a longer document is a block by itself).
+BLOCK_WORDS = 1_000_000
+#: Ranges of the hashes: at least so many, and one for so many words of the corpus.
+RANGES, RANGE_WORDS = 1024, 2_000_000
+
+BLOCKS = "block string, doc_ids array<bigint>, n_words array<bigint>, words binary, names binary"
+REQUESTS = "part int, block string, names binary, target binary, background binary"
+ANSWERS = "part int, block string, target binary, background binary"
 _PAIR_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def numbered(texts: list[str | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(words in each text, number of each word); new words are added to `number`."""
+    n, ids = [], []
+    for t in texts:
+        words = (t or "").encode().split()
+        n.append(len(words))
+        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    return np.array(n, np.int64), np.concatenate([np.zeros(0, np.int64), *ids])
+
+
+def pairs(n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word) of each different pair, and the pair of each word. A text's first word has -1 before it."""
+    before = _before(n, word)
+    size = int(word.max()) + 1 if len(word) else 1
+    both, pair = np.unique((before + 1) * size + word, return_inverse=True)
+    return both // size - 1, both % size, pair
+
+
 def classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in each text, word class of each word, pair class of each word)."""
-    split = [(t or "").encode().split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in split for w in ws), np.uint64, int(n.sum()))
-    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
-    first = np.cumsum(n) - n
-    before[first[n > 0]] = 0
-    pair = (before * _PAIR_MUL + h) * _PAIR_MUL
-    return n, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """(words in each text, number of each word, number of each word's pair); no two words or pairs share one."""
+    n, word = numbered(texts, {})
+    return n, word, pairs(n, word)[2]
 
 
 def _before(n: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The class of the word before each word, -1 at a text's start."""
+    """The word before each word, -1 at a text's start."""
     before = np.concatenate([[-1], word[:-1]]) if len(word) else word
     before[(np.cumsum(n) - n)[n > 0]] = -1
     return before
 
 
-def _count(batches):
-    """The counts of one task, of the target and of all documents, in rows of the classes that occur."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    target, background = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            n, word, pair = classes(part.column("text").to_pylist())
-            mine = np.repeat(np.array(part.column("counted").to_pylist(), bool), n)
-            for held, keep in ((background, slice(None)), (target, mine)):
-                held += np.bincount(np.concatenate([word[keep], pair[keep] + (1 << WORD_BITS)]), minlength=size)
-    used = np.flatnonzero(background)
-    for at in range(0, len(used), 100_000):
-        slot = used[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(target[slot]), pa.array(background[slot])], names=["slot", "target", "background"])
-
-
-class Model:
-    """Counts of one corpus by word class, then by pair class."""
-
-    def __init__(self, counts: np.ndarray):
-        self.words, self.pairs = counts[: 1 << WORD_BITS], counts[1 << WORD_BITS :]
-        self.total = float(self.words.sum())
-
-    def losses(self, n: np.ndarray, word: np.ndarray, pair: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """The loss of each word, in nats; texts that were counted are left out for their own words."""
-        doc = np.repeat(np.arange(len(n)), n)
-        held = np.where(counted, n, 0)[doc]
-        own = counted[doc]
-
-        def mine(keys: np.ndarray, bits: int) -> np.ndarray:
-            _, inverse, times = np.unique((doc << bits) | keys, return_inverse=True, return_counts=True)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type, the first bytes of all, then the second ones, and so on, compressed."""
+    narrow = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    planes = narrow.view(np.uint8).reshape(len(narrow), narrow.itemsize).T.tobytes()
+    return np.array([len(narrow), narrow.itemsize], np.uint32).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
+    n, size = np.frombuffer(data, np.uint32, 2).tolist()
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(kind)
+
+
+class Block:
+    """The texts of a block: words and pairs numbered inside it, and their names in the order of requests."""
+
+    def __init__(self, n_words, words: bytes, names: bytes):
+        self.n = np.asarray(n_words, np.int64)
+        self.word = _unpack(words)
+        word_names = np.frombuffer(names, np.uint64)
+        self.size = len(word_names)
+        before, after, pair = pairs(self.n, self.word)
+        real = before >= 0
+        self.pair = np.where(real, np.cumsum(real) - 1, -1)[pair]  # -1 at a text's start
+        self.n_pairs = int(real.sum())
+        before, after = before[real], after[real]
+        named = np.concatenate([word_names, (word_names[before] * _PAIR_MUL + word_names[after]) * _PAIR_MUL])
+        self.order = np.argsort(named, kind="stable")
+        self.names = named[self.order]
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+
+    def flags(self, counted) -> np.ndarray:
+        out = np.zeros(len(self.n), bool)
+        out[np.asarray(counted or [], np.int64)] = True
+        return out
+
+    def counts(self, keep: np.ndarray) -> np.ndarray:
+        """How often each name occurs, in the order of requests, in the words kept."""
+        word, pair = self.word[keep], self.pair[keep]
+        return np.concatenate([np.bincount(word, minlength=self.size), np.bincount(pair[pair >= 0], minlength=self.n_pairs)])[self.order]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word, and its pair, occurs in its text."""
+
+        def mine(numbers: np.ndarray, size: int) -> np.ndarray:
+            _, inverse, times = np.unique(self.doc * size + numbers, return_inverse=True, return_counts=True)
             return times[inverse]
 
-        before = _before(n, word)
-        own_word = np.where(own, mine(word, WORD_BITS), 0)
-        c_word = self.words[word] - own_word
-        c_pair = self.pairs[pair] - np.where(own, mine(pair, PAIR_BITS), 0)
-        starts = before < 0
-        c_before = np.where(starts, 0, self.words[np.maximum(before, 0)] - np.concatenate([own_word[:1], own_word[:-1]]))
-        size = float(1 << WORD_BITS)
-        single = (np.maximum(c_word, 0) + ADDED) / (self.total - held + ADDED * size)
-        double = np.minimum(np.maximum(c_pair, 0) / np.maximum(c_before, 1), 1.0)
+        return mine(self.word, self.size), mine(self.pair + 1, self.n_pairs + 1)
+
+    def losses(self, counts: np.ndarray, total: float, own: tuple[np.ndarray, np.ndarray], counted: np.ndarray) -> np.ndarray:
+        """The mean loss of each text, in nats, under a model with these counts of the names asked for; texts that
+        were counted are left out for their own words."""
+        placed = np.empty(len(counts), np.int64)
+        placed[self.order] = counts
+        words, pairs_ = placed[: self.size], np.append(placed[self.size :], 0)  # the last one for texts' starts
+        left_out = counted[self.doc]
+        held = np.where(counted, self.n, 0)[self.doc]
+        c_word = words[self.word] - np.where(left_out, own[0], 0)
+        c_pair = pairs_[self.pair] - np.where(left_out, own[1], 0)
+        c_before = np.where(self.pair < 0, 0, np.concatenate([c_word[:1], c_word[:-1]]))
+        single = (c_word + ADDED) / (total - held + ADDED * float(1 << WORD_BITS))
         weight = np.where(c_before > 0, PAIR_WEIGHT, 0.0)
-        return -np.log(weight * double + (1 - weight) * single)
+        loss = -np.log(weight * (c_pair / np.maximum(c_before, 1)) * (self.pair >= 0) + (1 - weight) * single)
+        return np.where(self.n > 0, np.bincount(self.doc, weights=loss, minlength=len(self.n)) / np.maximum(self.n, 1), np.nan)
 
 
-def train(flagged: DataFrame) -> np.ndarray:
-    """The two count tables (2, classes), of flagged(text, counted); counted marks the target documents."""
-    counts = flagged.select("text", "counted").mapInArrow(_count, COUNTS).groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = counts.toArrow()  # at most 2^WORD_BITS + 2^PAIR_BITS rows, at any size
-    out = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.int64)
-    slot = table.column("slot").to_numpy()
-    out[0, slot], out[1, slot] = table.column("target").to_numpy(), table.column("background").to_numpy()
-    return out
+def build_blocks(docs: DataFrame) -> DataFrame:
+    """The stored blocks of docs(doc_id, text); no shuffle."""
 
+    def build(batches):
+        from pyspark import TaskContext
 
-SCORES = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
+        part, k = TaskContext.get().partitionId(), 0
+        ids, n, words, number, size = [], [], [], {}, 0
 
+        def out():
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"{part}-{k}"]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, n)), *(pa.array([x], pa.binary()) for x in (_pack(np.concatenate(words)), names.tobytes()))],
+                names=["block", "doc_ids", "n_words", "words", "names"],
+            )
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, difference of every row of docs(doc_id, text)."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q > 0 AND t = 0").select("doc_id")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # labels grow with the corpus, so they are merged in at every size, once; both passes read what is stored
-    flagged = cut(slim.join(good.withColumn("counted", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False))))
-    tables = docs.sparkSession.sparkContext.broadcast(train(flagged))
-
-    def score(batches):
-        target, background = Model(tables.value[0]), Model(tables.value[1])
         for b in batches:
-            for at in range(0, max(b.num_rows, 1), 500):
-                part = b.slice(at, 500)
-                n, word, pair = classes(part.column("text").to_pylist())
-                counted = np.array(part.column("counted").to_pylist(), bool)
-                sums = []
-                for model, own in ((target, counted), (background, np.ones(len(n), bool))):
-                    loss = np.concatenate([[0.0], np.cumsum(model.losses(n, word, pair, own))])
-                    end = np.cumsum(n)
-                    sums.append(np.where(n > 0, (loss[end] - loss[end - n]) / np.maximum(n, 1), np.nan))
-                gone = n == 0
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                word = numbered([t], number)[1]
+                ids.append(i)
+                n.append(len(word))
+                words.append(word.astype(np.uint32))
+                size += len(word) + 1
+                if size >= BLOCK_WORDS:
+                    yield out()
+                    ids, n, words, number, size, k = [], [], [], {}, 0, k + 1
+        if ids:
+            yield out()
+
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, BLOCKS))
+
+
+def count_names(marked: DataFrame, ranges: int) -> DataFrame:
+    """(part, block, target, background): the whole corpus' counts of the names of each block, range by range."""
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                b = Block(r["n_words"], r["words"], r["names"])
+                if not len(b.names):
+                    continue
+                target, background = b.counts(b.flags(r["counted"])[b.doc]), b.counts(np.ones(len(b.doc), bool))
+                part = ((b.names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                used, first = np.unique(part, return_index=True)
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), *(pa.array(x, mask=gone) for x in (sums[0], sums[1], sums[0] - sums[1]))],
-                    names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+                    [pa.array(used.astype(np.int32)), pa.array([r["block"]] * len(used)), pa.array([_pack(np.diff(b.names[x:y], prepend=np.uint64(0))) for x, y in cuts], pa.binary()),
+                     *(pa.array([_pack(c[x:y]) for x, y in cuts], pa.binary()) for c in (target, background))],
+                    names=["part", "block", "names", "target", "background"],
                 )
 
-    return flagged.select("doc_id", "text", "counted").mapInArrow(score, SCORES)
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("names").to_pylist()]
+        ends = np.cumsum([len(x) for x in asked])
+        different, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        out = []
+        for c in ("target", "background"):
+            sent = np.concatenate([_unpack(x) for x in table.column(c).to_pylist()])
+            # sums are whole numbers far below 2^53
+            sums = np.bincount(inverse, weights=sent, minlength=len(different)).astype(np.int64)[inverse]
+            out.append(pa.array([_pack(x) for x in np.split(sums, ends[:-1])], pa.binary()))
+        return pa.table([table.column("part"), table.column("block"), *out], names=["part", "block", "target", "background"])
+
+    return marked.mapInArrow(ask, REQUESTS).groupBy("part").applyInArrow(answer, ANSWERS)
+
+
+SCORES = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, difference of every row of docs(doc_id, text)."""
+    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q > 0 AND t = 0").select("doc_id")
+    blocks = build_blocks(docs)
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "d")).select("block", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n"))
+    # labels grow with the corpus, so they are merged in at every size
+    targets = cut(rows.join(good.hint("merge"), "doc_id").groupBy("block").agg(F.collect_list("ord").alias("counted"), F.sum("n").alias("words")))
+    totals = [float(x or 0) for x in (targets.agg(F.sum("words")).first()[0], rows.agg(F.sum("n")).first()[0])]
+    marked = blocks.join(targets.select("block", "counted").hint("merge"), "block", "left")
+    counts = count_names(marked, max(RANGES, int(totals[1]) // RANGE_WORDS))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        b = Block(r["n_words"], r["words"], r["names"])
+        answers = right.sort_by("part")
+        own, gone, losses = b.own(), b.n == 0, []
+        for column, total, counted in (("target", totals[0], b.flags(r["counted"])), ("background", totals[1], np.ones(len(b.n), bool))):
+            got = [_unpack(x) for x in answers.column(column).to_pylist()]
+            losses.append(b.losses(np.concatenate([np.zeros(0, np.int64), *got]), total, own, counted))
+        return pa.table(
+            [pa.array(r["doc_ids"], pa.int64()), pa.array(b.n), *(pa.array(x, mask=gone) for x in (losses[0], losses[1], losses[0] - losses[1]))],
+            names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+        )
+
+    return marked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, SCORES)

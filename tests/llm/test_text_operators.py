@@ -397,6 +397,39 @@ def test_scores_equal_a_plain_model(spark, docs, mixed_rows):
         assert any((o[0] is None and r["target_loss"] is None) or (r["target_loss"] == pytest.approx(o[0], rel=1e-6) and r["background_loss"] == pytest.approx(o[1], rel=1e-6)) for o in options)
 
 
+def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
+    """More than 2^18 words and 2^19 pairs, in several blocks, against counts keyed by the words themselves."""
+    monkeypatch.setattr(lmscore, "BLOCK_WORDS", 150_000, raising=False)
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{min(rng.randrange(900_000), rng.randrange(900_000))}" for _ in range(6000)), "en", "s") for i in range(150)]
+    rows += [(900, "only here", "en", "s"), (901, "w1 w2 w1 w2", "en", "s"), (901, "w1 w2", "en", "s"), (902, "w1 w2", "en", "s")]
+    good = {*range(0, 150, 5), 901}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    words, both = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t, *_ in rows:
+        w = t.split()
+        for k in (0, 1) if i in good else (1,):
+            words[k].update(w)
+            both[k].update(zip(w, w[1:]))
+    assert len(words[1]) > 1 << lmscore.WORD_BITS and len(both[1]) > 1 << 19
+    want = []
+    for i, t, *_ in rows:
+        w, losses = t.split(), []
+        for k in (0, 1):
+            own = k == 1 or i in good
+            mine, mine2 = (collections.Counter(w), collections.Counter(zip(w, w[1:]))) if own else (collections.Counter(), collections.Counter())
+            total, loss = sum(words[k].values()) - sum(mine.values()), 0.0
+            for a, b in zip([None, *w], w):
+                single = (words[k][b] - mine[b] + lmscore.ADDED) / (total + lmscore.ADDED * (1 << lmscore.WORD_BITS))
+                c = words[k][a] - mine[a] if a else 0
+                loss -= np.log(lmscore.PAIR_WEIGHT * (both[k][a, b] - mine2[a, b]) / c + (1 - lmscore.PAIR_WEIGHT) * single if c else single)
+            losses.append(loss / len(w))
+        want.append((i, len(w), *losses))
+    got = sorted((r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"]) for r in lmscore.score_documents(documents(spark, rows), labels).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], rtol=1e-9)
+
+
 def test_target_like_texts_score_lower(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(f"{'t' if i % 2 else 'b'}{min(rng.randrange(60), rng.randrange(60))}" for _ in range(100)), "en", "s") for i in range(200)]
