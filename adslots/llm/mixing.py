@@ -9,7 +9,7 @@ largest documents first, carrying each document's rounding error to the next one
 
 Defined cases: null text has size 0; a null source is a source of its own, last; sources without words get
 target 0; a document of size 0 is taken 0 words; an empty table gives an empty result; repeated rows are mixed
-as documents of their own.
+as documents of their own (equal rows are kept once with their number, which is spread out again at the end).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import SPACE_WORD, cut
 MAX_COPIES = 3
 #: Documents rounded together, in one array.
 BLOCK_ROWS = 512
+#: Equal rows written out by one task at a time.
+SPREAD_ROWS = 10_000
 #: Newton stops when every source's tokens are met to this share, or after STEPS steps.
 TOLERANCE, STEPS = 1e-9, 12
 
@@ -96,11 +98,13 @@ def newton_multipliers(docs: DataFrame, targets: DataFrame, steps: int = STEPS,
 
 
 def round_to_copies(rated: DataFrame, max_copies: int = MAX_COPIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rated(doc_id, source, size, rate, source_rows, ...) with whole `copies`, at most max_copies.
+    """rated(doc_id, source, size, n, rate, source_rows, ...) with whole `copies`, at most max_copies. A row stands
+    for n equal documents, and source_rows counts such rows; the result has a row for each document.
 
     A source is cut into hash blocks of about block_rows documents. In a block, from the largest document to the
     smallest, a document gets the copies that bring the block's tokens nearest to what its rates ask for so far;
-    the error left at the end is about half a smallest document."""
+    the error left at the end is about half a smallest document. The copies of equal documents are rounded
+    together and dealt out evenly by number."""
     blocks = F.ceil(F.col("source_rows") / F.lit(float(block_rows)))
     doc = F.struct((-F.col("size")).alias("neg"), "doc_id", "rate", *[c for c in rated.columns if c not in ("doc_id", "source", "rate", "source_rows")])
     packed = (
@@ -109,8 +113,8 @@ def round_to_copies(rated: DataFrame, max_copies: int = MAX_COPIES, block_rows:
     )
 
     def step(state, d):
-        wanted = d["rate"] * d["size"] + state["error"]
-        copies = F.least(F.greatest(F.round(wanted / d["size"]), F.lit(0.0)), F.lit(float(max_copies)))
+        wanted = d["rate"] * d["size"] * d["n"] + state["error"]
+        copies = F.least(F.greatest(F.round(wanted / d["size"]), F.lit(0.0)), F.lit(float(max_copies)) * d["n"])
         copies = F.when(d["size"] > 0, copies).otherwise(F.lit(0.0))
         return F.struct((wanted - copies * d["size"]).alias("error"), copies.alias("copies"))
 
@@ -120,20 +124,26 @@ def round_to_copies(rated: DataFrame, max_copies: int = MAX_COPIES, block_rows:
         "docs", F.array(start), lambda acc, d: F.concat(acc, F.array(step(F.element_at(acc, -1), d)))
     )
     out = packed.select("source", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.slice(states, F.lit(2), F.size("docs")).alias("state"))).alias("z"))
-    return out.select("source", "z.doc.*", F.col("z.state.copies").cast("int").alias("copies")).drop("neg")
+    groups = out.select("source", "z.doc.*", F.col("z.state.copies").cast("long").alias("_all")).drop("neg")
+    # a large group of equal rows is written out by many tasks
+    chunks = groups.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPREAD_ROWS})"))).repartition("source", "doc_id", "size", "_chunk")
+    row = F.sequence(F.col("_chunk") * SPREAD_ROWS, F.least((F.col("_chunk") + 1) * SPREAD_ROWS, F.col("n")) - 1)
+    each = F.expr("_all div n") + F.when(F.col("_row") < F.col("_all") % F.col("n"), 1).otherwise(0)
+    return chunks.withColumn("_row", F.explode(row)).withColumn("copies", each.cast("int")).drop("n", "_all", "_chunk", "_row")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_copies: int = MAX_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every row of docs(doc_id, source, text)."""
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     rows = sized.select("*", F.lit(1.0).alias("base"), F.log1p(F.col("size").cast("double")).alias("x"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    solved = newton_multipliers(rows, source_targets(totals.select("source", "source_size"), weights, max_copies))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    solved = newton_multipliers(rows.withColumn("size", F.col("size") * F.col("n")), source_targets(totals.select("source", "source_size"), weights, max_copies))
     per_source = solved.alias("p").join(totals.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "t.source_rows")
     rated = (
         rows.alias("d").join(per_source.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         .select(
-            "d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.source_rows",
+            "d.doc_id", "d.source", "d.size", "d.n", "p.source_size", "p.target", "p.source_rows",
             F.when(F.col("p.target") > 0, F.least(F.col("base") * F.exp(F.col("a") + F.col("b") * (F.col("x") - F.col("mean_x"))), F.lit(float(max_copies)))).otherwise(0.0).alias("rate"),
         )
     )

@@ -484,6 +484,23 @@ def test_mixing_meets_targets(spark, docs, mixed_rows, none):
     assert mixing.mix_documents(docs).count() == len(mixed_rows)
 
 
+def test_equal_rows_are_rounded_as_one(spark, monkeypatch):
+    """No block holds the rows of a hot document one by one; each row still gets its own copies."""
+    rng = random.Random(13)
+    rows = [(None, None, "en", "a")] * 1500 + [(7, "x y z", "en", "a")] * 1500 + [(i, prose(rng, 9), "en", "ab"[i % 2]) for i in range(1000, 2000)]
+    held, plain = [], mixing.round_to_copies
+    monkeypatch.setattr(mixing, "round_to_copies", lambda rated, *a: held.append(rated) or plain(rated, *a))
+    monkeypatch.setattr(mixing, "SPREAD_ROWS", 100, raising=False)
+    out = mixing.mix_documents(documents(spark, rows)).collect()
+    assert held[0].groupBy("source", "doc_id", "size").count().agg(F.max("count")).first()[0] == 1
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, *_ in rows)
+    hot = [r["copies"] for r in out if r["doc_id"] == 7]
+    assert max(hot) - min(hot) == 1 and sum(hot) / 1500 == pytest.approx(next(r["rate"] for r in out if r["doc_id"] == 7), abs=0.01)
+    for s in "ab":
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 60
+
+
 def test_newton_keeps_the_covariate_and_the_tokens(spark):
     rng = random.Random(3)
     rows = [(i, "ab"[i % 2], float(rng.randint(1, 99)), rng.choice([0.5, 1.0, 2.0]), rng.random()) for i in range(400)]
