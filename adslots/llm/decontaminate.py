@@ -115,13 +115,12 @@ class Postings:
         return np.concatenate(found_w), np.concatenate(found_s)
 
     def near(self, terms: list[bytes], within: int) -> np.ndarray:
-        """Documents in which every term stands at most `within` words from one occurrence of the rarest."""
+        """Documents in which every term stands at most `within` words from one occurrence of the first."""
         ids = [self.terms.get(t, -1) for t in terms]
         if not ids or min(ids) < 0:
             return np.zeros(0, np.int64)
-        ids.sort(key=lambda i: self.counts[i])
         centre = self.positions[self.first[ids[0]] : self.first[ids[0] + 1]]
-        for i in ids[1:]:
+        for i in sorted(ids[1:], key=lambda i: self.counts[i]):  # rarity is only the order
             held = self.positions[self.first[i] : self.first[i + 1]]
             at = np.searchsorted(held, centre)
             ok = np.zeros(len(centre), bool)
@@ -242,7 +241,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def proximity_matches(index: DataFrame, queries: list[list[str]], within: int = 10) -> DataFrame:
-    """(query, doc_id) for documents in which all words of a query stand within so many words of its rarest one."""
+    """(query, doc_id) for documents in which all words of a query stand within so many words of its first one."""
     asked = [[w.encode().lower() for w in q] for q in queries]
 
     def search(batches):

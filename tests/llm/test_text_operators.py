@@ -224,6 +224,15 @@ def test_index_in_many_blocks(spark, docs, mixed_rows, monkeypatch):
     assert [(r["query"], r["doc_id"]) for r in near_] == [(0, None)]
 
 
+def test_proximity_does_not_depend_on_the_block():
+    """b is rarest in the first block, a in the second; the same document gets the same answer."""
+    text = "a x x b x x c"
+    for others in (["a a a c c"], ["b b b c c"], []):
+        p = decontaminate.Postings.of_texts([text, *others])
+        assert 0 in p.near([b"b", b"a", b"c"], 3)
+        assert 0 not in p.near([b"a", b"b", b"c"], 3)
+
+
 # 6 -----------------------------------------------------------------------------------------------------------
 
 
