@@ -190,7 +190,7 @@ class Phrases:
         for d, found in items.items():
             a, b = int(p.doc_first[d]), int(p.doc_first[d + 1])
             edges = np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0))
-            out[d] = (list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), [self.items[k] for k in found])
+            out[d] = (list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), sorted({self.items[k] for k in found}))
         return out
 
 

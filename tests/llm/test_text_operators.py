@@ -224,6 +224,13 @@ def test_index_in_many_blocks(spark, docs, mixed_rows, monkeypatch):
     assert [(r["query"], r["doc_id"]) for r in near_] == [(0, None)]
 
 
+@pytest.mark.parametrize("pass_words", [decontaminate.PASS_WORDS, 1])
+def test_an_item_of_two_texts_is_listed_once(spark, pass_words):
+    bench = spark.createDataFrame([(5, "a b c"), (5, "d e f"), (6, "c d")], "item_id long, text string")
+    index = decontaminate.build_index(documents(spark, [(1, "a b c d e f", "en", "s")]))
+    assert [r["items"] for r in decontaminate.phrase_matches(index, bench, pass_words=pass_words).collect()] == [["5", "6"]]
+
+
 def test_proximity_does_not_depend_on_the_block():
     """b is rarest in the first block, a in the second; the same document gets the same answer."""
     text = "a x x b x x c"
