@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut
+from .common import SPACE_WORD, cut, spread
 
 MAX_COPIES = 3
 #: Documents rounded together, in one array.
 BLOCK_ROWS = 512
-#: Equal rows written out by one task at a time.
-SPREAD_ROWS = 10_000
 #: Newton stops when every source's tokens are met to this share, or after STEPS steps.
 TOLERANCE, STEPS = 1e-9, 12
 
@@ -125,11 +123,8 @@ def round_to_copies(rated: DataFrame, max_copies: int = MAX_COPIES, block_rows:
     )
     out = packed.select("source", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.slice(states, F.lit(2), F.size("docs")).alias("state"))).alias("z"))
     groups = out.select("source", "z.doc.*", F.col("z.state.copies").cast("long").alias("_all")).drop("neg")
-    # a large group of equal rows is written out by many tasks
-    chunks = groups.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPREAD_ROWS})"))).repartition("source", "doc_id", "size", "_chunk")
-    row = F.sequence(F.col("_chunk") * SPREAD_ROWS, F.least((F.col("_chunk") + 1) * SPREAD_ROWS, F.col("n")) - 1)
     each = F.expr("_all div n") + F.when(F.col("_row") < F.col("_all") % F.col("n"), 1).otherwise(0)
-    return chunks.withColumn("_row", F.explode(row)).withColumn("copies", each.cast("int")).drop("n", "_all", "_chunk", "_row")
+    return spread(groups, "source", "doc_id", "size").withColumn("copies", each.cast("int")).drop("n", "_all", "_row")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_copies: int = MAX_COPIES) -> DataFrame:

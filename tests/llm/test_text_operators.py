@@ -2,15 +2,18 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import struct
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from adslots.llm import decontaminate, lmscore, mixing, near, pii, quality, sharding, suffix
+from adslots.llm import common, decontaminate, lmscore, mixing, near, pii, quality, sharding, suffix
 from adslots.llm.components import components
 from adslots.llm.queries import ORACLES, QUERIES
 
@@ -167,6 +170,36 @@ def test_rendezvous_sharding(docs, mixed_rows, none):
     assert facts == {(i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t, *_ in mixed_rows}
 
 
+def _best_shard(key, weights):
+    """A second implementation of the scores: the hash chain of (key, shard), and the largest -w / ln(u)."""
+    scores = []
+    for s, w in enumerate(weights):
+        h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", s), h) >> 11) + 0.5) / (1 << 53)
+        scores.append((-w / math.log(u), s))
+    return max(scores)[1]
+
+
+def test_shards_equal_a_second_implementation(docs, spark):
+    weights = [1.0, 2.0, 0.5]
+    for r in sharding.shard_documents(docs, weights, 1.5).collect():
+        assert r["shard"] == _best_shard(r["doc_id"], weights) and r["grown_shard"] == _best_shard(r["doc_id"], [*weights, 1.5])
+    assert {_best_shard(i, [1.0] * 8) for i in range(100)} == set(range(8))
+
+
+def test_repeated_rows_are_numbered_without_being_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD_ROWS", 100)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 50)
+    rows = [(7, "same", "en", "a")] * 3000 + [(None, None, "en", "a")] * 900 + [(i, str(i), "en", "a") for i in range(500)]
+    d = documents(spark, rows).selectExpr("*", "1 AS _block", "2 AS n", "3 AS _row", "'x' AS shard", "'y' AS slot")
+    out = sharding.shard_documents(d).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, *_ in rows)
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_weights_move_few_keys(spark):
     ids = spark.range(20000).select(F.col("id").alias("k"))
     even, double = sharding.rendezvous(F.col("k"), [1.0] * 4), sharding.rendezvous(F.col("k"), [1.0, 1.0, 1.0, 2.0])
@@ -506,7 +539,7 @@ def test_equal_rows_are_rounded_as_one(spark, monkeypatch):
     rows = [(None, None, "en", "a")] * 1500 + [(7, "x y z", "en", "a")] * 1500 + [(i, prose(rng, 9), "en", "ab"[i % 2]) for i in range(1000, 2000)]
     held, plain = [], mixing.round_to_copies
     monkeypatch.setattr(mixing, "round_to_copies", lambda rated, *a: held.append(rated) or plain(rated, *a))
-    monkeypatch.setattr(mixing, "SPREAD_ROWS", 100, raising=False)
+    monkeypatch.setattr(common, "SPREAD_ROWS", 100)
     out = mixing.mix_documents(documents(spark, rows)).collect()
     assert held[0].groupBy("source", "doc_id", "size").count().agg(F.max("count")).first()[0] == 1
     assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, *_ in rows)
