@@ -550,26 +550,98 @@ def test_equal_rows_are_rounded_as_one(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 60
 
 
-def test_newton_keeps_the_covariate_and_the_tokens(spark):
+def _plain_dual(source, tokens, z, target, cap=3.0, ridge=mixing.RIDGE):
+    """The dual by dense Newton steps with a line search, a multiplier for each free source and two moments."""
+    free = [s for s in target if 0 < target[s] < cap * tokens[source == s].sum() * (1 - 1e-12)]
+    place = {s: k for k, s in enumerate(free)}
+    x = np.zeros((len(source), len(free) + 2))
+    x[:, -2:] = z
+    fixed = np.array([np.nan if s in place else (cap if target[s] > 0 else 0.0) for s in source])
+    for i, s in enumerate(source):
+        if s in place:
+            x[i, place[s]] = 1
+    goal, total, live = np.array([target[s] for s in free] + [0.0, 0.0]), sum(target.values()), np.isnan(fixed)
+    goal[-2:] -= (tokens[~live] * fixed[~live]) @ z[~live]
+    weight = np.array([0.0] * len(free) + [ridge * total] * 2)
+    x, w, t = x[live], tokens[live], np.array([np.log(target[s] / tokens[source == s].sum()) for s in free] + [0.0, 0.0])
+    value = lambda t: goal @ t - w @ np.where(x @ t < np.log(cap), np.exp(np.minimum(x @ t, np.log(cap))), cap * (1 + x @ t - np.log(cap))) - weight @ (t * t) / 2
+    for _ in range(200):
+        u = x @ t
+        rate = np.exp(np.minimum(u, np.log(cap)))
+        g = goal - (w * rate) @ x - weight * t
+        h = (x * (w * rate * (u < np.log(cap)))[:, None]).T @ x + np.diag(weight + 1e-9)
+        d, step = np.linalg.solve(h, g), 1.0
+        while value(t + step * d) < value(t) - 1e-12 * abs(value(t)) and step > 1e-9:
+            step /= 2
+        t = t + step * d
+    out = fixed.copy()
+    out[live] = np.minimum(np.exp(x @ t), cap)
+    return out
+
+
+def test_rates_equal_a_plain_solver_of_the_dual(spark):
+    """Sources of short and of long documents, one at its cap: the moments couple them and rates differ inside."""
     rng = random.Random(3)
-    rows = [(i, "ab"[i % 2], float(rng.randint(1, 99)), rng.choice([0.5, 1.0, 2.0]), rng.random()) for i in range(400)]
-    d = spark.createDataFrame(rows, "doc_id long, source string, size double, base double, x double")
-    targets = spark.createDataFrame([("a", 1.0, 9000.0), ("b", 1.0, 1234.0)], "source string, source_size double, target double")
-    for r in mixing.newton_multipliers(d, targets).collect():
-        mine = [(s, b, x) for _, src, s, b, x in rows if src == r["source"]]
-        rate = [s * b * np.exp(r["a"] + r["b"] * (x - r["mean_x"])) for s, b, x in mine]
-        assert sum(rate) == pytest.approx(r["target"], rel=1e-6)
-        mean = sum(s * b * x for s, b, x in mine) / sum(s * b for s, b, _ in mine)
-        assert sum(q * x for q, (_, _, x) in zip(rate, mine, strict=True)) / sum(rate) == pytest.approx(mean, rel=1e-6)
-
-
-def test_mixed_rows_keep_their_columns(spark):
+    rows = [(i, " ".join(["w"] * max(1, int(rng.lognormvariate(2 + (i % 4) / 2, 0.7)))), "en", "abcd"[i % 4] if i % 9 else None) for i in range(700)]
+    rows += [(1000 + i, "few words", "en", "0") for i in range(3)]
+    out = mixing.mix_documents(documents(spark, rows)).collect()
+    size = np.array([len(t.split()) for _, t, *_ in rows], float)
+    source = np.array([src or "~" for *_, src in rows])
+    x = np.log1p(size)
+    mean = (x @ size) / size.sum()
+    z1 = (x - mean) / np.sqrt((x * x) @ size / size.sum() - mean**2)
+    z = np.stack([z1, z1 * z1 - 1], 1)
+    target = {r["source"] or "~": r["target"] for r in out}
+    want = dict(zip((i for i, *_ in rows), _plain_dual(source, size, z, target), strict=True))
+    for r in out:
+        assert r["rate"] == pytest.approx(want[r["doc_id"]], rel=1e-6, abs=1e-8)
+    assert all(len({r["rate"] for r in out if r["source"] == s}) > 5 for s in "abcd")
+    rate = np.array([want[i] for i, *_ in rows])
+    for s, t in target.items():
+        assert (rate * size)[source == s].sum() == pytest.approx(t, rel=1e-6)
+    # the mix keeps the corpus' profile of lengths, which equal rates inside sources would not
+    flat = np.array([target[s] / size[source == s].sum() for s in source])
+    assert abs((rate * size) @ z1) < 0.2 * abs((flat * size) @ z1)
+
+
+def test_copies_equal_a_plain_fold(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.choice([0, 1, 5, 9, 40]), rng.choice([1, 1, 3]), round(rng.random() * 3, 3), 300) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, size long, n long, rate double, source_rows long")
+    got = collections.Counter()
+    for r in mixing.round_to_copies(d, 3, 1000).collect():
+        got[r["doc_id"]] += r["copies"]
+    for s in "ab":
+        error = 0.0
+        for i, _, size, n, rate, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (-r[2], r[0])):
+            wanted = rate * size * n + error
+            copies = min(max(math.floor(wanted / size + 0.5), 0), 3 * n) if size else 0
+            error = wanted - copies * size
+            assert got[i] == copies
+
+
+def test_running_sums_need_no_single_task(spark):
+    rows = [(i * 7 % 101, float(i % 5)) for i in range(101)]
+    d = spark.createDataFrame(rows, "k long, v double")
+    got = {r["k"]: (r["position"], r["held"]) for r in mixing.running(d, [F.col("k").desc()], held=F.col("v")).collect()}
+    held = 0.0
+    for n, (k, v) in enumerate(sorted(rows, reverse=True)):
+        assert got[k] == (n, held)
+        held += v
+
+
+def test_mixed_rows_keep_their_columns(spark, none):
     rng = random.Random(1)
-    rows = [(i % 40, prose(rng, 20 + i % 7), "en", "ab"[i % 2]) for i in range(80)] + [(7, "same text", "en", "a")] * 3
+    rows = [(i % 40, prose(rng, 20 + i % 7), "en", "ab"[i % 2]) for i in range(80)] + [(7, "same text", "en", "a")] * 3 + [(8, "hot", "en", "b")] * 3000
     d = documents(spark, rows)
-    slim = mixing.mix_documents(d)
-    assert mixing.mixed(d).columns == d.columns
-    assert mixing.mixed(d).count() == slim.agg(F.sum("copies")).first()[0]
+    for name in ("_row", "_copies", "_id", "_mark", "_copy", "n", "rows", "row", "mark", "id"):
+        d = d.withColumn(name, F.lit(name))
+    out, slim = mixing.mixed(d), mixing.mix_documents(d.select("doc_id", "source", "text"))
+    assert out.columns == d.columns
+    want = {r["doc_id"]: r["c"] for r in slim.groupBy("doc_id").agg(F.sum("copies").alias("c")).collect() if r["c"]}
+    got = collections.Counter(r["doc_id"] for r in out.select("doc_id", "_row", "_copies").collect())
+    assert abs(sum(got.values()) - sum(want.values())) <= 30 and got[8] == pytest.approx(want[8], abs=30)
+    assert mixing.mixed(none).count() == 0
 
 
 # queries -----------------------------------------------------------------------------------------------------
