@@ -36,8 +36,8 @@ k AS (
   FROM tall, range(0, 100) g(step) GROUP BY ALL),
 p AS (
   SELECT stratum, rule, step, n, n_bad, k, hit,
-    CASE WHEN k > n * 0.02::DOUBLE THEN false ELSE
-      (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02::DOUBLE) + (n - j) * ln(0.98::DOUBLE))) FROM range(0, k + 1) t(j))
+    CASE WHEN k > n * 0.01::DOUBLE THEN false ELSE
+      (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01::DOUBLE) + (n - j) * ln(0.99::DOUBLE))) FROM range(0, k + 1) t(j))
       <= 0.05::DOUBLE / (SELECT count(*) FROM n) END AS ok
   FROM k JOIN n USING (stratum, rule)),
 q AS (

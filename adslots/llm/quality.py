@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic lies above a cutoff. The cutoff is chosen per stratum (language)
-from a grid fixed beforehand, so that the share of good documents rejected is at most ALPHA, with confidence
-1 - DELTA over all strata and rules together:
+from a grid fixed beforehand, so that in no stratum all rules together reject more than the share ALPHA of the good
+documents, with confidence 1 - DELTA over all strata:
 
-* labelled good documents are the holdout; a cutoff that rejects k of n of them passes if the exact binomial
-  tail P(Bin(n, ALPHA) <= k) is at most DELTA / (strata * rules) (Bonferroni over strata and rules);
+* ALPHA is split evenly over the rules; labelled good documents are the holdout; a cutoff that rejects k of n of them
+  passes if the exact binomial tail P(Bin(n, ALPHA / rules) <= k) is at most DELTA / (strata * rules) (Bonferroni
+  over strata and rules);
 * cutoffs are tested from the most lenient on and testing stops at the first that fails, so the grid itself
   needs no correction (fixed-sequence testing);
 * of the cutoffs that pass, the one with the largest gain, the share of bad documents rejected less the share
@@ -13,7 +14,8 @@ from a grid fixed beforehand, so that the share of good documents rejected is at
   rejects nothing.
 
 Everything is DataFrame functions: a text's statistics are computed inside its row, the labelled counts are
-aggregated to one row for each stratum, rule and grid step.
+aggregated to one row for each stratum, rule and grid step. Windows of words are compared by 64-bit hashes inside a
+text.
 
 Defined cases: a null text has no words and fails the base rules; a null language is a stratum of its own;
 of repeated labels of a document the lowest counts; an empty table gives an empty result.
@@ -21,6 +23,8 @@ of repeated labels of a document the lowest counts; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +35,8 @@ from .common import SPACE_WORD, cut
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: At most this share of a stratum's good documents may be rejected by a rule; confidence is 1 - DELTA.
-ALPHA, DELTA = 0.02, 0.05
+#: At most this share of a stratum's good documents may be rejected by the rules together; confidence is 1 - DELTA.
+ALPHA, DELTA = 0.05, 0.05
 #: Grid steps of every rule.
 STEPS = 100
 
@@ -41,8 +45,6 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-
-
 def _rules(s: Column) -> dict[str, tuple[Column, float]]:
     """name: (statistic, width of a grid step). A document is rejected if its statistic is above step * width."""
     return {
@@ -64,7 +66,7 @@ def statistics(text: Column) -> Column:
     def of_words(words: Column) -> Column:
         windows = F.transform(
             F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-            lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
+            lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
         )
         return F.struct(F.size(words).cast("long").alias("n_words"), F.sort_array(windows).alias("windows"))
 
@@ -114,18 +116,27 @@ def _steps_above(s: Column) -> dict[str, Column]:
     return {name: F.least(F.ceil(x / F.lit(width)), F.lit(STEPS)).cast("int") for name, (x, width) in _rules(s).items()}
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n!: from a short table, or by Stirling's series, which is exact to double precision beyond it."""
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(21)])
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(n <= 20, F.get(small, F.least(n, F.lit(20)).cast("int"))).otherwise(series)
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed term by term in logarithms."""
-    import math
-
-    start = F.struct((n * F.lit(math.log1p(-p))).cast("double").alias("log"), F.lit(0.0).alias("sum"))
-    ratio = F.lit(math.log(p / (1 - p)))
-    return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k),
-        start,
-        lambda a, j: F.struct((a["log"] + F.log((F.greatest(n - j, F.lit(1))).cast("double") / (j + 1)) + ratio).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum")),
-        lambda a: a["sum"],
-    )
+    """P(Bin(n, p) <= k) for k up to n * p, summed from its largest term down. Terms more than 13 standard deviations
+    below vanish in double precision, so there are as many as the root of n * p asks for, not k."""
+    first = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.lit(math.log(p)) + (n - k) * F.lit(math.log1p(-p))
+    terms = F.least(k, F.ceil(13 * F.sqrt(n * F.lit(p))) + 40)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(a: Column, j: Column) -> Column:  # from the term of k - j + 1 to that of k - j
+        term = a["term"] * (k - j + 1) / (n - k + j).cast("double") * F.lit((1 - p) / p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    tail = F.when(terms >= 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(terms, F.lit(1)).cast("long")), start, add, lambda a: a["sum"])).otherwise(F.lit(1.0))
+    return F.exp(first + F.log(tail))
 
 
 def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -134,6 +145,7 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     The table holds one row for each stratum that has a cutoff for some rule; the others' rules reject nothing."""
     used = labelled.where(~base_failed(F.col("s"))).select("stratum", "good", *[c.alias(name) for name, c in _steps_above(F.col("s")).items()])
     names = list(_rules(F.col("s")))
+    alpha = alpha / len(names)
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(name).alias("above")) for i, name in enumerate(names)])
     counts = (
         used.select("stratum", "good", F.explode(rules).alias("r"))
@@ -182,9 +194,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns. Rows carry their texts, so nothing is written but
-    the cutoffs; the labelled documents' statistics are computed a second time instead."""
-    slim = docs.select("doc_id", "text", "lang").join(_labels(labels), "doc_id")
-    labelled = with_statistics(slim, _stratum(F.col("lang")).alias("stratum"), "good")
-    rows = with_statistics(docs, F.struct(*docs.columns).alias("row"), _stratum(F.col("lang")).alias("stratum"))
+    """The rows of `docs` that are kept, with their columns. Rows are stored with their statistics, which are computed
+    once; texts are neither shuffled nor joined."""
+    rows = cut(with_statistics(docs, F.struct(*docs.columns).alias("row"), _stratum(F.col("lang")).alias("stratum")))
+    labelled = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "s").join(_labels(labels), "doc_id").select("stratum", "good", "s")
     return judge(rows, certified_cutoffs(labelled, alpha, delta)).where("kept").select("row.*")
