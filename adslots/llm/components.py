@@ -3,14 +3,17 @@
 A round joins every edge with the least neighbour of its end, found by a pre-aggregated minimum, so that a node
 with very many neighbours is neither collected nor sorted in one task. Rounds go on until the edges no longer
 change; every round's edges, and the minima they are joined with, are written to shared storage, so that joins are
-between plain shuffles, whose hot nodes Spark can split."""
+between plain shuffles, whose hot nodes Spark can split; they are removed once the next round stands.
+
+Defined cases: edges from a node to itself are no edges, so a node with no other has no row; repeated and reversed
+edges count once; no edges, no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = cut(tidy(small))
+        before, now = now, cut(tidy(small))
+        for stored in (before, least, large, low):
+            drop_cut(stored)
         was, seen = seen, mark(now)
         if was == seen:
             break

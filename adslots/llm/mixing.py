@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, drop_cut, spread
+from .common import SPACE_WORD, cut, drop_cut, running, spread
 
 MAX_COPIES = 3
 #: Documents rounded together, in one array.
@@ -39,23 +39,6 @@ TOLERANCE, STEPS, REACH = 1e-9, 25, 1.0
 RIDGE = 1e-3
 
 
-def running(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
-    """`df` with `position`, its row number from 0, and the named sums over all rows before it, in `order` (total).
-
-    Rows are ranged into partitions, numbered and summed in each, and shifted by the partitions before: only one row for
-    each partition is ever in one place."""
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = cut(df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id()))
-    what = {"position": F.lit(1).cast("long"), **sums}
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in what.items()])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # over as many rows as there are partitions
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    starts = totals.select("_part", F.struct(*[zero(F.sum(k).over(before)).alias(k) for k in what]).alias("_start"))
-    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    placed = ranged.select("*", *[zero(F.sum(c).over(inside)).alias(k) for k, c in what.items()])
-    return placed.join(F.broadcast(starts), "_part").select(*df.columns, *[(F.col(k) + F.col("_start")[k]).alias(k) for k in what])
-
-
 def source_targets(totals: DataFrame, weights: Sequence[float], max_ratio: float) -> DataFrame:
     """Targets of a table (source, source_size): weights repeat over the sources in code-point order, null last;
     a target stops at max_ratio times the source's size and the excess is reshared by weight.

@@ -117,13 +117,46 @@ def test_jaccard_join_of_one_large_group(spark):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(i, *want[(i, t)]) for i, t, *_ in rows}
 
 
-def test_keep_one(docs, mixed_rows):
-    out = near.keep_one(docs)
-    assert out.columns == docs.columns
+def _chain(n, step=5):
+    """Texts that slide over one long run of words: each is near its neighbours only, all in one family."""
+    rng = random.Random(14)
+    words = [f"c{rng.randrange(99999)}" for _ in range(n * step + 120)]
+    return [(i, " ".join(words[i * step : i * step + 120]), "en", "a") for i in range(n)]
+
+
+def test_chains_are_compared_along_their_bands(spark, monkeypatch):
+    """One family of 300 texts in small chunks: counts are exact, and chunks far apart on the chain don't meet."""
+    monkeypatch.setattr(near, "CHUNK_NODES", 6)
+    rows = _chain(300)
+    want = _jaccard(rows)
+    d = documents(spark, rows)
+    got = near.classify(d).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(i, *want[(i, t)]) for i, t, *_ in rows}
+    nodes = common.cut(near.sketch(d).withColumn("node", F.monotonically_increasing_id()))
+    dealt, pairs = near.chunks(nodes)
+    n = dealt.select("chunk").distinct().count()
+    assert n > 30 and pairs.select("lo", "hi").distinct().count() < n * n / 8
+    assert dealt.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 7
+
+
+def test_keep_one(docs, mixed_rows, none):
+    odd = docs
+    for name in ("_key", "_id", "_key2", "key", "row", "mark", "label", "text_key", "n", "node"):
+        odd = odd.withColumn(name, F.lit(name))
+    out = near.keep_one(odd)
+    assert out.columns == odd.columns and {r["_key"] for r in out.select("_key").collect()} == {"_key"}
     want = {c for (i, t), (c, _) in _jaccard(mixed_rows).items() if t is not None}
     kept = [r["doc_id"] for r in out.where("text IS NOT NULL").collect()]
     assert sorted(map(str, kept)) == sorted(map(str, want))
     assert out.where("text IS NULL").count() == 1
+    assert near.keep_one(none).count() == 0 and near.classify(none).count() == 0
+
+
+def test_keep_one_of_rows_that_differ_elsewhere(spark):
+    """Rows of one id and text: the same one stays in whatever order they come."""
+    rows = [(1, "a b c d e f", lang, "s") for lang in ("en", "de", "fr", None)] * 3
+    stays = [near.keep_one(documents(spark, x)).collect() for x in (rows, rows[::-1])]
+    assert len(stays[0]) == 1 and stays[0] == stays[1]
 
 
 def test_bayesian_pruning_keeps_true_pairs():
@@ -623,7 +656,7 @@ def test_copies_equal_a_plain_fold(spark):
 def test_running_sums_need_no_single_task(spark):
     rows = [(i * 7 % 101, float(i % 5)) for i in range(101)]
     d = spark.createDataFrame(rows, "k long, v double")
-    got = {r["k"]: (r["position"], r["held"]) for r in mixing.running(d, [F.col("k").desc()], held=F.col("v")).collect()}
+    got = {r["k"]: (r["position"], r["held"]) for r in common.running(d, [F.col("k").desc()], held=F.col("v")).collect()}
     held = 0.0
     for n, (k, v) in enumerate(sorted(rows, reverse=True)):
         assert got[k] == (n, held)
