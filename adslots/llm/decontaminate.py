@@ -7,8 +7,9 @@ phrase's rarest term in that block, shifted back by its offset, are the candidat
 with the shifted postings of the next rarest term, and so on. Words themselves are compared, not hashes, so
 matches are exact. `proximity_matches` asks for terms close to each other in any order.
 
-The phrases travel to all tasks; they are taken in passes of at most PASS_WORDS words, so what is sent has a
-fixed bound, and a larger benchmark takes more passes over the index.
+The phrases travel to all tasks; they are taken in passes of about PASS_WORDS words, so what the driver holds and
+broadcasts at a time has a fixed bound. A larger benchmark takes more passes over the index; each is stored, and its
+broadcast released, before the next begins.
 
 Defined cases: null texts have no words; benchmark rows without id or words have no windows; an item shorter
 than a window is one window; repeated documents are reported one by one; empty tables give an empty result.
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 WINDOW = 10
 #: Words in a block of the index (a longer document is a block by itself), and of phrases in one pass.
-BLOCK_WORDS, PASS_WORDS = 500_000, 2_000_000
+BLOCK_WORDS, PASS_WORDS = 500_000, 500_000
 
 INDEX = "block string, doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, deltas binary"
 MATCHES = "block string, ord bigint, doc_id bigint, n_words bigint, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
@@ -194,21 +196,28 @@ class Phrases:
         return out
 
 
-def passes(benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> Iterator[Phrases]:
-    """The benchmark's items, in passes of bounded size."""
+def passes(benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's items, in passes of bounded size, each broadcast, and whether it is the only one. A pass that is
+    not is released when the next is asked for."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (4 * pass_words)))
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield Phrases([(r[0], words_of(r[1])) for r in part.sort("item_id", "text").toLocalIterator()], window)
+        phrases = Phrases([(r[0], words_of(r[1])) for r in part.sort("item_id", "text").toLocalIterator()], window)
+        sent = benchmark.sparkSession.sparkContext.broadcast(phrases)
+        del phrases
+        yield sent, n == 1
+        if n > 1:
+            sent.destroy()
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """A row for every document: its words, the spans of words inside any window's occurrence, and the items."""
 
-    def searcher(phrases):
+    def searcher(sent):
         def search(batches):
+            phrases = sent.value
             for batch in batches:
                 for r in batch.to_pylist():
                     p = Postings.of_row(r["terms"], r["counts"], r["deltas"], r["n_words"])
@@ -224,9 +233,12 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return search
 
-    parts = [index.mapInArrow(searcher(p), MATCHES) for p in passes(benchmark, window, pass_words)]
-    if len(parts) == 1:
-        return parts[0]
+    parts = []
+    for sent, only in passes(benchmark, window, pass_words):
+        found = index.mapInArrow(searcher(sent), MATCHES)
+        if only:
+            return found
+        parts.append(cut(found))
     both = parts[0]
     for x in parts[1:]:
         both = both.unionByName(x)
@@ -259,14 +271,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     return phrase_matches(build_index(docs), benchmark, window).select("doc_id", "n_words", "spans", "items")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """The rows of `docs`, with their columns, in which no window occurs: each batch of rows is indexed and
     searched in place, so texts are neither shuffled nor joined again."""
     texts = docs.columns.index("text")
-    out = docs
-    for phrases in passes(benchmark, window):
 
-        def keep(batches, phrases=phrases):
+    def keeper(sent):
+        def keep(batches):
+            phrases = sent.value
             for batch in batches:
                 column = batch.column(texts).to_pylist()
                 at = size = 0
@@ -277,5 +289,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                         yield batch.slice(at, end - at).filter(pa.array([d not in found for d in range(end - at)], pa.bool_()))
                         at, size = end, 0
 
-        out = out.mapInArrow(keep, docs.schema)
+        return keep
+
+    out = docs
+    for sent, only in passes(benchmark, window, pass_words):
+        kept = out.mapInArrow(keeper(sent), docs.schema)
+        if only:
+            return kept
+        before, out = out, cut(kept)
+        if before is not docs:
+            drop_cut(before)
     return out

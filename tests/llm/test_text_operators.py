@@ -274,10 +274,19 @@ def test_leaks_equal_brute_force(spark, docs, mixed_rows, pass_words):
     mine = [(r["doc_id"], r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in got.collect()]
     want = _leaks(mixed_rows, items)
     assert sorted(mine, key=repr) == sorted(want, key=repr)
-    if pass_words > 100:
-        kept = decontaminate.drop_leaks(docs, bench)
-        assert kept.columns == docs.columns
-        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[2]), key=str)
+    odd = docs.selectExpr("*", "'b' AS block", "1 AS ord", "2 AS spans", "3 AS items")
+    kept = decontaminate.drop_leaks(odd, bench, pass_words=pass_words)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[2]), key=str)
+
+
+def test_leaks_of_empty_tables(spark, docs, none):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.drop_leaks(none, bench).count() == 0
+    out = decontaminate.find_leaks(docs, empty).collect()
+    assert len(out) == docs.count() and not any(r["items"] or r["spans"] for r in out)
+    assert decontaminate.drop_leaks(docs, empty).count() == docs.count()
 
 
 def test_index_in_many_blocks(spark, docs, mixed_rows, monkeypatch):
