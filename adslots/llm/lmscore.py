@@ -1,9 +1,10 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both are interpolated bigram models with exact counts of every word and every pair of neighbouring words; what they
-hold grows with the corpus. The background model counts all documents, the target model those labelled good.
-A document's score is its loss for a word under the target model less that under the background model; low
-scores are near the target.
+Both are interpolated bigram models over one vocabulary, with exact counts of every word and every pair of neighbouring
+words; what they hold grows with the corpus. The target model counts the documents labelled good, the background model
+all others, so no document is in both. They are matched: order, weights and the mass kept for words not seen are the same
+in both whatever they count, so that a difference of losses doesn't come from their sizes. A document's score is its loss
+for a word under the target model less that under the background model; low scores are near the target.
 
 Texts are taken in blocks, stored as numbers of a block's own words. A block asks for the counts of each of its
 words and pairs once: it sends its own counts, by ranges of the 64-bit hash of word or pair (names, unique up to
@@ -11,15 +12,15 @@ colliding hashes). A range sums what all blocks sent and answers each block in t
 no frequent word is ever more than one number of a block, and neither model is ever in one place. The answers meet
 the stored block, which scores its texts.
 
-A target document has been counted by the target model, so what it counted there is taken away again when it is
-scored (leave one out); likewise for the background model.
+A document has been counted by one of the models, so what it counted there is taken away again when it is scored by
+it (leave one out).
 
-Fixed value: a word's smoothed share is (count + ADDED) / (total + ADDED * 2^WORD_BITS), whatever the number of
-different words, so that losses of corpora of any size are on one scale.
+Fixed value: UNIFORM of a word's share is spread evenly over 2^WORD_BITS words, whatever the number of different words,
+so that losses of corpora of any size are on one scale.
 
 Defined cases: a null text, or one without words, has zero words and null losses; a text's first word has no word
-before it; of repeated labels the lowest counts; repeated rows are counted each; without any target document the
-target model is uniform; empty tables give an empty result.
+before it; of repeated labels the lowest counts; repeated rows are counted each; a model that has
+counted nothing else is uniform; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: 2^WORD_BITS words share the added counts; PAIR_BITS is the room that tests keep for the pairs of a few texts.
+#: 2^WORD_BITS words share the uniform part; PAIR_BITS is the room that tests keep for the pairs of a few texts.
 WORD_BITS, PAIR_BITS = 18, 20
-#: Weight of the pair estimate, and the count added to every word.
-PAIR_WEIGHT, ADDED = 0.6, 0.1
+#: Weight of the pair estimate, and in the word estimate that of the uniform part.
+PAIR_WEIGHT, UNIFORM = 0.6, 0.01
 #: Words in a block (a longer document is a block by itself).
 BLOCK_WORDS = 1_000_000
 #: Ranges of the hashes: at least so many, and one for so many words of the corpus.
@@ -139,7 +140,9 @@ class Block:
         c_word = words[self.word] - np.where(left_out, own[0], 0)
         c_pair = pairs_[self.pair] - np.where(left_out, own[1], 0)
         c_before = np.where(self.pair < 0, 0, np.concatenate([c_word[:1], c_word[:-1]]))
-        single = (c_word + ADDED) / (total - held + ADDED * float(1 << WORD_BITS))
+        others = total - held
+        uniform = np.where(others > 0, UNIFORM, 1.0)
+        single = (1 - uniform) * c_word / np.maximum(others, 1) + uniform / float(1 << WORD_BITS)
         weight = np.where(c_before > 0, PAIR_WEIGHT, 0.0)
         loss = -np.log(weight * (c_pair / np.maximum(c_before, 1)) * (self.pair >= 0) + (1 - weight) * single)
         return np.where(self.n > 0, np.bincount(self.doc, weights=loss, minlength=len(self.n)) / np.maximum(self.n, 1), np.nan)
@@ -187,7 +190,8 @@ def count_names(marked: DataFrame, ranges: int) -> DataFrame:
                 b = Block(r["n_words"], r["words"], r["names"])
                 if not len(b.names):
                     continue
-                target, background = b.counts(b.flags(r["counted"])[b.doc]), b.counts(np.ones(len(b.doc), bool))
+                mine = b.flags(r["counted"])[b.doc]
+                target, background = b.counts(mine), b.counts(~mine)
                 part = ((b.names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 used, first = np.unique(part, return_index=True)
                 cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
@@ -222,16 +226,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "d")).select("block", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n"))
     # labels grow with the corpus, so they are merged in at every size
     targets = cut(rows.join(good.hint("merge"), "doc_id").groupBy("block").agg(F.collect_list("ord").alias("counted"), F.sum("n").alias("words")))
-    totals = [float(x or 0) for x in (targets.agg(F.sum("words")).first()[0], rows.agg(F.sum("n")).first()[0])]
+    every = float(rows.agg(F.sum("n")).first()[0] or 0)
+    in_target = float(targets.agg(F.sum("words")).first()[0] or 0)
     marked = blocks.join(targets.select("block", "counted").hint("merge"), "block", "left")
-    counts = count_names(marked, max(RANGES, int(totals[1]) // RANGE_WORDS))
+    counts = count_names(marked, max(RANGES, int(every) // RANGE_WORDS))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
         b = Block(r["n_words"], r["words"], r["names"])
         answers = right.sort_by("part")
-        own, gone, losses = b.own(), b.n == 0, []
-        for column, total, counted in (("target", totals[0], b.flags(r["counted"])), ("background", totals[1], np.ones(len(b.n), bool))):
+        own, gone, losses, mine = b.own(), b.n == 0, [], b.flags(r["counted"])
+        for column, total, counted in (("target", in_target, mine), ("background", every - in_target, ~mine)):
             got = [_unpack(x) for x in answers.column(column).to_pylist()]
             losses.append(b.losses(np.concatenate([np.zeros(0, np.int64), *got]), total, own, counted))
         return pa.table(

@@ -583,13 +583,13 @@ def test_scores_equal_a_plain_model(spark, docs, mixed_rows):
     tables = np.zeros((2, (1 << lmscore.WORD_BITS) + (1 << lmscore.PAIR_BITS)))
     for k in range(len(texts)):
         for w, p in zip(word[end[k] - n[k] : end[k]], pair[end[k] - n[k] : end[k]], strict=True):
-            for row in (1, 0) if counted[k] else (1,):
-                tables[row, w] += 1
-                tables[row, (1 << lmscore.WORD_BITS) + p] += 1
+            row = 0 if counted[k] else 1
+            tables[row, w] += 1
+            tables[row, (1 << lmscore.WORD_BITS) + p] += 1
     want = []
     for k, (i, *_) in enumerate(mixed_rows):
         losses = []
-        for row, own in ((0, counted[k]), (1, True)):
+        for row, own in ((0, counted[k]), (1, not counted[k])):
             mine = collections.Counter()
             span = range(end[k] - n[k], end[k])
             if own:
@@ -601,7 +601,7 @@ def test_scores_equal_a_plain_model(spark, docs, mixed_rows):
                 cw = tables[row, word[j]] - mine["w", word[j]]
                 cp = tables[row, (1 << lmscore.WORD_BITS) + pair[j]] - mine["p", pair[j]]
                 cb = 0 if before is None else tables[row, before] - mine["w", before]
-                single = (cw + lmscore.ADDED) / (total + lmscore.ADDED * (1 << lmscore.WORD_BITS))
+                single = (1 - lmscore.UNIFORM) * cw / total + lmscore.UNIFORM / (1 << lmscore.WORD_BITS)
                 weight = lmscore.PAIR_WEIGHT if cb > 0 else 0.0
                 loss -= np.log(weight * min(1.0, cp / max(cb, 1)) + (1 - weight) * single)
                 before = word[j]
@@ -627,19 +627,19 @@ def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
     words, both = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     for i, t, *_ in rows:
         w = t.split()
-        for k in (0, 1) if i in good else (1,):
+        for k in (0 if i in good else 1,):
             words[k].update(w)
             both[k].update(zip(w, w[1:]))
-    assert len(words[1]) > 1 << lmscore.WORD_BITS and len(both[1]) > 1 << 19
+    assert len(words[0] + words[1]) > 1 << lmscore.WORD_BITS and len(both[0] + both[1]) > 1 << 19
     want = []
     for i, t, *_ in rows:
         w, losses = t.split(), []
         for k in (0, 1):
-            own = k == 1 or i in good
+            own = (i in good) == (k == 0)
             mine, mine2 = (collections.Counter(w), collections.Counter(zip(w, w[1:]))) if own else (collections.Counter(), collections.Counter())
             total, loss = sum(words[k].values()) - sum(mine.values()), 0.0
             for a, b in zip([None, *w], w):
-                single = (words[k][b] - mine[b] + lmscore.ADDED) / (total + lmscore.ADDED * (1 << lmscore.WORD_BITS))
+                single = (1 - lmscore.UNIFORM) * (words[k][b] - mine[b]) / total + lmscore.UNIFORM / (1 << lmscore.WORD_BITS)
                 c = words[k][a] - mine[a] if a else 0
                 loss -= np.log(lmscore.PAIR_WEIGHT * (both[k][a, b] - mine2[a, b]) / c + (1 - lmscore.PAIR_WEIGHT) * single if c else single)
             losses.append(loss / len(w))
@@ -658,6 +658,18 @@ def test_target_like_texts_score_lower(spark):
     assert max(d for d, y in held_out if y) < min(d for d, y in held_out if not y)
 
 
+def test_scores_of_empty_tables_and_long_texts(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert lmscore.score_documents(none, labels).count() == 0
+    uniform = math.log(1 << lmscore.WORD_BITS)
+    for r in lmscore.score_documents(docs, empty).collect():
+        assert r["target_loss"] is None if not r["n_words"] else r["target_loss"] == pytest.approx(uniform)
+    out = lmscore.score_documents(documents(spark, [(1, "x y " * 400_000, "en", "s"), (2, "x y", "en", "s")]), labels).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in out] == [800_000, 2] and out[0]["target_loss"] == pytest.approx(uniform)
+    assert out[1]["target_loss"] < out[1]["background_loss"]
+
+
 # 10 ----------------------------------------------------------------------------------------------------------
 
 
