@@ -75,30 +75,27 @@ hp AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
 rules(say, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
   ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
 fit AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(say, len(rule)) AS said FROM hp JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-sh AS (SELECT hp.*, rule, said, array_to_string(CASE WHEN len(s) > 3 THEN list_concat(s[1:3], ['**']) ELSE s END, '/') AS shape
+sh AS (SELECT hp.*, rule, said, array_to_string(s, '/') AS shape
   FROM (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
     CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' WHEN regexp_full_match(x, '[0-9]+\.[A-Za-z]+') THEN '#' || regexp_extract(x, '\.[A-Za-z]+$')
          WHEN regexp_full_match(x, '[0-9a-fA-F-]{8,}') THEN '#x' ELSE x END) AS s FROM hp) hp LEFT JOIN fit USING (page_id)),
-p0 AS (SELECT host, shape, count(*) AS n, count(said) AS lab, count(*) FILTER (said = 'block') AS bad, '' AS t, string_split(shape, '/') AS g FROM sh GROUP BY host, shape),
-p1 AS (SELECT * REPLACE (CASE WHEN coalesce(g[1], '') = '' THEN t ELSE t || '/' || CASE WHEN sup < 3 AND NOT starts_with(g[1], '#') THEN '*' ELSE g[1] END END AS t)
-  FROM (SELECT *, sum(n) OVER (PARTITION BY host, t, coalesce(g[1], '')) AS sup FROM p0)),
-p2 AS (SELECT * REPLACE (CASE WHEN coalesce(g[2], '') = '' THEN t ELSE t || '/' || CASE WHEN sup < 3 AND NOT starts_with(g[2], '#') THEN '*' ELSE g[2] END END AS t)
-  FROM (SELECT * EXCLUDE (sup), sum(n) OVER (PARTITION BY host, t, coalesce(g[2], '')) AS sup FROM p1)),
-p3 AS (SELECT * REPLACE (CASE WHEN coalesce(g[3], '') = '' THEN t ELSE t || '/' || CASE WHEN sup < 3 AND NOT starts_with(g[3], '#') THEN '*' ELSE g[3] END END AS t)
-  FROM (SELECT * EXCLUDE (sup), sum(n) OVER (PARTITION BY host, t, coalesce(g[3], '')) AS sup FROM p2)),
-p AS (SELECT host, shape, t, array_to_string(string_split(t, '/')[1:2], '/') AS branch, lab, bad FROM p3),
-leaf AS (SELECT host, branch, t, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM p GROUP BY ALL),
-br AS (SELECT host, branch, sum(lab)::BIGINT AS lab_b, sum(bad)::BIGINT AS bad_b FROM leaf GROUP BY ALL),
-ho AS (SELECT host, sum(lab_b)::BIGINT AS lab_h, sum(bad_b)::BIGINT AS bad_h FROM br GROUP BY ALL),
+p AS (SELECT host, shape, s, count(*) AS n, count(said) AS lab, count(*) FILTER (said = 'block') AS bad FROM sh GROUP BY ALL),
+lv AS (SELECT host, shape, n, lab, bad, k, s[k] AS part, array_to_string(s[1:k - 1], '/') AS before, coalesce(starts_with(s[k + 1], '#'), false) AS number
+  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM p)),
+br AS (SELECT host, k, before, part, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad, coalesce(sum(n) FILTER (number), 0)::BIGINT AS m, 2 * coalesce(sum(n) FILTER (number), 0) >= sum(n) AS kind FROM lv GROUP BY ALL),
+sib AS (SELECT host, k, before, kind, count(*) AS k_all, sum(n)::DOUBLE AS n_all, sum(lab)::DOUBLE AS lab_all, sum(bad)::DOUBLE AS bad_all, sum(m)::DOUBLE AS m_all FROM br WHERE NOT starts_with(part, '#') GROUP BY ALL),
+ab AS (SELECT *, m::DOUBLE AS a, (n - m)::DOUBLE AS b, m_all - m AS c, n_all - n - m_all + m AS d,
+  bad::DOUBLE AS a2, (lab - bad)::DOUBLE AS b2, bad_all - bad AS c2, lab_all - lab - bad_all + bad AS d2 FROM br LEFT JOIN sib USING (host, k, before, kind)),
+nm AS (SELECT host, k, before, part, CASE WHEN starts_with(part, '#') THEN part WHEN n < 3 THEN '*'
+  WHEN k_all > 1 AND NOT coalesce((a + b + c + d) * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) > 6.63, false)
+    AND NOT coalesce((a2 + b2 + c2 + d2) * (a2 * d2 - b2 * c2) * (a2 * d2 - b2 * c2) / nullif((a2 + b2) * (c2 + d2) * (a2 + c2) * (b2 + d2), 0) > 6.63, false) THEN '*'
+  ELSE part END AS name FROM ab),
+tp AS (SELECT host, shape, '/' || string_agg(name, '/' ORDER BY k) AS template FROM lv JOIN nm USING (host, k, before, part) GROUP BY host, shape),
+pt AS (SELECT p.host, p.shape, n, lab, bad, coalesce(template, '') AS template FROM p LEFT JOIN tp USING (host, shape)),
+leaf AS (SELECT host, template, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM pt GROUP BY ALL),
+ho AS (SELECT host, sum(lab)::BIGINT AS lab_h, sum(bad)::BIGINT AS bad_h FROM leaf GROUP BY ALL),
 w AS (SELECT (coalesce(sum(bad_h), 0)::DOUBLE + 1) / (coalesce(sum(lab_h), 0)::DOUBLE + 2) AS p_all FROM ho),
-c AS (SELECT *, (bad_h + 4.0::DOUBLE * p_all) / (lab_h + 4.0::DOUBLE) AS p_host FROM leaf JOIN br USING (host, branch) JOIN ho USING (host), w),
-c2 AS (SELECT *, (bad_b + 4.0::DOUBLE * p_host) / (lab_b + 4.0::DOUBLE) AS p_branch FROM c),
-c3 AS (SELECT *, (bad + 4.0::DOUBLE * p_branch) / (lab + 4.0::DOUBLE) AS p_leaf,
-  bad::DOUBLE AS a, (lab - bad)::DOUBLE AS b, (bad_b - bad)::DOUBLE AS cc, (lab_b - lab - bad_b + bad)::DOUBLE AS d,
-  bad_b::DOUBLE AS a2, (lab_b - bad_b)::DOUBLE AS b2, (bad_h - bad_b)::DOUBLE AS cc2, (lab_h - lab_b - bad_h + bad_b)::DOUBLE AS d2 FROM c2),
-c4 AS (SELECT *, lab = 0 OR coalesce((a + b + cc + d) * (a * d - b * cc) * (a * d - b * cc) / nullif((a + b) * (cc + d) * (a + cc) * (b + d), 0) > 3.84, false) AS own,
-  lab_b = 0 OR coalesce((a2 + b2 + cc2 + d2) * (a2 * d2 - b2 * cc2) * (a2 * d2 - b2 * cc2) / nullif((a2 + b2) * (cc2 + d2) * (a2 + cc2) * (b2 + d2), 0) > 3.84, false) AS own_b FROM c3),
-v AS (SELECT host, t, CASE WHEN own THEN p_leaf WHEN own_b THEN p_branch ELSE p_host END >= 0.8::DOUBLE AND CASE WHEN own THEN lab WHEN own_b THEN lab_b ELSE lab_h END >= 5 AS rejected FROM c4)
-SELECT page_id, sh.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, p.t AS template
-FROM sh JOIN p USING (host, shape) JOIN v ON v.host = p.host AND v.t = p.t
+v AS (SELECT host, template, (bad + 4.0::DOUBLE * ((bad_h + 4.0::DOUBLE * p_all) / (lab_h + 4.0::DOUBLE))) / (lab + 4.0::DOUBLE) >= 0.8::DOUBLE AND lab >= 5 AND lab >= 0.5::DOUBLE * n AS rejected FROM leaf JOIN ho USING (host), w)
+SELECT page_id, sh.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, pt.template
+FROM sh JOIN pt ON pt.host = sh.host AND pt.shape = sh.shape JOIN v ON v.host = pt.host AND v.template = pt.template
 """

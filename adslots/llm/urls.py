@@ -1,14 +1,17 @@
 """URL filters: explicit rules, and templates learned from labelled URLs.
 
-Per host, paths form a tree of templates. Segments that vary (numbers, long hexadecimal strings, and names seen
-fewer than MIN_SUPPORT times at their place) become wildcards. A template whose share of bad labels doesn't
-differ from its siblings' (two-proportion test, CHI2) is merged with its parent, and a parent likewise with its
-host. The share is smoothed towards the level above, with a weight of SMOOTH labels; templates with at least
-MIN_LABELLED labels and a smoothed share of PURITY or more are rejected. A template without labels is never
-merged and never rejected: there is no evidence on it.
-
-DataFrame functions only. URLs are first aggregated to distinct (host, shape of path) pairs; the tree is built
-on that table and joined back.
+Per host, paths form a tree of segments, to each path's full depth. Segments that vary become wildcards: numbers and long
+hexadecimal strings at once, names seen fewer than MIN_SUPPORT times at their place, and names whose branch is
+statistically similar to its siblings of the same kind, which are merged into one. A branch is of one kind if half of its
+URLs or more go on with a number, of the other if not. Similar means that neither that share nor the share of bad
+labels differs from that of the siblings of the kind together (chi-square test of a 2x2 table, CHI2); a branch without
+labels gives no evidence of a difference, so it joins siblings that are built alike and shares their labels. A path's segments, so generalised, are its template. A template is rejected if its share of bad
+labels, smoothed towards its host's and that towards all hosts' with a weight of SMOOTH labels, is PURITY or more, on
+at least MIN_LABELLED labels that are at least COVERAGE of its URLs.
+
+DataFrame functions only. URLs are first aggregated to distinct (host, shape of path) pairs; the tree is built on
+that table, one row for each segment with hashes of what stands before it, and joined back. Sums over siblings are
+aggregated and joined, so a host or directory with very many entries is never in one task.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; an
 empty table gives an empty result; repeated rows are judged alike and counted each.
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii
@@ -31,8 +35,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-DEPTH, MIN_SUPPORT, MIN_LABELLED = 3, 3, 5
-CHI2, SMOOTH, PURITY = 3.84, 4.0, 0.8
+MIN_SUPPORT, MIN_LABELLED, COVERAGE = 3, 5, 0.5
+CHI2, SMOOTH, PURITY = 6.63, 4.0, 0.8
 
 
 def with_parts(urls: DataFrame) -> DataFrame:
@@ -62,55 +66,59 @@ def shape(segment: Column) -> Column:
 
 
 def shapes(path: Column) -> Column:
-    """The first DEPTH segments' shapes; what follows is one wildcard."""
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
+    """The shapes of the path's segments, joined again."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape), "/")
 
 
 def _share(bad: Column, labelled: Column, above: Column) -> Column:
     return (bad + F.lit(SMOOTH) * above) / (labelled + F.lit(SMOOTH))
 
 
-def _differs(bad: Column, lab: Column, bad_all: Column, lab_all: Column) -> Column:
-    """Whether a part's share of bad labels differs from its siblings', in the chi-square test of a 2x2 table."""
-    a, b = bad.cast("double"), (lab - bad).cast("double")
-    c, d = (bad_all - bad).cast("double"), (lab_all - lab - bad_all + bad).cast("double")
+def _differs(part: Column, whole: Column, all_parts: Column, all_wholes: Column) -> Column:
+    """Whether a branch's share differs from that of its siblings, in the chi-square test of a 2x2 table."""
+    a, b = part.cast("double"), (whole - part).cast("double")
+    c, d = (all_parts - part).cast("double"), (all_wholes - whole - all_parts + part).cast("double")
     stat = (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / F.nullif((a + b) * (c + d) * (a + c) * (b + d), F.lit(0.0))
-    return F.coalesce(stat > F.lit(CHI2), F.lit(False)) | (lab == 0)
+    return F.coalesce(stat > F.lit(CHI2), F.lit(False))
+
+
+def _generalised(paths: DataFrame) -> DataFrame:
+    """(id, template) of the paths(id, host, shape, n, lab, bad) that have segments."""
+    one = W.partitionBy("id").orderBy("k")  # the segments of one path
+    segments = paths.where("shape <> ''").select("id", "host", "n", "lab", "bad", F.posexplode(F.split("shape", "/")).alias("k", "part"))
+    levels = cut(
+        segments.withColumn("before", F.coalesce(F.bit_xor(F.xxhash64("k", "part")).over(one.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
+        .withColumn("number", F.coalesce(F.lead("part").over(one).startswith("#"), F.lit(False)))
+    )
+    place = ["host", "k", "before"]
+    branches = cut(levels.groupBy(*place, "part").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("m")).withColumn("kind", 2 * F.col("m") >= F.col("n")))
+    siblings = cut(branches.where(~F.col("part").startswith("#")).groupBy(*place, "kind").agg(F.count(F.lit(1)).alias("k_all"), *[F.sum(c).alias(f"{c}_all") for c in ("n", "lab", "bad", "m")]))
+    own = _differs(F.col("m"), F.col("n"), F.col("m_all"), F.col("n_all")) | _differs(F.col("bad"), F.col("lab"), F.col("bad_all"), F.col("lab_all"))
+    merged = (F.col("n") < MIN_SUPPORT) | ((F.col("k_all") > 1) & ~own)
+    named = cut(branches.join(siblings, [*place, "kind"], "left").select(*place, "part", F.when(F.col("part").startswith("#"), F.col("part")).when(merged, F.lit("*")).otherwise(F.col("part")).alias("name")))
+    # a path's own segments are collected, as many as it has
+    written = levels.select("id", *place, "part").join(named, [*place, "part"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("names"))
+    return written.select("id", F.concat(F.lit("/"), F.array_join(F.transform("names", lambda x: x["name"]), "/")).alias("template"))
 
 
 def templates(labelled: DataFrame) -> DataFrame:
     """(host, shape, template, purity, labelled, rejected) from labelled(host, path, bad), bad null if unlabelled."""
-    p = cut(
-        labelled.groupBy("host", F.array_join(shapes(F.col("path")), "/").alias("shape"))
+    paths = cut(
+        labelled.groupBy("host", shapes(F.col("path")).alias("shape"))
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
-        .withColumn("template", F.lit(""))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    for k in range(DEPTH):
-        part = F.coalesce(F.get(F.split("shape", "/"), F.lit(k)), F.lit(""))
-        here = p.withColumn("part", part)
-        support = here.groupBy("host", "template", "part").agg(F.sum("n").alias("support"))
-        rare = (F.col("support") < MIN_SUPPORT) & ~F.col("part").startswith("#")
-        p = here.join(support, ["host", "template", "part"]).withColumn(
-            "template", F.when(F.col("part") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(rare, F.lit("*")).otherwise(F.col("part"))))
-        ).drop("part", "support")
-    p = cut(p.withColumn("branch", F.substring_index("template", "/", 2)))
-    leaf = p.groupBy("host", "branch", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    branch = leaf.groupBy("host", "branch").agg(F.sum("lab").alias("lab_b"), F.sum("bad").alias("bad_b"))
-    host = branch.groupBy("host").agg(F.sum("lab_b").alias("lab_h"), F.sum("bad_b").alias("bad_h"))
-    world = host.agg(((F.coalesce(F.sum("bad_h"), F.lit(0)) + 1) / (F.coalesce(F.sum("lab_h"), F.lit(0)) + 2)).alias("p_all"))
+    p = cut(paths.join(_generalised(paths), "id", "left").withColumn("template", F.coalesce("template", F.lit(""))))
+    leaf = p.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
+    host = leaf.groupBy("host").agg(F.sum("lab").alias("lab_h"), F.sum("bad").alias("bad_h"))
+    lab, bad = host.agg(F.sum("lab_h"), F.sum("bad_h")).first()
+    world = ((bad or 0) + 1) / ((lab or 0) + 2)
     levels = (
-        leaf.join(branch, ["host", "branch"]).join(host.crossJoin(F.broadcast(world)), "host")  # world is one row
-        .withColumn("p_host", _share(F.col("bad_h"), F.col("lab_h"), F.col("p_all")))
-        .withColumn("p_branch", _share(F.col("bad_b"), F.col("lab_b"), F.col("p_host")))
-        .withColumn("p_leaf", _share(F.col("bad"), F.col("lab"), F.col("p_branch")))
-        .withColumn("own", _differs(F.col("bad"), F.col("lab"), F.col("bad_b"), F.col("lab_b")))
-        .withColumn("own_b", _differs(F.col("bad_b"), F.col("lab_b"), F.col("bad_h"), F.col("lab_h")))
-        .withColumn("purity", F.when(F.col("own"), F.col("p_leaf")).when(F.col("own_b"), F.col("p_branch")).otherwise(F.col("p_host")))
-        .withColumn("labelled", F.when(F.col("own"), F.col("lab")).when(F.col("own_b"), F.col("lab_b")).otherwise(F.col("lab_h")))
-        .withColumn("rejected", (F.col("purity") >= PURITY) & (F.col("labelled") >= MIN_LABELLED))
+        leaf.join(host, "host").withColumn("purity", _share(F.col("bad"), F.col("lab"), _share(F.col("bad_h"), F.col("lab_h"), F.lit(world))))
+        .withColumn("rejected", (F.col("purity") >= PURITY) & (F.col("lab") >= MIN_LABELLED) & (F.col("lab") >= F.lit(COVERAGE) * F.col("n")))
     )
-    return p.select("host", "shape", "template").join(levels.select("host", "template", "purity", "labelled", "rejected"), ["host", "template"])
+    judged = levels.select("host", "template", "purity", F.col("lab").alias("labelled"), "rejected")
+    return p.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -120,8 +128,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
     parts = with_parts(pages.select("page_id", "url"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
-    found = templates(rows.select("host", "path", (F.col("said") == "block").alias("bad")))
-    keyed = rows.withColumn("shape", F.array_join(shapes(F.col("path")), "/"))
+    found = cut(templates(rows.select("host", "path", (F.col("said") == "block").alias("bad"))))
+    keyed = rows.withColumn("shape", shapes(F.col("path")))
     return keyed.join(found, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("said", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

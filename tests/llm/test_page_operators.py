@@ -132,3 +132,26 @@ def test_templates_reject_by_purity(spark):
     got = {(r["host"], r["template"]): r["rejected"] for r in urls.templates(d).collect()}
     assert got == {("s.x", "/go/#"): True, ("s.x", "/about/#"): False, ("t.y", "/go/#"): False, ("u.z", "/go/#"): False, ("v.w", "/*/#"): False}
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_similar_branches_share_their_labels(spark):
+    """Languages of one host are built alike: those without labels take part in the one that is labelled, where its
+    labels cover half of the template; a branch that is built otherwise, or labelled otherwise, keeps its name."""
+    rows = [("a.com", f"/en/{i}", True) for i in range(30)] + [("a.com", f"/{lang}/{i}", None) for lang in ("de", "fr") for i in range(9)]
+    rows += [("a.com", f"/about/team/{'xyz'[i % 3]}", None) for i in range(12)]
+    rows += [("b.org", f"/es/{i}", True) for i in range(9)] + [("b.org", f"/en/{i}", None) for i in range(60)]
+    rows += [("c.net", f"/en/{i}", True) for i in range(30)] + [("c.net", f"/de/{i}", False) for i in range(30)]
+    rows += [("d.net", "/" + "/".join(f"s{k}" for k in range(400)) + f"/{i}", True) for i in range(20)] + [("d.net", "/" + "/".join(f"s{k}" for k in range(400)) + "/99", None)]
+    got = {(r["host"], r["shape"].split("/")[0]): (r["template"], r["rejected"]) for r in urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert got["a.com", "en"] == got["a.com", "de"] == got["a.com", "fr"] == ("/*/#", True)
+    assert got["a.com", "about"][0].startswith("/about/team") and not got["a.com", "about"][1]
+    assert got["b.org", "en"] == got["b.org", "es"] == ("/*/#", False)
+    assert got["c.net", "en"] == ("/en/#", True) and got["c.net", "de"] == ("/de/#", False)
+    assert got["d.net", "s0"][1] and got["d.net", "s0"][0].endswith("/s399/#")
+
+
+def test_a_verdict_is_learned_on_given_pages(spark):
+    out = QUERIES["op3_url_filter"](spark, "/root/testdata/sf0.1").collect()
+    learned = [r for r in out if r["rule"] is None]
+    assert {r["verdict"] for r in learned} == {"allow", "block"}
+    assert all(r["host"].endswith(".com") for r in learned if r["verdict"] == "block")
