@@ -37,14 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends there, on replicated
-    storage, so a lost executor costs no recomputation and reruns of what follows read the same rows."""
+    storage, so a lost executor costs no recomputation and reruns of what follows read the same rows. With `outer` it
+    outlives the innermost scope."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -826,6 +826,33 @@ def test_mixed_rows_keep_their_columns(spark, none):
     assert mixing.mixed(none).count() == 0
 
 
+# stored cuts -------------------------------------------------------------------------------------------------
+
+
+def test_scopes_remove_what_they_wrote(spark):
+    import os
+
+    there = lambda df: os.path.isdir(df._cut_path.removeprefix("file://").removeprefix("file:"))
+    with common.scratch(spark):
+        with common.scratch(spark):
+            inner, kept = common.cut(spark.range(5)), common.cut(spark.range(3), outer=True)
+            assert there(inner) and there(kept)
+        assert not there(inner) and kept.count() == 3
+    assert not there(kept)
+    alone = common.cut(spark.range(2))
+    common.drop_cut(alone)
+    assert not there(alone)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
 # queries -----------------------------------------------------------------------------------------------------
 
 
