@@ -27,26 +27,31 @@ f AS (
      CAST(least(100, ceil(CASE WHEN n_words = 0 THEN 0 ELSE word_chars / CAST(n_words AS DOUBLE) END / 0.25::DOUBLE)) AS INT),
      CAST(least(100, ceil(CASE WHEN word_chars = 0 THEN 0 ELSE n_words / CAST(word_chars AS DOUBLE) END / 0.01::DOUBLE)) AS INT)] AS above
   FROM s),
-l AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-tall AS (
-  SELECT stratum, good, r AS rule, above[r] AS a FROM f JOIN l USING (doc_id), range(1, 6) g(r) WHERE NOT base_failed),
+l AS (SELECT doc_id, min(quality) > 0 AS good, md5(doc_id::VARCHAR) < '8' AS chooses FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT row_number() OVER () AS rid, stratum, good, chooses, above FROM f JOIN l USING (doc_id) WHERE NOT base_failed),
+tall AS (SELECT stratum, good, r AS rule, above[r] AS a FROM lab, range(1, 6) g(r) WHERE chooses),
 n AS (SELECT stratum, rule, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM tall GROUP BY ALL),
 k AS (
   SELECT stratum, rule, step, count(*) FILTER (good AND a > step) AS k, count(*) FILTER (NOT good AND a > step) AS hit
   FROM tall, range(0, 100) g(step) GROUP BY ALL),
-p AS (
-  SELECT stratum, rule, step, n, n_bad, k, hit,
-    CASE WHEN k > n * 0.01::DOUBLE THEN false ELSE
-      (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01::DOUBLE) + (n - j) * ln(0.99::DOUBLE))) FROM range(0, k + 1) t(j))
-      <= 0.05::DOUBLE / (SELECT count(*) FROM n) END AS ok
-  FROM k JOIN n USING (stratum, rule)),
 q AS (
-  SELECT *, min(ok) OVER (PARTITION BY stratum, rule ORDER BY step DESC) AS passes,
-    hit / greatest(n_bad, 1)::DOUBLE - k / greatest(n, 1)::DOUBLE AS gain FROM p),
+  SELECT stratum, rule, step, hit / greatest(n_bad, 1)::DOUBLE - k / greatest(n, 1)::DOUBLE AS gain
+  FROM k JOIN n USING (stratum, rule) WHERE k <= n * 0.02::DOUBLE),
 best AS (
-  SELECT stratum, rule, step FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step DESC) AS r FROM q WHERE passes AND gain > 0) WHERE r = 1),
+  SELECT stratum, rule, step FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step DESC) AS r FROM q WHERE gain > 0) WHERE r = 1),
+c AS (SELECT rid, stratum, max(above[rule] - step) AS beyond FROM lab JOIN best USING (stratum) WHERE good AND NOT chooses GROUP BY rid, stratum),
+cn AS (SELECT stratum, count(*) AS n FROM c GROUP BY stratum),
+ct AS (SELECT stratum, t, count(*) FILTER (beyond > t) AS k FROM c, range(0, 101) g(t) GROUP BY ALL),
+cp AS (
+  SELECT stratum, t,
+    CASE WHEN k > n * 0.02::DOUBLE THEN false ELSE
+      (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02::DOUBLE) + (n - j) * ln(0.98::DOUBLE))) FROM range(0, k + 1) u(j))
+      <= 0.05::DOUBLE / (SELECT count(DISTINCT stratum) FROM best) END AS ok
+  FROM ct JOIN cn USING (stratum)),
+cm AS (SELECT stratum, t, min(ok) OVER (PARTITION BY stratum ORDER BY t DESC) AS passes FROM cp),
+slack AS (SELECT stratum, min(t) AS t FROM cm WHERE passes GROUP BY stratum),
 rejected AS (
-  SELECT DISTINCT doc_id FROM f JOIN best USING (stratum) WHERE above[rule] > step)
+  SELECT DISTINCT doc_id FROM f JOIN best USING (stratum) JOIN slack USING (stratum) WHERE above[rule] > step + t)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND rejected.doc_id IS NULL AS kept

@@ -1,17 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose statistic lies above a cutoff. The cutoff is chosen per stratum (language)
-from a grid fixed beforehand, so that in no stratum all rules together reject more than the share ALPHA of the good
-documents, with confidence 1 - DELTA over all strata:
-
-* ALPHA is split evenly over the rules; labelled good documents are the holdout; a cutoff that rejects k of n of them
-  passes if the exact binomial tail P(Bin(n, ALPHA / rules) <= k) is at most DELTA / (strata * rules) (Bonferroni
-  over strata and rules);
-* cutoffs are tested from the most lenient on and testing stops at the first that fails, so the grid itself
-  needs no correction (fixed-sequence testing);
-* of the cutoffs that pass, the one with the largest gain, the share of bad documents rejected less the share
-  of good ones, is taken; ties go to the more lenient. A rule without gain, or a stratum with too few labels,
-  rejects nothing.
+Each rule rejects a document whose statistic lies above a cutoff, a step of a grid. Cutoffs are chosen per stratum
+(language) so that in no stratum all rules together reject more than the share ALPHA of the good documents, with
+confidence 1 - DELTA over all strata:
+
+* the labelled documents are split in two by a hash of their id. On one half, each rule takes the cutoff with the largest
+  gain, the share of bad documents rejected less the share of good ones, among those that reject at most ALPHA of the
+  good ones; ties go to the more lenient. A rule without gain rejects nothing.
+* the other half certifies all rules of a stratum at once: they are loosened by t steps together, t from STEPS down,
+  and t passes if of the n good documents the rules reject k with an exact binomial tail P(Bin(n, ALPHA) <= k) of
+  at most DELTA / strata (Bonferroni over strata). Testing stops at the first t that fails, so neither the number of
+  steps nor that of rules needs a correction (fixed-sequence testing). The last t that passed is added to all cutoffs; a
+  stratum where none passed, such as one of few labels, rejects nothing but by the base rules.
 
 Everything is DataFrame functions: a text's statistics are computed inside its row, the labelled counts are
 aggregated to one row for each stratum, rule and grid step. Windows of words are compared by 64-bit hashes inside a
@@ -36,7 +36,7 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: At most this share of a stratum's good documents may be rejected by the rules together; confidence is 1 - DELTA.
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
 #: Grid steps of every rule.
 STEPS = 100
 
@@ -139,33 +139,46 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.exp(first + F.log(tail))
 
 
+def _in_first_half(doc_id: Column) -> Column:
+    return F.md5(doc_id.cast("string")) < F.lit("8")
+
+
 def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column of chosen grid steps for each rule) from labelled(stratum, good, s).
+    """(stratum, one column of grid steps for each rule) from labelled(doc_id, stratum, good, s).
 
-    The table holds one row for each stratum that has a cutoff for some rule; the others' rules reject nothing."""
-    used = labelled.where(~base_failed(F.col("s"))).select("stratum", "good", *[c.alias(name) for name, c in _steps_above(F.col("s")).items()])
+    The table holds one row for each stratum that has a certified cutoff for some rule; the others' rules reject
+    nothing. A null step rejects nothing."""
     names = list(_rules(F.col("s")))
-    alpha = alpha / len(names)
+    used = cut(labelled.where(~base_failed(F.col("s"))).select("stratum", "good", _in_first_half(F.col("doc_id")).alias("chooses"), *[c.alias(name) for name, c in _steps_above(F.col("s")).items()]))
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(name).alias("above")) for i, name in enumerate(names)])
     counts = (
-        used.select("stratum", "good", F.explode(rules).alias("r"))
+        used.where("chooses").select("stratum", "good", F.explode(rules).alias("r"))
         .groupBy("stratum", F.col("r.rule").alias("rule"), F.col("r.above").alias("above"))
         .agg(F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("bad"))
     )
-    one = W.partitionBy("stratum", "rule")
-    grid = counts.groupBy("stratum", "rule").agg(
-        F.sum("good").alias("n"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("above", "good", "bad")).alias("at")
-    ).withColumn("tests", F.count(F.lit(1)).over(W.partitionBy()))
+    # lists of at most one entry for each grid step
+    grid = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("above", "good", "bad")).alias("at"))
     over = lambda what: F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["above"] > F.col("step"), x[what]).otherwise(F.lit(0)))
     tried = (
         grid.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
-        .select("stratum", "rule", "step", "n", "n_bad", "tests", over("good").alias("k"), over("bad").alias("hit"))
-        .withColumn("passes", F.when(F.col("k") > F.col("n") * F.lit(alpha), False).otherwise(binomial_tail(F.col("n"), F.least(F.col("k"), F.col("n")), alpha) <= F.lit(delta) / F.col("tests")))
-        .withColumn("passes", F.min("passes").over(one.orderBy(F.desc("step"))))
+        .select("stratum", "rule", "step", "n", "n_bad", over("good").alias("k"), over("bad").alias("hit"))
         .withColumn("gain", F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.greatest(F.col("n"), F.lit(1)))
+        .where((F.col("gain") > 0) & (F.col("k") <= F.col("n") * F.lit(alpha)))
+    )
+    best = tried.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step"))["step"].alias("step"))
+    chosen = cut(best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("step"))).alias(f"cut_{name}") for i, name in enumerate(names)]))
+    strata = chosen.count()
+    beyond = F.greatest(*[F.col(name) - F.col(f"cut_{name}") for name in names])
+    held = used.where("good AND NOT chooses").join(F.broadcast(chosen) if strata <= 10_000 else chosen, "stratum").groupBy("stratum", beyond.alias("beyond")).agg(F.count(F.lit(1)).alias("good"))
+    rejected = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["beyond"] > F.col("t"), x["good"]).otherwise(F.lit(0)))
+    loosened = (
+        held.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("beyond", "good")).alias("at"))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS)))).select("stratum", "t", "n", rejected.alias("k"))
+        .withColumn("passes", F.when(F.col("k") > F.col("n") * F.lit(alpha), False).otherwise(binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta / max(strata, 1))))
+        .withColumn("passes", F.min("passes").over(W.partitionBy("stratum").orderBy(F.desc("t"))))
     )
-    best = tried.where(F.col("passes") & (F.col("gain") > 0)).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step"))["step"].alias("step"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("step"))).alias(name) for i, name in enumerate(names)])
+    slack = loosened.where("passes").groupBy("stratum").agg(F.min("t").alias("t"))
+    return chosen.join(slack, "stratum").select("stratum", *[(F.col(f"cut_{name}") + F.col("t")).alias(name) for name in names])
 
 
 def judge(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -189,7 +202,7 @@ def _labels(labels: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs(doc_id, text, lang). Texts are read once."""
     rows = cut(with_statistics(docs, "doc_id", _stratum(F.col("lang")).alias("stratum")))
-    labelled = rows.join(_labels(labels), "doc_id").select("stratum", "good", "s")
+    labelled = rows.join(_labels(labels), "doc_id").select("doc_id", "stratum", "good", "s")
     return judge(rows, certified_cutoffs(labelled, alpha, delta)).select("doc_id", "s.*", "base_failed", "kept")
 
 
@@ -197,5 +210,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """The rows of `docs` that are kept, with their columns. Rows are stored with their statistics, which are computed
     once; texts are neither shuffled nor joined."""
     rows = cut(with_statistics(docs, F.struct(*docs.columns).alias("row"), _stratum(F.col("lang")).alias("stratum")))
-    labelled = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "s").join(_labels(labels), "doc_id").select("stratum", "good", "s")
+    labelled = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "s").join(_labels(labels), "doc_id").select("doc_id", "stratum", "good", "s")
     return judge(rows, certified_cutoffs(labelled, alpha, delta)).where("kept").select("row.*")
