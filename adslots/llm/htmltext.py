@@ -5,13 +5,15 @@ scripts and styles gone. Every block becomes a vector: hashed tag names, classes
 words, and a few shape numbers (length, share of link text, place). A bidirectional LSTM in numpy reads the whole
 sequence in both directions and labels each block as article text or not; article blocks are joined.
 
-The labeller is trained on the driver, from a bounded sample of pages (SAMPLE_PAGES, by hash of page_id): their
-block texts are laid out in pages of random structure whose block labels are known, with containers named by the
-word lists below. Training has a fixed size and seed; labelling runs in tasks and needs no shuffle.
-
-Defined cases: a null or empty page has empty text; unclosed tags, truncated pages and pages of any length are
-read to their end; an unclosed comment, script or style runs to the end; repeated rows are labelled each; an
-empty table gives an empty result.
+The labeller is trained on the driver, from a bounded sample: of SAMPLE_PAGES pages (by hash of page_id and page), at
+most SAMPLE_BLOCKS block texts each, cut at SAMPLE_CHARS characters, come there. They are laid out in pages of random
+structure whose block labels are known, with containers named by the word lists below. Training has a fixed size and
+seed; labelling reads whole pages, runs in tasks and needs no shuffle.
+
+Defined cases: a null or empty page has empty text; unclosed and omitted tags, truncated pages and pages of any length
+are read to their end; an unclosed comment, script or style runs to the end; other elements whose content isn't text
+end with their parent or where a block begins, if their end tag is missing; repeated rows are labelled each; extra
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES, TRAIN_PAGES, EPOCHS, HIDDEN = 200, 1600, 10, 24
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_CHARS = 200, 64, 2000
+TRAIN_PAGES, EPOCHS, HIDDEN = 1600, 10, 24
 TAG_DIM, WORD_DIM, SHAPE_DIM = 128, 32, 8
 DIM = TAG_DIM + WORD_DIM + SHAPE_DIM
 
-#: Fixed values of HTML: elements without content, elements whose content isn't text, inline elements.
+#: Fixed values of HTML: elements without content; whose content is no markup; whose content isn't shown as text, and of
+#: these the ones that can't hold blocks, so that a block's start ends them if their end tag is missing; inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas head select option textarea button".split())
+RAW = frozenset("script style".split())
+HIDDEN_IN = frozenset("noscript template svg math iframe object canvas select option textarea button".split())
+BREAKS = frozenset("svg math iframe select option textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
@@ -42,6 +48,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 _RAW_END = {t: re.compile(f"</{t}\\b[^>]*(?:>|\\Z)", re.I) for t in RAW}
+_NEXT = {t: re.compile(f"<(/?){t}\\b", re.I) for t in HIDDEN_IN}
 
 
 class Block:
@@ -55,28 +62,37 @@ def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order; a path holds, outermost first, a string of names for each element."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, bool]] = []  # tag, names, and whether an element that isn't shown has its own end tag
     pieces: list[str] = []
-    linked = links = 0
+    linked = links = hidden = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(tuple(n for t, n in stack if t not in INLINE), text, linked))
+            out.append(Block(tuple(n for t, n, _ in stack if t not in INLINE), text, linked))
         pieces.clear()
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[at:])
+        nonlocal links, hidden
+        links -= sum(x[0] == "a" for x in stack[at:])
+        hidden -= sum(x[0] in HIDDEN_IN for x in stack[at:])
         del stack[at:]
 
+    def break_out() -> None:
+        """A block begins: elements that can't hold it and have no end tag of their own are over."""
+        while hidden:
+            k = max(k for k, x in enumerate(stack) if x[0] in HIDDEN_IN)
+            if stack[k][0] not in BREAKS or stack[k][2]:
+                break
+            close(k)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         data = page[at : m.start() if m else n]
-        if data:
+        if data and not hidden:
             data = html.unescape(data) if "&" in data else data
             pieces.append(data)
             if links:
@@ -85,28 +101,31 @@ def blocks(page: str | None) -> list[Block]:
             break
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or tag == "head":  # what a head holds is no text, or already the body's
             continue
         if m[1]:
             if tag not in INLINE:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag in INLINE or not any(t in ("article", "body") for t, _ in stack[k + 1 :]):
+                    if tag in INLINE or not any(x[0] in ("article", "body") for x in stack[k + 1 :]):
                         close(k)
                     break
             continue
         if tag in RAW:
-            if tag not in INLINE:
-                flush()
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else n
+            flush()
+            end = None if m[3].endswith("/") else _RAW_END[tag].search(page, at)
+            at = end.end() if end else at if m[3].endswith("/") else n
             continue
         if tag == "br":
-            pieces.append(" ")
+            pieces.append(" " * (not hidden))
             continue
         if tag not in INLINE:
             flush()
+            if hidden and (tag in CLOSES_P or tag in SAME):
+                break_out()
+            if hidden and tag in ("option", "optgroup") and stack[-1][0] == "option":
+                close(len(stack) - 1)
             if tag in CLOSES_P or tag in SAME:
                 shut = SAME.get(tag, ("p",))
                 for k in range(len(stack) - 1, -1, -1):
@@ -118,12 +137,19 @@ def blocks(page: str | None) -> list[Block]:
                         break
         if tag in VOID or m[3].endswith("/"):
             continue
+        if tag in HIDDEN_IN:
+            same = None if tag in ("svg", "math", "option") else _NEXT[tag].search(page, at)
+            if same is None and tag not in BREAKS:
+                continue  # never ended: as if it weren't there
+            stack.append((tag, tag, same is not None and same[1] == "/"))
+            hidden += 1
+            continue
         names = " ".join([tag, *(" ".join(f"{k[0].lower()}_{p.lower()}" for p in _PART.findall(a or b or c)) for k, a, b, c in _NAMES.findall(m[3]))]) if m[3] else tag
         if tag == "title":
             end = page.find("<", at)
             at = n if end < 0 else end
             continue
-        stack.append((tag, names))
+        stack.append((tag, names, False))
         links += tag == "a"
     flush()
     return out
@@ -442,10 +468,22 @@ def without_words(pages: list[tuple[np.ndarray, np.ndarray]], share: float = 0.7
     return pages
 
 
+def sample_texts(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[str]:
+    """The block texts of a sample of pages; keys come to the driver first, then the texts, both bounded."""
+    keyed = pages.where("html IS NOT NULL").select(F.xxhash64(F.col("page_id"), F.md5("html")).alias("key"), F.col("html").cast("string").alias("html"))
+    keys = [r[0] for r in keyed.select("key").distinct().orderBy("key").limit(sample_pages).collect()]
+
+    def read(batches):
+        for b in batches:
+            found = [(k, x.text[:SAMPLE_CHARS]) for k, h in zip(b.column("key").to_pylist(), b.column("html").to_pylist(), strict=True) for x in blocks(h)[:SAMPLE_BLOCKS]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["key", "text"])
+
+    texts = keyed.where(F.col("key").isin(keys)).mapInArrow(read, "key bigint, text string").select("text").distinct()
+    return sorted(r[0] for r in texts.toLocalIterator())
+
+
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, train_pages: int = TRAIN_PAGES) -> Labeller:
-    sample = pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64("page_id"), F.md5("html")).limit(sample_pages)
-    texts = sorted({b.text[:2000] for r in sample.toLocalIterator() for b in blocks(r[0])} or {"a few words to lay out"})
-    return fit(without_words(labelled(texts, train_pages)))
+    return fit(without_words(labelled(sample_texts(pages, sample_pages) or ["a few words to lay out"], train_pages)))
 
 
 def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
