@@ -1,40 +1,46 @@
 """Removal of byte strings that occur more than once, by distributed prefix doubling.
 
-As in prefix doubling, positions get ranks (here names: fingerprints) of the bytes that follow, for lengths that
-grow from round to round; Spark groups the (rank, rank of the longer string) pairs, positions whose pair is
-unique leave, and the rest go on until the length reaches the threshold of 400 bytes. What differs from the
-textbook is which positions take part, as sorting all of them at every length can't be afforded:
-
-* Start: names of 8 bytes are doubled to 16, 32 and 64 in place. Each 400-byte string is represented by the least
-  64-byte name in it. Equal strings have the same representative at the same distance, so positions between
-  two representatives travel together, as a range of distances; about one row for 169 bytes.
-* Round 1 (64 bytes, then the whole range): ranges whose 64-byte name is unique leave. Ranges equal as a whole to
-  another are repeated, all of them; of each such class one member goes on as a partner for the others.
-* Round 2 (369, then 431 bytes): ranges are cut into 32 distances; a cut whose common 369 bytes are unique
-  leaves, one whose 431 bytes occur again is repeated.
-* Round 3 (400 bytes): single positions, compared by rank pairs of the name and their 400 bytes.
+A position's rank at a length is the name (64 bits) of the bytes that follow it. In each round Spark joins the rank at
+one length with the rank of the bytes that come next, groups the pairs, drops positions whose pair is unique and gives
+the others the pair's rank, until the length has grown from 64 over 128 and 256 to the threshold of 400 bytes. Sorting
+every position at every length can't be afforded, so what differs from the textbook is how positions are held:
+
+* Equal texts are one text, whose number says that all of it is repeated. A task names each of its texts once.
+* Start (64 bytes): names of 8 bytes are doubled to 16, 32 and 64 in place. Each 400-byte string is represented by the
+  least 64-byte name in it. Equal strings have the same representative at the same distance, so positions between
+  two representatives travel together, as a range of distances; about one row for 169 bytes. Ranges whose rank is
+  unique leave. Ranges equal as a whole to another are repeated, all of them; of each such class one member goes on as a
+  partner for the others.
+* Rounds of 128, 256 and 369 bytes: ranges are cut into 32 distances, whose strings share 369 bytes. They are ranked by
+  the pairs (rank at 64, name of the first 128 shared bytes), (rank at 128, name of the next 128), (rank at 256, name of
+  the rest); unique pairs leave in each round. A cut whose 431 bytes occur again is repeated as a whole.
+* Round of 400 bytes: single positions, by the pair (rank at 369, name of the bytes around).
 
 All rounds need the representative and its distance to agree as well, so two different strings would have to
-share a 64-bit fingerprint of each of two lengths to be confused.
+share a 64-bit fingerprint of each of several lengths to be confused.
 
 Defined cases: a null text is empty; texts under 400 bytes lose nothing; a repeated row is another place where
 its text occurs; overlapping occurrences count; rows with a null doc_id are treated like any; an empty table
-gives an empty result.
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 LENGTH, SEED, CUT = 400, 64, 32
-#: Bytes named at a time; a longer text is named in overlapping pieces.
-PIECE = 1 << 20
+#: Bytes named at a time; a longer text is named in overlapping pieces. Rows in one Arrow batch of a result.
+PIECE, BATCH = 1 << 20, 50_000
+#: A text's key: two 64-bit fingerprints.
+KEY = ["h1", "h2"]
 
 _INDEX_BITS = np.uint64(24)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,21 +98,37 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(*columns, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+
+
+def _schema(*longs: str, flags: tuple[str, ...] = ()) -> tuple[pa.Schema, str]:
+    kinds = [(c, "long") for c in longs] + [(c, "boolean") for c in flags]
+    return pa.schema([(c, pa.int64() if k == "long" else pa.bool_()) for c, k in kinds]), ", ".join(f"{c} {k}" for c, k in kinds)
+
+
+def _batches(rows, schema: pa.Schema):
+    """Arrow batches of bounded size from an iterator of tuples."""
+    while held := list(itertools.islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def _start(docs: DataFrame, length: int) -> DataFrame:
-    """Round 0: (doc_id, h, seed, whole, a, lo, hi) of every range."""
+    """Round 0: (h1, h2, seed, whole, a, lo, hi) of every range of every text; a task names equal texts once."""
 
     def run(batches):
         def pieces():
-            """(doc_id, h, offset, bytes) so that every start of a string is in one piece with its whole string."""
+            """(h1, h2, offset, bytes) so that every start of a string is in one piece with its whole string."""
+            seen = set()
             for b in batches:
-                for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for h1, h2, t in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    if (h1, h2) in seen:
+                        continue
+                    seen.add((h1, h2))
                     data = t.encode()
                     for at in range(0, max(len(data) - length + 1, 0), 8 * PIECE):
-                        yield i, h, at, data[at : at + 8 * PIECE + length - 1]
+                        yield h1, h2, at, data[at : at + 8 * PIECE + length - 1]
 
         def named(held):
             data = b"".join(x[3] for x in held)
@@ -114,8 +136,8 @@ def _start(docs: DataFrame, length: int) -> DataFrame:
             begin = np.cumsum([0] + [len(x[3]) for x in held])[doc] - np.array([x[2] for x in held], np.int64)[doc]
             whole = [_name(data[p : q + length]) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[d][0] for d in doc], pa.int64()), pa.array([held[d][1] for d in doc], pa.int64()), pa.array(_signed(seed)), pa.array(whole, pa.int64()), pa.array(a - begin), pa.array(lo - begin), pa.array(hi - begin)],
-                names=["doc_id", "h", "seed", "whole", "a", "lo", "hi"],
+                [*(pa.array(np.array([x[k] for x in held], np.int64)[doc]) for k in (0, 1)), pa.array(_signed(seed)), pa.array(whole, pa.int64()), pa.array(a - begin), pa.array(lo - begin), pa.array(hi - begin)],
+                names=["h1", "h2", "seed", "whole", "a", "lo", "hi"],
             )
 
         held, size = [], 0
@@ -128,38 +150,58 @@ def _start(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield named(held)
 
-    return cut(_keyed(docs).where(F.octet_length("text") >= length).mapInArrow(run, "doc_id bigint, h bigint, seed bigint, whole bigint, a bigint, lo bigint, hi bigint"))
-
-
-def _rerank(rows: DataFrame, rank: list[str], name: str, at: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One round: (repeated, open) of rows whose `rank` occurs at least twice. Repeated: the longer string `name`
-    occurs again under the same rank. Open: the others, and one partner (`settled`) of each repeated string,
-    where the rank holds more than one name."""
-    # the counts are stored, so that both sides of the joins are plain shuffles, whose hot ranks Spark can split
-    ranked = cut(rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_least"), F.max(name).alias("_most")).where("_n > 1"))
-    alive = cut(rows.join(ranked, rank).withColumn("_mixed", F.col("_least") != F.col("_most")).drop("_n", "_least", "_most"))
-    named = cut(alive.groupBy(*rank, name).agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct(*at)).alias("_first")))
-    judged = cut(alive.join(named, [*rank, name]))
-    repeated = judged.where("_times > 1").drop("_times", "_first", "_mixed")
-    is_first = F.struct(*at).eqNullSafe(F.col("_first"))
-    going = judged.where(F.col("_mixed") & ((F.col("_times") == 1) | is_first)).withColumn("settled", F.col("_times") > 1).drop("_times", "_first", "_mixed")
+    return cut(_keyed(docs).where(F.octet_length("text") >= length).mapInArrow(run, _schema("h1", "h2", "seed", "whole", "a", "lo", "hi")[1]))
+
+
+def _several(place: tuple[str, ...]) -> tuple:
+    """Aggregates by which a group has more than one place; a place may come more than once."""
+    mark = F.xxhash64(*place)
+    return F.min(mark).alias("_low"), F.max(mark).alias("_high")
+
+
+def _survivors(rows: DataFrame, pair: list[str], place: tuple[str, ...], rank: Column | None = None) -> DataFrame:
+    """The rows whose pair of ranks occurs at two places or more, with their next rank; stored. `rows`, a cut, is
+    removed."""
+    # what joins read is stored, so that both sides are plain shuffles, whose hot ranks Spark can split
+    ranked = cut(rows.groupBy(*pair).agg(*_several(place)).where("_low <> _high").select(*pair))
+    alive = rows.join(ranked, pair)
+    alive = cut(alive if rank is None else alive.withColumn("rank", rank).drop(pair[-1]))
+    for stored in (rows, ranked):
+        drop_cut(stored)
+    return alive
+
+
+def _rerank(rows: DataFrame, rank: list[str], name: str, place: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """One round: (repeated, open) of rows whose `rank` occurs at two places or more. Repeated, as (h1, h2, lo, hi): the
+    longer string `name` occurs again under the same rank. Open: the others, and one partner (`settled`) of each
+    repeated string, where the rank holds more than one name."""
+    ranked = cut(rows.groupBy(*rank).agg(*_several(place), F.min(name).alias("_least"), F.max(name).alias("_most")).where("_low <> _high").select(*rank, (F.col("_least") != F.col("_most")).alias("_mixed")))
+    alive = cut(rows.join(ranked, rank))
+    first = F.struct(*place, "lo")
+    named = cut(alive.groupBy(*rank, name).agg(*_several(place), F.min(first).alias("_first")).select(*rank, name, (F.col("_low") != F.col("_high")).alias("_again"), "_first"))
+    judged = alive.join(named, [*rank, name])
+    settled = F.col("settled") if "settled" in rows.columns else F.lit(False)
+    repeated = cut(judged.where(F.col("_again") & ~settled).select(*KEY, "lo", "hi"))
+    going = judged.where(F.col("_mixed") & (~F.col("_again") | (first == F.col("_first")))).withColumn("settled", F.col("_again")).drop("_again", "_first", "_mixed", name)
+    going = cut(going.distinct())
+    for stored in (rows, ranked, alive, named):
+        drop_cut(stored)
     return repeated, going
 
 
 def _with_text(rows: DataFrame, texts: DataFrame, *fields: str) -> DataFrame:
-    """(doc_id, h, text, parts): each text once, with its rows. A document's rows are bounded by its length."""
-    parts = rows.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*fields)).alias("parts"))
-    left, right = texts.alias("t"), parts.alias("p")
-    return left.join(right, (F.col("t.h") == F.col("p.h")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id"))).select("t.doc_id", "t.h", "t.text", "p.parts")
+    """(h1, h2, text, parts): each text once, with its rows, as many as its length allows."""
+    return texts.join(rows.groupBy(*KEY).agg(F.collect_set(F.struct(*fields)).alias("parts")), KEY)
 
 
 def _cuts(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
-    """Round 2's rows: the common bytes and all bytes of each cut of 32 distances."""
+    """The cuts of 32 distances, with the names of their shared bytes' parts and of all their bytes."""
+    schema, ddl = _schema(*KEY, "seed", "j", "n128", "n256", "n369", "hull", "a", "lo", "hi", flags=("settled",))
+    parts = [(x * (length - CUT + 1) // 369, y * (length - CUT + 1) // 369) for x, y in ((0, 128), (128, 256), (256, 369))]
 
     def run(batches):
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "h", "seed", "j", "core", "hull", "a", "lo", "hi", "settled")}
-            for r in batch.to_pylist():
+        def rows():
+            for r in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 data = r["text"].encode()
                 # a range that two pieces of a text share is one place, not two
                 found: dict[tuple[int, int, int], tuple[int, int, bool]] = {}
@@ -172,63 +214,65 @@ def _cuts(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
                 for (seed, a, j), (lo, hi, settled) in found.items():
                     low, high = a - CUT * j - CUT + 1, a - CUT * j  # all starts in this cut
                     whole = low >= 0 and high + length <= len(data)
-                    for k, v in zip(out, (r["doc_id"], r["h"], seed, j, _name(data[high : low + length]), _name(data[low : high + length]) if whole else _name(b"%d %d" % (r["h"], a)), a, lo, hi, settled), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.bool_() if k == "settled" else pa.int64()) for k in out]))
+                    hull = _name(data[low : high + length]) if whole else _name(b"%d %d %d" % (r["h1"], r["h2"], a))
+                    yield r["h1"], r["h2"], seed, j, *(_name(data[high + x : high + y]) for x, y in parts), hull, a, lo, hi, settled
+
+        return _batches(rows(), schema)
 
-    return _with_text(going, texts, "seed", "a", "lo", "hi", "settled").mapInArrow(run, "doc_id bigint, h bigint, seed bigint, j bigint, core bigint, hull bigint, a bigint, lo bigint, hi bigint, settled boolean")
+    return _with_text(going, texts, "seed", "a", "lo", "hi", "settled").mapInArrow(run, ddl)
 
 
 def _singles(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
-    """Round 3's rows: single starts with their 400 bytes' name."""
+    """Single starts: their cut's rank, and the name of the bytes that their string has beside the shared ones."""
+    schema, ddl = _schema(*KEY, "rank", "d", "rest", "p", flags=("settled",))
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, max(batch.num_rows, 1), 64):
-                out = {k: [] for k in ("doc_id", "h", "seed", "d", "name", "p", "settled")}
-                for r in batch.slice(a, 64).to_pylist():
-                    data = r["text"].encode()
-                    for x in r["parts"]:
-                        for p in range(x["lo"], x["hi"] + 1):
-                            for k, v in zip(out, (r["doc_id"], r["h"], x["seed"], x["a"] - p, _name(data[p : p + length]), p, x["settled"]), strict=True):
-                                out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.bool_() if k == "settled" else pa.int64()) for k in out]))
+        def rows():
+            for r in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                data = r["text"].encode()
+                for x in r["parts"]:
+                    high = x["a"] - CUT * x["j"]
+                    for p in range(x["lo"], x["hi"] + 1):
+                        rest = _name(data[p:high] + data[high + length - CUT + 1 : p + length])
+                        yield r["h1"], r["h2"], x["rank"], x["a"] - p, rest, p, x["settled"]
+
+        return _batches(rows(), schema)
 
-    return _with_text(going, texts, "seed", "a", "lo", "hi", "settled").mapInArrow(run, "doc_id bigint, h bigint, seed bigint, d bigint, name bigint, p bigint, settled boolean")
+    return _with_text(going, texts, "rank", "j", "a", "lo", "hi", "settled").mapInArrow(run, ddl)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, h, lo, hi), texts): every start lo..hi of a string of `length` bytes that starts anywhere else
-    too, and (doc_id, h, text) of the documents that may hold one."""
-    rows = _start(docs, length)
-    whole, going = _rerank(rows, ["seed"], "whole", ["doc_id", "h", "a", "lo"])
-    going = cut(going)
-    keys = whole.select("doc_id", "h").union(going.select("doc_id", "h")).distinct()
-    left, right = _keyed(docs).alias("t"), keys.alias("k")
-    texts = cut(left.join(right, (F.col("t.h") == F.col("k.h")) & F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").dropDuplicates(["doc_id", "h"]))
-    cuts = _cuts(texts, going, length)
-    some, going2 = _rerank(cuts, ["seed", "j", "core"], "hull", ["doc_id", "h", "a", "lo"])
-    some, going2 = some.where("NOT settled"), cut(going2)
+    """((h1, h2, lo, hi), texts): every start lo..hi of a string of `length` bytes that starts anywhere else, but for
+    equal texts, and (h1, h2, text) of the texts that may hold one."""
+    whole, going = _rerank(_start(docs, length), ["seed"], "whole", (*KEY, "a"))
+    keys = whole.select(*KEY).union(going.select(*KEY)).distinct()
+    texts = cut(_keyed(docs).join(keys, KEY, "left_semi").dropDuplicates(KEY))
+    place = (*KEY, "a", "j")
+    cuts = cut(_cuts(texts, going, length).withColumn("rank", F.xxhash64("seed", "j")).drop("seed"))
+    for name in ("n128", "n256"):
+        cuts = _survivors(cuts, ["rank", name], place, F.xxhash64("rank", name))
+    some, going2 = _rerank(cuts, ["rank", "n369"], "hull", place)
+    going2 = going2.withColumn("rank", F.xxhash64("rank", "n369"))
     singles = cut(_singles(texts, going2, length))
-    twice = cut(singles.groupBy("seed", "d", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "d", "name"))
-    one = singles.where("NOT settled").join(twice, ["seed", "d", "name"])
-    starts = whole.select("doc_id", "h", "lo", "hi").union(some.select("doc_id", "h", "lo", "hi")).union(one.select("doc_id", "h", F.col("p").alias("lo"), F.col("p").alias("hi")))
-    return starts, texts
+    one = _survivors(singles, ["rank", "d", "rest"], (*KEY, "p")).where("NOT settled")
+    return whole.union(some).union(one.select(*KEY, F.col("p").alias("lo"), F.col("p").alias("hi"))), texts
 
 
-RESULT = "doc_id bigint, h bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
+RESULT = "h1 bigint, h2 bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, n_removed, spans, kept) of the documents that lose bytes; spans are maximal byte ranges and
-    kept is what is left, joined."""
+    """(h1, h2, n_removed, spans, kept) of the texts that lose bytes to other texts or within; spans are maximal byte
+    ranges and kept is what is left, joined."""
     starts, texts = repeated_starts(docs, length)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                out = {k: [] for k in ("doc_id", "h", "n_removed", "spans", "kept")}
-                for r in batch.slice(at, 256).to_pylist():
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
                     data, spans = r["text"].encode(), []
                     for lo, hi in sorted((x["lo"], x["hi"] + length) for x in r["parts"]):
                         if spans and lo <= spans[-1][1]:
@@ -236,19 +280,23 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         else:
                             spans.append([lo, hi])
                     edges = [0, *(x for s in spans for x in s), len(data)]
-                    values = r["doc_id"], r["h"], sum(b - a for a, b in spans), [{"start": a, "stop": b} for a, b in spans], b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    for k, v in zip(out, values, strict=True):
-                        out[k].append(v)
-                span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]))
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    rows.append((r["h1"], r["h2"], sum(b - a for a, b in spans), [{"start": a, "stop": b} for a, b in spans], kept))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return _with_text(starts, texts, "lo", "hi").mapInArrow(run, RESULT)
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text)."""
-    every = _keyed(docs).select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")).alias("e")
-    less = removed(docs, length).select("doc_id", "h", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).alias("r")
-    return every.join(less, (F.col("e.h") == F.col("r.h")) & F.col("e.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select(
-        "e.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+    every = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", *KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    copies = every.where(F.col("n_bytes") >= length).groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    less = removed(docs, length).select(*KEY, "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    facts = cut(less.join(copies, KEY, "full"))
+    all_of_it = F.col("rows").isNotNull()
+    zero = F.lit(0).cast("long")
+    return every.join(facts, KEY, "left").select(
+        "doc_id", "n_bytes", F.when(all_of_it, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(all_of_it, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(all_of_it, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )

@@ -407,6 +407,24 @@ def test_repeats_with_odd_edges(spark, none):
     assert suffix.dedup_documents(none).count() == 0
 
 
+def test_repeated_rows_are_one_text(spark, monkeypatch):
+    """3,000 equal rows: no group holds more parts than one text has, and all of it goes."""
+    rng = random.Random(15)
+    text, passage = prose(rng, 300), prose(rng, 150)
+    rows = [(None, text, "en", "s")] * 3000 + [(k, prose(rng, 40) + passage + prose(rng, 40), "en", "s") for k in range(6)] + [(9, text[:900] + " end", "en", "s"), (10, "short", "en", "s"), (10, "short", "en", "s")]
+    held = []
+    plain = suffix._with_text
+    monkeypatch.setattr(suffix, "_with_text", lambda *a: held.append(common.cut(plain(*a))) or held[-1])
+    d = documents(spark, rows).selectExpr("*", "1 AS h1", "2 AS h2", "3 AS seed", "4 AS rows")
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_documents(d).collect())
+    texts = [t for _, t, *_ in rows[2990:]]  # ten of the equal rows tell as much as all
+    want = collections.Counter((i, *w) for (i, *_), w in zip(rows[2990:], _repeats(texts, 400), strict=True))
+    first = next(k for k in want if k[0] is None)
+    want[first] = 3000
+    assert got == want and first[2] == first[1] == len(text)
+    assert max(h.select(F.size("parts").alias("k")).agg(F.max("k")).first()[0] or 0 for h in held) < 300
+
+
 # 8 -----------------------------------------------------------------------------------------------------------
 
 
