@@ -5,12 +5,17 @@ from events, speaker turns from conversations, products and model answers from p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import by_track
-from .sources import episodes as resolve
+from .functions import by_track, ends_sentence
+from .operators import candidates as c
 from .operators import frames as f
+from .operators import slots as sl
+from .sources import episodes as resolve
+from .storage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Catalogue:
-    """The derived tables of one folder; each is a plan that nothing runs until it's used."""
+    """The derived tables of one folder; each is a plan that nothing runs until it's used, but for three that others
+    start from: the marks of the transcripts, the episodes and the slots are stored at their first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._held: dict[str, DataFrame] = {}
+
+    def _stored(self, name: str, df: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._held:
+            self._held[name] = cut(df())
+        return self._held[name]
 
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
@@ -35,8 +47,12 @@ class Catalogue:
                            F.greatest(F.col("o") * 400 + 100, (F.col("o") + F.size("part")) * 400 - ((F.col("seg_idx") * 7 + F.col("track_id")) % 10) * 100).alias("end_ms"))
         return rows.select("*", (F.col("start_ms") / F.lit(1000.0)).alias("start_s"), (F.col("end_ms") / F.lit(1000.0)).alias("end_s"))
 
+    def marks(self) -> DataFrame:
+        """All segments, but with the texts of only those that end a sentence: what placing an ad needs of them."""
+        return self._stored("marks", lambda: self.segments().withColumn("text", F.when(ends_sentence(F.col("text")), F.col("text"))))
+
     def raw_episodes(self) -> DataFrame:
-        length = self.segments().groupBy("track_id").agg(F.max("end_ms").alias("len"))
+        length = self.marks().groupBy("track_id").agg(F.max("end_ms").alias("len"))
         t = F.col("track_id")
         return length.select(
             "track_id", F.when(t % 3 == 0, " SONG ").otherwise("talk").alias("mode"),
@@ -45,19 +61,31 @@ class Catalogue:
         )
 
     def episodes(self) -> DataFrame:
-        return resolve(self.raw_episodes())
+        return self._stored("episodes", lambda: resolve(self.raw_episodes()))
 
     def lengths(self) -> DataFrame:
         return self.episodes().select("track_id", "duration_s", F.round(F.col("duration_s") * 1000).cast("long").alias("duration_ms"))
 
     def silences(self) -> DataFrame:
         ahead = F.lead("start_ms").over(by_track("seg_idx"))
-        return self.segments().select("track_id", F.col("end_ms").alias("start_ms"), ahead.alias("end_ms")).where("end_ms - start_ms >= 500")
+        return self.marks().select("track_id", F.col("end_ms").alias("start_ms"), ahead.alias("end_ms")).where("end_ms - start_ms >= 500")
 
     def silence_cands(self) -> DataFrame:
         c = f.silence_candidates(self.silences(), None)
         return c.select("track_id", F.row_number().over(by_track("ms")).alias("seq"), "ms", "silence_ms", F.lit("").alias("snippet"))
 
+    def boundaries(self) -> DataFrame:
+        return c.boundary_candidates(self.marks(), self.episodes())
+
+    def merged(self) -> DataFrame:
+        return c.collapse_near(self.silence_cands(), self.boundaries())
+
+    def scored(self) -> DataFrame:
+        return c.score(c.fill_empty(self.episodes(), self.merged()), self.episodes())
+
+    def slots(self) -> DataFrame:
+        return self._stored("slots", lambda: sl.pros_cons(sl.slot_record(c.clamp_dedupe(c.top_up(c.select_separated(self.scored()))))))
+
     def frames(self) -> DataFrame:
         at = F.row_number().over(by_track("ts", "event_id")).cast("long") - 1
         e = self._table("events").select(F.col("user_id").alias("track_id"), "ts", "event_id", "value")
@@ -71,11 +99,14 @@ class Catalogue:
 
     def frame_slots(self) -> DataFrame:
         """One slot in the middle of every frame track."""
-        return self.frames().groupBy("track_id").agg(F.expr("max(frame_idx) div 2").alias("at")).select("track_id", "at", (F.col("at") * 100).alias("ms"), F.lit(-23.0).alias("ad_lufs"))
+        mode = F.when(F.col("track_id") % 3 == 0, "song").otherwise("podcast")
+        return self.frames().groupBy("track_id").agg(F.expr("max(frame_idx) div 2").alias("at")).select("track_id", mode.alias("mode"), "at", (F.col("at") * 100).alias("ms"))
 
     def promo(self) -> DataFrame:
-        """An ad of ten frames for every third track, on the level of its own first frames."""
-        return self.samples().where("track_id % 3 = 0 AND i < 10").select("track_id", "i", (F.col("amp") / 4).alias("amp"))
+        """An ad for every track but each thirteenth, on the level of its own first frames: of 4 to 43 frames, so it may
+        reach past the track's end."""
+        none = F.col("track_id") % 13 == 5
+        return self.samples().where(~none & (F.col("i") < 4 + F.col("track_id") * 5 % 40)).select("track_id", "i", (F.col("amp") / 4).alias("amp"))
 
     def turns(self) -> DataFrame:
         dur = F.coalesce(F.length("text"), F.lit(0)).cast("long") * 60

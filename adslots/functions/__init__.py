@@ -37,11 +37,17 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
 
 
 def unfenced(raw: Column) -> Column:
-    """A model's answer without a code fence, cut to its outermost braces if it starts otherwise."""
-    text = trimmed(raw)
-    text = F.when(text.startswith("```"), F.regexp_replace(F.regexp_replace(text, "^```[a-zA-Z0-9_-]*\\n", ""), "\\n```$", "")).otherwise(text)
-    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(text.startswith("{") | (braced == ""), text).otherwise(braced)
+    """A model's answer less the lines of a code fence around it; if that doesn't start with a brace, what stands
+    between its outermost braces, where it has them."""
+    lines = F.split(trimmed(raw), "\n")
+    mark = F.lit("```")
+    opened = F.get(lines, F.lit(0)).startswith(mark) & (F.size(lines) > 1)
+    closed = opened & (F.get(lines, F.size(lines) - 1) == mark)
+    inner = F.slice(lines, F.when(opened, 2).otherwise(1), F.size(lines) - opened.cast("int") - closed.cast("int"))
+    text = trimmed(F.array_join(inner, "\n"))
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    braced = (first > 1) & (last > first) & text.contains("}")
+    return F.when(braced, F.substr(text, first, last - first + 1)).otherwise(text)
 
 
 def field(v: Column, path: str, kind: str = "string") -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import UNAVAILABLE, by_track, clamp, ends_sentence, half_up, trimmed
 
 
+#: Candidates of an island folded into one list.
+FOLD = 256
+
+
 def _latest(duration_ms: Column, end_buffer: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), duration_ms - end_buffer)
 
@@ -62,37 +66,48 @@ def collapse_near(base: DataFrame, extra: DataFrame, gap: int = 400) -> DataFram
     """Both lists, (track_id, seq, ms, silence_ms, snippet), in time order (base first at one place), where a
     candidate within `gap` of the last kept one replaces it if its pause is longer, or it alone ends a sentence.
 
-    A step over `gap` always starts anew, so the fold runs inside the islands between such steps, never over a
-    whole track; candidates alone in their island pass through."""
+    A step over `gap` always starts anew, so the fold runs inside the islands between such steps; candidates alone in
+    their island pass through. An island's list is as long as its candidates, in the worst case the track's, and is
+    folded in pieces, in time that is linear but for the number of pieces."""
     both = base.withColumn("src", F.lit(0)).unionByName(extra.withColumn("src", F.lit(1)))
     w = by_track("ms", "src", "seq")
     stepped = both.withColumn("_new", (F.coalesce(F.col("ms") - F.lag("ms").over(w) > gap, F.lit(True))).cast("int")).withColumn("island", F.sum("_new").over(w))
     item = F.struct("ms", "src", "seq", "silence_ms", "snippet", ends_sentence(F.col("snippet")).alias("ends"))
     islands = stepped.groupBy("track_id", "island").agg(F.sort_array(F.collect_list(item)).alias("c"))
 
-    def step(kept: Column, c: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when(c["ms"] - last["ms"] > gap, F.concat(kept, F.array(c)))
-            .when((c["silence_ms"] > last["silence_ms"]) | (c["ends"] & ~last["ends"]), F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(c)))
-            .otherwise(kept)
-        )
+    none = F.slice("c", F.lit(1), F.lit(0))
+
+    def step(s: Column, c: Column) -> Column:
+        """One candidate more; the last one kept stands apart, as it may still be replaced."""
+        last = s["last"]
+        far, better = c["ms"] - last["ms"] > gap, (c["silence_ms"] > last["silence_ms"]) | (c["ends"] & ~last["ends"])
+        kept = F.when(last.isNotNull() & far, F.concat(s["kept"], F.array(last))).otherwise(s["kept"])
+        return F.struct(kept.alias("kept"), F.when(last.isNull() | far | better, c).otherwise(last).alias("last"))
 
-    folded = F.when(F.size("c") == 1, F.col("c")).otherwise(F.aggregate(F.slice("c", F.lit(2), F.size("c") - 1), F.slice("c", 1, 1), step))
+    def piece(s: Column, i: Column) -> Column:
+        """FOLD candidates more: what a piece keeps is appended as one list, so no list is copied for each candidate."""
+        part = F.slice("c", i * FOLD + 1, F.lit(FOLD))
+        inner = F.aggregate(part, F.struct(none.alias("kept"), s["last"].alias("last")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(F.concat(s["done"], F.array(x["kept"])).alias("done"), x["last"].alias("last")))[0]
+
+    start = F.struct(F.slice(F.array(none), 1, 0).alias("done"), F.get(none, F.lit(0)).alias("last"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size("c") - 1) / F.lit(FOLD)).cast("int"))
+    folded = F.when(F.size("c") == 1, F.col("c")).otherwise(F.aggregate(pieces, start, piece, lambda s: F.concat(F.flatten(s["done"]), F.array(s["last"]))))
     out = islands.select("track_id", F.explode(folded).alias("c"))
     return out.select("track_id", "c.ms", "c.silence_ms", "c.snippet", "c.src", "c.seq")
 
 
 def fill_empty(episodes: DataFrame, cands: DataFrame) -> DataFrame:
-    """Candidates, and three standard places for every track without one."""
-    empty = episodes.select("track_id", "duration_s").join(cands.select("track_id").distinct(), "track_id", "left_anti")
+    """Candidates, and three standard places for every track without one. Candidates are read once."""
     d = F.col("duration_s")
     known = F.array(*[half_up(d * r * 1000) for r in (0.25, 0.5, 0.75)])
     unknown = F.array(*[F.lit(ms).cast("long") for ms in (12000, 24000, 36000)])
-    filled = empty.select("track_id", F.posexplode(F.when(d > 0, known).otherwise(unknown)).alias("seq", "ms")).select(
-        "track_id", "ms", F.lit(0).cast("long").alias("silence_ms"), F.lit("").alias("snippet"), F.lit(2).alias("src"), "seq"
-    )
-    return cands.unionByName(filled)
+    item = lambda *v: F.struct(*[x.alias(k) for k, x in zip(("ms", "silence_ms", "snippet", "src", "seq"), v, strict=True)])
+    standard = F.transform(F.when(d > 0, known).otherwise(unknown), lambda ms, i: item(ms, F.lit(0).cast("long"), F.lit(""), F.lit(2), i))
+    own = item(*[F.col(f"c.{k}") for k in ("ms", "silence_ms", "snippet", "src", "seq")])
+    both = episodes.select("track_id", "duration_s").alias("e").join(cands.withColumn("_has", F.lit(True)).alias("c"), F.col("e.track_id") == F.col("c.track_id"), "full")
+    rows = both.select(F.coalesce("e.track_id", "c.track_id").alias("track_id"), F.explode(F.when(F.col("_has"), F.array(own)).otherwise(standard)).alias("x"))
+    return rows.select("track_id", "x.*").select(*cands.columns)
 
 
 def score(cands: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -69,13 +69,13 @@ def snap_to_beat(minima: DataFrame, beats: DataFrame, max_n: int = 30) -> DataFr
     """every minimum (track_id, rank, ms) goes to its nearest beat, the earlier of two; of minima on one beat
     the quietest stays; tracks without beats keep their own places. (track_id, seq, ms), in order of energy.
 
-    Beats and minima are merged in time order; the last beat before and the first after are read off by windows."""
+    Beats and minima are merged in time order; the last beat before and the first after are read off by windows that
+    only grow, forwards and backwards."""
     both = minima.select("track_id", "ms", "rank", F.lit(None).cast("long").alias("beat")).unionByName(
         beats.select("track_id", F.col("beat_ms").alias("ms"), F.lit(None).cast("int").alias("rank"), F.col("beat_ms").alias("beat"))
     )
-    w = by_track("ms")
-    before = F.last("beat", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("beat", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))
+    before = F.last("beat", ignorenulls=True).over(by_track("ms").rangeBetween(W.unboundedPreceding, 0))
+    after = F.last("beat", ignorenulls=True).over(by_track(F.desc("ms")).rangeBetween(W.unboundedPreceding, 0))
     near = (
         both.withColumn("before", before).withColumn("after", after).where("rank IS NOT NULL")
         .withColumn("to", F.when(F.col("before").isNull() | (F.col("after") - F.col("ms") < F.col("ms") - F.col("before")), F.col("after")).otherwise(F.col("before")))
@@ -97,20 +97,33 @@ def _lufs(power: Column) -> Column:
     return F.lit(-0.691) + 10 * F.log10(power)
 
 
-def context_loudness(frames: DataFrame, slots: DataFrame, window_ms: int = 4000, frame_ms: int = 100, block_ms: int = 400) -> DataFrame:
-    """F8: slots(track_id, ms, ad_lufs) with target_lufs, the gated loudness around the slot, and gain_db.
-
-    Blocks of block_ms at each frame inside the window; gates at -70 and at 10 below the mean of what is left, as
-    in ITU-R BS.1770. Frames hold weighted power. Without a block over the gate the loudness is -70."""
-    k = block_ms // frame_ms
+def _blocks(frames: DataFrame, n: int) -> DataFrame:
+    """(track_id, t_ms, power): the mean power of the n frames from each on."""
     w = by_track("frame_idx")
-    blocks = frames.select(
-        "track_id", "t_ms", (sum((F.lead("ms_power", j).over(w) for j in range(1, k)), F.col("ms_power")) / k).alias("power"),
-        F.lead("frame_idx", k - 1).over(w).alias("_last"), "frame_idx",
-    ).where(F.col("_last") == F.col("frame_idx") + k - 1).select("track_id", "t_ms", "power")
-    near = slots.join(blocks, "track_id").where((F.col("t_ms") >= F.col("ms") - window_ms) & (F.col("t_ms") + block_ms <= F.col("ms") + window_ms) & (F.col("power") > 0))
-    loud = near.where(_lufs(F.col("power")) > -70)
-    gate = loud.groupBy("track_id", "ms").agg((_lufs(F.avg("power")) - 10).alias("gate"))
-    kept = loud.join(gate, ["track_id", "ms"]).where(_lufs(F.col("power")) > F.col("gate")).groupBy("track_id", "ms").agg(_lufs(F.avg("power")).alias("target_lufs"))
-    out = slots.join(kept, ["track_id", "ms"], "left").withColumn("target_lufs", F.coalesce("target_lufs", F.lit(-70.0)))
-    return out.withColumn("gain_db", F.col("target_lufs") - F.col("ad_lufs")).withColumn("after_lufs", F.col("ad_lufs") + F.col("gain_db"))
+    power = sum((F.lead("ms_power", j).over(w) for j in range(1, n)), F.col("ms_power")) / n
+    whole = F.lead("frame_idx", n - 1).over(w) == F.col("frame_idx") + n - 1
+    return frames.select("track_id", "t_ms", power.alias("power"), whole.alias("_whole")).where("_whole").drop("_whole")
+
+
+def _gated(blocks: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key, name): the loudness of blocks(key, power) with gates at -70 and at 10 below the mean of what is left."""
+    loud = blocks.where("power > 0").where(_lufs(F.col("power")) > -70)
+    gate = loud.groupBy(*key).agg((_lufs(F.avg("power")) - 10).alias("gate"))
+    return loud.join(gate, key).where(_lufs(F.col("power")) > F.col("gate")).groupBy(*key).agg(_lufs(F.avg("power")).alias(name))
+
+
+def context_loudness(frames: DataFrame, slots: DataFrame, ads: DataFrame, window_ms: int = 4000, frame_ms: int = 100, block_ms: int = 400) -> DataFrame:
+    """F8: slots(track_id, ms) with target_lufs, the gated loudness around the slot; before_lufs, that of the track's ad
+    ads(track_id, frame_idx, t_ms, ms_power); gain_db, which brings it there; and after_lufs, that of the ad measured
+    again with the gain on it (where the gates may leave out other blocks).
+
+    Blocks of block_ms at each frame inside the window, gated as in ITU-R BS.1770. Frames hold weighted power.
+    Without a block over the gate the loudness is -70."""
+    n, key = block_ms // frame_ms, ["track_id", "ms"]
+    near = slots.select(*key).join(_blocks(frames, n), "track_id").where((F.col("t_ms") >= F.col("ms") - window_ms) & (F.col("t_ms") + block_ms <= F.col("ms") + window_ms))
+    spoken = _blocks(ads, n)
+    level = lambda c: F.coalesce(c, F.lit(-70.0)).alias(c)
+    found = slots.join(_gated(near.select(*key, "power"), key, "target_lufs"), key, "left").join(_gated(spoken, ["track_id"], "before_lufs"), "track_id", "left")
+    gained = found.select(*slots.columns, level("target_lufs"), level("before_lufs")).withColumn("gain_db", F.col("target_lufs") - F.col("before_lufs"))
+    louder = gained.select(*key, "gain_db").join(spoken, "track_id").select(*key, (F.col("power") * F.pow(F.lit(10.0), F.col("gain_db") / 10)).alias("power"))
+    return gained.join(_gated(louder, key, "after_lufs"), key, "left").withColumn("after_lufs", level("after_lufs"))

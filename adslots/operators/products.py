@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,12 +19,32 @@ def extract_terms(responses: DataFrame, k: int = 3) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(by_track("pos"))).where(F.col("ord") <= k).select("track_id", "ord", "term")
 
 
+#: Words up to which a text is matched by the sets of its words.
+SET_WORDS = 6
+
+
+def _sets(words: Column) -> Column:
+    """All non-empty sets of the words, each as one text."""
+    start = F.array(F.lit(""))
+    return F.filter(F.aggregate(F.array_sort(words), start, lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.lit(" "), w)))), lambda x: x != "")
+
+
 def match_products(terms: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
     """R2: (track_id, ord, term, rank, key, title): the k products that share most words with a term, then the
-    least key. Different terms are matched once; words are joined, so terms without a common word cost nothing."""
+    least key. Different terms are matched once.
+
+    A product among a term's best k, which shares the words S with it, is among the k of least key that hold S: k such
+    products of less key would share as much or more, and rank before it. So each set of words keeps k products, found by
+    a top-k before the shuffle, and terms meet only these, however frequent a word is. Longer texts than SET_WORDS words
+    have too many sets; pairs with one of them are joined by word."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    asked = terms.select("term").distinct().select("term", F.explode(words(F.col("term"))).alias("w"))
-    held = catalogue.select("key", "title", F.explode(words(F.col("title"))).alias("w"))
-    shared = asked.join(held, "w").groupBy("term", "key", "title").agg(F.count(F.lit(1)).alias("overlap"))
-    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("overlap"), "key"))).where(F.col("rank") <= k)
+    asked = terms.select("term").distinct().withColumn("ws", words(F.col("term")))
+    held = catalogue.select("key", "title", words(F.col("title")).alias("hs"))
+    short, long = (lambda c: F.size(c) <= SET_WORDS), (lambda c: F.size(c) > SET_WORDS)
+    first = held.where(short("hs")).withColumn("s", F.explode(_sets(F.col("hs")))).withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("key"))).where(F.col("n") <= k)
+    by_set = asked.where(short("ws")).withColumn("s", F.explode(_sets(F.col("ws")))).join(first, "s").select("term", "key", "title", "ws", "hs")
+    one = lambda df, c: df.withColumn("w", F.explode(c))
+    by_word = one(asked.where(long("ws")), "ws").join(one(held, "hs"), "w").unionByName(one(asked.where(short("ws")), "ws").join(one(held.where(long("hs")), "hs"), "w"))
+    pairs = by_set.unionByName(by_word.select("term", "key", "title", "ws", "hs")).select("term", "key", "title", F.size(F.array_intersect("ws", "hs")).alias("overlap")).distinct()
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("overlap"), "key"))).where(F.col("rank") <= k)
     return terms.join(ranked, "term").select("track_id", "ord", "term", "rank", "key", "title")

@@ -56,23 +56,25 @@ def overlay_gain(frames: DataFrame, promo: DataFrame, slots: DataFrame, duck_db:
     promo(track_id, i, amp), slots(track_id, at). Lengths are in frames; all ramps are linear.
 
     The programme isn't lengthened: the part under the ad (ducked if asked) is crossfaded with what comes before
-    and after, which shortens the whole by both crossfades; an ad past the end is cut."""
+    and after, which shortens the whole by both crossfades; an ad past the end is cut. A track without an ad, or
+    without a slot, stays as it is."""
     size = frames.groupBy("track_id").agg((F.max("frame_idx") + 1).alias("n")).join(promo.groupBy("track_id").agg((F.max("i") + 1).alias("ad")), "track_id").join(slots, "track_id")
     p = F.least(F.greatest("at", F.lit(0).cast("long")), F.col("n"))
     plan = size.select("track_id", "n", "ad", p.alias("p")).withColumn("l", F.least("ad", F.col("n") - F.col("p")))
     plan = plan.withColumn("c1", F.least(F.lit(crossfade).cast("long"), "p", "l")).withColumn("m", F.col("p") + F.col("l") - F.col("c1")).withColumn("c2", F.least(F.lit(crossfade).cast("long"), "m", F.col("n") - F.col("p") - F.col("l")))
     c1, c2, m, length = F.col("c1"), F.col("c2"), F.col("m"), F.col("l")
     out_fade = lambda o: 1 - _ramp(o - (m - c2), c2) * F.when(c2 > 0, 1.0).otherwise(0.0)  # noqa: E731  of what is joined so far
-    joined = frames.join(plan, "track_id")
+    joined = frames.join(plan, "track_id", "left")
     i, j = F.col("frame_idx"), F.col("frame_idx") - F.col("p")
     k = j - length
     pre = (1 - _ramp(i - (F.col("p") - c1), c1) * F.when(c1 > 0, 1.0).otherwise(0.0)) * out_fade(i)
     duck = F.lit(1.0) if duck_db <= 0 else F.lit(10 ** (-duck_db / 20)) * _ramp(j, F.lit(duck_ramp)) * _ramp(length - 1 - j, F.lit(duck_ramp))
     mid = duck * _ramp(j, c1) * out_fade(F.col("p") - c1 + j)
+    alone = F.col("p").isNull()
     main = joined.select(
         "track_id",
-        F.when(i < F.col("p"), i).when(k < 0, F.col("p") - c1 + j).otherwise(m - c2 + k).alias("out_idx"),
-        (F.col("amp") * F.when(i < F.col("p"), pre).when(k < 0, mid).otherwise(_ramp(k, c2))).alias("amp"),
+        F.when(alone | (i < F.col("p")), i).when(k < 0, F.col("p") - c1 + j).otherwise(m - c2 + k).alias("out_idx"),
+        (F.col("amp") * F.when(alone, 1.0).when(i < F.col("p"), pre).when(k < 0, mid).otherwise(_ramp(k, c2))).alias("amp"),
     )
     a = F.col("i")
     faded = _ramp(a, F.lit(fade)) * _ramp(F.col("ad") - 1 - a, F.lit(fade)) * _ramp(a, c1) * out_fade(F.col("p") - c1 + a)
@@ -93,10 +95,18 @@ def audit(plan: DataFrame, actual: DataFrame, preview_s: float | None = None, to
     return out.select("track_id", "expected_s", "actual_s", F.when(same.isNull(), "unknown").when(same, "true").otherwise("false").alias("match"))
 
 
-def room_tone_bed(frames: DataFrame, promo: DataFrame, slots: DataFrame, tone: int = 6, gain_db: float = -26.0) -> DataFrame:
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """M4: (match, n, worst_s): how many merges match, and the largest deviation among them."""
+    off = F.abs(F.col("actual_s") - F.col("expected_s"))
+    return audited.groupBy("match").agg(F.count(F.lit(1)).alias("n"), F.max(off).alias("worst_s"))
+
+
+def room_tone_bed(frames: DataFrame, promo: DataFrame, slots: DataFrame, tone: int = 6, gain_db: float = -26.0, podcasts_only: bool = True) -> DataFrame:
     """M5: (track_id, i, amp) of the ad with the last `tone` frames before the slot under it, repeated over its
-    length; without any, the ad as it is."""
-    near = frames.join(slots, "track_id").where((F.col("frame_idx") < F.col("at")) & (F.col("frame_idx") >= F.col("at") - tone))
+    length; without any, the ad as it is. slots(track_id, mode, at); a one-speaker ad has a bed in podcasts only, one of
+    two speakers (podcasts_only false) in every mode."""
+    bedded = slots.where("mode = 'podcast'") if podcasts_only else slots
+    near = frames.join(bedded.select("track_id", "at"), "track_id").where((F.col("frame_idx") < F.col("at")) & (F.col("frame_idx") >= F.col("at") - tone))
     numbered = near.select("track_id", (F.row_number().over(by_track("frame_idx")) - 1).cast("long").alias("k"), F.col("amp").alias("bed"))
     n = numbered.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
     asked = promo.join(n, "track_id", "left").withColumn("k", F.pmod(F.col("i"), F.col("n")))

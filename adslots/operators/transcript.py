@@ -10,6 +10,9 @@ from ..functions import by_track, field, unfenced, trimmed
 
 #: Instruction of a prompt; a parameter, as its wording changes no data.
 HEADER = "Choose the best place for a one-sentence promo from the candidates below and write the promo."
+SCRIPT_HEADER = "Write a short ad, of 8 to 15 seconds, that sounds like part of the conversation."
+#: Fixed value: the form of an answer.
+SCRIPT_SHAPE = 'Answer with JSON only: {"segments": [{"speaker": "A", "text": "..."}, {"speaker": "B", "text": "..."}]}'
 BROKEN = "The answer was not valid JSON; the default place is used."
 
 
@@ -31,9 +34,10 @@ def context_before(cands: DataFrame, segments: DataFrame, window_ms: int = 15000
     return cands.join(text, ["track_id", "seq"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
-def prompt_corpus(products: DataFrame, cands: DataFrame, header: str = HEADER) -> DataFrame:
-    """(track_id, prompt) of products(track_id, mode, name, blurb, url) and cands(track_id, seq, ms, context)."""
-    listed = cands.withColumn("_i", F.row_number().over(by_track("seq")) - 1)
+def prompt_corpus(products: DataFrame, cands: DataFrame, header: str = HEADER, max_n: int = 30) -> DataFrame:
+    """(track_id, prompt) of products(track_id, mode, name, blurb, url) and the first max_n of a track's
+    cands(track_id, seq, ms, context), as many as an analysis gives."""
+    listed = cands.withColumn("_i", F.row_number().over(by_track("seq")) - 1).where(F.col("_i") < max_n)
     block = F.format_string("[%d] t=%dms\nContext before: %s", F.col("_i"), F.col("ms"), F.coalesce("context", F.lit("")))
     blocks = listed.groupBy("track_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("blocks"))
     url = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("Product URL: "), F.col("url")))
@@ -43,6 +47,15 @@ def prompt_corpus(products: DataFrame, cands: DataFrame, header: str = HEADER) -
     )
 
 
+def script_prompts(products: DataFrame, style: str = "friendly", header: str = SCRIPT_HEADER) -> DataFrame:
+    """T2, the second prompt: (track_id, prompt) that asks for the lines of an ad (K3 reads the answer) of
+    products(track_id, name, blurb, ad_mode)."""
+    duo = F.col("ad_mode") == "DUO"
+    who = F.when(duo, F.lit("Let both speakers talk, in 2 to 4 lines.")).otherwise(F.concat(F.lit("Let only speaker "), F.substring("ad_mode", 1, 1), F.lit(" talk.")))
+    lines = [F.lit(header), F.concat(F.lit("Product name: "), "name"), F.concat(F.lit("Product blurb: "), "blurb"), F.lit(f"Ad style: {style}"), F.concat(F.lit("Ad mode: "), "ad_mode"), who, F.lit(SCRIPT_SHAPE)]
+    return products.select("track_id", F.concat_ws("\n", *lines).alias("prompt"))
+
+
 def transcript_rollup(segments: DataFrame, limit: int = 3000) -> DataFrame:
     """(track_id, transcript): the segments' texts joined by spaces, cut to `limit` characters. Segments that
     start past the limit are left out before anything is collected."""

@@ -21,8 +21,8 @@ VIEWS = {
     "frames": """SELECT track_id, frame_idx, frame_idx * 100 AS t_ms, amp, amp * amp AS p FROM
         (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value AS amp FROM events)""",
     "fn": "SELECT track_id, max(frame_idx) + 1 AS n FROM frames GROUP BY track_id",
-    "fslots": "SELECT track_id, max(frame_idx) // 2 AS mid, max(frame_idx) // 2 * 100 AS ms FROM frames GROUP BY track_id",
-    "promo": "SELECT track_id, frame_idx AS i, amp / 4 AS amp FROM frames WHERE track_id % 3 = 0 AND frame_idx < 10",
+    "fslots": "SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'song' ELSE 'podcast' END AS mode, max(frame_idx) // 2 AS mid, max(frame_idx) // 2 * 100 AS ms FROM frames GROUP BY track_id",
+    "promo": "SELECT track_id, frame_idx AS i, amp / 4 AS amp FROM frames WHERE track_id % 13 <> 5 AND frame_idx < 4 + track_id * 5 % 40",
     "thr": "SELECT track_id, CASE WHEN avg(p) > 0 THEN 10 * log10(avg(p)) - 6 ELSE -40 END AS thr FROM frames GROUP BY track_id",
     "quiet": "SELECT track_id, frame_idx, t_ms FROM frames JOIN thr USING (track_id) WHERE CASE WHEN p > 0 THEN 10 * log10(p) <= thr ELSE true END",
     "runs": """SELECT track_id, a.t_ms AS start_ms, min(b.t_ms) + 100 AS end_ms FROM
@@ -97,16 +97,39 @@ VIEWS = {
     "ui": """SELECT track_id, 'slot-' || n AS id, CASE WHEN duration_s > 0 THEN least(greatest(0, tm), duration_s) ELSE greatest(0, tm) END AS time, c AS confidence FROM
         (SELECT e.track_id, e.duration_s, v.n, CASE WHEN g.c3 >= 3 THEN s.insertion_time_seconds WHEN e.duration_s > 0 THEN r * e.duration_s ELSE u END AS tm, CASE WHEN g.c3 >= 3 THEN s.confidence_percent::DOUBLE ELSE dc END AS c
          FROM episodes e CROSS JOIN (VALUES (1, 0.22::DOUBLE, 12.0::DOUBLE, 92.0::DOUBLE), (2, 0.48::DOUBLE, 24.0::DOUBLE, 85.0::DOUBLE), (3, 0.72::DOUBLE, 36.0::DOUBLE, 78.0::DOUBLE)) v(n, r, u, dc)
-         LEFT JOIN (SELECT track_id, count(*) AS c3 FROM slots WHERE track_id % 5 <> 0 OR ord < 2 GROUP BY track_id) g USING (track_id)
-         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ord) AS rn FROM slots WHERE track_id % 5 <> 0 OR ord < 2) s ON s.track_id = e.track_id AND s.rn = v.n)""",
+         LEFT JOIN (SELECT track_id, count(*) AS c3 FROM slots GROUP BY track_id) g USING (track_id)
+         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ord) AS rn FROM slots) s ON s.track_id = e.track_id AND s.rn = v.n)""",
     "ads": "SELECT track_id, ord, CASE WHEN track_id % 4 = 0 AND ord = 1 THEN min(insertion_ms) FILTER (ord = 0) OVER (PARTITION BY track_id) ELSE insertion_ms END AS at_ms, (track_id % 9 + 1) * 1000 + ord * 100 AS ad_ms FROM slots",
     "cb": """SELECT s.*, duration_ms, row_number() OVER (PARTITION BY s.track_id ORDER BY seq) - 1 AS pos FROM sil s JOIN episodes e USING (track_id)
         WHERE coalesce(duration_ms, 0) <= 0 OR (ms >= 30000 AND ms <= greatest(0, duration_ms - 15000))
           OR NOT EXISTS (SELECT 1 FROM sil o WHERE o.track_id = s.track_id AND o.ms >= 30000 AND o.ms <= greatest(0, duration_ms - 15000))""",
     "dflt": """SELECT e.track_id, CASE WHEN duration_ms > 0 THEN least(x, duration_ms - 1) ELSE x END AS default_ms, duration_ms FROM
         (SELECT e.*, coalesce((SELECT min(ms) FROM cb WHERE cb.track_id = e.track_id AND ms >= 30000), (SELECT max(ms) FROM cb WHERE cb.track_id = e.track_id), 30000) AS x FROM episodes e) e""",
+    "sil30": "SELECT * FROM sil WHERE seq <= 30",
+    "cb30": """SELECT s.*, duration_ms, row_number() OVER (PARTITION BY s.track_id ORDER BY seq) - 1 AS pos FROM sil30 s JOIN episodes e USING (track_id)
+        WHERE coalesce(duration_ms, 0) <= 0 OR (ms >= 30000 AND ms <= greatest(0, duration_ms - 15000))
+          OR NOT EXISTS (SELECT 1 FROM sil30 o WHERE o.track_id = s.track_id AND o.ms >= 30000 AND o.ms <= greatest(0, duration_ms - 15000))""",
+    "dflt30": """SELECT e.track_id, mode, CASE WHEN duration_ms > 0 THEN least(x, duration_ms - 1) ELSE x END AS default_ms, duration_ms FROM
+        (SELECT e.*, coalesce((SELECT min(ms) FROM cb30 WHERE cb30.track_id = e.track_id AND ms >= 30000), (SELECT max(ms) FROM cb30 WHERE cb30.track_id = e.track_id), 30000) AS x FROM episodes e) e""",
+    "chosen30": """SELECT d.track_id, mode, CASE WHEN c.ms IS NULL OR c.ms < 30000 OR (d.duration_ms > 0 AND c.ms > greatest(0, d.duration_ms - 15000)) THEN default_ms ELSE c.ms END AS chosen_ms
+        FROM dflt30 d LEFT JOIN choice h USING (track_id) LEFT JOIN cb30 c ON c.track_id = d.track_id AND c.pos = h.chosen_index""",
     "ctx": """SELECT c.track_id, c.seq, c.ms, CASE WHEN c.n <= 5 THEN coalesce((SELECT string_agg(text, ' ' ORDER BY seg_idx) FROM segments s WHERE s.track_id = c.track_id AND start_ms < c.ms AND end_ms > greatest(0, c.ms - 15000)), '') ELSE '' END AS context
         FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS n FROM sil) c""",
+    "prompts": """SELECT track_id, 'H' || chr(10) || 'Mode: ' || mode || chr(10) || 'Product name: ' || name || chr(10) || 'Product description: ' || blurb || coalesce(chr(10) || 'Product URL: ' || url, '') || chr(10) || 'Candidates:' || chr(10) || coalesce(b, 'No candidates.') AS prompt
+        FROM products LEFT JOIN (SELECT track_id, string_agg('[' || i || '] t=' || ms || 'ms' || chr(10) || 'Context before: ' || context, chr(10) || chr(10) ORDER BY i) AS b FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i FROM ctx) WHERE i < 30 GROUP BY track_id) USING (track_id)""",
+    "answers": """SELECT p_partkey AS track_id, CASE p_partkey % 4 WHEN 0 THEN '```json' || chr(10) || b || chr(10) || '```' WHEN 1 THEN b WHEN 2 THEN 'Sure: ' || b || ' Done.' ELSE 'no json ' || p_partkey END AS raw_text FROM
+        (SELECT p_partkey, '{"promo_text": " Try ' || p_name || ' ", "chosen_index": ' || ['0', '2', 'null', '1.5', '"3"'][p_partkey % 5 + 1] || ', "rationale": " r' || p_partkey || '"}' AS b FROM part)""",
+    "stated": """SELECT track_id, ord, id, name, coalesce(own, CASE WHEN name = '' THEN 'Our sponsor' ELSE name END || ' supports this episode with ' || CASE WHEN d = '' THEN 'a thoughtful companion for your day' ELSE d END || ', offering a simple way to stay focused and refreshed.') AS statement, own IS NULL AS generated FROM sponsor""",
+    "fblocks": "SELECT a.track_id, a.t_ms, sum(b.p) / 4 AS p FROM frames a JOIN frames b ON b.track_id = a.track_id AND b.frame_idx BETWEEN a.frame_idx AND a.frame_idx + 3 GROUP BY a.track_id, a.t_ms HAVING count(*) = 4",
+    "pblocks": "SELECT a.track_id, a.i, sum(b.amp * b.amp) / 4 AS p FROM promo a JOIN promo b ON b.track_id = a.track_id AND b.i BETWEEN a.i AND a.i + 3 GROUP BY a.track_id, a.i HAVING count(*) = 4",
+    "near_slot": "SELECT s.track_id, p FROM fslots s JOIN fblocks b ON b.track_id = s.track_id AND t_ms >= s.ms - 1500 AND t_ms + 400 <= s.ms + 1500 WHERE p > 0 AND -0.691::DOUBLE + 10 * log10(p) > -70",
+    "target_l": "SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM near_slot JOIN (SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM near_slot GROUP BY track_id) USING (track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY track_id",
+    "loud_ad": "SELECT track_id, p FROM pblocks WHERE p > 0 AND -0.691::DOUBLE + 10 * log10(p) > -70",
+    "before_l": "SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM loud_ad JOIN (SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM loud_ad GROUP BY track_id) USING (track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY track_id",
+    "gains": "SELECT s.track_id, ms, coalesce(t.l, -70) AS target_lufs, coalesce(b.l, -70) AS before_lufs FROM fslots s LEFT JOIN target_l t USING (track_id) LEFT JOIN before_l b USING (track_id)",
+    "gained": "SELECT track_id, x AS p FROM (SELECT track_id, p * pow(10, (target_lufs - before_lufs) / 10) AS x FROM pblocks JOIN gains USING (track_id)) WHERE x > 0 AND -0.691::DOUBLE + 10 * log10(x) > -70",
+    "after_l": "SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM gained JOIN (SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM gained GROUP BY track_id) USING (track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY track_id",
+    "loudness": "SELECT g.track_id, ms, target_lufs, before_lufs, target_lufs - before_lufs AS gain_db, coalesce(a.l, -70) AS after_lufs FROM gains g LEFT JOIN after_l a USING (track_id)",
     "terms": """SELECT track_id, term, row_number() OVER (PARTITION BY track_id ORDER BY min(o)) AS ord FROM
         (SELECT p_partkey AS track_id, unnest(CASE WHEN p_partkey % 3 = 0 THEN [split_part(p_name, ' ', -1), split_part(p_name, ' ', 1)] ELSE [p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', -1), 'p' || p_partkey] END) AS term, unnest(range(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 4 END)) AS o FROM part WHERE p_partkey % 3 < 2)
         WHERE term <> '' GROUP BY track_id, term QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY min(o)) <= 3""",
@@ -131,8 +154,17 @@ _SQL = {
     "s2_read_analysis": """SELECT track_id, (seq - 1)::INT AS seq, ms, silence_ms, CASE WHEN seq % 3 = 0 THEN 'said at ' || ms || '.' ELSE '' END AS snippet, 'heuristic' AS source
         FROM sil JOIN episodes USING (track_id) WHERE track_id % 9 <> 0 AND seq % 5 <> 4 AND (duration_s IS NULL OR ms <= duration_s * 1000)
         UNION ALL SELECT DISTINCT track_id, NULL, NULL, NULL, NULL, 'fallback' FROM sil WHERE track_id % 9 = 0""",
-    "s3_slot_report": """SELECT track_id, round(any_value(duration_s) * 1000)::BIGINT AS duration_ms, count(*)::INT AS n, string_agg(round(insertion_time_seconds * 1000)::BIGINT::VARCHAR, '|' ORDER BY confidence_percent DESC, ord) AS points_ms,
-        string_agg(confidence_percent::VARCHAR, '|' ORDER BY confidence_percent DESC, ord) AS confidences FROM slots GROUP BY track_id""",
+    "s3_slot_report": """SELECT t.*, coalesce(ids, '') AS sponsor_ids, coalesce(said, '') AS statements FROM (SELECT track_id, round(any_value(duration_s) * 1000)::BIGINT AS duration_ms,
+          CASE WHEN track_id % 9 <> 0 AND track_id IN (SELECT track_id FROM sil) THEN 'heuristic' ELSE 'fallback' END AS source, count(*)::INT AS n, string_agg(round(insertion_time_seconds * 1000)::BIGINT::VARCHAR, '|' ORDER BY confidence_percent DESC, ord) AS points_ms,
+          string_agg(confidence_percent::VARCHAR, '|' ORDER BY confidence_percent DESC, ord) AS confidences FROM slots GROUP BY track_id) t
+        LEFT JOIN (SELECT track_id, string_agg(id, '|' ORDER BY ord) AS ids, string_agg(statement, '|' ORDER BY ord) AS said FROM stated GROUP BY track_id) USING (track_id)""",
+    "s3_audit_record": """SELECT c.track_id, chosen_ms, coalesce((SELECT string_agg(ms::VARCHAR, '|' ORDER BY seq) FROM sil30 s WHERE s.track_id = c.track_id), '') AS candidates_ms,
+          coalesce((SELECT string_agg(ms::VARCHAR, '|' ORDER BY seq) FROM cb30 s WHERE s.track_id = c.track_id), '') AS candidates_for_prompt_ms, mode,
+          (SELECT count(*) FROM frames f WHERE f.track_id = c.track_id AND frame_idx % 7 = 3 AND track_id % 11 <> 0) AS beat_times_count,
+          (SELECT CASE WHEN max(CASE WHEN t_ms = chosen_ms THEN 1 ELSE 0 END) = 1 THEN count(*) FILTER (t_ms < chosen_ms) END FROM frames f WHERE f.track_id = c.track_id AND frame_idx % 7 = 3 AND track_id % 11 <> 0) AS chosen_beat_index,
+          round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(after_lufs, 6) AS after_lufs, 30000 AS min_insert_ms, 15000 AS end_buffer_ms,
+          coalesce((SELECT min(context) FROM ctx WHERE ctx.track_id = c.track_id AND ctx.ms = chosen_ms AND context <> ''), 'TRANSCRIPT_UNAVAILABLE') AS transcript_before, substring(prompt, 1, 500) AS prompt, raw_text
+        FROM chosen30 c LEFT JOIN loudness USING (track_id) LEFT JOIN prompts USING (track_id) LEFT JOIN answers USING (track_id)""",
     "f1_frame_rms": """SELECT f.track_id, f.k AS frame_idx, round(sqrt(sum(s.p) / 5), 6) AS rms FROM (SELECT track_id, unnest(range(0, CASE WHEN n >= 5 THEN (n - 5) // 2 + 1 ELSE 0 END)) AS k FROM fn) f
         JOIN frames s ON s.track_id = f.track_id AND s.frame_idx >= f.k * 2 AND s.frame_idx < f.k * 2 + 5 GROUP BY f.track_id, f.k
         UNION ALL SELECT track_id, 0, NULL FROM fn WHERE n < 5""",
@@ -148,28 +180,23 @@ _SQL = {
         SELECT track_id, seq::INT AS seq, ms FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n) AS seq FROM one) WHERE seq <= 8""",
     "f7_peak_envelope": """SELECT b.track_id, b.block, coalesce(max(abs(amp)), 0) AS peak FROM (SELECT track_id, greatest(1, n // 10) AS size, unnest(range(0, 10)) AS block FROM fn) b
         LEFT JOIN frames f ON f.track_id = b.track_id AND f.frame_idx >= b.block * size AND f.frame_idx < (b.block + 1) * size GROUP BY b.track_id, b.block""",
-    "f8_context_loudness": """WITH bl AS (SELECT a.track_id, a.t_ms, sum(b.p) / 4 AS p FROM frames a JOIN frames b ON b.track_id = a.track_id AND b.frame_idx BETWEEN a.frame_idx AND a.frame_idx + 3 GROUP BY a.track_id, a.t_ms HAVING count(*) = 4),
-        lo AS (SELECT s.track_id, s.ms, p FROM fslots s JOIN bl ON bl.track_id = s.track_id AND t_ms >= s.ms - 1500 AND t_ms + 400 <= s.ms + 1500 WHERE p > 0 AND -0.691::DOUBLE + 10 * log10(p) > -70),
-        ga AS (SELECT track_id, ms, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM lo GROUP BY ALL),
-        ta AS (SELECT track_id, ms, -0.691::DOUBLE + 10 * log10(avg(p)) AS t FROM lo JOIN ga USING (track_id, ms) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY ALL)
-        SELECT track_id, ms, round(coalesce(t, -70), 6) AS target_lufs, round(coalesce(t, -70) + 23, 6) AS gain_db, round(coalesce(t, -70), 6) AS after_lufs FROM fslots LEFT JOIN ta USING (track_id, ms)""",
+    "f8_context_loudness": "SELECT track_id, ms, round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(gain_db, 6) AS gain_db, round(after_lufs, 6) AS after_lufs FROM loudness",
     "c1_bound": "SELECT track_id, seq, ms FROM cb",
     "c2_default_insertion": "SELECT track_id, default_ms FROM dflt",
     "c3_apply_choice": """SELECT d.track_id, CASE WHEN c.ms IS NULL OR c.ms < 30000 OR (d.duration_ms > 0 AND c.ms > greatest(0, d.duration_ms - 15000)) THEN default_ms ELSE c.ms END AS chosen_ms
         FROM dflt d LEFT JOIN choice h USING (track_id) LEFT JOIN cb c ON c.track_id = d.track_id AND c.pos = h.chosen_index""",
     "c4_boundary_candidates": "SELECT * FROM bcand",
     "c5_collapse_near": "SELECT * FROM merged",
-    "c6_fill_empty": """SELECT * FROM merged WHERE track_id % 7 <> 0 UNION ALL SELECT track_id, CASE WHEN duration_s > 0 THEN floor(duration_s * r * 1000 + 0.5)::BIGINT ELSE u END, 0, '', 2, q
-        FROM episodes, (VALUES (0, 0.25::DOUBLE, 12000), (1, 0.5::DOUBLE, 24000), (2, 0.75::DOUBLE, 36000)) v(q, r, u) WHERE track_id % 7 = 0 OR track_id NOT IN (SELECT track_id FROM merged)""",
+    "c6_fill_empty": "SELECT * FROM filled",
     "c7_score": "SELECT track_id, ms, src, seq, round(score * 10000)::BIGINT AS score FROM scored",
     "c8_select_separated": "SELECT track_id, len(picks)::INT AS n, array_to_string(list_transform(picks, lambda p: p.ms::VARCHAR), '|') AS ms, array_to_string(list_transform(picks, lambda p: round(p.score * 1000)::BIGINT::VARCHAR), '|') AS scores FROM picked",
     "c9_top_up": "SELECT track_id, len(picks)::INT AS n, array_to_string(list_transform(picks, lambda p: p.ms::VARCHAR), '|') AS ms, array_to_string(list_transform(picks, lambda p: round(p.score * 1000)::BIGINT::VARCHAR), '|') AS scores FROM topped",
     "c10_clamp_dedupe": "SELECT track_id, ord, ms FROM slots2",
     "c11_slot_record": """SELECT track_id, ord, insertion_ms, insertion_time_seconds, confidence_percent, CASE WHEN confidence_percent >= 90 THEN 'high' WHEN confidence_percent >= 80 THEN 'mid' ELSE 'low' END AS band,
         (sec // 60)::VARCHAR || ':' || lpad((sec % 60)::VARCHAR, 2, '0') AS label, silence_ms, snippet FROM slots""",
-    "c12_pros_cons": "SELECT track_id, ord, insertion_ms, array_to_string(pros, '|') AS pros, array_to_string(cons, '|') AS cons, 'Chosen for a clear pause near #s that minimizes disruption.' AS rationale FROM explained",
+    "c12_pros_cons": "SELECT track_id, ord, insertion_ms, array_to_string(pros, '|') AS pros, array_to_string(cons, '|') AS cons, CASE WHEN insertion_ms % 100 = 50 THEN 'Chosen for a clear pause near # that minimizes disruption.' ELSE printf('Chosen for a clear pause near %.1fs that minimizes disruption.', insertion_time_seconds) END AS rationale FROM explained",
     "c13_override_details": """SELECT track_id, ord, insertion_ms, CASE WHEN d AND track_id % 2 = 0 THEN 'p1|p2|p3' ELSE array_to_string(pros, '|') END AS pros, CASE WHEN d THEN 'c1|c2' ELSE array_to_string(cons, '|') END AS cons,
-        CASE WHEN d AND track_id % 5 <> 0 THEN 'why ' || track_id ELSE 'Chosen for a clear pause near #s that minimizes disruption.' END AS rationale
+        CASE WHEN d AND track_id % 5 <> 0 THEN 'why ' || track_id ELSE CASE WHEN insertion_ms % 100 = 50 THEN 'Chosen for a clear pause near # that minimizes disruption.' ELSE printf('Chosen for a clear pause near %.1fs that minimizes disruption.', insertion_time_seconds) END END AS rationale
         FROM (SELECT *, track_id % 3 <> 2 AND insertion_ms = min(insertion_ms) FILTER (ord = 0) OVER (PARTITION BY track_id) AS d FROM explained)""",
     "c14_pair_suggestions": """SELECT track_id, pos, time, confidence FROM (SELECT track_id, (row_number() OVER (PARTITION BY track_id ORDER BY ord) - 1)::INT AS pos, insertion_ms::DOUBLE AS time, CASE WHEN track_id % 2 = 1 THEN confidence_percent::DOUBLE WHEN row_number() OVER (PARTITION BY track_id ORDER BY ord) = 1 THEN 80.0 ELSE 72.0 END::DOUBLE AS confidence FROM slots)
         UNION ALL SELECT track_id, count(*)::INT, 7.0::DOUBLE, 72.0::DOUBLE FROM slots WHERE track_id % 2 = 1 GROUP BY track_id""",
@@ -177,8 +204,9 @@ _SQL = {
     "c16_add_manual": """WITH every AS (SELECT * FROM ui UNION ALL SELECT track_id, 'slot-4', (track_id % 4 * 60 + track_id % 60)::DOUBLE, 75.0 FROM episodes WHERE track_id % 2 = 0 AND (duration_s IS NULL OR track_id % 4 * 60 + track_id % 60 <= duration_s))
         SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY time, id)::INT AS pos, id, round(time, 6) AS time, confidence FROM every""",
     "t1_context_before": "SELECT * FROM ctx",
-    "t2_prompt_corpus": """SELECT track_id, 'H' || chr(10) || 'Mode: ' || mode || chr(10) || 'Product name: ' || name || chr(10) || 'Product description: ' || blurb || coalesce(chr(10) || 'Product URL: ' || url, '') || chr(10) || 'Candidates:' || chr(10) || coalesce(b, 'No candidates.') AS prompt
-        FROM products LEFT JOIN (SELECT track_id, string_agg('[' || i || '] t=' || ms || 'ms' || chr(10) || 'Context before: ' || context, chr(10) || chr(10) ORDER BY i) AS b FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i FROM ctx) GROUP BY track_id) USING (track_id)""",
+    "t2_prompt_corpus": "SELECT * FROM prompts",
+    "t2_script_prompts": """SELECT track_id, concat_ws(chr(10), 'H', 'Product name: ' || name, 'Product blurb: ' || blurb, 'Ad style: friendly', 'Ad mode: ' || ad_mode, CASE ad_mode WHEN 'DUO' THEN 'Let both speakers talk, in 2 to 4 lines.' ELSE 'Let only speaker ' || ad_mode[1] || ' talk.' END,
+        'Answer with JSON only: {"segments": [{"speaker": "A", "text": "..."}, {"speaker": "B", "text": "..."}]}') AS prompt FROM products""",
     "t3_transcript_rollup": "SELECT track_id, substring(string_agg(text, ' ' ORDER BY seg_idx), 1, 3000) AS transcript FROM segments GROUP BY track_id",
     "t4_parse_choice": "SELECT * FROM choice",
     "k1_top_speakers": "SELECT * FROM speakers",
@@ -192,7 +220,9 @@ _SQL = {
     "k6_block_layout": """WITH a AS (SELECT track_id, turn_idx AS line_idx, label AS speaker, (end_ms - start_ms) % 9000 + 500 AS dur_ms FROM turns)
         SELECT a.*, (SELECT coalesce(sum(b.dur_ms + 180), 0) FROM a b WHERE b.track_id = a.track_id AND b.line_idx < a.line_idx)::BIGINT AS start_ms, t::BIGINT AS total_ms, t <= 25000 AS accepted FROM a JOIN (SELECT track_id, sum(dur_ms + 180) - 180 AS t FROM a GROUP BY track_id) USING (track_id)""",
     "k7_normalize_statements": "SELECT p_partkey AS track_id, [2, 1, 0, 1][p_partkey % 4 + 1]::INT AS n, CASE p_partkey % 4 WHEN 0 THEN p_name || '|7' WHEN 1 THEN p_name WHEN 2 THEN '' ELSE '[' || p_name END AS statements FROM part",
-    "k8_sponsor_statements": """SELECT track_id, ord, id, name, coalesce(own, CASE WHEN name = '' THEN 'Our sponsor' ELSE name END || ' supports this episode with ' || CASE WHEN d = '' THEN 'a thoughtful companion for your day' ELSE d END || ', offering a simple way to stay focused and refreshed.') AS statement, own IS NULL AS generated FROM sponsor""",
+    "k8_sponsor_statements": "SELECT * FROM stated",
+    "k8_listed_statements": """SELECT track_id, o AS ord, 'sponsor-' || (o + 1) AS id, '' AS name, l[o + 1] AS statement, false AS generated FROM
+        (SELECT *, unnest(range(0, len(l)))::INT AS o FROM (SELECT p_partkey AS track_id, CASE p_partkey % 4 WHEN 0 THEN [p_name, '7'] WHEN 1 THEN [p_name] WHEN 3 THEN ['[' || p_name] END AS l FROM part) WHERE l IS NOT NULL)""",
     "k9_assign_sponsors": """WITH n AS (SELECT track_id, id AS sponsor_id, ord, row_number() OVER (PARTITION BY track_id ORDER BY ord) AS p, count(*) OVER (PARTITION BY track_id) AS c FROM sponsor),
         u AS (SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY time) AS p FROM ui)
         SELECT u.track_id, u.id AS slot_id, coalesce(k.sponsor_id, n.sponsor_id) AS sponsor_id FROM u JOIN n ON n.track_id = u.track_id AND n.p = least(u.p, n.c) LEFT JOIN n k ON k.track_id = u.track_id AND u.track_id % 2 = 0 AND k.ord = 2 AND u.id = 'slot-1'""",
@@ -200,7 +230,7 @@ _SQL = {
         FROM (SELECT track_id, ord AS slot, greatest(0, least(at_ms, coalesce(duration_ms, at_ms))) AS at_ms, ad_ms, duration_ms FROM ads JOIN episodes USING (track_id)), range(0, 3) r(o)""",
     "m1_splice_preview": """SELECT track_id, slot, o AS ord, CASE o WHEN 1 THEN 'ad' ELSE 'main' END AS kind, CASE o WHEN 0 THEN greatest(0, at_ms - 3000) WHEN 1 THEN 0 ELSE at_ms END AS src_start_ms, CASE o WHEN 0 THEN at_ms WHEN 1 THEN ad_ms ELSE least(coalesce(duration_ms, at_ms + 3000), at_ms + 3000) END AS src_end_ms
         FROM (SELECT track_id, ord AS slot, greatest(0, least(at_ms, coalesce(duration_ms, at_ms))) AS at_ms, ad_ms, duration_ms FROM ads JOIN episodes USING (track_id)), range(0, 3) r(o)""",
-    "m2_timeline": """WITH a AS (SELECT ads.*, duration_ms, row_number() OVER (PARTITION BY track_id ORDER BY at_ms, ord DESC) AS k FROM ads JOIN episodes USING (track_id) WHERE duration_ms IS NOT NULL),
+    "m2_timeline": """WITH a AS (SELECT ads.*, duration_ms, row_number() OVER (PARTITION BY track_id ORDER BY at_ms, ord DESC) AS k FROM ads JOIN episodes USING (track_id)),
         b AS (SELECT a.*, coalesce((SELECT sum(ad_ms) FROM a x WHERE x.track_id = a.track_id AND x.k < a.k), 0)::BIGINT AS pre, coalesce((SELECT max(at_ms) FROM a x WHERE x.track_id = a.track_id AND x.k < a.k), 0) AS prev FROM a)
         SELECT track_id, (2 * k - 2)::INT AS ord, 'main' AS kind, prev AS src_start_ms, at_ms AS src_end_ms, prev + pre AS out_start_ms FROM b
         UNION ALL SELECT track_id, (2 * k - 1)::INT, 'ad', 0, ad_ms, at_ms + pre FROM b
@@ -210,10 +240,18 @@ _SQL = {
         UNION ALL SELECT track_id, q - c1 + j, amp * pow(10, -6 / 20.0::DOUBLE) * {_ramp('j', '1')} * {_ramp('l - 1 - j', '1')} * {_ramp('j', 'c1')} * {_fall('q - c1 + j', 'm', 'c2')} FROM (SELECT *, frame_idx - q AS j FROM frames JOIN mix USING (track_id)) WHERE j >= 0 AND j < l
         UNION ALL SELECT track_id, m - c2 + k, amp * {_ramp('k', 'c2')} FROM (SELECT *, frame_idx - q - l AS k FROM frames JOIN mix USING (track_id)) WHERE k >= 0
         UNION ALL SELECT track_id, q - c1 + i, amp * {_ramp('i', '2')} * {_ramp('ad - 1 - i', '2')} * {_ramp('i', 'c1')} * {_fall('q - c1 + i', 'm', 'c2')} FROM promo JOIN mix USING (track_id) WHERE i < l)
-        SELECT track_id, o AS out_idx, round(sum(amp), 6) AS amp FROM x GROUP BY track_id, o""",
+        SELECT track_id, o AS out_idx, round(sum(amp), 6) AS amp FROM x GROUP BY track_id, o
+        UNION ALL SELECT track_id, frame_idx, round(amp, 6) FROM frames WHERE track_id NOT IN (SELECT track_id FROM mix)""",
     "m4_audit": """SELECT track_id, round(duration_s + 2, 6) AS expected_s, CASE WHEN track_id % 5 <> 1 THEN round(duration_s + 2 + CASE WHEN track_id % 3 = 0 THEN 0.25 ELSE 0.05 END, 6) END AS actual_s,
         CASE WHEN duration_s IS NULL OR track_id % 5 = 1 THEN 'unknown' WHEN track_id % 3 = 0 THEN 'false' ELSE 'true' END AS match FROM episodes""",
-    "m5_room_tone_bed": """WITH b AS (SELECT track_id, amp, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM frames JOIN fslots USING (track_id) WHERE frame_idx < mid AND frame_idx >= mid - 6)
+    "m4_audit_preview": """SELECT track_id, round(e, 6) AS expected_s, round(a, 6) AS actual_s, CASE WHEN a IS NULL THEN 'unknown' WHEN abs(a - e) < 0.1::DOUBLE THEN 'true' ELSE 'false' END AS match FROM
+        (SELECT track_id, greatest(0.0::DOUBLE, least(coalesce(duration_s, 8.0::DOUBLE), mid + 3) - greatest(0.0::DOUBLE, mid - 3)) + 2 AS e, CASE WHEN track_id % 5 <> 1 THEN 8 + CASE WHEN track_id % 3 = 0 THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END END AS a
+         FROM (SELECT *, coalesce(duration_s / 2, 5.0::DOUBLE) AS mid FROM episodes))""",
+    "m4_audit_summary": """SELECT match, count(*) AS n, round(max(d), 6) AS worst_s FROM (SELECT CASE WHEN duration_s IS NULL OR track_id % 5 = 1 THEN 'unknown' WHEN track_id % 3 = 0 THEN 'false' ELSE 'true' END AS match,
+        CASE WHEN duration_s IS NULL OR track_id % 5 = 1 THEN NULL WHEN track_id % 3 = 0 THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END AS d FROM episodes) GROUP BY match""",
+    "m5_room_tone_bed": """WITH b AS (SELECT track_id, amp, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM frames JOIN fslots USING (track_id) WHERE mode = 'podcast' AND frame_idx < mid AND frame_idx >= mid - 6)
+        SELECT track_id, i, round(q.amp + coalesce((SELECT b.amp FROM b WHERE b.track_id = q.track_id AND b.k = q.i % b.n) * pow(10, -26 / 20.0::DOUBLE), 0), 6) AS amp FROM promo q""",
+    "m5_room_tone_two_speakers": """WITH b AS (SELECT track_id, amp, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM frames JOIN fslots USING (track_id) WHERE frame_idx < mid AND frame_idx >= mid - 6)
         SELECT track_id, i, round(q.amp + coalesce((SELECT b.amp FROM b WHERE b.track_id = q.track_id AND b.k = q.i % b.n) * pow(10, -26 / 20.0::DOUBLE), 0), 6) AS amp FROM promo q""",
     "r1_extract_terms": "SELECT track_id, ord::INT AS ord, term FROM terms",
     "r2_match_products": r"""WITH a AS (SELECT DISTINCT term, unnest(list_distinct(string_split(lower(term), ' '))) AS w FROM terms), h AS (SELECT p_partkey AS key, p_name AS title, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import plans, sources
+from . import sources
 from .fixtures import Catalogue
 from .functions import by_track
 from .operators import candidates as c
@@ -32,25 +32,13 @@ def _6(col: str) -> Column:
     return F.round(col, 6).alias(col)
 
 
-def _merged(x: Catalogue) -> DataFrame:
-    return c.collapse_near(x.silence_cands(), c.boundary_candidates(x.segments(), x.episodes()))
-
-
-def _scored(x: Catalogue) -> DataFrame:
-    return c.score(c.fill_empty(x.episodes(), _merged(x)), x.episodes())
-
-
-def _slots(x: Catalogue) -> DataFrame:
-    return plans.analyse_slots(x.episodes(), x.silence_cands(), x.segments())
-
-
 def _picks(df: DataFrame) -> DataFrame:
     return df.select("track_id", F.size("picks").alias("n"), _joined(F.transform("picks", lambda p: p["ms"].cast("string"))).alias("ms"), _joined(F.transform("picks", lambda p: F.round(p["score"] * 1000).cast("long").cast("string"))).alias("scores"))
 
 
 def _details(x: Catalogue) -> DataFrame:
     """Details for the first slot of some tracks: whole, with two pros, and twice for one place."""
-    first = _slots(x).where("ord = 0").select("track_id", "insertion_ms")
+    first = x.slots().where("ord = 0").select("track_id", "insertion_ms")
     n = F.col("track_id")
     pros = F.when(n % 2 == 0, F.array(F.lit("p1"), F.lit("p2"), F.lit("p3"))).otherwise(F.array(F.lit("p1"), F.lit("p2")))
     rows = first.where("track_id % 3 <> 2").select("track_id", F.lit(0).alias("pos"), "insertion_ms", pros.alias("pros"), F.array(F.lit("c1"), F.lit("c2")).alias("cons"), F.when(n % 5 == 0, " ").otherwise(F.concat(F.lit(" why "), n.cast("string"))).alias("rationale"))
@@ -60,14 +48,14 @@ def _details(x: Catalogue) -> DataFrame:
 
 def _report_text(x: Catalogue) -> DataFrame:
     """Report payloads: points as numbers with a list of confidences, or as objects."""
-    rows = _slots(x).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("ord", "insertion_ms", "confidence_percent"))).alias("s"))
+    rows = x.slots().groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("ord", "insertion_ms", "confidence_percent"))).alias("s"))
     numbers = F.concat(F.lit('{"points": ['), F.array_join(F.transform("s", lambda v: v["insertion_ms"].cast("string")), ", "), F.lit(', "x"], "confidences": [80, null]}'))
     objects = F.concat(F.lit('{"points": ['), F.array_join(F.transform("s", lambda v: F.concat(F.lit('{"time": '), v["insertion_ms"].cast("string"), F.lit(', "confidence": '), v["confidence_percent"].cast("string"), F.lit("}"))), ", "), F.lit(', {"time": "7"}]}'))
     return rows.select("track_id", F.when(F.col("track_id") % 2 == 0, numbers).otherwise(objects).alias("payload"))
 
 
 def _ui(x: Catalogue) -> DataFrame:
-    pairs = _slots(x).where("track_id % 5 <> 0 OR ord < 2").select("track_id", F.col("ord").alias("pos"), F.col("insertion_time_seconds").alias("time"), F.col("confidence_percent").cast("double").alias("confidence"))
+    pairs = x.slots().select("track_id", F.col("ord").alias("pos"), F.col("insertion_time_seconds").alias("time"), F.col("confidence_percent").cast("double").alias("confidence"))
     return s.ui_slots(pairs, x.lengths())
 
 
@@ -77,13 +65,14 @@ def _manual(x: Catalogue) -> DataFrame:
 
 def _ads(x: Catalogue) -> DataFrame:
     """Two or three ads on every track, two of them at one place on some."""
-    base = _slots(x).select("track_id", "ord", F.col("insertion_ms").alias("at_ms"), ((F.col("track_id") % 9 + 1) * 1000 + F.col("ord") * 100).alias("ad_ms"))
+    base = x.slots().select("track_id", "ord", F.col("insertion_ms").alias("at_ms"), ((F.col("track_id") % 9 + 1) * 1000 + F.col("ord") * 100).alias("ad_ms"))
     first = F.min(F.when(F.col("ord") == 0, F.col("at_ms"))).over(by_track())
     return base.withColumn("at_ms", F.when((F.col("track_id") % 4 == 0) & (F.col("ord") == 1), first).otherwise(F.col("at_ms")))
 
 
-def _known(x: Catalogue) -> DataFrame:
-    return x.lengths().where("duration_ms IS NOT NULL")
+def _rationale() -> Column:
+    """The rationale; but for its number where that stands halfway between two, which engines print apart."""
+    return F.when(F.col("insertion_ms") % 100 == 50, F.regexp_replace("rationale", "[0-9]+[.][0-9]s", "#")).otherwise(F.col("rationale")).alias("rationale")
 
 
 def s1_episodes(x: Catalogue) -> DataFrame:
@@ -95,8 +84,27 @@ def s2_read_analysis(x: Catalogue) -> DataFrame:
 
 
 def s3_slot_report(x: Catalogue) -> DataFrame:
-    report = sources.slot_report(_slots(x), x.lengths())
-    return report.select("track_id", _ms("duration").alias("duration_ms"), F.size("slots").alias("n"), _joined(F.transform("points", lambda p: F.round(p * 1000).cast("long").cast("string"))).alias("points_ms"), _joined(F.transform("confidences", lambda p: p.cast("string"))).alias("confidences"))
+    report = sources.slot_report(x.slots(), x.lengths(), sources.analysis_source(x.payloads()), sp.sponsor_statements(x.sponsors()))
+    said = lambda c: _joined(F.transform("sponsor_statements", lambda v: v[c]))
+    return report.select(
+        "track_id", _ms("duration").alias("duration_ms"), "source", F.size("slots").alias("n"), _joined(F.transform("points", lambda p: F.round(p * 1000).cast("long").cast("string"))).alias("points_ms"),
+        _joined(F.transform("confidences", lambda p: p.cast("string"))).alias("confidences"), said("id").alias("sponsor_ids"), said("statement").alias("statements"),
+    )
+
+
+def s3_audit_record(x: Catalogue) -> DataFrame:
+    cands = x.silence_cands().where("seq <= 30")
+    bounded = c.bound(cands, x.lengths())
+    choices = t.parse_choice(x.choice_answers(), x.products())
+    chosen = c.apply_choice(c.default_insertion(x.lengths(), bounded), bounded, choices, x.lengths())
+    contexts = t.context_before(x.silence_cands(), x.segments())
+    loudness = f.context_loudness(x.frames(), x.frame_slots(), _promo_frames(x), window_ms=1500)
+    record = sources.audit_record(chosen, cands, bounded, x.episodes(), x.beats(), loudness, contexts, t.prompt_corpus(x.products(), contexts, header="H"), x.choice_answers())
+    listed = lambda name: _joined(F.transform(name, lambda v: v.cast("string"))).alias(name)
+    return record.select(
+        "track_id", "chosen_ms", listed("candidates_ms"), listed("candidates_for_prompt_ms"), "mode", "beat_times_count", "chosen_beat_index", _6("target_lufs"), _6("before_lufs"), _6("after_lufs"),
+        "min_insert_ms", "end_buffer_ms", "transcript_before", "prompt", "raw_text",
+    )
 
 
 def f1_frame_rms(x: Catalogue) -> DataFrame:
@@ -128,8 +136,13 @@ def f6_snap_to_beat(x: Catalogue) -> DataFrame:
     return f.snap_to_beat(minima, x.beats(), 8)
 
 
+def _promo_frames(x: Catalogue) -> DataFrame:
+    return x.promo().select("track_id", F.col("i").alias("frame_idx"), (F.col("i") * 100).alias("t_ms"), (F.col("amp") * F.col("amp")).alias("ms_power"))
+
+
 def f8_context_loudness(x: Catalogue) -> DataFrame:
-    return f.context_loudness(x.frames(), x.frame_slots(), window_ms=1500).select("track_id", "ms", _6("target_lufs"), _6("gain_db"), _6("after_lufs"))
+    out = f.context_loudness(x.frames(), x.frame_slots().select("track_id", "ms"), _promo_frames(x), window_ms=1500)
+    return out.select("track_id", "ms", _6("target_lufs"), _6("before_lufs"), _6("gain_db"), _6("after_lufs"))
 
 
 def c1_bound(x: Catalogue) -> DataFrame:
@@ -143,19 +156,19 @@ def c3_apply_choice(x: Catalogue) -> DataFrame:
 
 
 def c4_boundary_candidates(x: Catalogue) -> DataFrame:
-    return c.boundary_candidates(x.segments(), x.episodes())
+    return x.boundaries()
 
 
 def c11_slot_record(x: Catalogue) -> DataFrame:
-    return s.slot_record(c.clamp_dedupe(c.top_up(c.select_separated(_scored(x))))).select("track_id", "ord", "insertion_ms", "insertion_time_seconds", "confidence_percent", "band", "label", "silence_ms", "snippet")
+    return s.slot_record(c.clamp_dedupe(c.top_up(c.select_separated(x.scored())))).select("track_id", "ord", "insertion_ms", "insertion_time_seconds", "confidence_percent", "band", "label", "silence_ms", "snippet")
 
 
 def c12_pros_cons(x: Catalogue) -> DataFrame:
-    return _slots(x).select("track_id", "ord", "insertion_ms", _joined("pros").alias("pros"), _joined("cons").alias("cons"), F.regexp_replace("rationale", "[0-9]+[.][0-9]", "#").alias("rationale"))
+    return x.slots().select("track_id", "ord", "insertion_ms", _joined("pros").alias("pros"), _joined("cons").alias("cons"), _rationale())
 
 
 def c13_override_details(x: Catalogue) -> DataFrame:
-    return s.override_details(_slots(x), _details(x)).select("track_id", "ord", "insertion_ms", _joined("pros").alias("pros"), _joined("cons").alias("cons"), F.regexp_replace("rationale", "[0-9]+[.][0-9]", "#").alias("rationale"))
+    return s.override_details(x.slots(), _details(x)).select("track_id", "ord", "insertion_ms", _joined("pros").alias("pros"), _joined("cons").alias("cons"), _rationale())
 
 
 def c15_ui_slots(x: Catalogue) -> DataFrame:
@@ -189,11 +202,14 @@ def k5_resolve_voice(x: Catalogue) -> DataFrame:
     return k.resolve_voice(wanted, settings, clones)
 
 
-def k7_normalize_statements(x: Catalogue) -> DataFrame:
+def _statements(x: Catalogue) -> DataFrame:
     n = F.col("p_partkey")
     value = F.when(n % 4 == 0, F.concat(F.lit('[" '), "p_name", F.lit(' ", "", null, 7]'))).when(n % 4 == 1, F.concat(F.lit("  "), "p_name", F.lit(" "))).when(n % 4 == 2, "  ").otherwise(F.concat(F.lit("["), "p_name"))
-    rows = sp.normalize_statements(x._table("part").select(n.alias("track_id"), value.alias("value")))
-    return rows.select("track_id", F.size("statements").alias("n"), _joined("statements").alias("statements"))
+    return sp.normalize_statements(x._table("part").select(n.alias("track_id"), value.alias("value")))
+
+
+def k7_normalize_statements(x: Catalogue) -> DataFrame:
+    return _statements(x).select("track_id", F.size("statements").alias("n"), _joined("statements").alias("statements"))
 
 
 def k9_assign_sponsors(x: Catalogue) -> DataFrame:
@@ -212,20 +228,36 @@ def m3_overlay_gain(x: Catalogue) -> DataFrame:
     return m.overlay_gain(x.frames(), x.promo(), x.frame_slots().select("track_id", "at"), duck_db=6.0).select("track_id", "out_idx", _6("amp"))
 
 
-def m4_audit(x: Catalogue) -> DataFrame:
+def _audited(x: Catalogue) -> DataFrame:
     plan = x.lengths().select("track_id", (F.col("duration_s") / 2).alias("at_s"), "duration_s", F.lit(2.0).alias("ad_s"))
     actual = x.lengths().where("track_id % 5 <> 1").select("track_id", (F.col("duration_s") + 2 + F.when(F.col("track_id") % 3 == 0, 0.25).otherwise(0.05)).alias("actual_s"))
-    return m.audit(plan, actual).select("track_id", _6("expected_s"), _6("actual_s"), "match")
+    return m.audit(plan, actual)
+
+
+def m4_audit(x: Catalogue) -> DataFrame:
+    return _audited(x).select("track_id", _6("expected_s"), _6("actual_s"), "match")
+
+
+def m4_audit_preview(x: Catalogue) -> DataFrame:
+    """Slots in the middle, or at 5 s where the length is unknown; previews of 3 s on both sides that were cut to 8 s."""
+    plan = x.lengths().select("track_id", F.coalesce(F.col("duration_s") / 2, F.lit(5.0)).alias("at_s"), "duration_s", F.lit(2.0).alias("ad_s"))
+    actual = x.lengths().where("track_id % 5 <> 1").select("track_id", (F.lit(8.0) + F.when(F.col("track_id") % 3 == 0, 0.25).otherwise(0.05)).alias("actual_s"))
+    return m.audit(plan, actual, preview_s=3.0).select("track_id", _6("expected_s"), _6("actual_s"), "match")
 
 
 def m5_room_tone_bed(x: Catalogue) -> DataFrame:
-    return m.room_tone_bed(x.frames(), x.promo(), x.frame_slots().select("track_id", "at")).select("track_id", "i", _6("amp"))
+    return m.room_tone_bed(x.frames(), x.promo(), x.frame_slots()).select("track_id", "i", _6("amp"))
+
+
+def m5_room_tone_two_speakers(x: Catalogue) -> DataFrame:
+    return m.room_tone_bed(x.frames(), x.promo(), x.frame_slots(), podcasts_only=False).select("track_id", "i", _6("amp"))
 
 
 OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "s1_episodes": s1_episodes,
     "s2_read_analysis": s2_read_analysis,
     "s3_slot_report": s3_slot_report,
+    "s3_audit_record": s3_audit_record,
     "f1_frame_rms": f1_frame_rms,
     "f2_quietest": f2_quietest,
     "f3_quiet_threshold": f3_quiet_threshold,
@@ -239,12 +271,12 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "c2_default_insertion": lambda x: c.default_insertion(x.lengths(), c.bound(x.silence_cands(), x.lengths())),
     "c3_apply_choice": c3_apply_choice,
     "c4_boundary_candidates": c4_boundary_candidates,
-    "c5_collapse_near": _merged,
-    "c6_fill_empty": lambda x: c.fill_empty(x.episodes(), _merged(x).where("track_id % 7 <> 0")),
-    "c7_score": lambda x: _scored(x).select("track_id", "ms", "src", "seq", F.round(F.col("score") * 10000).cast("long").alias("score")),
-    "c8_select_separated": lambda x: _picks(c.select_separated(_scored(x))),
-    "c9_top_up": lambda x: _picks(c.top_up(c.select_separated(_scored(x)))),
-    "c10_clamp_dedupe": lambda x: c.clamp_dedupe(c.top_up(c.select_separated(_scored(x)))).select("track_id", "ord", "ms"),
+    "c5_collapse_near": lambda x: x.merged(),
+    "c6_fill_empty": lambda x: c.fill_empty(x.episodes(), x.merged()),
+    "c7_score": lambda x: x.scored().select("track_id", "ms", "src", "seq", F.round(F.col("score") * 10000).cast("long").alias("score")),
+    "c8_select_separated": lambda x: _picks(c.select_separated(x.scored())),
+    "c9_top_up": lambda x: _picks(c.top_up(c.select_separated(x.scored()))),
+    "c10_clamp_dedupe": lambda x: c.clamp_dedupe(c.top_up(c.select_separated(x.scored()))).select("track_id", "ord", "ms"),
     "c11_slot_record": c11_slot_record,
     "c12_pros_cons": c12_pros_cons,
     "c13_override_details": c13_override_details,
@@ -253,6 +285,7 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "c16_add_manual": c16_add_manual,
     "t1_context_before": t1_context_before,
     "t2_prompt_corpus": t2_prompt_corpus,
+    "t2_script_prompts": lambda x: t.script_prompts(x.products(), header="H"),
     "t3_transcript_rollup": lambda x: t.transcript_rollup(x.segments()),
     "t4_parse_choice": lambda x: t.parse_choice(x.choice_answers(), x.products()),
     "k1_top_speakers": lambda x: k.top_speakers(x.turns()),
@@ -263,13 +296,17 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "k6_block_layout": lambda x: k.block_layout(x.ad_parts()),
     "k7_normalize_statements": k7_normalize_statements,
     "k8_sponsor_statements": lambda x: sp.sponsor_statements(x.sponsors()),
+    "k8_listed_statements": lambda x: sp.listed_statements(_statements(x)),
     "k9_assign_sponsors": k9_assign_sponsors,
     "m1_splice_pieces": lambda x: m.splice_pieces(_m1(x)),
     "m1_splice_preview": lambda x: m.splice_pieces(_m1(x), 3000),
-    "m2_timeline": lambda x: m.timeline(_ads(x).join(_known(x).select("track_id"), "track_id"), _known(x)),
+    "m2_timeline": lambda x: m.timeline(_ads(x), x.lengths()),
     "m3_overlay_gain": m3_overlay_gain,
     "m4_audit": m4_audit,
+    "m4_audit_preview": m4_audit_preview,
+    "m4_audit_summary": lambda x: m.audit_summary(_audited(x)).select("match", "n", _6("worst_s")),
     "m5_room_tone_bed": m5_room_tone_bed,
+    "m5_room_tone_two_speakers": m5_room_tone_two_speakers,
     "r1_extract_terms": lambda x: r.extract_terms(x.term_answers()),
     "r2_match_products": lambda x: r.match_products(r.extract_terms(x.term_answers()), x.catalogue()),
 }
@@ -284,4 +321,4 @@ QUERIES = {name: _query(over) for name, over in OVER_CATALOGUE.items()}
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best separated slots of every track, with their explanations."""
-    return _slots(Catalogue(spark, sf_dir))
+    return Catalogue(spark, sf_dir).slots()

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from adslots import sources
-from adslots.functions import UNAVAILABLE, ends_sentence
+from adslots.functions import UNAVAILABLE, ends_sentence, unfenced
 from adslots.operators import candidates as c
 from adslots.operators import frames as f
+from adslots.operators import products as r
 from adslots.operators import slots as s
 from adslots.operators import speakers as k
 from adslots.operators import splice as m
@@ -109,6 +110,26 @@ def test_collapse_equals_the_plain_fold(spark):
     assert sorted(rows(out.select("track_id", "ms", "src", "seq"))) == sorted(want)
 
 
+def test_collapse_of_one_long_island(spark, monkeypatch):
+    """1,500 candidates without a step over the gap, folded in pieces of 7."""
+    monkeypatch.setattr(c, "FOLD", 7)
+    rng = random.Random(8)
+    items, at = [], 0
+    for seq in range(1500):
+        at += rng.choice([50, 150, 300, 400])
+        items.append((1, seq, at, rng.choice([0, 300, 700]), rng.choice(["", "a.", "b"])))
+    want = _fold([(ms, 0, seq, sil, text.endswith(".")) for _, seq, ms, sil, text in items])
+    out = c.collapse_near(spark.createDataFrame(items, CAND), spark.createDataFrame([], CAND))
+    assert sorted(r[0] for r in out.select("seq").collect()) == [w[2] for w in want]
+
+
+def test_empty_tracks_are_filled_and_others_kept(spark):
+    episodes = spark.createDataFrame([(1, "podcast", 10.0), (2, "podcast", None), (3, "song", 8.0)], EPISODE)
+    cands = spark.createDataFrame([(1, 500, 0, "x", 0, 4), (9, 700, 0, "y", 1, 5)], "track_id long, ms long, silence_ms long, snippet string, src int, seq int")
+    got = rows(c.fill_empty(episodes, cands).select("track_id", "ms", "src", "seq"), "track_id", "ms")
+    assert got == [(1, 500, 0, 4), (2, 12000, 2, 0), (2, 24000, 2, 1), (2, 36000, 2, 2), (3, 2000, 2, 0), (3, 4000, 2, 1), (3, 6000, 2, 2), (9, 700, 1, 5)]
+
+
 def test_score_treats_both_missing_marks_alike(spark):
     cands = spark.createDataFrame([(1, i, 50000, 0, x) for i, x in enumerate(["", UNAVAILABLE, None, "said.", "said"])], CAND)
     eps = spark.createDataFrame([(1, "podcast", 100.0)], EPISODE)
@@ -157,6 +178,28 @@ def test_answers_are_read_leniently(spark):
     assert got[1][3] == "r" and got[2][3] == t.BROKEN
 
 
+def test_unfenced_answers(spark):
+    texts = ['```json\n{"a": 1}\n```', "```\n{}\n```  ", "well {x} and {y} end", "{open", "none", "", None, "``` {z} ```", '```\nso {"k": "}"} it is\n```', "} {"]
+    out = spark.createDataFrame([(x,) for x in texts], "t string").select(unfenced(F.col("t")))
+    assert [r[0] for r in out.collect()] == ['{"a": 1}', "{}", "{x} and {y}", "{open", "none", "", None, "{z}", '{"k": "}"}', "} {"]
+
+
+def test_matches_equal_brute_force(spark):
+    """Frequent words, ties, equal titles, and texts of more words than sets are made of."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("red red red blue blue green lime navy pink".split())
+    titles = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 9])))) for i in range(120)]
+    asked = [(i, 1, " ".join(word() for _ in range(rng.choice([1, 2, 4, 12])))) for i in range(25)] + [(99, 1, "nothing"), (98, 1, "a b c d e f g red")]
+    many = "a b c d e f g h i".split()
+    titles += [(200 + i, " ".join(rng.sample(many, 8))) for i in range(5)]
+    want = set()
+    for i, o, term in asked:
+        ranked = sorted((-len(set(term.split()) & set(t.split())), key, t) for key, t in titles)
+        want |= {(i, o, term, n, key, t) for n, (k_, key, t) in enumerate(ranked[:3], 1) if k_ < 0}
+    out = r.match_products(spark.createDataFrame(asked, "track_id long, ord int, term string"), spark.createDataFrame(titles, "key long, title string"))
+    assert {tuple(x) for x in out.select("track_id", "ord", "term", "rank", "key", "title").collect()} == want
+
+
 def test_two_top_speakers(spark):
     turns = [(1, 0, "x", 0, 100), (1, 1, "y", 100, 300), (1, 2, "z", 300, 310), (1, 3, "x", 310, 410), (1, 4, "y", 410, 410)]
     out = k.top_speakers(spark.createDataFrame(turns, "track_id long, turn_idx int, label string, start_ms long, end_ms long"))
@@ -208,6 +251,62 @@ def test_overlay_without_ramps_is_a_sum(spark):
     assert m.overlay_gain(frames, promo, slots, crossfade=2).count() == 10 - 4
 
 
+def test_tracks_without_an_ad_stay(spark):
+    frames = spark.createDataFrame([(t_, i, 1.0) for t_ in (1, 2) for i in range(5)], "track_id long, frame_idx long, amp double")
+    promo = spark.createDataFrame([(1, i, 2.0) for i in range(9)], "track_id long, i long, amp double")  # longer than the rest
+    slots = spark.createDataFrame([(1, 2), (2, 2)], "track_id long, at long")
+    out = rows(m.overlay_gain(frames, promo, slots, crossfade=0, fade=0), "track_id", "out_idx")
+    assert out == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 3.0), (1, 3, 3.0), (1, 4, 3.0), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0), (2, 3, 1.0), (2, 4, 1.0)]
+
+
+def test_room_tone_is_for_podcasts_unless_two_speak(spark):
+    frames = spark.createDataFrame([(t_, i, 4.0) for t_ in (1, 2) for i in range(5)], "track_id long, frame_idx long, amp double")
+    promo = spark.createDataFrame([(t_, i, 1.0) for t_ in (1, 2) for i in range(2)], "track_id long, i long, amp double")
+    slots = spark.createDataFrame([(1, "podcast", 3), (2, "song", 3)], "track_id long, mode string, at long")
+    one = {(r_["track_id"], r_["amp"]) for r_ in m.room_tone_bed(frames, promo, slots, gain_db=0.0).collect()}
+    two = {(r_["track_id"], r_["amp"]) for r_ in m.room_tone_bed(frames, promo, slots, gain_db=0.0, podcasts_only=False).collect()}
+    assert one == {(1, 5.0), (2, 1.0)} and two == {(1, 5.0), (2, 5.0)}
+
+
+def test_loudness_is_measured_again_after_the_gain(spark):
+    """An ad with a quiet half under the gate: its gain lifts that half over the gate, so the loudness after isn't the
+    target."""
+    frame = "track_id long, frame_idx long, t_ms long, ms_power double"
+    frames = spark.createDataFrame([(1, i, i * 100, 1.0) for i in range(40)], frame)
+    ads = spark.createDataFrame([(1, i, i * 100, 1e-6 if i < 20 else 0.9e-7) for i in range(40)] + [(2, 0, 0, 1.0)], frame)
+    slots = spark.createDataFrame([(1, 2000), (2, 50)], "track_id long, ms long")
+    out = {r_["track_id"]: r_ for r_ in f.context_loudness(frames, slots, ads).collect()}
+    assert out[1]["target_lufs"] == pytest.approx(-0.691) and out[1]["gain_db"] == pytest.approx(out[1]["target_lufs"] - out[1]["before_lufs"])
+    assert out[1]["after_lufs"] < out[1]["target_lufs"] - 0.5
+    assert out[2]["target_lufs"] == out[2]["before_lufs"] == out[2]["after_lufs"] == -70 and out[2]["gain_db"] == 0
+
+
+def test_report_and_audit_of_a_bare_track(spark):
+    chosen = spark.createDataFrame([(1, 30000), (2, 500)], "track_id long, chosen_ms long")
+    cands = spark.createDataFrame([(2, 1, 900), (2, 0, 500)], "track_id long, seq int, ms long")
+    beats = spark.createDataFrame([(2, 100), (2, 500), (1, 7)], "track_id long, beat_ms long")
+    loud = spark.createDataFrame([(2, -20.0, -30.0, -20.0)], "track_id long, target_lufs double, before_lufs double, after_lufs double")
+    contexts = spark.createDataFrame([(2, 500, "said"), (1, 30000, "")], "track_id long, ms long, context string")
+    prompts = spark.createDataFrame([(2, "p" * 900)], "track_id long, prompt string")
+    answers = spark.createDataFrame([(2, "raw")], "track_id long, raw_text string")
+    out = {x["track_id"]: x for x in sources.audit_record(chosen, cands, cands.where("seq = 0"), spark.createDataFrame([(2, "song", 9.0)], EPISODE), beats, loud, contexts, prompts, answers).collect()}
+    assert (out[2]["candidates_ms"], out[2]["candidates_for_prompt_ms"], out[2]["chosen_beat_index"], out[2]["beat_times_count"]) == ([500, 900], [500], 1, 2)
+    assert out[2]["transcript_before"] == "said" and len(out[2]["prompt"]) == 500 and out[2]["raw_text"] == "raw" and out[2]["mode"] == "song"
+    assert (out[1]["candidates_ms"], out[1]["chosen_beat_index"], out[1]["beat_times_count"], out[1]["transcript_before"]) == ([], None, 1, UNAVAILABLE)
+
+
+def test_catalogue_reads_its_documents_once(spark, small, monkeypatch):
+    """Segments, episodes and slots are stored: what is built on them doesn't read the documents again."""
+    from adslots import fixtures, queries
+
+    for name in ("s3_slot_report", "c13_override_details", "c16_add_manual", "k9_assign_sponsors", "m2_timeline"):
+        read, plain = [], fixtures.table
+        monkeypatch.setattr(fixtures, "table", lambda spark_, d, t_: read.append(t_) or plain(spark_, d, t_))
+        queries.QUERIES[name](spark, small)
+        assert read.count("documents") == 1
+        monkeypatch.setattr(fixtures, "table", plain)
+
+
 def test_audit(spark):
     plan = spark.createDataFrame([(1, 5.0, 10.0, 2.0), (2, 5.0, None, 2.0), (3, 5.0, 10.0, 2.0)], "track_id long, at_s double, duration_s double, ad_s double")
     actual = spark.createDataFrame([(1, 12.05), (2, 1.0), (3, 22.0)], "track_id long, actual_s double")
