@@ -1,16 +1,17 @@
-"""Helpers shared by the operators: tables, materialised cuts, keys."""
+"""Helpers shared by the operators: tables, stored cuts, sums and numbers over all rows, keys."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop_cut, scratch, shared_dir
+
+__all__ = ["cut", "drop_cut", "lower_ascii", "running", "scratch", "shared_dir", "spread", "table", "unit_interval"]
+
 #: Fixed value: words are maximal runs of characters other than ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Equal rows written out by one task at a time.
@@ -21,59 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where the setting is unset and all is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-#: Folders written by `cut`, by the scopes that are open, the innermost last.
-_scopes: list[list[str]] = []
-
-
-def cut(df: DataFrame, outer: bool = False) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: lineage ends there, on replicated
-    storage, so a lost executor costs no recomputation and reruns of what follows read the same rows. With `outer` it
-    outlives the innermost scope."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if len(_scopes) > outer:
-        _scopes[-1 - outer].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what `cut` has written inside it. Whoever reads a query's result does so inside."""
-    mine: list[str] = []
-    _scopes.append(mine)
-    try:
-        yield
-    finally:
-        _scopes.remove(mine)
-        for path in mine:
-            _remove(spark, path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Removes what `cut` wrote for `df` once nothing reads it any more, as loops do with the round before."""
-    _remove(df.sparkSession, df._cut_path)
-
-
 def spread(groups: DataFrame, *key: str) -> DataFrame:
     """groups(..., n) with n rows for each row, numbered `_row` 0 to n-1; a large n is written out by many tasks."""
     chunks = groups.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPREAD_ROWS})"))).repartition(*key, "_chunk")
