@@ -27,6 +27,7 @@ gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +243,8 @@ def _singles(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """((h1, h2, lo, hi), texts): every start lo..hi of a string of `length` bytes that starts anywhere else, but for
-    equal texts, and (h1, h2, text) of the texts that may hold one."""
+    """((h1, h2, lo, hi, mask), texts): every start lo..hi, or lo + k for each bit k of a mask, of a string of `length`
+    bytes that starts anywhere else, but for equal texts, and (h1, h2, text) of the texts that may hold one."""
     whole, going = _rerank(_start(docs, length), ["seed"], "whole", (*KEY, "a"))
     keys = whole.select(*KEY).union(going.select(*KEY)).distinct()
     texts = cut(_keyed(docs).join(keys, KEY, "left_semi").dropDuplicates(KEY))
@@ -255,7 +256,22 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     going2 = going2.withColumn("rank", F.xxhash64("rank", "n369"))
     singles = cut(_singles(texts, going2, length))
     one = _survivors(singles, ["rank", "d", "rest"], (*KEY, "p")).where("NOT settled")
-    return whole.union(some).union(one.select(*KEY, F.col("p").alias("lo"), F.col("p").alias("hi"))), texts
+    # 64 neighbouring starts are one row, however many parts of a long text are dealt to one task
+    cell, bit = F.expr("p div 64").alias("cell"), F.expr("shiftleft(1L, cast(p % 64 as int))")
+    cells = one.groupBy(*KEY, cell).agg(F.bit_or(bit).alias("mask")).select(*KEY, (F.col("cell") * 64).alias("lo"), F.lit(-1).cast("long").alias("hi"), "mask")
+    ranges = whole.union(some).withColumn("mask", F.lit(0).cast("long"))
+    return ranges.unionByName(cells), texts
+
+
+def _ranges(parts: list[dict]) -> Iterator[tuple[int, int]]:
+    """The starts of the parts as (first, last)."""
+    for x in parts:
+        if x["mask"] == 0:
+            yield x["lo"], x["hi"]
+            continue
+        bits = np.flatnonzero(np.unpackbits(np.array([x["mask"]], np.int64).view(np.uint8), bitorder="little"))
+        for run in np.split(bits, np.flatnonzero(np.diff(bits) > 1) + 1):
+            yield x["lo"] + int(run[0]), x["lo"] + int(run[-1])
 
 
 RESULT = "h1 bigint, h2 bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
@@ -274,7 +290,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows = []
                 for r in batch.slice(at, 64).to_pylist():
                     data, spans = r["text"].encode(), []
-                    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in r["parts"]):
+                    for lo, hi in sorted((a, b + length) for a, b in _ranges(r["parts"])):
                         if spans and lo <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], hi)
                         else:
@@ -284,7 +300,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append((r["h1"], r["h2"], sum(b - a for a, b in spans), [{"start": a, "stop": b} for a, b in spans], kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return _with_text(starts, texts, "lo", "hi").mapInArrow(run, RESULT)
+    return _with_text(starts, texts, "lo", "hi", "mask").mapInArrow(run, RESULT)
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
