@@ -247,7 +247,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     bytes that starts anywhere else, but for equal texts, and (h1, h2, text) of the texts that may hold one."""
     whole, going = _rerank(_start(docs, length), ["seed"], "whole", (*KEY, "a"))
     keys = whole.select(*KEY).union(going.select(*KEY)).distinct()
-    texts = cut(_keyed(docs).join(keys, KEY, "left_semi").dropDuplicates(KEY))
+    # equal texts become one before the shuffle, in every task
+    texts = cut(_keyed(docs).dropDuplicates(KEY).join(keys, KEY, "left_semi"))
     place = (*KEY, "a", "j")
     cuts = cut(_cuts(texts, going, length).withColumn("rank", F.xxhash64("seed", "j")).drop("seed"))
     for name in ("n128", "n256"):
