@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import by_track, ends_sentence
 from .operators import candidates as c
 from .operators import frames as f
-from .operators import slots as sl
+from .plans import analyse_slots
 from .sources import episodes as resolve
 from .storage import cut
 
@@ -84,7 +84,7 @@ class Catalogue:
         return c.score(c.fill_empty(self.episodes(), self.merged()), self.episodes())
 
     def slots(self) -> DataFrame:
-        return self._stored("slots", lambda: sl.pros_cons(sl.slot_record(c.clamp_dedupe(c.top_up(c.select_separated(self.scored()))))))
+        return self._stored("slots", lambda: analyse_slots(self.episodes(), self.silence_cands(), self.marks()))
 
     def frames(self) -> DataFrame:
         at = F.row_number().over(by_track("ts", "event_id")).cast("long") - 1
