@@ -40,15 +40,23 @@ class Catalogue:
 
     def segments(self) -> DataFrame:
         words = F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "")
-        w = self._table("documents").select(F.col("doc_id").alias("track_id"), words.alias("ws")).where(F.size("ws") > 0)
-        rows = w.select("track_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 1, F.lit(12))).alias("o"))
+        w = self._table("documents").select(F.col("doc_id").alias("track_id"), words.alias("ws"))
+        # an outer explode, as a filter before the explode would split each text twice
+        starts = F.when(F.size("ws") > 0, F.sequence(F.lit(0), F.size("ws") - 1, F.lit(12)))
+        rows = w.select("track_id", "ws", F.explode_outer(starts).alias("o")).where("o IS NOT NULL")
         rows = rows.select("track_id", F.col("o").cast("long").alias("o"), F.slice("ws", F.col("o") + 1, F.lit(12)).alias("part")).withColumn("seg_idx", F.expr("cast(o div 12 as int)"))
         rows = rows.select("track_id", "seg_idx", F.array_join("part", " ").alias("text"), (F.col("o") * 400).alias("start_ms"),
                            F.greatest(F.col("o") * 400 + 100, (F.col("o") + F.size("part")) * 400 - ((F.col("seg_idx") * 7 + F.col("track_id")) % 10) * 100).alias("end_ms"))
         return rows.select("*", (F.col("start_ms") / F.lit(1000.0)).alias("start_s"), (F.col("end_ms") / F.lit(1000.0)).alias("end_s"))
 
+    def transcripts(self) -> DataFrame:
+        """All segments with their texts, stored; taken for the marks too by a query that needs both."""
+        return self._stored("transcripts", self.segments)
+
     def marks(self) -> DataFrame:
         """All segments, but with the texts of only those that end a sentence: what placing an ad needs of them."""
+        if "transcripts" in self._held:
+            return self._held["transcripts"]
         return self._stored("marks", lambda: self.segments().withColumn("text", F.when(ends_sentence(F.col("text")), F.col("text"))))
 
     def raw_episodes(self) -> DataFrame:

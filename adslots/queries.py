@@ -93,11 +93,11 @@ def s3_slot_report(x: Catalogue) -> DataFrame:
 
 
 def s3_audit_record(x: Catalogue) -> DataFrame:
+    contexts = _contexts(x)
     cands = x.silence_cands().where("seq <= 30")
     bounded = c.bound(cands, x.lengths())
     choices = t.parse_choice(x.choice_answers(), x.products())
     chosen = c.apply_choice(c.default_insertion(x.lengths(), bounded), bounded, choices, x.lengths())
-    contexts = t.context_before(x.silence_cands(), x.segments())
     loudness = f.context_loudness(x.frames(), x.frame_slots(), _promo_frames(x), window_ms=1500)
     record = sources.audit_record(chosen, cands, bounded, x.episodes(), x.beats(), loudness, contexts, t.prompt_corpus(x.products(), contexts, header="H"), x.choice_answers())
     listed = lambda name: _joined(F.transform(name, lambda v: v.cast("string"))).alias(name)
@@ -179,12 +179,17 @@ def c16_add_manual(x: Catalogue) -> DataFrame:
     return s.add_manual(_ui(x), _manual(x), x.lengths()).select("track_id", "pos", "id", _6("time"), "confidence")
 
 
+def _contexts(x: Catalogue) -> DataFrame:
+    said = x.transcripts()
+    return t.context_before(x.silence_cands(), said)
+
+
 def t1_context_before(x: Catalogue) -> DataFrame:
-    return t.context_before(x.silence_cands(), x.segments()).select("track_id", "seq", "ms", "context")
+    return _contexts(x).select("track_id", "seq", "ms", "context")
 
 
 def t2_prompt_corpus(x: Catalogue) -> DataFrame:
-    return t.prompt_corpus(x.products(), t.context_before(x.silence_cands(), x.segments()), header="H")
+    return t.prompt_corpus(x.products(), _contexts(x), header="H")
 
 
 def _script(x: Catalogue) -> DataFrame:
