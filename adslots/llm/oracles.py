@@ -104,3 +104,14 @@ v AS (SELECT host, template, (bad + 4.0::DOUBLE * ((bad_h + 4.0::DOUBLE * p_all)
 SELECT page_id, sh.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, pt.template
 FROM sh JOIN pt ON pt.host = sh.host AND pt.shape = sh.shape JOIN v ON v.host = pt.host AND v.template = pt.template
 """
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 3),
+m AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id IS DISTINCT FROM top AS gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""

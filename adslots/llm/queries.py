@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
+from . import decontaminate, htmltext, lines, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
@@ -70,10 +75,12 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op4_sharding": op4_sharding,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": oracles.OP3,
     "op5_decontamination": oracles.OP5,
     "op6_quality": oracles.OP6,
+    "op11_line_dedup": oracles.OP11,
 }
