@@ -42,6 +42,8 @@ A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 ENTRIES, DOCUMENTS, PIECE = 4_000_000, 1 << 16, 2 << 20
 #: Bytes that a tokenizer's file may have, as it's sent to every executor.
 LARGEST = 64 << 20
+#: Code points from which on a text is encoded by the file's own library, as the faster one's pattern has a stack of 10^6.
+LONG = 250_000
 _ID_BITS, _DOC_BITS = 23, 16
 #: The pre-tokenizer's pattern of the byte-level tokenizer, and the sign for a space in pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,25 +67,25 @@ def _byte_letters() -> dict[str, int]:
 
 class ByteLevel:
     """A byte-level BPE tokenizer from its JSON. The id of a merge's product grows with the merge's turn, so ids serve as
-    ranks; where a file doesn't have that order the file's own library encodes."""
+    ranks for a faster library; very long texts, and all where a file doesn't have that order, go to the file's own."""
 
     def __init__(self, data: bytes):
         import tiktoken
+        from tokenizers import Tokenizer
 
         spec = json.loads(data)
         model, letters = spec["model"], _byte_letters()
         special = {t["content"] for t in spec["added_tokens"]}
         self.table = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if t not in special}
         turns = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if turns == sorted(turns) and len(set(turns)) == len(turns) and len(turns) + 256 == len(self.table):
-            self._encoding = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks={v: k for k, v in self.table.items()}, special_tokens={})
-            self.encode = lambda texts: [self._encoding.encode_ordinary(t) for t in texts]
-        else:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_str(data.decode())
-            own.encode_special_tokens = True
-            self.encode = lambda texts: [own.encode(t, add_special_tokens=False).ids for t in texts]
+        self._ranked = turns == sorted(turns) and len(set(turns)) == len(turns) and len(turns) + 256 == len(self.table)
+        self._fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks={v: k for k, v in self.table.items()}, special_tokens={})
+        self._own = Tokenizer.from_str(data.decode())
+        self._own.encode_special_tokens = True
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        fast = [self._ranked and len(t) < LONG for t in texts]
+        return [self._fast.encode_ordinary(t) if f else self._own.encode(t, add_special_tokens=False).ids for t, f in zip(texts, fast)]
 
 
 class Pieces:

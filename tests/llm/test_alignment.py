@@ -109,11 +109,18 @@ def test_packed_round_trip():
 
 def test_ids_serve_as_ranks(tokenizers, rows):
     a = alignment.ByteLevel(alignment.read_file(alignment.A_PATH))
-    assert hasattr(a, "_encoding")
+    assert a._ranked
     texts = [" " + t for _, t in rows if t]
     assert a.encode(texts) == [tokenizers[0].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_very_long_runs():
+    """Of one letter and of spaces, where the faster library's pattern would overflow."""
+    a = alignment.ByteLevel(alignment.read_file(alignment.A_PATH))
+    for text in (" " * 2_000_000, "a" * 1_000_000):
+        assert b"".join(map(a.table.__getitem__, a.encode([text])[0])) == text.encode()
+
+
 def test_empty(spark):
     assert alignment.align_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
