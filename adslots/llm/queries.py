@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, htmltext, lines, lmscore, mixing, near, oracles, pii, quality, sharding, suffix, urls
+from . import alignment, decontaminate, htmltext, lines, lmscore, mixing, near, oracles, pii, quality, sharding, spelling, suffix, urls
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op10_mixing": op10_mixing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
