@@ -19,6 +19,10 @@ than 8 or more than 15 digits) are not personal data and stay. A run of digit gr
 searched for whole groups that are one. Everything is DataFrame functions inside the row: no shuffle, and texts without
 digits are not searched.
 
+Not found, and left in clear: dates of one-digit days or months or two-digit years, numbers that letters touch
+(`Visa4111...`, `tel415...`), hosts that end in letters outside ASCII. A number with a calling code and the same one with a
+trunk zero are different values.
+
 Defined cases: a null text stays null with zero counts; texts and values of any length are searched whole; overlapping
 finds go to the first in the order of the text; an empty table gives an empty result.
 """
@@ -31,14 +35,17 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _NOT_BEFORE, _NOT_AFTER = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 _HEX4, _NATIONAL = "[0-9A-Fa-f]{1,4}", r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+#: A host's labels, as far as one follows that may end the host: a possessive group, as others recurse for every label.
+#: Where that label doesn't, the hosts of at most 127 labels (more can't be resolved) are tried from the longest on.
+_LABELS = r"(?:(?:[0-9A-Za-z-]++\.(?=[A-Za-z]{2}|[0-9A-Za-z-]++\.))++|(?:[0-9A-Za-z-]++\.){1,127})"
 #: (kind, format), in the order in which they are tried at a place.
 FORMATS = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[0-9A-Za-z-]++\.)+[A-Za-z]{2,24}"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@" + _LABELS + "[A-Za-z]{2,24}"),
     ("secret", _NOT_BEFORE + "(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _NOT_AFTER),
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
     ("ipv6", f"(?<![0-9A-Za-z:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|::{_HEX4}(?::{_HEX4}){{1,6}})(?![0-9A-Za-z:])"),
     ("iban", _NOT_BEFORE + "[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _NOT_AFTER),
-    ("date", _NOT_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})" + _NOT_AFTER),
+    ("date", _NOT_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:|(?![0-9A-Za-z]))|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}" + _NOT_AFTER + ")"),
     ("ssn", _NOT_BEFORE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _NOT_AFTER),
     ("card", _NOT_BEFORE + "(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _NOT_AFTER),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9](?:[ ./()-]{0,2}[0-9]){7,14}|" + _NATIONAL + r"|0[1-9][0-9]{0,3}[ /-][0-9]{2,8}(?:[ -][0-9]{2,8}){0,4})" + _NOT_AFTER),
@@ -49,6 +56,8 @@ PATTERN = "|".join(pattern for _, pattern in FORMATS)
 #: The classes in which characters are permuted.
 LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 HEX, CAPITALS = ("0123456789", "abcdef", "ABCDEF"), ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: The calling codes of one and of two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Steps that a walk along a cycle may take; it ends sooner but for one in 10^25.
 WALK = 64
 
@@ -198,8 +207,8 @@ def pseudonym(m: Column, key: str) -> Column:
         .otherwise(_refill(m, F.date_format(to_date(walked), "MMddyyyy")))
     )
 
-    # the country code that stands apart, or two digits, or the trunk zero, stays
-    code = F.when(m.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})[^0-9]", 1))).when(m.startswith("+"), F.lit(2)).when(m.startswith("0") & ~m.rlike("^" + _NATIONAL + "$"), F.lit(1)).otherwise(F.lit(0))
+    # the calling code or the trunk zero stays, however the number is spaced
+    code = F.when(m.startswith("+"), F.when(F.left(digits, F.lit(1)).isin(CODES), F.lit(1)).when(F.left(digits, F.lit(2)).isin(CODES), F.lit(2)).otherwise(F.lit(3))).when(m.startswith("0") & ~m.rlike("^" + _NATIONAL + "$"), F.lit(1)).otherwise(F.lit(0))
     phone_ok = F.length(digits).between(8, 15)
     phone = _refill(m, F.concat(F.left(digits, code), _let(F.substr(digits, code + 1, F.length(digits)), lambda d: _split_number(d, key, "phone"))))
 

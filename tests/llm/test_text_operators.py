@@ -505,8 +505,7 @@ def _plain_pseudonym(kind, v):
         p = _digits(d[:-1], "card")
         return _fill(v, p + str(-_luhn(p + "0") % 10))
     if kind == "phone":
-        m = re.match(r"\+([0-9]{1,3})[^0-9]", v)
-        keep = len(m[1]) if m else 2 if v[0] == "+" else 1 if v[0] == "0" and not re.fullmatch(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", v) else 0
+        keep = next(k for k in (1, 2, 3) if k == 3 or d[:k] in pii.CODES) if v[0] == "+" else 1 if v[0] == "0" and not re.fullmatch(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", v) else 0
         return _fill(v, d[:keep] + _digits(d[keep:], "phone"))
     if kind == "date":
         first, form = datetime.date(1800, 1, 1), "%Y-%m-%d" if v[4] == "-" else f"%d{v[2]}%m{v[2]}%Y"
@@ -561,6 +560,33 @@ def test_pseudonyms_equal_a_second_implementation(spark):
     assert mod_of("DE89 3704 0044 0532 0130 00") == 1
 
 
+def test_numbers_stay_linked_in_every_spacing(spark):
+    spellings = (["+1 415 555 0100", "+14155550100", "+1-415-555-0100", "+1 (415) 555.0100"], ["+49 30 1234567", "+49301234567", "+49 (30) 12 34 567"], ["+353 1 234 5678", "+35312345678"])
+    rows = [(k, v) for k, group in enumerate(spellings) for v in group]
+    found = collections.defaultdict(set)
+    for r, (k, v) in zip(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect(), rows):
+        assert r["n_phone"] == 1, v
+        found[r["doc_id"]].add(re.sub("[^0-9]", "", r["text"]))
+    assert [len(x) for x in found.values()] == [1, 1, 1] and len(set.union(*found.values())) == 3
+
+
+def test_dates_of_timestamps(spark):
+    rows = [(1, "at 2020-12-25T10:00:00Z"), (2, "on 2020-12-25."), (3, "no 2020-12-25Txt")]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    day = _plain_pseudonym("date", "2020-12-25")
+    assert out == {1: f"at {day}T10:00:00Z", 2: f"on {day}.", 3: "no 2020-12-25Txt"}
+
+
+def test_hosts_of_any_number_of_labels(spark):
+    hosts = {10: "a." * 10 + "com", 2_000: "a." * 2_000 + "com", 200_000: "a." * 200_000 + "com"}
+    rows = [(n, f"see x@{h} end") for n, h in hosts.items()] + [(1, "x@a.com.1.2 and x@a.com. and x@a.com.12, x@a.com..b.org x@1.2 x@a.b-c.de.")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for n, h in hosts.items():
+        assert out[n]["n_email"] == 1 and out[n]["text"] == f"see {_plain_pseudonym('email', 'x@' + h)} end"
+    com, de = _plain_pseudonym("email", "x@a.com"), _plain_pseudonym("email", "x@a.b-c.de")
+    assert out[1]["text"] == f"{com}.1.2 and {com}. and {com}.12, {com}..b.org x@1.2 {de}."
+
+
 def mod_of(v):
     plain = v.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
