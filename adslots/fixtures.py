@@ -102,6 +102,11 @@ class Catalogue:
     def samples(self) -> DataFrame:
         return self.frames().select("track_id", F.col("frame_idx").alias("i"), "amp")
 
+    def stereo(self, mono: DataFrame) -> DataFrame:
+        """samples(track_id, i, amp) and a second channel at another level, whose every third sample is silent."""
+        second = (F.col("i") % 3 - 1) / F.lit(2.0)
+        return mono.select("track_id", "i", F.posexplode(F.array("amp", F.col("amp") * second)).alias("channel", "amp"))
+
     def beats(self) -> DataFrame:
         return self.frames().where("frame_idx % 7 = 3 AND track_id % 11 <> 0").select("track_id", F.col("t_ms").alias("beat_ms"))
 

@@ -105,7 +105,7 @@ def _blocks(frames: DataFrame, n: int) -> DataFrame:
     return frames.select("track_id", "t_ms", power.alias("power"), whole.alias("_whole")).where("_whole").drop("_whole")
 
 
-def _gated(blocks: DataFrame, key: list[str], name: str) -> DataFrame:
+def gated(blocks: DataFrame, key: list[str], name: str) -> DataFrame:
     """(key, name): the loudness of blocks(key, power) with gates at -70 and at 10 below the mean of what is left."""
     loud = blocks.where("power > 0").where(_lufs(F.col("power")) > -70)
     gate = loud.groupBy(*key).agg((_lufs(F.avg("power")) - 10).alias("gate"))
@@ -123,7 +123,7 @@ def context_loudness(frames: DataFrame, slots: DataFrame, ads: DataFrame, window
     near = slots.select(*key).join(_blocks(frames, n), "track_id").where((F.col("t_ms") >= F.col("ms") - window_ms) & (F.col("t_ms") + block_ms <= F.col("ms") + window_ms))
     spoken = _blocks(ads, n)
     level = lambda c: F.coalesce(c, F.lit(-70.0)).alias(c)
-    found = slots.join(_gated(near.select(*key, "power"), key, "target_lufs"), key, "left").join(_gated(spoken, ["track_id"], "before_lufs"), "track_id", "left")
+    found = slots.join(gated(near.select(*key, "power"), key, "target_lufs"), key, "left").join(gated(spoken, ["track_id"], "before_lufs"), "track_id", "left")
     gained = found.select(*slots.columns, level("target_lufs"), level("before_lufs")).withColumn("gain_db", F.col("target_lufs") - F.col("before_lufs"))
     louder = gained.select(*key, "gain_db").join(spoken, "track_id").select(*key, (F.col("power") * F.pow(F.lit(10.0), F.col("gain_db") / 10)).alias("power"))
-    return gained.join(_gated(louder, key, "after_lufs"), key, "left").withColumn("after_lufs", level("after_lufs"))
+    return gained.join(gated(louder, key, "after_lufs"), key, "left").withColumn("after_lufs", level("after_lufs"))

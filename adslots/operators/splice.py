@@ -51,6 +51,15 @@ def _ramp(i: Column, n: Column) -> Column:
     return F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), i / F.greatest(n, F.lit(1)))))
 
 
+def overlay_plan(size: DataFrame, crossfade: int) -> DataFrame:
+    """(track_id, n, ad, p, l, c1, m, c2) of tracks(track_id, n, ad, at), all in samples: the ad's place p, its length l in
+    the programme, the crossfades c1 before and c2 after it, and the end m of the ad in the mix."""
+    p = F.least(F.greatest("at", F.lit(0).cast("long")), F.col("n"))
+    plan = size.select("track_id", "n", "ad", p.alias("p")).withColumn("l", F.least("ad", F.col("n") - F.col("p")))
+    fade = F.lit(crossfade).cast("long")
+    return plan.withColumn("c1", F.least(fade, "p", "l")).withColumn("m", F.col("p") + F.col("l") - F.col("c1")).withColumn("c2", F.least(fade, "m", F.col("n") - F.col("p") - F.col("l")))
+
+
 def overlay_gain(frames: DataFrame, promo: DataFrame, slots: DataFrame, duck_db: float = 0.0, crossfade: int = 2, fade: int = 2, duck_ramp: int = 1) -> DataFrame:
     """M3: the mix (track_id, out_idx, amp) of an ad laid over the programme. frames(track_id, frame_idx, amp),
     promo(track_id, i, amp), slots(track_id, at). Lengths are in frames; all ramps are linear.
@@ -59,9 +68,7 @@ def overlay_gain(frames: DataFrame, promo: DataFrame, slots: DataFrame, duck_db:
     and after, which shortens the whole by both crossfades; an ad past the end is cut. A track without an ad, or
     without a slot, stays as it is."""
     size = frames.groupBy("track_id").agg((F.max("frame_idx") + 1).alias("n")).join(promo.groupBy("track_id").agg((F.max("i") + 1).alias("ad")), "track_id").join(slots, "track_id")
-    p = F.least(F.greatest("at", F.lit(0).cast("long")), F.col("n"))
-    plan = size.select("track_id", "n", "ad", p.alias("p")).withColumn("l", F.least("ad", F.col("n") - F.col("p")))
-    plan = plan.withColumn("c1", F.least(F.lit(crossfade).cast("long"), "p", "l")).withColumn("m", F.col("p") + F.col("l") - F.col("c1")).withColumn("c2", F.least(F.lit(crossfade).cast("long"), "m", F.col("n") - F.col("p") - F.col("l")))
+    plan = overlay_plan(size, crossfade)
     c1, c2, m, length = F.col("c1"), F.col("c2"), F.col("m"), F.col("l")
     out_fade = lambda o: 1 - _ramp(o - (m - c2), c2) * F.when(c2 > 0, 1.0).otherwise(0.0)  # noqa: E731  of what is joined so far
     joined = frames.join(plan, "track_id", "left")

@@ -5,6 +5,20 @@ from __future__ import annotations
 
 import re
 
+from .operators.blocks import HIGH_PASS, SHELF, high_pass, shelf
+
+(_B, _A), (_D, _E) = ([[float(v) for v in c] for c in f] for f in (shelf(*SHELF, 8000), high_pass(*HIGH_PASS, 8000)))
+
+
+def _filtered(x: str, s1: str, s2: str, s3: str, s4: str, rows: str) -> str:
+    """A sample through both filters: what comes out, y, and the states after it."""
+    n = lambda v: f"({v!r}::DOUBLE)"
+    return f"""SELECT what, track_id, ch, k, y, {n(_B[1])} * x - {n(_A[1])} * u + t2 AS s1, {n(_B[2])} * x - {n(_A[2])} * u AS s2, {n(_D[1])} * u - {n(_E[1])} * y + t4 AS s3, {n(_D[2])} * u - {n(_E[2])} * y AS s4
+        FROM (SELECT *, {n(_D[0])} * u + t3 AS y FROM (SELECT t.what, t.track_id, t.ch, t.k, t.x, {n(_B[0])} * t.x + {s1} AS u, {s2} AS t2, {s3} AS t3, {s4} AS t4 FROM {rows}))"""
+
+
+_ZERO = "0.0::DOUBLE"
+
 #: Views by name; each may use those before it.
 VIEWS = {
     "words": r"SELECT doc_id AS track_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM documents",
@@ -130,6 +144,17 @@ VIEWS = {
     "gained": "SELECT track_id, x AS p FROM (SELECT track_id, p * pow(10, (target_lufs - before_lufs) / 10) AS x FROM pblocks JOIN gains USING (track_id)) WHERE x > 0 AND -0.691::DOUBLE + 10 * log10(x) > -70",
     "after_l": "SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM gained JOIN (SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM gained GROUP BY track_id) USING (track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY track_id",
     "loudness": "SELECT g.track_id, ms, target_lufs, before_lufs, target_lufs - before_lufs AS gain_db, coalesce(a.l, -70) AS after_lufs FROM gains g LEFT JOIN after_l a USING (track_id)",
+    "tap": """SELECT 0 AS what, track_id, c AS ch, frame_idx - greatest(0, mid - 33) AS k, amp * CASE c WHEN 0 THEN 1.0::DOUBLE ELSE (frame_idx % 3 - 1) / 2.0::DOUBLE END AS x FROM frames JOIN fslots USING (track_id) CROSS JOIN (VALUES (0), (1)) v(c)
+        WHERE frame_idx >= mid - 33 AND frame_idx < mid + 33 UNION ALL SELECT 1, track_id, c, i, amp * CASE c WHEN 0 THEN 1.0::DOUBLE ELSE (i % 3 - 1) / 2.0::DOUBLE END FROM promo CROSS JOIN (VALUES (0), (1)) v(c)""",
+    # the filters as they stand, sample after sample
+    "filt": _filtered("x", *[_ZERO] * 4, "tap t WHERE k = 0") + " UNION ALL " + _filtered("x", "f.s1", "f.s2", "f.s3", "f.s4", "filt f JOIN tap t ON t.what = f.what AND t.track_id = f.track_id AND t.ch = f.ch AND t.k = f.k + 1"),
+    "wframes": "SELECT what, track_id, k // 5 AS fi, sum(y * y) / 5 AS p FROM filt GROUP BY ALL HAVING count(*) = 10",
+    "wblocks": "SELECT what, track_id, p FROM (SELECT a.what, a.track_id, a.fi, sum(b.p) / 4 AS p FROM wframes a JOIN wframes b ON b.what = a.what AND b.track_id = a.track_id AND b.fi BETWEEN a.fi AND a.fi + 3 GROUP BY ALL HAVING count(*) = 4)",
+    "wloud": "SELECT what, track_id, p FROM wblocks WHERE p > 0 AND -0.691::DOUBLE + 10 * log10(p) > -70",
+    "wlevel": "SELECT what, track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM wloud JOIN (SELECT what, track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM wloud GROUP BY ALL) USING (what, track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY what, track_id",
+    "wgains": "SELECT s.track_id, mid AS \"at\", coalesce(t.l, -70) AS target_lufs, coalesce(b.l, -70) AS before_lufs FROM fslots s LEFT JOIN wlevel t ON t.track_id = s.track_id AND t.what = 0 LEFT JOIN wlevel b ON b.track_id = s.track_id AND b.what = 1",
+    "wgained": "SELECT track_id, x AS p FROM (SELECT track_id, p * pow(10, (target_lufs - before_lufs) / 10) AS x FROM wblocks JOIN wgains USING (track_id) WHERE what = 1) WHERE x > 0 AND -0.691::DOUBLE + 10 * log10(x) > -70",
+    "wafter": "SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) AS l FROM wgained JOIN (SELECT track_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 10 AS g FROM wgained GROUP BY track_id) USING (track_id) WHERE -0.691::DOUBLE + 10 * log10(p) > g GROUP BY track_id",
     "terms": """SELECT track_id, term, row_number() OVER (PARTITION BY track_id ORDER BY min(o)) AS ord FROM
         (SELECT p_partkey AS track_id, unnest(CASE WHEN p_partkey % 3 = 0 THEN [split_part(p_name, ' ', -1), split_part(p_name, ' ', 1)] ELSE [p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', -1), 'p' || p_partkey] END) AS term, unnest(range(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 4 END)) AS o FROM part WHERE p_partkey % 3 < 2)
         WHERE term <> '' GROUP BY track_id, term QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY min(o)) <= 3""",
@@ -278,4 +303,10 @@ def _with_views(sql: str) -> str:
     return f"WITH RECURSIVE {views}{', ' + rest[1] if rest else ' ' + sql}"
 
 
+_SQL |= {
+    "f8_weighted_loudness": "SELECT g.track_id, \"at\", round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(target_lufs - before_lufs, 6) AS gain_db, round(coalesce(a.l, -70), 6) AS after_lufs FROM wgains g LEFT JOIN wafter a USING (track_id)",
+    # other forms of operators above
+    **{name: _SQL[of] for name, of in (("f1_frame_rms_blocks", "f1_frame_rms"), ("f7_peak_envelope_blocks", "f7_peak_envelope"), ("m3_overlay_gain_blocks", "m3_overlay_gain"), ("m5_room_tone_bed_blocks", "m5_room_tone_bed"))},
+}
+
 ORACLES = {name: _with_views(sql) for name, sql in _SQL.items()}

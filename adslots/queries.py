@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .fixtures import Catalogue
 from .functions import by_track
+from .operators import blocks as b
 from .operators import candidates as c
 from .operators import frames as f
 from .operators import products as r
@@ -258,12 +259,46 @@ def m5_room_tone_two_speakers(x: Catalogue) -> DataFrame:
     return m.room_tone_bed(x.frames(), x.promo(), x.frame_slots(), podcasts_only=False).select("track_id", "i", _6("amp"))
 
 
+#: Samples of a block in the queries over blocks: few, as the derived tracks are short.
+BLOCK = 16
+
+
+def _blocks(samples: DataFrame, *key: str) -> DataFrame:
+    return b.pack(samples, BLOCK, ("track_id", *key))
+
+
+def f1_frame_rms_blocks(x: Catalogue) -> DataFrame:
+    return b.unpack(b.frame_rms(_blocks(x.samples()), 5, 2, BLOCK), "first", "rms", "frame_idx", "rms").select("track_id", "frame_idx", _6("rms"))
+
+
+def f7_peak_envelope_blocks(x: Catalogue) -> DataFrame:
+    return b.peak_envelope(_blocks(x.samples()), 10, BLOCK).select("track_id", F.posexplode("peaks").alias("block", "peak")).withColumn("block", F.col("block").cast("long"))
+
+
+def f8_weighted_loudness(x: Catalogue) -> DataFrame:
+    """Two channels at 8,000 samples a second, in frames of 5 samples, from 33 samples before a slot on."""
+    of = lambda samples: _blocks(x.stereo(samples), "channel")
+    out = b.context_loudness(of(x.samples()), x.frame_slots().select("track_id", "at"), of(x.promo()), rate=8000, window=33, frame=5, size=BLOCK)
+    return out.select("track_id", "at", _6("target_lufs"), _6("before_lufs"), _6("gain_db"), _6("after_lufs"))
+
+
+def m3_overlay_gain_blocks(x: Catalogue) -> DataFrame:
+    mix = b.overlay_gain(_blocks(x.samples()), _blocks(x.promo()), x.frame_slots(), duck_db=6.0, crossfade=2, fade=2, duck_ramp=1, size=BLOCK)
+    return b.unpack(mix, "start", "amps", "out_idx", "amp").select("track_id", "out_idx", _6("amp"))
+
+
+def m5_room_tone_bed_blocks(x: Catalogue) -> DataFrame:
+    bed = b.room_tone_bed(_blocks(x.samples()), _blocks(x.promo()), x.frame_slots(), tone=6, size=BLOCK)
+    return b.unpack(bed, "start", "amps", "i", "amp").select("track_id", "i", _6("amp"))
+
+
 OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "s1_episodes": s1_episodes,
     "s2_read_analysis": s2_read_analysis,
     "s3_slot_report": s3_slot_report,
     "s3_audit_record": s3_audit_record,
     "f1_frame_rms": f1_frame_rms,
+    "f1_frame_rms_blocks": f1_frame_rms_blocks,
     "f2_quietest": f2_quietest,
     "f3_quiet_threshold": f3_quiet_threshold,
     "f4_quiet_runs": _runs,
@@ -271,7 +306,9 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "f5_distinct_middles": f5_distinct_middles,
     "f6_snap_to_beat": f6_snap_to_beat,
     "f7_peak_envelope": lambda x: f.peak_envelope(x.samples(), 10),
+    "f7_peak_envelope_blocks": f7_peak_envelope_blocks,
     "f8_context_loudness": f8_context_loudness,
+    "f8_weighted_loudness": f8_weighted_loudness,
     "c1_bound": c1_bound,
     "c2_default_insertion": lambda x: c.default_insertion(x.lengths(), c.bound(x.silence_cands(), x.lengths())),
     "c3_apply_choice": c3_apply_choice,
@@ -307,10 +344,12 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "m1_splice_preview": lambda x: m.splice_pieces(_m1(x), 3000),
     "m2_timeline": lambda x: m.timeline(_ads(x), x.lengths()),
     "m3_overlay_gain": m3_overlay_gain,
+    "m3_overlay_gain_blocks": m3_overlay_gain_blocks,
     "m4_audit": m4_audit,
     "m4_audit_preview": m4_audit_preview,
     "m4_audit_summary": lambda x: m.audit_summary(_audited(x)).select("match", "n", _6("worst_s")),
     "m5_room_tone_bed": m5_room_tone_bed,
+    "m5_room_tone_bed_blocks": m5_room_tone_bed_blocks,
     "m5_room_tone_two_speakers": m5_room_tone_two_speakers,
     "r1_extract_terms": lambda x: r.extract_terms(x.term_answers()),
     "r2_match_products": lambda x: r.match_products(r.extract_terms(x.term_answers()), x.catalogue()),
