@@ -43,10 +43,14 @@ def quiet_threshold(frames: DataFrame, below_db: float = 16.0, floor_db: float =
     return frames.groupBy("track_id").agg(F.when(power > 0, 10 * F.log10(power) - below_db).otherwise(F.lit(floor_db)).alias("threshold_db"))
 
 
+def quiet_frames(frames: DataFrame, thresholds: DataFrame) -> DataFrame:
+    level = F.when(F.col("ms_power") > 0, 10 * F.log10("ms_power")).otherwise(F.lit(float("-inf")))
+    return frames.join(thresholds, "track_id").where(level <= F.col("threshold_db"))
+
+
 def quiet_runs(frames: DataFrame, thresholds: DataFrame, min_ms: int = 500, frame_ms: int = 100) -> DataFrame:
     """(track_id, start_ms, end_ms) of the longest runs of frames at or below the threshold."""
-    level = F.when(F.col("ms_power") > 0, 10 * F.log10("ms_power")).otherwise(F.lit(float("-inf")))
-    quiet = frames.join(thresholds, "track_id").where(level <= F.col("threshold_db"))
+    quiet = quiet_frames(frames, thresholds)
     island = quiet.withColumn("island", F.col("frame_idx") - F.row_number().over(by_track("frame_idx")))
     runs = island.groupBy("track_id", "island").agg(F.min("t_ms").alias("start_ms"), (F.max("t_ms") + frame_ms).alias("end_ms"))
     return runs.where(F.col("end_ms") - F.col("start_ms") >= min_ms).select("track_id", "start_ms", "end_ms")
@@ -65,23 +69,30 @@ def distinct_middles(runs: DataFrame) -> DataFrame:
     return silence_candidates(runs, None).select("track_id", "ms").distinct()
 
 
+def beats_and_minima(minima: DataFrame, beats: DataFrame) -> DataFrame:
+    """(track_id, ms, rank, beat) of both: rank is null for beats, beat for minima."""
+    return minima.select("track_id", "ms", "rank", F.lit(None).cast("long").alias("beat")).unionByName(
+        beats.select("track_id", F.col("beat_ms").alias("ms"), F.lit(None).cast("int").alias("rank"), F.col("beat_ms").alias("beat"))
+    )
+
+
+def snapped(found: DataFrame, max_n: int) -> DataFrame:
+    """(track_id, seq, ms) from the beats before and after each minimum."""
+    later = F.col("before").isNull() | (F.col("after") - F.col("ms") < F.col("ms") - F.col("before"))
+    near = found.where("rank IS NOT NULL").withColumn("to", F.when(later, F.col("after")).otherwise(F.col("before")))
+    once = near.groupBy("track_id", F.coalesce("to", "ms").alias("ms")).agg(F.min("rank").alias("rank"))
+    return once.withColumn("seq", F.row_number().over(by_track("rank"))).where(F.col("seq") <= max_n).select("track_id", "seq", "ms")
+
+
 def snap_to_beat(minima: DataFrame, beats: DataFrame, max_n: int = 30) -> DataFrame:
     """every minimum (track_id, rank, ms) goes to its nearest beat, the earlier of two; of minima on one beat
     the quietest stays; tracks without beats keep their own places. (track_id, seq, ms), in order of energy.
 
     Beats and minima are merged in time order; the last beat before and the first after are read off by windows that
     only grow, forwards and backwards."""
-    both = minima.select("track_id", "ms", "rank", F.lit(None).cast("long").alias("beat")).unionByName(
-        beats.select("track_id", F.col("beat_ms").alias("ms"), F.lit(None).cast("int").alias("rank"), F.col("beat_ms").alias("beat"))
-    )
     before = F.last("beat", ignorenulls=True).over(by_track("ms").rangeBetween(W.unboundedPreceding, 0))
     after = F.last("beat", ignorenulls=True).over(by_track(F.desc("ms")).rangeBetween(W.unboundedPreceding, 0))
-    near = (
-        both.withColumn("before", before).withColumn("after", after).where("rank IS NOT NULL")
-        .withColumn("to", F.when(F.col("before").isNull() | (F.col("after") - F.col("ms") < F.col("ms") - F.col("before")), F.col("after")).otherwise(F.col("before")))
-    )
-    once = near.groupBy("track_id", F.coalesce("to", "ms").alias("ms")).agg(F.min("rank").alias("rank"))
-    return once.withColumn("seq", F.row_number().over(by_track("rank"))).where(F.col("seq") <= max_n).select("track_id", "seq", "ms")
+    return snapped(beats_and_minima(minima, beats).withColumn("before", before).withColumn("after", after), max_n)
 
 
 def peak_envelope(samples: DataFrame, n: int = 900) -> DataFrame:

@@ -18,12 +18,17 @@ def top_speakers(turns: DataFrame, k: int = 2) -> DataFrame:
     return real.join(names, ["track_id", "label"]).select("track_id", "turn_idx", "speaker", "start_ms", "end_ms")
 
 
+def within_budget(used: DataFrame, max_ms: int) -> DataFrame:
+    """What is taken of each turn, of which `used` were taken before."""
+    length = F.col("end_ms") - F.col("start_ms")
+    return used.withColumn("take_ms", F.least(length, F.greatest(F.lit(0), F.lit(max_ms) - F.col("used")))).where("take_ms > 0").select("track_id", "speaker", "turn_idx", "start_ms", "take_ms")
+
+
 def sample_budget(speakers: DataFrame, max_ms: int = 30000) -> DataFrame:
     """K2: (track_id, speaker, turn_idx, start_ms, take_ms): turns in order until the budget is used, the last cut."""
     w = W.partitionBy("track_id", "speaker").orderBy("turn_idx").rowsBetween(W.unboundedPreceding, -1)
     length = F.col("end_ms") - F.col("start_ms")
-    used = speakers.withColumn("used", F.coalesce(F.sum(length).over(w), F.lit(0)))
-    return used.withColumn("take_ms", F.least(length, F.greatest(F.lit(0), F.lit(max_ms) - F.col("used")))).where("take_ms > 0").select("track_id", "speaker", "turn_idx", "start_ms", "take_ms")
+    return within_budget(speakers.withColumn("used", F.coalesce(F.sum(length).over(w), F.lit(0))), max_ms)
 
 
 def _line(idx: int, speaker: str, text: Column) -> Column:

@@ -33,6 +33,12 @@ def timeline(slots: DataFrame, lengths: DataFrame) -> DataFrame:
         slots.withColumn("k", F.row_number().over(w)).withColumn("from_ms", F.coalesce(F.lag("at_ms").over(w), F.lit(0).cast("long")))
         .withColumn("before", F.coalesce(F.sum("ad_ms").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
     )
+    return timeline_pieces(placed, lengths)
+
+
+def timeline_pieces(placed: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The pieces from the ads (track_id, at_ms, ad_ms, k, from_ms, before): an ad's number, the place of the one before it,
+    and the length of all before it."""
 
     def rows(df: DataFrame, ord_: Column, kind: str, a: Column, b: Column, out: Column) -> DataFrame:
         return df.select("track_id", ord_.cast("int").alias("ord"), F.lit(kind).alias("kind"), a.alias("src_start_ms"), b.alias("src_end_ms"), out.alias("out_start_ms"))

@@ -56,14 +56,17 @@ def script_prompts(products: DataFrame, style: str = "friendly", header: str = S
     return products.select("track_id", F.concat_ws("\n", *lines).alias("prompt"))
 
 
+def joined_texts(kept: DataFrame, limit: int) -> DataFrame:
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), " ")
+    return kept.groupBy("track_id").agg(F.substring(joined, 1, limit).alias("transcript"))
+
+
 def transcript_rollup(segments: DataFrame, limit: int = 3000) -> DataFrame:
     """(track_id, transcript): the segments' texts joined by spaces, cut to `limit` characters. Segments that
     start past the limit are left out before anything is collected."""
     texts = segments.withColumn("text", trimmed("text")).where("text <> ''")
     before = F.sum(F.length("text") + 1).over(by_track("seg_idx").rowsBetween(W.unboundedPreceding, -1))
-    kept = texts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= limit)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), " ")
-    return kept.groupBy("track_id").agg(F.substring(joined, 1, limit).alias("transcript"))
+    return joined_texts(texts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= limit), limit)
 
 
 def parse_choice(responses: DataFrame, products: DataFrame) -> DataFrame:

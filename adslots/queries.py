@@ -14,6 +14,7 @@ from .operators import blocks as b
 from .operators import candidates as c
 from .operators import frames as f
 from .operators import products as r
+from .operators import scans
 from .operators import slots as s
 from .operators import speakers as k
 from .operators import splice as m
@@ -132,9 +133,28 @@ def f5_distinct_middles(x: Catalogue) -> DataFrame:
     return f.distinct_middles(_runs(x))
 
 
+def _minima(x: Catalogue) -> DataFrame:
+    return f.quietest(x.frames().select("track_id", "frame_idx", F.sqrt("ms_power").alias("rms")), hop=4410)
+
+
 def f6_snap_to_beat(x: Catalogue) -> DataFrame:
-    minima = f.quietest(x.frames().select("track_id", "frame_idx", F.sqrt("ms_power").alias("rms")), hop=4410)
-    return f.snap_to_beat(minima, x.beats(), 8)
+    return f.snap_to_beat(_minima(x), x.beats(), 8)
+
+
+#: Rows and milliseconds of a bucket in the queries over buckets: few, as the derived tracks are short.
+ROWS, SPAN_MS = 8, 1500
+
+
+def f4_quiet_runs_scan(x: Catalogue) -> DataFrame:
+    return scans.quiet_runs(x.frames(), f.quiet_threshold(x.frames(), below_db=6.0), min_ms=200, bucket=ROWS)
+
+
+def f6_snap_to_beat_scan(x: Catalogue) -> DataFrame:
+    return scans.snap_to_beat(_minima(x), x.beats(), 8, bucket_ms=SPAN_MS)
+
+
+def k2_sample_budget_scan(x: Catalogue) -> DataFrame:
+    return scans.sample_budget(k.top_speakers(x.turns()), 30000, bucket=ROWS)
 
 
 def _promo_frames(x: Catalogue) -> DataFrame:
@@ -302,9 +322,11 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "f2_quietest": f2_quietest,
     "f3_quiet_threshold": f3_quiet_threshold,
     "f4_quiet_runs": _runs,
+    "f4_quiet_runs_scan": f4_quiet_runs_scan,
     "f5_silence_candidates": f5_silence_candidates,
     "f5_distinct_middles": f5_distinct_middles,
     "f6_snap_to_beat": f6_snap_to_beat,
+    "f6_snap_to_beat_scan": f6_snap_to_beat_scan,
     "f7_peak_envelope": lambda x: f.peak_envelope(x.samples(), 10),
     "f7_peak_envelope_blocks": f7_peak_envelope_blocks,
     "f8_context_loudness": f8_context_loudness,
@@ -329,9 +351,11 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "t2_prompt_corpus": t2_prompt_corpus,
     "t2_script_prompts": lambda x: t.script_prompts(x.products(), header="H"),
     "t3_transcript_rollup": lambda x: t.transcript_rollup(x.segments()),
+    "t3_transcript_rollup_scan": lambda x: scans.transcript_rollup(x.segments(), bucket=ROWS),
     "t4_parse_choice": lambda x: t.parse_choice(x.choice_answers(), x.products()),
     "k1_top_speakers": lambda x: k.top_speakers(x.turns()),
     "k2_sample_budget": k2_sample_budget,
+    "k2_sample_budget_scan": k2_sample_budget_scan,
     "k3_script_lines": _script,
     "k4_lines_for_mode": lambda x: k.lines_for_mode(_script(x), x.products()),
     "k5_resolve_voice": k5_resolve_voice,
@@ -343,6 +367,7 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "m1_splice_pieces": lambda x: m.splice_pieces(_m1(x)),
     "m1_splice_preview": lambda x: m.splice_pieces(_m1(x), 3000),
     "m2_timeline": lambda x: m.timeline(_ads(x), x.lengths()),
+    "m2_timeline_scan": lambda x: scans.timeline(_ads(x), x.lengths(), bucket_ms=20 * SPAN_MS),
     "m3_overlay_gain": m3_overlay_gain,
     "m3_overlay_gain_blocks": m3_overlay_gain_blocks,
     "m4_audit": m4_audit,
