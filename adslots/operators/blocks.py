@@ -159,6 +159,7 @@ class Weighting:
         k = np.arange(self.STEP)
         self.response = np.where(k[:, None] >= k, pulse[np.maximum(k[:, None] - k, 0)], 0)
         self.kept = (self.powers[:-1] @ self.B)[::-1]  # (STEP, 4): a sample's share in the state at the end
+        self._share = np.zeros((0, 4))
         self._power = cache(lambda n: np.linalg.matrix_power(self.A, n))
 
     def after(self, n: int, state: np.ndarray) -> np.ndarray:
@@ -178,17 +179,18 @@ class Weighting:
         last = self.powers[rest] @ states[len(rows) - 1] + rows[-1, :rest] @ self.kept[step - rest :]
         return out.ravel()[:n], last
 
-    @cache  # noqa: B019  a few lengths, for the life of a task
     def of_state(self, n: int) -> np.ndarray:
-        """(n, 4): a state's share in the next n samples."""
-        out, at = np.zeros((n, 4)), np.eye(4)
-        for k in range(0, n, self.STEP):
-            part = self.seen[: n - k] @ at
-            out[k : k + len(part)] = part
-            at = self.powers[self.STEP] @ at
-            if np.abs(at).max() < 1e-30:
-                break
-        return out
+        """(n, 4): a state's share in the next n samples; the longest one asked for is kept."""
+        if n > len(self._share):
+            out, at = np.zeros((n, 4)), np.eye(4)
+            for k in range(0, n, self.STEP):
+                part = self.seen[: n - k] @ at
+                out[k : k + len(part)] = part
+                at = self.powers[self.STEP] @ at
+                if np.abs(at).max() < 1e-30:
+                    break
+            self._share = out
+        return self._share[:n]
 
 
 @cache

@@ -1,4 +1,4 @@
-"""F4, F6, T3, K2 and M2 for recordings of any length: scans over buckets, with what is carried from one to the next.
+"""F4, F6, T3, K2, M2 and C5 for recordings of any length: scans over buckets, with what is carried from one to the next.
 
 The forms in the other modules order a recording in one window, so one recording is one task. Here rows are folded inside
 (recording, bucket), each bucket leaves one row, these rows are scanned, and what was there before a bucket goes back to
@@ -7,11 +7,15 @@ the same, row for row. A recording with half of all rows is as many groups as it
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import by_track, trimmed
+from ..functions import by_track, ends_sentence, trimmed
+from ..storage import cut
 from . import frames as f
 from . import speakers as k
 from . import splice as m
@@ -19,6 +23,8 @@ from . import transcript as t
 
 #: Frames, segments or turns of a bucket; milliseconds of one where rows are placed by time.
 ROWS, SPAN_MS = 50_000, 3_600_000
+#: Rows of a batch of results.
+BATCH = 10_000
 
 
 def carried(df: DataFrame, key: list[str], bucket: Column, order: list[Column], **values: tuple[str, Column]) -> DataFrame:
@@ -87,3 +93,141 @@ def timeline(slots: DataFrame, lengths: DataFrame, bucket_ms: int = SPAN_MS) ->
     zero = F.lit(0).cast("long")
     numbered = placed.select(*slots.columns, (F.col("_n") + 1).alias("k"), F.coalesce("_from", zero).alias("from_ms"), F.col("before").cast("long").alias("before"))
     return m.timeline_pieces(numbered, lengths)
+
+
+def _groups(batches: Iterable[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each key, which come one after another."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            of = tuple(row[c] for c in key)
+            if of != now and held:
+                yield now, held
+                held = []
+            now = of
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _next(last: dict, own: list[dict], at: int, gap: int) -> tuple[int, bool]:
+    """Who comes after `last` among the candidates from `at` on, and whether that one starts anew."""
+    for j in range(at, len(own)):
+        c = own[j]
+        if c["ms"] - last["ms"] > gap:
+            return j, True
+        longer = c["silence_ms"] is not None and last["silence_ms"] is not None and c["silence_ms"] > last["silence_ms"]
+        if longer or (c["ends"] and not last["ends"]):
+            return j, False
+    return len(own), False
+
+
+def collapse_near(base: DataFrame, extra: DataFrame, gap: int = 400, bucket_ms: int = SPAN_MS) -> DataFrame:
+    """Both lists in time order, where a candidate within `gap` of the last kept one replaces it if its pause is longer,
+    or it alone ends a sentence; the same as by the other form, without a list of an island's candidates.
+
+    What happens in a bucket depends on the last kept candidate before it, and only if that is within `gap`: so on one of
+    the few candidates at the end of the bucket before. Each bucket tells which of its own is last for each of them
+    and for none (paths that meet are walked once); these rows, one for each bucket, are chained over the recording;
+    then each bucket, told its entry, gives out the candidates it keeps. Buckets are no shorter than `gap`. Candidates
+    without a place are all kept. Snippets stay where they are and are joined to what is kept."""
+    if bucket_ms < gap:
+        raise ValueError("buckets must be as long as the gap")
+    both = base.withColumn("src", F.lit(0)).unionByName(extra.withColumn("src", F.lit(1)))
+    rows = cut(both.select("track_id", "ms", "silence_ms", "snippet", "src", "seq", F.monotonically_increasing_id().alias("uid")))
+    slim = rows.where("ms IS NOT NULL").select("track_id", "ms", "src", "seq", "silence_ms", ends_sentence(F.col("snippet")).alias("ends"), "uid")
+    own, late = F.expr(f"cast(floor(ms / {bucket_ms}) as long)"), F.expr(f"cast(floor((ms + {gap}) / {bucket_ms}) as long)")
+    where = F.when(late > own, F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own")), F.struct(late.alias("bucket"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own"))))
+    placed = slim.select("*", F.explode(where).alias("p")).select("*", "p.bucket", "p.own").drop("p")
+    in_order = ["track_id", "bucket", "ms", "src", "seq", "uid"]
+    dealt = lambda df: df.repartition("track_id", "bucket").sortWithinPartitions(*in_order)
+    track = placed.schema["track_id"].dataType.simpleString()
+    arrow_track = pa.int64() if track == "bigint" else pa.int32() if track == "int" else pa.string()
+
+    told = pa.schema([("track_id", arrow_track), ("bucket", pa.int64()), ("before", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
+
+    def summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for (of, bucket), held in _groups(batches, "track_id", "bucket"):
+                inside, before = [r for r in held if r["own"]], [r for r in held if not r["own"]]
+                if not inside:
+                    continue
+                ends: dict[int, int] = {}
+
+                def last(j: int, inside: list[dict] = inside, ends: dict[int, int] = ends) -> int:
+                    path = []
+                    while j not in ends:
+                        path.append(j)
+                        following = _next(inside[j], inside, j + 1, gap)[0]
+                        if following == len(inside):
+                            ends[j] = j
+                        else:
+                            j = following
+                    for k in path:
+                        ends[k] = ends[j]
+                    return ends[j]
+
+                starts = [0, *(_next(e, inside, 0, gap)[0] for e in before)]
+                # an entry that nothing here replaces stays the last one
+                yield of, bucket, [e["uid"] for e in before], [e["uid"] if j == len(inside) else inside[last(j)]["uid"] for e, j in zip([None, *before], starts)]
+
+        return _batched(each(), told)
+
+    entered = pa.schema([("track_id", arrow_track), ("bucket", pa.int64()), ("entry", pa.int64())])
+
+    def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entry of each bucket; without a bucket, the last one kept of a recording."""
+
+        def each() -> Iterator[tuple]:
+            now, state = None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if state is not None and r["track_id"] != now:
+                        yield now, None, state
+                        state = None
+                    now = r["track_id"]
+                    yield now, r["bucket"], state
+                    state = r["last"][r["before"].index(state) + 1 if state in r["before"] else 0]
+            if state is not None:
+                yield now, None, state
+
+        return _batched(each(), entered)
+
+    kept_of = pa.schema([("uid", pa.int64())])
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for _, held in _groups(batches, "track_id", "bucket"):
+                inside, entry = [r for r in held if r["own"]], held[0]["entry"]
+                start = next((r for r in held if not r["own"] and r["uid"] == entry), None)
+                if start is None and entry is not None:
+                    yield (entry,)
+                j, anew = _next(start, inside, 0, gap) if start else (0, False)
+                if anew:
+                    yield (start["uid"],)
+                while j < len(inside):
+                    following, anew = _next(inside[j], inside, j + 1, gap)
+                    if anew:
+                        yield (inside[j]["uid"],)
+                    j = following
+
+        return _batched(each(), kept_of)
+
+    told_sql = f"track_id {track}, bucket long, before array<long>, last array<long>"
+    one_by_one = dealt(placed).mapInArrow(summaries, told_sql).repartition("track_id").sortWithinPartitions("track_id", "bucket")
+    entries = cut(one_by_one.mapInArrow(chain, f"track_id {track}, bucket long, entry long"))
+    asked = placed.join(entries.where("bucket IS NOT NULL"), ["track_id", "bucket"])
+    uids = dealt(asked).mapInArrow(kept, "uid long").unionByName(entries.where("bucket IS NULL").select(F.col("entry").alias("uid")))
+    found = rows.where("ms IS NOT NULL").join(uids, "uid").unionByName(rows.where("ms IS NULL").select("uid", *[c for c in rows.columns if c != "uid"]))
+    return found.select("track_id", "ms", "silence_ms", "snippet", "src", "seq")

@@ -307,7 +307,7 @@ _SQL |= {
     "f8_weighted_loudness": "SELECT g.track_id, \"at\", round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(target_lufs - before_lufs, 6) AS gain_db, round(coalesce(a.l, -70), 6) AS after_lufs FROM wgains g LEFT JOIN wafter a USING (track_id)",
     # other forms of operators above
     **{name: _SQL[of] for name, of in (("f1_frame_rms_blocks", "f1_frame_rms"), ("f7_peak_envelope_blocks", "f7_peak_envelope"), ("m3_overlay_gain_blocks", "m3_overlay_gain"), ("m5_room_tone_bed_blocks", "m5_room_tone_bed"),
-                                       *((f"{of}_scan", of) for of in ("f4_quiet_runs", "f6_snap_to_beat", "t3_transcript_rollup", "k2_sample_budget", "m2_timeline")))},
+                                       *((f"{of}_scan", of) for of in ("c5_collapse_near", "f4_quiet_runs", "f6_snap_to_beat", "t3_transcript_rollup", "k2_sample_budget", "m2_timeline")))},
 }
 
 ORACLES = {name: _with_views(sql) for name, sql in _SQL.items()}

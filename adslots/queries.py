@@ -336,6 +336,7 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "c3_apply_choice": c3_apply_choice,
     "c4_boundary_candidates": c4_boundary_candidates,
     "c5_collapse_near": lambda x: x.merged(),
+    "c5_collapse_near_scan": lambda x: scans.collapse_near(x.silence_cands(), x.boundaries(), bucket_ms=20 * SPAN_MS),
     "c6_fill_empty": lambda x: c.fill_empty(x.episodes(), x.merged()),
     "c7_score": lambda x: x.scored().select("track_id", "ms", "src", "seq", F.round(F.col("score") * 10000).cast("long").alias("score")),
     "c8_select_separated": lambda x: _picks(c.select_separated(x.scored())),

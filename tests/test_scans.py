@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from adslots.operators import candidates as c
 from adslots.operators import frames as f
 from adslots.operators import scans
 from adslots.operators import speakers as k
@@ -72,9 +73,44 @@ def test_timeline(spark, bucket_ms):
     same(scans.timeline(slots, lengths, bucket_ms), m.timeline(slots, lengths))
 
 
+def both_lists(spark, rng, n, spread):
+    rows = [(track, i, rng.randint(0, max(1, int(m * spread))), rng.choice([0, 500, 600, 700, None]), rng.choice(["ends.", "not", "", None])) for track, m in n.items() for i in range(m)]
+    schema = "track_id long, seq int, ms long, silence_ms long, snippet string"
+    half = len(rows) // 2
+    return spark.createDataFrame(rows[:half], schema).repartition(3), spark.createDataFrame(rows[half:] + [(9, 0, None, 1, "a"), (9, 1, None, 1, "a"), (9, 2, 10, 1, "a"), (1, 0, 5, 600, "ends."), (1, 0, 5, 600, "ends.")], schema)
+
+
+@pytest.mark.parametrize("bucket_ms", [400, 1000, 10**9])
+@pytest.mark.parametrize("spread", [20, 150, 500])
+def test_collapse_near(spark, bucket_ms, spread):
+    """Dense, linked and loose candidates."""
+    base, extra = both_lists(spark, random.Random(spread), {1: 400, 2: 30, 3: 1, 4: 2, 5: 60}, spread)
+    same(scans.collapse_near(base, extra, 400, bucket_ms), c.collapse_near(base, extra))
+
+
+def test_one_island_of_a_million(spark):
+    """300 ms from one candidate to the next: one island, in 84 buckets; kept are every second and where the pause is longer."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("track_id"), F.col("id").cast("int").alias("seq"), (F.col("id") * 300).alias("ms"), F.when(F.col("id") % 5 == 3, 900).otherwise(500).cast("long").alias("silence_ms"), F.lit("x").alias("snippet"))
+    out = scans.collapse_near(rows, rows.limit(0))
+    want, last = [], None
+    for i in range(n):
+        pause = 900 if i % 5 == 3 else 500
+        if last is None or (i - last[0]) * 300 > 400:
+            want.append(i)
+            last = (i, pause)
+        elif pause > last[1]:
+            want[-1] = i
+            last = (i, pause)
+    sums = out.agg(F.count(F.lit(1)), F.sum("seq"), F.sum(F.col("seq").cast("long") * F.col("seq"))).first()
+    assert tuple(sums) == (len(want), sum(want), sum(i * i for i in want))
+
+
 def test_nothing(spark, frames):
     none = frames.limit(0)
     assert scans.quiet_runs(none, f.quiet_threshold(none)).collect() == []
+    cands = spark.createDataFrame([], "track_id long, seq int, ms long, silence_ms long, snippet string")
+    assert scans.collapse_near(cands, cands).collect() == []
     assert scans.transcript_rollup(spark.createDataFrame([], "track_id long, seg_idx int, text string")).collect() == []
 
 
