@@ -175,6 +175,20 @@ class Catalogue:
     def catalogue(self) -> DataFrame:
         return self._table("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("source"))
 
+    @staticmethod
+    def _long(*first: Column | str, k: Column) -> Column:
+        """A text of eleven words or so: what all have, what many share, what few share."""
+        return F.concat_ws(" ", *first, F.lit("the lot"), *[F.concat(F.lit(c), (k % n).cast("string")) for c, n in (("s", 7), ("c", 11), ("d", 13), ("e", 17), ("f", 19), ("g", 101))])
+
+    def long_terms(self) -> DataFrame:
+        """A short, a middle and a long term for each supplier."""
+        k = F.col("s_suppkey")
+        text = F.when(k % 3 == 0, self._long(F.lit("small red economy"), k=k)).when(k % 3 == 1, F.concat(F.lit("lot c"), (k % 11).cast("string"))).otherwise(self._long(k=k))
+        return self._table("supplier").select(k.alias("track_id"), F.lit(1).alias("ord"), text.alias("term"))
+
+    def long_titles(self) -> DataFrame:
+        return self._table("part").select(F.col("p_partkey").alias("key"), self._long("p_name", "p_type", k=F.col("p_partkey")).alias("title"))
+
     def payloads(self) -> DataFrame:
         """Analysis payloads: numbers as numbers and as strings, other names of the place, bad elements, broken JSON."""
         c = self.silence_cands()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import by_track, field, trimmed
+from ..storage import cut
 
 
 def extract_terms(responses: DataFrame, k: int = 3) -> DataFrame:
@@ -19,14 +22,30 @@ def extract_terms(responses: DataFrame, k: int = 3) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(by_track("pos"))).where(F.col("ord") <= k).select("track_id", "ord", "term")
 
 
-#: Words up to which a text is matched by the sets of its words.
-SET_WORDS = 6
+#: Words of a term, its most common ones, whose sets are matched.
+SET_WORDS = 8
 
 
 def _sets(words: Column) -> Column:
-    """All non-empty sets of the words, each as one text."""
+    """All non-empty sets of the words, each as one text, in the words' order."""
     start = F.array(F.lit(""))
-    return F.filter(F.aggregate(F.array_sort(words), start, lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.lit(" "), w)))), lambda x: x != "")
+    return F.filter(F.aggregate(words, start, lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.lit(" "), w)))), lambda x: x != "")
+
+
+def _by_set(held: DataFrame, asked: DataFrame, levels: int, k: int) -> DataFrame:
+    """(s, key, title, hs): for each of the asked sets of words, the k products of least key that hold all of it.
+
+    Sets grow by one word at a time, and only into asked ones. Words come from the rarest to the most common, so what
+    a frequent word could grow by is few. Of a set, each task passes on its k products."""
+    sets = [held.limit(0).select(F.lit("").alias("s"), "key", "title", "hs")]
+    grown = held.select("key", "title", "hs", F.posexplode("hs").alias("i", "w")).select("key", "title", "hs", "i", F.concat(F.lit(" "), "w").alias("s"))
+    for level in range(levels):
+        now = cut(grown.join(asked, "s", "left_semi"))
+        nth = F.row_number().over(W.partitionBy("s").orderBy("key", "title"))
+        sets.append(now.withColumn("nth", nth).where(F.col("nth") <= k).select("s", "key", "title", "hs"))
+        after = now.where(F.col("i") < F.size("hs") - 1).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("hs") - 1)))
+        grown = after.select("key", "title", "hs", F.col("j").alias("i"), F.concat("s", F.lit(" "), F.get("hs", F.col("j"))).alias("s"))
+    return cut(reduce(DataFrame.unionByName, sets))
 
 
 def match_products(terms: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
@@ -34,17 +53,31 @@ def match_products(terms: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFr
     least key. Different terms are matched once.
 
     A product among a term's best k, which shares the words S with it, is among the k of least key that hold S: k such
-    products of less key would share as much or more, and rank before it. So each set of words keeps k products, found by
-    a top-k before the shuffle, and terms meet only these, however frequent a word is. Longer texts than SET_WORDS words
-    have too many sets; pairs with one of them are joined by word."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    asked = terms.select("term").distinct().withColumn("ws", words(F.col("term")))
-    held = catalogue.select("key", "title", words(F.col("title")).alias("hs"))
-    short, long = (lambda c: F.size(c) <= SET_WORDS), (lambda c: F.size(c) > SET_WORDS)
-    first = held.where(short("hs")).withColumn("s", F.explode(_sets(F.col("hs")))).withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("key"))).where(F.col("n") <= k)
-    by_set = asked.where(short("ws")).withColumn("s", F.explode(_sets(F.col("ws")))).join(first, "s").select("term", "key", "title", "ws", "hs")
-    one = lambda df, c: df.withColumn("w", F.explode(c))
-    by_word = one(asked.where(long("ws")), "ws").join(one(held, "hs"), "w").unionByName(one(asked.where(short("ws")), "ws").join(one(held.where(long("hs")), "hs"), "w"))
-    pairs = by_set.unionByName(by_word.select("term", "key", "title", "ws", "hs")).select("term", "key", "title", F.size(F.array_intersect("ws", "hs")).alias("overlap")).distinct()
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("overlap"), "key"))).where(F.col("rank") <= k)
+    products of less key would share as much or more, and rank before it. So each asked set of words keeps k products,
+    and terms meet only these, however frequent a word is and however long a title. Where a set of r words has k products,
+    the best k share r words at least, and smaller sets are left out.
+
+    A term of more than SET_WORDS words has too many sets; products that hold one of its rarest words, all but the last
+    SET_WORDS, are met by word, and all others by the sets of the rest."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    asked = terms.select("term").distinct().select("term", F.explode(F.array_distinct(words(F.col("term")))).alias("w"))
+    held = catalogue.select("key", "title").distinct().select("key", "title", F.explode(F.array_distinct(words(F.col("title")))).alias("w"))
+    often = cut(held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(asked.select("w").distinct(), "w"))
+    rarest_first = F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+    t = cut(asked.join(often, "w").groupBy("term").agg(rarest_first.alias("ws")))
+    h = cut(held.join(often, "w").groupBy("key", "title").agg(rarest_first.alias("hs")))
+
+    common = F.slice("ws", F.greatest(F.size("ws") - SET_WORDS, F.lit(0)) + 1, F.lit(SET_WORDS))
+    rare = F.slice("ws", F.lit(1), F.greatest(F.size("ws") - SET_WORDS, F.lit(0)))
+    sets = t.select("term", "ws", F.explode(_sets(common)).alias("s"))
+    levels = t.agg(F.max(F.least(F.size("ws"), F.lit(SET_WORDS)))).first()[0] or 0
+    best = _by_set(h, sets.select("s").distinct(), levels, k)
+    size = F.size(F.split(F.ltrim("s"), " "))
+    full = best.groupBy("s").agg((F.count(F.lit(1)) >= k).alias("full"))
+    least = F.coalesce(F.max(F.when(F.col("full"), size)).over(W.partitionBy("term")), F.lit(0))
+    by_set = sets.join(full, "s").withColumn("least", least).where(size >= F.col("least")).join(best, "s")
+    by_word = t.select("term", "ws", F.explode(rare).alias("w")).join(h.withColumn("w", F.explode("hs")), "w")
+    both = by_set.select("term", "key", "title", "ws", "hs").unionByName(by_word.select("term", "key", "title", "ws", "hs"))
+    pairs = both.select("term", "key", "title", F.size(F.array_intersect("ws", "hs")).alias("overlap")).distinct()
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("overlap"), "key", "title"))).where(F.col("rank") <= k)
     return terms.join(ranked, "term").select("track_id", "ord", "term", "rank", "key", "title")

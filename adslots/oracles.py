@@ -303,7 +303,14 @@ def _with_views(sql: str) -> str:
     return f"WITH RECURSIVE {views}{', ' + rest[1] if rest else ' ' + sql}"
 
 
+_TAIL = " || ' '".join(f" || '{c}' || {{k}} % {n}" for c, n in (("s", 7), ("c", 11), ("d", 13), ("e", 17), ("f", 19), ("g", 101)))
+
 _SQL |= {
+    "r2_match_long_titles": rf"""WITH q AS (SELECT s_suppkey AS track_id, CASE s_suppkey % 3 WHEN 0 THEN 'small red economy the lot ' {_TAIL.format(k="s_suppkey")} WHEN 1 THEN 'lot c' || s_suppkey % 11 ELSE 'the lot ' {_TAIL.format(k="s_suppkey")} END AS term FROM supplier),
+        c AS (SELECT p_partkey AS key, p_name || ' ' || p_type || ' the lot ' {_TAIL.format(k="p_partkey")} AS title FROM part),
+        a AS (SELECT DISTINCT term, unnest(list_distinct(string_split(lower(term), ' '))) AS w FROM q), h AS (SELECT key, title, unnest(list_distinct(string_split(lower(title), ' '))) AS w FROM c),
+        o AS (SELECT term, key, title, count(*) AS n FROM a JOIN h USING (w) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, key) AS rank FROM o)
+        SELECT track_id, 1 AS ord, term, rank::INT AS rank, key, title FROM q JOIN k USING (term) WHERE rank <= 3""",
     "f8_weighted_loudness": "SELECT g.track_id, \"at\", round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(target_lufs - before_lufs, 6) AS gain_db, round(coalesce(a.l, -70), 6) AS after_lufs FROM wgains g LEFT JOIN wafter a USING (track_id)",
     # other forms of operators above
     **{name: _SQL[of] for name, of in (("f1_frame_rms_blocks", "f1_frame_rms"), ("f7_peak_envelope_blocks", "f7_peak_envelope"), ("m3_overlay_gain_blocks", "m3_overlay_gain"), ("m5_room_tone_bed_blocks", "m5_room_tone_bed"),

@@ -379,6 +379,7 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "m5_room_tone_two_speakers": m5_room_tone_two_speakers,
     "r1_extract_terms": lambda x: r.extract_terms(x.term_answers()),
     "r2_match_products": lambda x: r.match_products(r.extract_terms(x.term_answers()), x.catalogue()),
+    "r2_match_long_titles": lambda x: r.match_products(x.long_terms(), x.long_titles()),
 }
 
 

@@ -200,6 +200,23 @@ def test_matches_equal_brute_force(spark):
     assert {tuple(x) for x in out.select("track_id", "ord", "term", "rank", "key", "title").collect()} == want
 
 
+def test_long_titles_near_k_pairs_a_term(spark):
+    """200 terms and 4,000 titles of eight words, all with one word in common: equal to brute force, without all pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    titles = [(i, " ".join(["all", *rng.sample(words, 7)])) for i in range(4000)]
+    asked = [(i, 1, " ".join(["all", *rng.sample(words, rng.choice([1, 2, 4, 7, 11]))])) for i in range(200)]
+    want = set()
+    for i, o, term in asked:
+        ranked = sorted((-len(set(term.split()) & set(t.split())), key, t) for key, t in titles)
+        want |= {(i, o, term, n, key, t) for n, (k_, key, t) in enumerate(ranked[:3], 1) if k_ < 0}
+    out = r.match_products(spark.createDataFrame(asked, "track_id long, ord int, term string"), spark.createDataFrame(titles, "key long, title string"))
+    assert {tuple(x) for x in out.select("track_id", "ord", "term", "rank", "key", "title").collect()} == want
+    h = spark.createDataFrame([(i, t, t.split()) for i, t in titles], "key long, title string, hs array<string>")
+    kept = r._by_set(h, spark.createDataFrame([(" all",), (" w1",), (" w1 w2",)], "s string"), 2, 3)
+    assert kept.count() <= 9
+
+
 def test_two_top_speakers(spark):
     turns = [(1, 0, "x", 0, 100), (1, 1, "y", 100, 300), (1, 2, "z", 300, 310), (1, 3, "x", 310, 410), (1, 4, "y", 410, 410)]
     out = k.top_speakers(spark.createDataFrame(turns, "track_id long, turn_idx int, label string, start_ms long, end_ms long"))
