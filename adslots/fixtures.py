@@ -68,6 +68,11 @@ class Catalogue:
             F.when(t % 10 != 0, F.col("len")).alias("analysis_ms"),
         )
 
+    def with_tempo(self) -> DataFrame:
+        """Episodes with the tempo that an analysis finds in songs."""
+        t = F.col("track_id")
+        return self.episodes().withColumn("tempo", F.when(t % 3 == 0, (90 + t % 60).cast("double")))
+
     def episodes(self) -> DataFrame:
         return self._stored("episodes", lambda: resolve(self.raw_episodes()))
 
@@ -189,6 +194,14 @@ class Catalogue:
     def long_titles(self) -> DataFrame:
         return self._table("part").select(F.col("p_partkey").alias("key"), self._long("p_name", "p_type", k=F.col("p_partkey")).alias("title"))
 
+    def payload_lines(self) -> DataFrame:
+        """Lines of 16 files: payloads, lines cut short, lines without a track, blank ones; one file has very long lines."""
+        k = F.col("p_partkey")
+        file = (k % 16).cast("int")
+        body = F.concat(F.when(k % 11 == 0, F.lit("{")).otherwise(F.concat(F.lit('{"track_id": '), k.cast("string"), F.lit(", "))), F.lit('"mode": "'), "p_name", F.when(file == 3, F.repeat(F.lit("x"), F.lit(20_000))).otherwise(""), F.lit('"}'))
+        line = F.when(k % 13 == 0, "").when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body)
+        return self._table("part").select(file.alias("file"), k.alias("n"), line.alias("line"))
+
     def payloads(self) -> DataFrame:
         """Analysis payloads: numbers as numbers and as strings, other names of the place, bad elements, broken JSON."""
         c = self.silence_cands()

@@ -10,7 +10,7 @@ from ..functions import by_track, field, unfenced, trimmed
 
 #: Instruction of a prompt; a parameter, as its wording changes no data.
 HEADER = "Choose the best place for a one-sentence promo from the candidates below and write the promo."
-SCRIPT_HEADER = "Write a short ad, of 8 to 15 seconds, that sounds like part of the conversation."
+SCRIPT_HEADER = "Write a short ad, of 8 to 15 seconds, that sounds like part of the conversation, without emojis and hashtags."
 #: Fixed value: the form of an answer.
 SCRIPT_SHAPE = 'Answer with JSON only: {"segments": [{"speaker": "A", "text": "..."}, {"speaker": "B", "text": "..."}]}'
 BROKEN = "The answer was not valid JSON; the default place is used."

@@ -184,7 +184,8 @@ _SQL = {
           string_agg(confidence_percent::VARCHAR, '|' ORDER BY confidence_percent DESC, ord) AS confidences FROM slots GROUP BY track_id) t
         LEFT JOIN (SELECT track_id, string_agg(id, '|' ORDER BY ord) AS ids, string_agg(statement, '|' ORDER BY ord) AS said FROM stated GROUP BY track_id) USING (track_id)""",
     "s3_audit_record": """SELECT c.track_id, chosen_ms, coalesce((SELECT string_agg(ms::VARCHAR, '|' ORDER BY seq) FROM sil30 s WHERE s.track_id = c.track_id), '') AS candidates_ms,
-          coalesce((SELECT string_agg(ms::VARCHAR, '|' ORDER BY seq) FROM cb30 s WHERE s.track_id = c.track_id), '') AS candidates_for_prompt_ms, mode,
+          coalesce((SELECT string_agg(ms::VARCHAR, '|' ORDER BY seq) FROM cb30 s WHERE s.track_id = c.track_id), '') AS candidates_for_prompt_ms, mode, CASE WHEN c.track_id % 3 = 0 THEN (90 + c.track_id % 60)::DOUBLE END AS tempo,
+          coalesce((SELECT string_agg(t_ms::VARCHAR, '|' ORDER BY t_ms) FROM frames f WHERE f.track_id = c.track_id AND frame_idx % 7 = 3 AND track_id % 11 <> 0), '') AS beat_times_ms,
           (SELECT count(*) FROM frames f WHERE f.track_id = c.track_id AND frame_idx % 7 = 3 AND track_id % 11 <> 0) AS beat_times_count,
           (SELECT CASE WHEN max(CASE WHEN t_ms = chosen_ms THEN 1 ELSE 0 END) = 1 THEN count(*) FILTER (t_ms < chosen_ms) END FROM frames f WHERE f.track_id = c.track_id AND frame_idx % 7 = 3 AND track_id % 11 <> 0) AS chosen_beat_index,
           round(target_lufs, 6) AS target_lufs, round(before_lufs, 6) AS before_lufs, round(after_lufs, 6) AS after_lufs, 30000 AS min_insert_ms, 15000 AS end_buffer_ms,
@@ -306,6 +307,12 @@ def _with_views(sql: str) -> str:
 _TAIL = " || ' '".join(f" || '{c}' || {{k}} % {n}" for c, n in (("s", 7), ("c", 11), ("d", 13), ("e", 17), ("f", 19), ("g", 101)))
 
 _SQL |= {
+    "s2_scan_payloads": """WITH b AS (SELECT p_partkey AS k, (p_partkey % 16)::INT AS file, CASE WHEN p_partkey % 11 = 0 THEN '{' ELSE '{"track_id": ' || p_partkey || ', ' END || '"mode": "' || p_name || CASE WHEN p_partkey % 16 = 3 THEN repeat('x', 20000) ELSE '' END || '"}' AS body FROM part),
+        l AS (SELECT k, file, CASE WHEN k % 13 = 0 THEN '' WHEN k % 7 = 0 THEN substring(body, 1, 20) ELSE body END AS line FROM b),
+        o AS (SELECT *, strlen(line) AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, (sum(strlen(line) + 1) OVER (PARTITION BY file))::BIGINT AS whole FROM l)
+        SELECT DISTINCT file, NULL::BIGINT AS track_id, 0::BIGINT AS line_offset, whole AS n_bytes, 'over the size limit' AS reason FROM o WHERE whole > 1000000
+        UNION ALL SELECT file, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k END, "at", n, CASE WHEN k % 7 = 0 THEN 'not JSON' WHEN k % 11 = 0 THEN 'no track_id' END FROM o WHERE whole <= 1000000 AND line <> ''""".replace(" AS at,", ' AS "at",'),
+    "s3_report_sink": _SQL["s3_slot_report"],
     "r2_match_long_titles": rf"""WITH q AS (SELECT s_suppkey AS track_id, CASE s_suppkey % 3 WHEN 0 THEN 'small red economy the lot ' {_TAIL.format(k="s_suppkey")} WHEN 1 THEN 'lot c' || s_suppkey % 11 ELSE 'the lot ' {_TAIL.format(k="s_suppkey")} END AS term FROM supplier),
         c AS (SELECT p_partkey AS key, p_name || ' ' || p_type || ' the lot ' {_TAIL.format(k="p_partkey")} AS title FROM part),
         a AS (SELECT DISTINCT term, unnest(list_distinct(string_split(lower(term), ' '))) AS w FROM q), h AS (SELECT key, title, unnest(list_distinct(string_split(lower(title), ' '))) AS w FROM c),

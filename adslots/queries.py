@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
+from .sources import files, reports
+from .storage import scratch_path
 from .fixtures import Catalogue
 from .functions import by_track
 from .operators import blocks as b
@@ -85,8 +87,34 @@ def s2_read_analysis(x: Catalogue) -> DataFrame:
     return sources.read_analysis(x.payloads(), x.lengths())
 
 
+def s2_scan_payloads(x: Catalogue) -> DataFrame:
+    """Files of up to 1 MB: what is read and what is not, with its place; a file by its number."""
+    path = scratch_path(x.spark, "payloads")
+    x.payload_lines().repartition(16, "file").sortWithinPartitions("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    payloads, rejects = files.scan_payloads(x.spark, path, max_bytes=1_000_000, pattern="*.txt")
+    number = F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("int").alias("file")
+    read = payloads.select(number, "track_id", "line_offset", F.octet_length("payload").cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("reason"))
+    return read.unionByName(rejects.select(number, F.lit(None).cast("long").alias("track_id"), "line_offset", "n_bytes", "reason"))
+
+
+def _report(x: Catalogue) -> DataFrame:
+    return sources.slot_report(x.slots(), x.lengths(), sources.analysis_source(x.payloads()), sp.sponsor_statements(x.sponsors()))
+
+
+def s3_report_sink(x: Catalogue) -> DataFrame:
+    """Read back after an older state, with other lengths and without some tracks, and the whole report twice."""
+    path, report = scratch_path(x.spark, "report"), x._stored("report", lambda: _report(x))
+    older = F.when(F.col("track_id") % 2 == 0, F.col("duration") + 1).otherwise(F.col("duration"))
+    for state in (report.where("track_id % 3 <> 0").withColumn("duration", older), report, report):
+        reports.write_report(state, path)
+    return _told(reports.read_report(x.spark, path))
+
+
 def s3_slot_report(x: Catalogue) -> DataFrame:
-    report = sources.slot_report(x.slots(), x.lengths(), sources.analysis_source(x.payloads()), sp.sponsor_statements(x.sponsors()))
+    return _told(_report(x))
+
+
+def _told(report: DataFrame) -> DataFrame:
     said = lambda c: _joined(F.transform("sponsor_statements", lambda v: v[c]))
     return report.select(
         "track_id", _ms("duration").alias("duration_ms"), "source", F.size("slots").alias("n"), _joined(F.transform("points", lambda p: F.round(p * 1000).cast("long").cast("string"))).alias("points_ms"),
@@ -101,10 +129,10 @@ def s3_audit_record(x: Catalogue) -> DataFrame:
     choices = t.parse_choice(x.choice_answers(), x.products())
     chosen = c.apply_choice(c.default_insertion(x.lengths(), bounded), bounded, choices, x.lengths())
     loudness = f.context_loudness(x.frames(), x.frame_slots(), _promo_frames(x), window_ms=1500)
-    record = sources.audit_record(chosen, cands, bounded, x.episodes(), x.beats(), loudness, contexts, t.prompt_corpus(x.products(), contexts, header="H"), x.choice_answers())
+    record = sources.audit_record(chosen, cands, bounded, x.with_tempo(), x.beats(), loudness, contexts, t.prompt_corpus(x.products(), contexts, header="H"), x.choice_answers())
     listed = lambda name: _joined(F.transform(name, lambda v: v.cast("string"))).alias(name)
     return record.select(
-        "track_id", "chosen_ms", listed("candidates_ms"), listed("candidates_for_prompt_ms"), "mode", "beat_times_count", "chosen_beat_index", _6("target_lufs"), _6("before_lufs"), _6("after_lufs"),
+        "track_id", "chosen_ms", listed("candidates_ms"), listed("candidates_for_prompt_ms"), "mode", "tempo", listed("beat_times_ms"), "beat_times_count", "chosen_beat_index", _6("target_lufs"), _6("before_lufs"), _6("after_lufs"),
         "min_insert_ms", "end_buffer_ms", "transcript_before", "prompt", "raw_text",
     )
 
@@ -315,7 +343,9 @@ def m5_room_tone_bed_blocks(x: Catalogue) -> DataFrame:
 OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "s1_episodes": s1_episodes,
     "s2_read_analysis": s2_read_analysis,
+    "s2_scan_payloads": s2_scan_payloads,
     "s3_slot_report": s3_slot_report,
+    "s3_report_sink": s3_report_sink,
     "s3_audit_record": s3_audit_record,
     "f1_frame_rms": f1_frame_rms,
     "f1_frame_rms_blocks": f1_frame_rms_blocks,

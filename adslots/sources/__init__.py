@@ -81,27 +81,23 @@ def audit_record(
     min_offset: int = 30000, end_buffer: int = 15000, prompt_chars: int = 500,
 ) -> DataFrame:
     """S3's audit: one row per chosen(track_id, chosen_ms) with what the choice was made from: the candidates before and
-    after the bounds (an analysis gives at most 30 of a track), mode, number of beats and the place of the chosen one
-    among them (null if it's none), loudness(track_id, target_lufs, before_lufs, after_lufs), the limits, what was
+    after the bounds (an analysis gives at most 30 of a track), mode and tempo, the beats in order, their number and the
+    place of the chosen one among them (null if it's none), loudness(track_id, target_lufs, before_lufs, after_lufs), the limits, what was
     said before (the mark of a missing transcript where contexts(track_id, ms, context) has nothing for the place), the
     prompt's first prompt_chars characters and the raw answer. What a track lacks is null."""
     in_order = lambda df, name: df.groupBy("track_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ms"))), lambda x: x["ms"]).alias(name))
     none = F.array().cast("array<bigint>")
     at = chosen.join(beats, "track_id").groupBy("track_id").agg(
+        F.array_sort(F.collect_list("beat_ms")).alias("beat_times_ms"),
         F.count(F.lit(1)).alias("beat_times_count"),
         F.when(F.max(F.col("beat_ms") == F.col("chosen_ms")), F.sum(F.when(F.col("beat_ms") < F.col("chosen_ms"), 1).otherwise(0))).alias("chosen_beat_index"),
     )
     heard = contexts.where("context <> ''").groupBy("track_id", F.col("ms").alias("chosen_ms")).agg(F.min("context").alias("context"))
     out = chosen.join(in_order(cands, "candidates_ms"), "track_id", "left").join(in_order(bounded, "candidates_for_prompt_ms"), "track_id", "left")
-    for other in (episodes.select("track_id", "mode"), at, loudness.select("track_id", "target_lufs", "before_lufs", "after_lufs"), prompts.select("track_id", F.substring("prompt", 1, prompt_chars).alias("prompt")), responses.select("track_id", "raw_text")):
+    for other in (episodes.select("track_id", "mode", "tempo"), at, loudness.select("track_id", "target_lufs", "before_lufs", "after_lufs"), prompts.select("track_id", F.substring("prompt", 1, prompt_chars).alias("prompt")), responses.select("track_id", "raw_text")):
         out = out.join(other, "track_id", "left")
     return out.join(heard, ["track_id", "chosen_ms"], "left").select(
-        "track_id", "chosen_ms", F.coalesce("candidates_ms", none).alias("candidates_ms"), F.coalesce("candidates_for_prompt_ms", none).alias("candidates_for_prompt_ms"), "mode",
+        "track_id", "chosen_ms", F.coalesce("candidates_ms", none).alias("candidates_ms"), F.coalesce("candidates_for_prompt_ms", none).alias("candidates_for_prompt_ms"), "mode", "tempo", F.coalesce("beat_times_ms", none).alias("beat_times_ms"),
         F.coalesce("beat_times_count", F.lit(0).cast("long")).alias("beat_times_count"), "chosen_beat_index", "target_lufs", "before_lufs", "after_lufs",
         F.lit(min_offset).alias("min_insert_ms"), F.lit(end_buffer).alias("end_buffer_ms"), F.coalesce("context", F.lit(UNAVAILABLE)).alias("transcript_before"), "prompt", "raw_text",
     )
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    """S3's sink: the report as JSON lines."""
-    report.write.mode("overwrite").json(path)

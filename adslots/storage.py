@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,8 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders written by `cut`, by the scopes that are open, the innermost last.
-_scopes: list[list[str]] = []
+#: Folders written by `cut`, by the scopes that are open in this thread, the innermost last.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A folder of its own in the shared one, which goes with the innermost scope; with `outer`, with the one around."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
+    return path
 
 
 def cut(df: DataFrame, outer: bool = False) -> DataFrame:
@@ -31,10 +41,8 @@ def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     storage, so a lost executor costs no recomputation and reruns of what follows read the same rows. With `outer` it
     outlives the innermost scope."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut", outer)
     df.write.parquet(path)
-    if len(_scopes) > outer:
-        _scopes[-1 - outer].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -49,11 +57,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what `cut` has written inside it. Whoever reads a query's result does so inside."""
     mine: list[str] = []
-    _scopes.append(mine)
+    before = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        _scopes.remove(mine)
+        _scopes.reset(before)
         for path in mine:
             _remove(spark, path)
 
