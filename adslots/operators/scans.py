@@ -1,4 +1,4 @@
-"""F4, F6, T3, K2, M2 and C5 for recordings of any length: scans over buckets, with what is carried from one to the next.
+"""F4, F6, T3, K2, M2, C5 and C8 for recordings of any length: scans over buckets, with what is carried from one to the next.
 
 The forms in the other modules order a recording in one window, so one recording is one task. Here rows are folded inside
 (recording, bucket), each bucket leaves one row, these rows are scanned, and what was there before a bucket goes back to
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import by_track, ends_sentence, trimmed
-from ..storage import cut
+from ..storage import cut, drop_cut
 from . import frames as f
 from . import speakers as k
 from . import splice as m
@@ -231,3 +231,38 @@ def collapse_near(base: DataFrame, extra: DataFrame, gap: int = 400, bucket_ms:
     uids = dealt(asked).mapInArrow(kept, "uid long").unionByName(entries.where("bucket IS NULL").select(F.col("entry").alias("uid")))
     found = rows.where("ms IS NOT NULL").join(uids, "uid").unionByName(rows.where("ms IS NULL").select("uid", *[c for c in rows.columns if c != "uid"]))
     return found.select("track_id", "ms", "silence_ms", "snippet", "src", "seq")
+
+
+def select_separated(scored: DataFrame, sep_ms: int = 6000, k: int = 3, bucket_ms: int = SPAN_MS) -> DataFrame:
+    """C8 for any k: (track_id, mode, duration_s, picks), as by the other form, by rounds.
+
+    In a round every candidate that is the best of those left within sep_ms is chosen at once, and those near it go.
+    What ranks behind a track's k-th chosen one goes as well. Each round chooses at least the best that is left of a
+    track, so there are k rounds at most, and usually few. A round is one shuffle: a bucket sees 2 * sep_ms on either side
+    of it, as far as what is chosen there reaches. Candidates without a place aren't chosen."""
+    if bucket_ms < 2 * sep_ms:
+        raise ValueError("buckets must be as long as two separations")
+    rows = cut(scored.where("ms IS NOT NULL").select("track_id", "mode", "duration_s", "ms", "src", "seq", "silence_ms", "snippet", "score", F.monotonically_increasing_id().alias("uid")))
+    order = F.struct((-F.col("score")).alias("neg"), "ms", "src", "seq", "uid").alias("order")
+    left = cut(rows.select("track_id", "ms", "uid", order))
+    chosen = None
+    own = F.expr(f"cast(floor(ms / {bucket_ms}) as long)")
+    edge = lambda d: F.expr(f"cast(floor((ms + {d}) / {bucket_ms}) as long)")
+    while True:
+        placed = left.withColumn("bucket", F.explode(F.array_distinct(F.array(own, edge(2 * sep_ms), edge(-2 * sep_ms)))))
+        near = W.partitionBy("track_id", "bucket").orderBy("ms").rangeBetween(1 - sep_ms, sep_ms - 1)
+        best = placed.withColumn("best", F.min("order").over(near) == F.col("order"))
+        judged = cut(best.withColumn("by", F.max("best").over(near)).where(F.col("bucket") == own).select("track_id", "ms", "uid", "order", "best", "by"))
+        found = judged.where("best").select("track_id", "ms", "uid", "order")
+        nth = F.row_number().over(by_track("order"))
+        kept = cut((found if chosen is None else chosen.unionByName(found)).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"))
+        last = kept.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("last"))
+        rest = cut(judged.where(~F.col("by")).join(last, "track_id", "left").where(F.col("n").isNull() | (F.col("n") < k) | (F.col("order") < F.col("last"))).select("track_id", "ms", "uid", "order"))
+        for old in (left, judged, *([chosen] if chosen is not None else [])):
+            drop_cut(old)
+        left, chosen = rest, kept
+        if left.isEmpty():
+            break
+    pick = F.struct("order", F.struct("ms", "silence_ms", "snippet", "score").alias("pick"))
+    listed = rows.join(chosen.select("uid", "order"), "uid").groupBy("track_id").agg(F.first("mode").alias("mode"), F.first("duration_s").alias("duration_s"), F.sort_array(F.collect_list(pick)).alias("picks"))
+    return listed.select("track_id", "mode", "duration_s", F.transform("picks", lambda x: x["pick"]).alias("picks"))

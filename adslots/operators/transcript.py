@@ -20,16 +20,14 @@ def context_before(cands: DataFrame, segments: DataFrame, window_ms: int = 15000
     """Candidates (track_id, seq, ms, ...) with context: the segments that overlap the window before, in order;
     empty after a track's first max_n candidates.
 
-    Interval join on (track, window-wide bin): a candidate spans at most two bins. A pair is taken only in the
-    later of its two first bins, so no pair comes twice."""
+    A track's windows, max_n at most, are one row; each segment meets them once, and goes on only for those it overlaps.
+    So no row is multiplied, however long a segment is."""
     numbered = cands.withColumn("_n", F.row_number().over(by_track("seq")))
     start = F.greatest(F.lit(0).cast("long"), F.col("ms") - window_ms)
-    bins = lambda a, b: F.sequence(F.expr(f"{a} div {window_ms}"), F.expr(f"{b} div {window_ms}"))
-    asked = numbered.where(F.col("_n") <= max_n).select("track_id", "seq", "ms", start.alias("from_ms")).withColumn("bin", F.explode(bins("from_ms", "ms")))
-    said = segments.select("track_id", "seg_idx", "text", F.round(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_s") * 1000).cast("long").alias("end_ms")).withColumn("bin", F.explode(bins("start_ms", "end_ms")))
-    pairs = asked.join(said, ["track_id", "bin"]).where(
-        (F.col("start_ms") < F.col("ms")) & (F.col("end_ms") > F.col("from_ms")) & (F.col("bin") == F.greatest(F.expr(f"from_ms div {window_ms}"), F.expr(f"start_ms div {window_ms}")))
-    )
+    windows = numbered.where(F.col("_n") <= max_n).groupBy("track_id").agg(F.collect_list(F.struct("seq", start.alias("from_ms"), "ms")).alias("asked"))
+    said = segments.select("track_id", "seg_idx", "text", F.round(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_s") * 1000).cast("long").alias("end_ms"))
+    heard = F.filter("asked", lambda a: (F.col("start_ms") < a["ms"]) & (F.col("end_ms") > a["from_ms"]))
+    pairs = said.join(windows, "track_id").select("track_id", "seg_idx", "text", F.explode(F.transform(heard, lambda a: a["seq"])).alias("seq"))
     text = pairs.groupBy("track_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), " ").alias("context"))
     return cands.join(text, ["track_id", "seq"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 

@@ -313,6 +313,7 @@ _SQL |= {
         SELECT DISTINCT file, NULL::BIGINT AS track_id, 0::BIGINT AS line_offset, whole AS n_bytes, 'over the size limit' AS reason FROM o WHERE whole > 1000000
         UNION ALL SELECT file, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k END, "at", n, CASE WHEN k % 7 = 0 THEN 'not JSON' WHEN k % 11 = 0 THEN 'no track_id' END FROM o WHERE whole <= 1000000 AND line <> ''""".replace(" AS at,", ' AS "at",'),
     "s3_report_sink": _SQL["s3_slot_report"],
+    "c8_select_separated_rounds": _SQL["c8_select_separated"],
     "r2_match_long_titles": rf"""WITH q AS (SELECT s_suppkey AS track_id, CASE s_suppkey % 3 WHEN 0 THEN 'small red economy the lot ' {_TAIL.format(k="s_suppkey")} WHEN 1 THEN 'lot c' || s_suppkey % 11 ELSE 'the lot ' {_TAIL.format(k="s_suppkey")} END AS term FROM supplier),
         c AS (SELECT p_partkey AS key, p_name || ' ' || p_type || ' the lot ' {_TAIL.format(k="p_partkey")} AS title FROM part),
         a AS (SELECT DISTINCT term, unnest(list_distinct(string_split(lower(term), ' '))) AS w FROM q), h AS (SELECT key, title, unnest(list_distinct(string_split(lower(title), ' '))) AS w FROM c),

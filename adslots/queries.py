@@ -370,6 +370,7 @@ OVER_CATALOGUE: dict[str, Callable[[Catalogue], DataFrame]] = {
     "c6_fill_empty": lambda x: c.fill_empty(x.episodes(), x.merged()),
     "c7_score": lambda x: x.scored().select("track_id", "ms", "src", "seq", F.round(F.col("score") * 10000).cast("long").alias("score")),
     "c8_select_separated": lambda x: _picks(c.select_separated(x.scored())),
+    "c8_select_separated_rounds": lambda x: _picks(scans.select_separated(x.scored(), bucket_ms=20 * SPAN_MS)),
     "c9_top_up": lambda x: _picks(c.top_up(c.select_separated(x.scored()))),
     "c10_clamp_dedupe": lambda x: c.clamp_dedupe(c.top_up(c.select_separated(x.scored()))).select("track_id", "ord", "ms"),
     "c11_slot_record": c11_slot_record,

@@ -106,11 +106,33 @@ def test_one_island_of_a_million(spark):
     assert tuple(sums) == (len(want), sum(want), sum(i * i for i in want))
 
 
+def greedy(rows, sep, k):
+    picks = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[2], r[4], r[1])):
+        if len(picks) < k and all(abs(r[2] - p[2]) >= sep for p in picks):
+            picks.append(r)
+    return [(r[2], r[3]) for r in picks]
+
+
+@pytest.mark.parametrize(("k", "bucket_ms"), [(1, 12_000), (3, 30_000), (200, 3_600_000), (10_000, 900_000)])
+def test_select_separated(spark, k, bucket_ms):
+    """A day-long track, a slope of scores, ties and repeated rows, against the plain greedy choice."""
+    rng = random.Random(6)
+    rows = [(1, i, rng.randint(0, 86_400_000), rng.choice([0.5, 0.6, round(rng.random(), 3)]), rng.choice([0, 1])) for i in range(3000)]
+    rows += [(2, i, i * 3000, i / 100, 0) for i in range(60)] + [(3, 0, 5, 0.5, 0), (3, 0, 5, 0.5, 0), (3, 1, 5, 0.5, 0), (4, 0, 0, 0.1, 1)]
+    scored = spark.createDataFrame(rows, "track_id long, seq int, ms long, score double, src int").selectExpr("*", "'song' AS mode", "1.0D AS duration_s", "1L AS silence_ms", "'s' AS snippet").repartition(4)
+    out = {r.track_id: [(p.ms, p.score) for p in r.picks] for r in scans.select_separated(scored, 6000, k, bucket_ms).collect()}
+    assert out == {t: greedy([r for r in rows if r[0] == t], 6000, k) for t in (1, 2, 3, 4)}
+    if k == 3:
+        same(scans.select_separated(scored, 6000, k, bucket_ms).select("track_id", "picks"), c.select_separated(scored, 6000, k).select("track_id", "picks"))
+
+
 def test_nothing(spark, frames):
     none = frames.limit(0)
     assert scans.quiet_runs(none, f.quiet_threshold(none)).collect() == []
     cands = spark.createDataFrame([], "track_id long, seq int, ms long, silence_ms long, snippet string")
     assert scans.collapse_near(cands, cands).collect() == []
+    assert scans.select_separated(cands.selectExpr("*", "0 AS src", "'song' AS mode", "1.0D AS duration_s", "0.5D AS score")).collect() == []
     assert scans.transcript_rollup(spark.createDataFrame([], "track_id long, seg_idx int, text string")).collect() == []
 
 
