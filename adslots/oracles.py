@@ -311,7 +311,7 @@ _SQL |= {
         l AS (SELECT k, file, CASE WHEN k % 13 = 0 THEN '' WHEN k % 7 = 0 THEN substring(body, 1, 20) ELSE body END AS line FROM b),
         o AS (SELECT *, strlen(line) AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, (sum(strlen(line) + 1) OVER (PARTITION BY file))::BIGINT AS whole FROM l)
         SELECT DISTINCT file, NULL::BIGINT AS track_id, 0::BIGINT AS line_offset, whole AS n_bytes, 'over the size limit' AS reason FROM o WHERE whole > 1000000
-        UNION ALL SELECT file, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k END, "at", n, CASE WHEN k % 7 = 0 THEN 'not JSON' WHEN k % 11 = 0 THEN 'no track_id' END FROM o WHERE whole <= 1000000 AND line <> ''""".replace(" AS at,", ' AS "at",'),
+        UNION ALL SELECT file, CASE WHEN ends_with(line, '"}') AND k % 11 <> 0 THEN k END, "at", n, CASE WHEN NOT ends_with(line, '"}') THEN 'not JSON' WHEN k % 11 = 0 THEN 'no track_id' END FROM o WHERE whole <= 1000000 AND line <> ''""".replace(" AS at,", ' AS "at",'),
     "s3_report_sink": _SQL["s3_slot_report"],
     "c8_select_separated_rounds": _SQL["c8_select_separated"],
     "r2_match_long_titles": rf"""WITH q AS (SELECT s_suppkey AS track_id, CASE s_suppkey % 3 WHEN 0 THEN 'small red economy the lot ' {_TAIL.format(k="s_suppkey")} WHEN 1 THEN 'lot c' || s_suppkey % 11 ELSE 'the lot ' {_TAIL.format(k="s_suppkey")} END AS term FROM supplier),
