@@ -74,7 +74,7 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
 """
 
 OP3 = r"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(say, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
@@ -85,17 +85,20 @@ sh AS (SELECT hp.*, rule, said, array_to_string(s, '/') AS shape
     CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' WHEN regexp_full_match(x, '[0-9]+\.[A-Za-z]+') THEN '#' || regexp_extract(x, '\.[A-Za-z]+$')
          WHEN regexp_full_match(x, '[0-9a-fA-F-]{8,}') THEN '#x' ELSE x END) AS s FROM hp) hp LEFT JOIN fit USING (page_id)),
 p AS (SELECT host, shape, s, count(*) AS n, count(said) AS lab, count(*) FILTER (said = 'block') AS bad FROM sh GROUP BY ALL),
-lv AS (SELECT host, shape, n, lab, bad, k, s[k] AS part, array_to_string(s[1:k - 1], '/') AS before, coalesce(starts_with(s[k + 1], '#'), false) AS number
-  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM p)),
-br AS (SELECT host, k, before, part, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad, coalesce(sum(n) FILTER (number), 0)::BIGINT AS m, 2 * coalesce(sum(n) FILTER (number), 0) >= sum(n) AS kind FROM lv GROUP BY ALL),
-sib AS (SELECT host, k, before, kind, count(*) AS k_all, sum(n)::DOUBLE AS n_all, sum(lab)::DOUBLE AS lab_all, sum(bad)::DOUBLE AS bad_all, sum(m)::DOUBLE AS m_all FROM br WHERE NOT starts_with(part, '#') GROUP BY ALL),
-ab AS (SELECT *, m::DOUBLE AS a, (n - m)::DOUBLE AS b, m_all - m AS c, n_all - n - m_all + m AS d,
-  bad::DOUBLE AS a2, (lab - bad)::DOUBLE AS b2, bad_all - bad AS c2, lab_all - lab - bad_all + bad AS d2 FROM br LEFT JOIN sib USING (host, k, before, kind)),
-nm AS (SELECT host, k, before, part, CASE WHEN starts_with(part, '#') THEN part WHEN n < 3 THEN '*'
-  WHEN k_all > 1 AND NOT coalesce((a + b + c + d) * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) > 6.63, false)
-    AND NOT coalesce((a2 + b2 + c2 + d2) * (a2 * d2 - b2 * c2) * (a2 * d2 - b2 * c2) / nullif((a2 + b2) * (c2 + d2) * (a2 + c2) * (b2 + d2), 0) > 6.63, false) THEN '*'
-  ELSE part END AS name FROM ab),
-tp AS (SELECT host, shape, '/' || string_agg(name, '/' ORDER BY k) AS template FROM lv JOIN nm USING (host, k, before, part) GROUP BY host, shape),
+g AS (SELECT host, shape, s, n, lab, bad, 0 AS k, '' AS before FROM p WHERE len(s) > 0
+  UNION ALL SELECT host, shape, s, n, lab, bad, k + 1, before || '/' || CASE WHEN NOT named THEN part WHEN bn < 3 THEN '*'
+    WHEN k_all > 1 AND NOT coalesce((a + b + c + d) * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) > 6.63, false)
+      AND NOT coalesce((a2 + b2 + c2 + d2) * (a2 * d2 - b2 * c2) * (a2 * d2 - b2 * c2) / nullif((a2 + b2) * (c2 + d2) * (a2 + c2) * (b2 + d2), 0) > 6.63, false) THEN '*' ELSE part END
+  FROM (SELECT *, m::DOUBLE AS a, (bn - m)::DOUBLE AS b, (m_all - m)::DOUBLE AS c, (n_all - bn - m_all + m)::DOUBLE AS d,
+      bb::DOUBLE AS a2, (bl - bb)::DOUBLE AS b2, (bad_all - bb)::DOUBLE AS c2, (lab_all - bl - bad_all + bb)::DOUBLE AS d2
+    FROM (SELECT *, max(place) OVER v AS k_all, sum(n) OVER v AS n_all, sum(lab) OVER v AS lab_all, sum(bad) OVER v AS bad_all, sum(CASE WHEN number THEN n ELSE 0 END) OVER v AS m_all
+      FROM (SELECT *, dense_rank() OVER (PARTITION BY host, before, kind, named ORDER BY part) AS place
+        FROM (SELECT *, 2 * m >= bn AS kind
+          FROM (SELECT *, sum(n) OVER w AS bn, sum(lab) OVER w AS bl, sum(bad) OVER w AS bb, sum(CASE WHEN number THEN n ELSE 0 END) OVER w AS m
+            FROM (SELECT *, s[k + 1] AS part, NOT starts_with(s[k + 1], '#') AS named, coalesce(starts_with(s[k + 2], '#'), false) AS number FROM g WHERE k < len(s))
+            WINDOW w AS (PARTITION BY host, before, part))))
+      WINDOW v AS (PARTITION BY host, before, kind, named)))),
+tp AS (SELECT host, shape, before AS template FROM g WHERE k = len(s)),
 pt AS (SELECT p.host, p.shape, n, lab, bad, coalesce(template, '') AS template FROM p LEFT JOIN tp USING (host, shape)),
 leaf AS (SELECT host, template, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM pt GROUP BY ALL),
 ho AS (SELECT host, sum(lab)::BIGINT AS lab_h, sum(bad)::BIGINT AS bad_h FROM leaf GROUP BY ALL),

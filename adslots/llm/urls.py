@@ -1,6 +1,7 @@
 """URL filters: explicit rules, and templates learned from labelled URLs.
 
-Per host, paths form a tree of segments, to each path's full depth. Segments that vary become wildcards: numbers and long
+Per host, paths form a tree of segments, to each path's full depth, which is generalised level by level: what stands
+below branches that were merged is one set of branches at the next level. Segments that vary become wildcards: numbers and long
 hexadecimal strings at once, names seen fewer than MIN_SUPPORT times at their place, and names whose branch is
 statistically similar to its siblings of the same kind, which are merged into one. A branch is of one kind if half of its
 URLs or more go on with a number, of the other if not. Similar means that neither that share nor the share of bad
@@ -10,8 +11,10 @@ labels, smoothed towards its host's and that towards all hosts' with a weight of
 at least MIN_LABELLED labels that are at least COVERAGE of its URLs.
 
 DataFrame functions only. URLs are first aggregated to distinct (host, shape of path) pairs; the tree is built on
-that table, one row for each segment with hashes of what stands before it, and joined back. Sums over siblings are
-aggregated and joined, so a host or directory with very many entries is never in one task.
+that table, a round for each level that branches (what all paths of a set begin with is passed over at once), and joined
+back. Sums over branches and siblings are aggregated and joined, so a
+host or directory with very many entries is never in one task. A path leaves the rounds where fewer than MIN_SUPPORT URLs
+share what it's generalised to so far: all its names below are wildcards.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; an
 empty table gives an empty result; repeated rows are judged alike and counted each.
@@ -20,12 +23,12 @@ empty table gives an empty result; repeated rows are judged alike and counted ea
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, drop_cut, lower_ascii
 
 #: Fixed values of the contract: verdict, host and path prefix.
 RULES = (
@@ -82,23 +85,45 @@ def _differs(part: Column, whole: Column, all_parts: Column, all_wholes: Column)
     return F.coalesce(stat > F.lit(CHI2), F.lit(False))
 
 
-def _generalised(paths: DataFrame) -> DataFrame:
-    """(id, template) of the paths(id, host, shape, n, lab, bad) that have segments."""
-    one = W.partitionBy("id").orderBy("k")  # the segments of one path
-    segments = paths.where("shape <> ''").select("id", "host", "n", "lab", "bad", F.posexplode(F.split("shape", "/")).alias("k", "part"))
-    levels = cut(
-        segments.withColumn("before", F.coalesce(F.bit_xor(F.xxhash64("k", "part")).over(one.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
-        .withColumn("number", F.coalesce(F.lead("part").over(one).startswith("#"), F.lit(False)))
-    )
-    place = ["host", "k", "before"]
-    branches = cut(levels.groupBy(*place, "part").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("m")).withColumn("kind", 2 * F.col("m") >= F.col("n")))
-    siblings = cut(branches.where(~F.col("part").startswith("#")).groupBy(*place, "kind").agg(F.count(F.lit(1)).alias("k_all"), *[F.sum(c).alias(f"{c}_all") for c in ("n", "lab", "bad", "m")]))
+def _names(branches: DataFrame) -> DataFrame:
+    """(host, at, part, name) of the branches(host, at, part, n, lab, bad, m) of a level; at is what stands before it."""
+    place = ["host", "at"]
+    siblings = branches.where(~F.col("part").startswith("#")).groupBy(*place, "kind").agg(F.count(F.lit(1)).alias("k_all"), *[F.sum(c).alias(f"{c}_all") for c in ("n", "lab", "bad", "m")])
     own = _differs(F.col("m"), F.col("n"), F.col("m_all"), F.col("n_all")) | _differs(F.col("bad"), F.col("lab"), F.col("bad_all"), F.col("lab_all"))
     merged = (F.col("n") < MIN_SUPPORT) | ((F.col("k_all") > 1) & ~own)
-    named = cut(branches.join(siblings, [*place, "kind"], "left").select(*place, "part", F.when(F.col("part").startswith("#"), F.col("part")).when(merged, F.lit("*")).otherwise(F.col("part")).alias("name")))
-    # a path's own segments are collected, as many as it has
-    written = levels.select("id", *place, "part").join(named, [*place, "part"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("names"))
-    return written.select("id", F.concat(F.lit("/"), F.array_join(F.transform("names", lambda x: x["name"]), "/")).alias("template"))
+    return branches.join(siblings, [*place, "kind"], "left").select(*place, "part", F.when(F.col("part").startswith("#"), F.col("part")).when(merged, F.lit("*")).otherwise(F.col("part")).alias("name"))
+
+
+def _generalised(paths: DataFrame) -> DataFrame:
+    """(id, template) of the paths(id, host, shape, n, lab, bad) that have segments, by rounds over the levels that branch."""
+    joined = lambda at, parts: F.concat(at, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("/"), p)), ""))
+    counts, place = ["n", "lab", "bad"], ["host", "at"]
+    now = cut(paths.where("shape <> ''").select("id", "host", *counts, F.split("shape", "/").alias("parts"), F.lit("").alias("at")))
+    done = []
+    while True:
+        # what the first and the last path of a set have in common at their beginning, all of them have
+        same = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+        common = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+        sets = now.groupBy(*place).agg(F.min("parts").alias("low"), F.max("parts").alias("high"), (F.sum("n") < MIN_SUPPORT).alias("few")).select(*place, "few", common.alias("common"))
+        rest = F.transform("parts", lambda p: F.when(p.startswith("#"), p).otherwise(F.lit("*")))
+        head, tail = F.slice("parts", F.lit(1), F.col("common")), F.slice("parts", F.col("common") + 1, F.size("parts"))
+        split = cut(now.join(sets, place).select("id", "host", *counts, F.when(F.col("few"), joined("at", rest)).otherwise(joined("at", head)).alias("at"), F.when(F.col("few"), F.array().cast("array<string>")).otherwise(tail).alias("parts")))
+        done.append(split.where(F.size("parts") == 0).select("id", F.col("at").alias("template")))
+        part, number = F.get("parts", F.lit(0)), F.coalesce(F.get("parts", F.lit(1)).startswith("#"), F.lit(False))
+        left = split.where(F.size("parts") > 0)
+        branches = cut(
+            left.groupBy(*place, part.alias("part")).agg(*[F.sum(c).alias(c) for c in counts], F.sum(F.when(number, F.col("n")).otherwise(0)).alias("m"))
+            .withColumn("kind", 2 * F.col("m") >= F.col("n"))
+        )
+        named = cut(_names(branches))
+        met = cut(left.withColumn("part", part).join(named, [*place, "part"]).select("id", "host", *counts, F.slice("parts", F.lit(2), F.size("parts")).alias("parts"), F.concat("at", F.lit("/"), "name").alias("at")))
+        done.append(met.where(F.size("parts") == 0).select("id", F.col("at").alias("template")))
+        after = cut(met.where(F.size("parts") > 0))
+        for old in (now, branches, named):
+            drop_cut(old)
+        now = after
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def templates(labelled: DataFrame) -> DataFrame:

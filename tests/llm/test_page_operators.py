@@ -230,3 +230,18 @@ def test_a_verdict_is_learned_on_given_pages(spark):
     learned = [r for r in out if r["rule"] is None]
     assert {r["verdict"] for r in learned} == {"allow", "block"}
     assert all(r["host"].endswith(".com") for r in learned if r["verdict"] == "block")
+
+
+def test_branches_below_merged_ones_are_pooled(spark):
+    """40 users with the same two sections below; the labels of 20 hold for all, at any depth."""
+    rows = [("h", f"/user{u:02}/{part}/{i}", (part == "shop") if u < 20 else None) for u in range(40) for part in ("news", "shop") for i in range(4)]
+    rows += [("g", f"/x{u:02}/y{u:02}/deep/{'bad' if u % 2 else 'good'}/{i}", bool(u % 2)) for u in range(30) for i in range(3)]
+    got = {(r["host"], r["template"]): r["rejected"] for r in urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert got == {("h", "/*/shop/#"): True, ("h", "/*/news/#"): False, ("g", "/*/*/deep/bad/#"): True, ("g", "/*/*/deep/good/#"): False}
+
+
+def test_deep_paths(spark):
+    """What all paths begin with, and what too few share, is passed over at once."""
+    rows = [("h", "/" + "/".join(["a"] * 12 + [f"b{u}", "c", "7"] * 40), None) for u in range(2)] + [("h", "/" + "/".join(["a"] * 12), None)] * 3
+    got = {r["template"] for r in urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert got == {"/" + "/".join(["a"] * 12), "/" + "/".join(["a"] * 12 + ["*"] + ["*", "#"] + ["*", "*", "#"] * 39)}
