@@ -7,8 +7,9 @@ sequence in both directions and labels each block as article text or not; articl
 
 The labeller is trained on the driver, from a bounded sample: of SAMPLE_PAGES pages (by hash of page_id and page), at
 most SAMPLE_BLOCKS block texts each, cut at SAMPLE_CHARS characters, come there. They are laid out in pages of random
-structure whose block labels are known, with containers named by the word lists below. Training has a fixed size and
-seed; labelling reads whole pages, runs in tasks and needs no shuffle.
+structure whose block labels are known; half of these name their containers by the word lists below, the others have
+generated names, names of layout, wrong names, or none. Names that no training page has count as one, so that a page of
+generated names is read by its structure. Training has a fixed size and seed; labelling reads whole pages, runs in tasks and needs no shuffle.
 
 Defined cases: a null or empty page has empty text; unclosed and omitted tags, truncated pages and pages of any length
 are read to their end; an unclosed comment, script or style runs to the end; other elements whose content isn't text
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -48,21 +50,60 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 _RAW_END = {t: re.compile(f"</{t}\\b[^>]*(?:>|\\Z)", re.I) for t in RAW}
+_TITLE_END = re.compile(r"</title\b", re.I)
 _NEXT = {t: re.compile(f"<(/?){t}\\b", re.I) for t in HIDDEN_IN}
 
 
+class Node:
+    """A place in a page: an element's names and the place around it. Elements of like names in one place share it, and it
+    holds the sum of its path's vectors once asked, so a path costs what its last element costs, however deep."""
+
+    __slots__ = ("around", "names", "depth", "inside", "_sum")
+
+    def __init__(self, around: Node | None, names: str):
+        self.around, self.names, self.depth = around, names, around.depth + 1 if around else 0
+        self.inside: dict[str, Node] = {}
+        self._sum: np.ndarray | None = None if around else np.zeros(TAG_DIM, np.float32)
+
+    def within(self, names: str) -> Node:
+        found = self.inside.get(names)
+        if found is None:
+            found = self.inside[names] = Node(self, names)
+        return found
+
+    def vector(self) -> np.ndarray:
+        todo, node = [], self
+        while node._sum is None:
+            todo.append(node)
+            node = node.around
+        for n in reversed(todo):
+            n._sum = n.around._sum + _names_vector(n.names)
+        return np.clip(self._sum, -2, 2)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("place", "text", "linked")
+
+    def __init__(self, place: Node, text: str, linked: int):
+        self.place, self.text, self.linked = place, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names on the way to the block, outermost first."""
+        out, node = [], self.place
+        while node.around:
+            out.append(node.names)
+            node = node.around
+        return tuple(reversed(out))
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order; a path holds, outermost first, a string of names for each element."""
+    """The page's leaf blocks in order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, names, and whether an element that isn't shown has its own end tag
+    root = Node(None, "")
+    stack: list[tuple[str, Node, bool]] = []  # tag, place, and whether an element that isn't shown has its own end tag
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = links = hidden = 0
 
@@ -70,7 +111,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(tuple(n for t, n, _ in stack if t not in INLINE), text, linked))
+            out.append(Block(stack[-1][1] if stack else root, text, linked))
         pieces.clear()
         linked = 0
 
@@ -78,8 +119,14 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal links, hidden
         links -= sum(x[0] == "a" for x in stack[at:])
         hidden -= sum(x[0] in HIDDEN_IN for x in stack[at:])
+        opened.subtract(x[0] for x in stack[at:])
         del stack[at:]
 
+    def push(tag: str, names: str, ends: bool) -> None:
+        around = stack[-1][1] if stack else root
+        stack.append((tag, around if tag in INLINE else around.within(names), ends))
+        opened[tag] += 1
+
     def break_out() -> None:
         """A block begins: elements that can't hold it and have no end tag of their own are over."""
         while hidden:
@@ -106,7 +153,7 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if tag in INLINE or not any(x[0] in ("article", "body") for x in stack[k + 1 :]):
                         close(k)
@@ -141,15 +188,16 @@ def blocks(page: str | None) -> list[Block]:
             same = None if tag in ("svg", "math", "option") else _NEXT[tag].search(page, at)
             if same is None and tag not in BREAKS:
                 continue  # never ended: as if it weren't there
-            stack.append((tag, tag, same is not None and same[1] == "/"))
+            push(tag, tag, same is not None and same[1] == "/")
             hidden += 1
             continue
         names = " ".join([tag, *(" ".join(f"{k[0].lower()}_{p.lower()}" for p in _PART.findall(a or b or c)) for k, a, b, c in _NAMES.findall(m[3]))]) if m[3] else tag
-        if tag == "title":
-            end = page.find("<", at)
+        if tag == "title":  # holds text only
+            end = _TITLE_END.search(page, at)
+            end = end.start() if end else page.find("<", at)
             at = n if end < 0 else end
             continue
-        stack.append((tag, names, False))
+        push(tag, names, False)
         links += tag == "a"
     flush()
     return out
@@ -168,33 +216,33 @@ def _slot(token: str) -> tuple[int, float]:
     return found
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_known: dict[str, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    found = _paths.get(path)
+def _names_vector(names: str) -> np.ndarray:
+    found = _known.get(names)
     if found is None:
         found = np.zeros(TAG_DIM, np.float32)
-        for names in path:
-            for name in names.split():
-                h, sign = _slot(name.removeprefix("c_").removeprefix("i_").removeprefix("r_"))
-                found[h % TAG_DIM] += sign
-        np.clip(found, -2, 2, out=found)
-        if len(_paths) < 50_000:
-            _paths[path] = found
+        tag, *others = names.split()
+        others = [n.removeprefix("c_").removeprefix("i_").removeprefix("r_") for n in others]
+        for name in (tag, *(n if n in KNOWN else UNKNOWN for n in others)):  # names that no training page has tell nothing
+            h, sign = _slot(name)
+            found[h % TAG_DIM] += sign
+        if len(_known) < 50_000:
+            _known[names] = found
     return found
 
 
 def features(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), DIM), np.float32)
     for k, b in enumerate(page):
-        out[k, :TAG_DIM] = _path_vector(b.path)
+        out[k, :TAG_DIM] = b.place.vector()
         words = b.text.split(" ")
         slots = [_slot(w) for w in words]
         v = np.bincount(np.fromiter((h for h, _ in slots), np.int64, len(slots)) % WORD_DIM, np.fromiter((s for _, s in slots), np.float64, len(slots)), WORD_DIM)
         out[k, TAG_DIM : TAG_DIM + WORD_DIM] = 0.3 * v / max(np.sqrt((v * v).sum()), 1.0)
         n = len(b.text)
-        out[k, TAG_DIM + WORD_DIM :] = (min(1.5, np.log1p(len(words)) / 4), min(1.5, np.log1p(n) / 6), min(1.0, b.linked / n), b.text[-1] in ".!?\"'", n < 20, len(b.path) / 8, k / len(page), np.log1p(len(page)) / 5)
+        out[k, TAG_DIM + WORD_DIM :] = (min(1.5, np.log1p(len(words)) / 4), min(1.5, np.log1p(n) / 6), min(1.0, b.linked / n), b.text[-1] in ".!?\"'", n < 20, min(b.place.depth / 8, 3.0), k / len(page), np.log1p(len(page)) / 5)
     return out
 
 
@@ -312,11 +360,35 @@ SOCIAL = "share social sharing social-links follow share-buttons".split()
 NEUTRAL = "wrapper container row col inner block box section grid module clearfix site page layout region panel".split()
 
 
+#: How a training page names its containers: by the lists, by generated names, by layout, wrongly, or not at all.
+STYLES = ("plain",) * 6 + ("opaque",) * 3 + ("utility", "none", "misleading")
+UTILITY = "flex grid p-4 mt-2 mb-8 text-sm w-full md:w-1/2 items-center rounded bg-white shadow px-6 gap-4 max-w-prose mx-auto leading-relaxed border hidden-xs col-md-8".split()
+#: The parts of names that training pages may have; all others, generated ones among them, are one.
+KNOWN = frozenset(p for names in (ARTICLE, MENU, HEADER, FOOTER, SIDEBAR, NOTICE, ADVERT, FORM, COMMENT, SOCIAL, NEUTRAL, UTILITY, ["comment reply media body"]) for n in names for p in _PART.findall(n))
+UNKNOWN = "?"
+
+
 class Writer:
     """Writes a page of random structure from given texts; `labels` says which of its blocks are article text."""
 
-    def __init__(self, texts: list[str], rng: random.Random):
+    def __init__(self, texts: list[str], rng: random.Random, style: str | None = None):
         self.texts, self.r, self.html, self.labels = texts, rng, [], []
+        self.style = style or rng.choice(STYLES)
+        self.opaque: dict[str, str] = {}
+
+    def named(self, names: list[str]) -> str | None:
+        """A container's class or id, in the page's style: like ones are named alike."""
+        kind = self.r.choice(names)
+        if self.style == "plain":
+            return kind
+        if self.style == "none":
+            return None
+        if self.style == "utility":
+            return " ".join(self.r.sample(UTILITY, self.r.randint(1, 4)))
+        if self.style == "misleading":
+            return self.r.choice(ARTICLE + MENU + SIDEBAR + COMMENT + NEUTRAL)
+        prefix = self.opaque.setdefault("", self.r.choice(("css-", "sc-", "x", "_", "c")))
+        return self.opaque.setdefault(kind, prefix + "".join(self.r.choice("0123456789abcdefghijklmnop") for _ in range(6)))
 
     def words(self, low: int, high: int) -> str:
         words = self.r.choice(self.texts).split()
@@ -330,8 +402,9 @@ class Writer:
 
     def open(self, tag: str, names: list[str] | None) -> None:
         attr = ""
-        if names:
-            attr = f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(names)}"'
+        name = self.named(names) if names else None
+        if name:
+            attr = f' {self.r.choice(("class", "class", "id"))}="{name}"'
         self.html.append(f"<{tag}{attr}>")
 
     def leaf(self, tag: str, text: str, good: bool, names: list[str] | None = None) -> None:
@@ -500,8 +573,8 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
         logits = model.logits(x, mask)
         for j, k in enumerate(part):
             own = logits[: len(pages[k]), j]
-            kinds: dict[tuple[str, ...], int] = {}
-            kind = np.array([kinds.setdefault(b.path, len(kinds)) for b in pages[k]])
+            kinds: dict[Node, int] = {}
+            kind = np.array([kinds.setdefault(b.place, len(kinds)) for b in pages[k]])
             mean = np.bincount(kind, own) / np.bincount(kind)
             out[k] = own + mean[kind] > 0
     return out

@@ -1,5 +1,6 @@
 """Operators on pages: parsing, held-out accuracy of the labeller, URL rules and templates."""
 
+import html
 import random
 from html.parser import HTMLParser
 
@@ -100,6 +101,49 @@ def test_held_out_accuracy(model):
     assert total > 2000 and right / total > 0.97
 
 
+def test_names_not_seen_in_training(model):
+    """Other layouts than the training's, with generated names: menu, notice, sidebar, comments and footer are containers
+    as the article is."""
+    fitted, texts = model
+    r = random.Random(3)
+    long = [t for t in texts if len(t.split()) > 30]
+
+    def words(low, high):
+        w = r.choice(long).split()
+        n = min(r.randint(low, high), len(w))
+        at = r.randrange(len(w) - n + 1)
+        return html.escape(" ".join(w[at : at + n]), quote=False)
+
+    kept = total = 0
+    for _ in range(80):
+        name = {k: f"css-{r.randrange(1 << 24):06x}" for k in "amscfn"}
+        div = lambda k, inner: f'<div class="{name[k]}">{inner}</div>'  # noqa: E731, B023
+        article = [words(20, 80) for _ in range(r.randint(3, 8))]
+        page = "<body>" + div("m", "<ul>" + "".join(f'<li><a href="/">{words(1, 3)}</a></li>' for _ in range(4)) + "</ul>") + div("n", f"<p>{words(5, 15)}</p>") + div("a", "".join(f"<p>{x}</p>" for x in article))
+        page += div("s", f"<h3>{words(1, 4)}</h3>" + f"<p>{words(4, 20)}</p>" * 2) + div("c", "".join(f"<div><p>{words(4, 40)}</p></div>" for _ in range(2))) + div("f", words(4, 15)) + "</body>"
+        found = htmltext.blocks(page)
+        mine = {html.unescape(x) for x in article}
+        kept += sum(1 for b, ok in zip(found, htmltext.label(fitted, [found])[0]) if ok and b.text in mine)
+        total += len(article)
+    assert kept >= 0.8 * total, (kept, total)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    page = "<div class='x'>t" * 60_000 + "</span>" * 1000
+    found = htmltext.blocks(page)
+    assert len(found) == 60_000 and found[-1].place.depth == 60_000
+    assert htmltext.features(found).shape == (60_000, htmltext.DIM)
+    assert time.time() - began < 60
+
+
+def test_title_holds_text_only():
+    assert [b.text for b in htmltext.blocks("<html><head><title>a < b c</title></head><body><p>x</p></body>")] == ["x"]
+    assert [b.text for b in htmltext.blocks("<title>never ended<p>x</p>")] == ["x"]
+
+
 def test_extraction(spark, model):
     fitted, texts = model
     body = "".join(f"<p>{t}</p>" for t in texts[:6])
