@@ -1,9 +1,10 @@
 """Removal of byte strings that occur more than once, by distributed prefix doubling.
 
-A position's rank at a length is the name (64 bits) of the bytes that follow it. In each round Spark joins the rank at
-one length with the rank of the bytes that come next, groups the pairs, drops positions whose pair is unique and gives
-the others the pair's rank, until the length has grown from 64 over 128 and 256 to the threshold of 400 bytes. Sorting
-every position at every length can't be afforded, so what differs from the textbook is how positions are held:
+A position's rank at a length is the name (64 bits) of the bytes that follow it. Rounds compare ever longer strings, of
+64, 128, 256, 369 and 400 bytes, and only positions whose rank isn't unique go on. It differs from the textbook in that no
+round sorts all positions or joins a position's rank with that of the position as far on, which can't be afforded (24 bytes
+for each position and round): a round groups the pair of the rank before and the name of the next bytes, which is read from
+the text where the survivors stand. So it is a cascade of names of growing strings, and positions are held as follows:
 
 * Equal texts are one text, whose number says that all of it is repeated. A task names each of its texts once.
 * Start (64 bytes): names of 8 bytes are doubled to 16, 32 and 64 in place. Each 400-byte string is represented by the
