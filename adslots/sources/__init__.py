@@ -81,7 +81,7 @@ def audit_record(
     min_offset: int = 30000, end_buffer: int = 15000, prompt_chars: int = 500,
 ) -> DataFrame:
     """S3's audit: one row per chosen(track_id, chosen_ms) with what the choice was made from: the candidates before and
-    after the bounds (an analysis gives at most 30 of a track), mode and tempo, the beats in order, their number and the
+    after the bounds (an analysis gives at most 30 of a track), mode and tempo (if episodes has it), the beats in order, their number and the
     place of the chosen one among them (null if it's none), loudness(track_id, target_lufs, before_lufs, after_lufs), the limits, what was
     said before (the mark of a missing transcript where contexts(track_id, ms, context) has nothing for the place), the
     prompt's first prompt_chars characters and the raw answer. What a track lacks is null."""
@@ -94,7 +94,8 @@ def audit_record(
     )
     heard = contexts.where("context <> ''").groupBy("track_id", F.col("ms").alias("chosen_ms")).agg(F.min("context").alias("context"))
     out = chosen.join(in_order(cands, "candidates_ms"), "track_id", "left").join(in_order(bounded, "candidates_for_prompt_ms"), "track_id", "left")
-    for other in (episodes.select("track_id", "mode", "tempo"), at, loudness.select("track_id", "target_lufs", "before_lufs", "after_lufs"), prompts.select("track_id", F.substring("prompt", 1, prompt_chars).alias("prompt")), responses.select("track_id", "raw_text")):
+    tempo = F.col("tempo") if "tempo" in episodes.columns else F.lit(None).cast("double").alias("tempo")
+    for other in (episodes.select("track_id", "mode", tempo), at, loudness.select("track_id", "target_lufs", "before_lufs", "after_lufs"), prompts.select("track_id", F.substring("prompt", 1, prompt_chars).alias("prompt")), responses.select("track_id", "raw_text")):
         out = out.join(other, "track_id", "left")
     return out.join(heard, ["track_id", "chosen_ms"], "left").select(
         "track_id", "chosen_ms", F.coalesce("candidates_ms", none).alias("candidates_ms"), F.coalesce("candidates_for_prompt_ms", none).alias("candidates_for_prompt_ms"), "mode", "tempo", F.coalesce("beat_times_ms", none).alias("beat_times_ms"),
