@@ -251,7 +251,7 @@ def k2_sample_budget(x: Catalogue) -> DataFrame:
 
 def k5_resolve_voice(x: Catalogue) -> DataFrame:
     wanted = x.turns().select("track_id", F.col("label").alias("speaker")).distinct().withColumn("explicit", F.when(F.col("track_id") % 4 == 0, F.concat(F.lit("v"), F.col("track_id").cast("string"))))
-    settings = x._table("nation").where("n_nationkey = 0").select(F.lit("user").alias("speaker"), F.lit("voice-user").alias("voice"))
+    settings = wanted.select("speaker").distinct().where("speaker = 'user'").select("speaker", F.concat(F.lit("voice-"), "speaker").alias("voice"))
     clones = wanted.where("track_id % 3 = 0").select("track_id", "speaker", F.concat(F.lit("clone-"), "speaker").alias("voice"))
     return k.resolve_voice(wanted, settings, clones)
 
