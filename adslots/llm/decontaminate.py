@@ -5,14 +5,16 @@ holds one block with its terms and, for each term, the ascending positions (diff
 for the whole block) at which it stands. `phrase_matches` looks up phrases block by block: the postings of a
 phrase's rarest term in that block, shifted back by its offset, are the candidate starts, which are intersected
 with the shifted postings of the next rarest term, and so on. Words themselves are compared, not hashes, so
-matches are exact. `proximity_matches` asks for terms close to each other in any order.
+matches are exact. `proximity_matches` asks for terms close to each other in any order; `phrase_matches` also asks it
+for each item's NEAR_TERMS longest words, and names the items in whose reach a document comes without a phrase of theirs.
 
 The phrases travel to all tasks; they are taken in passes of about PASS_WORDS words, so what the driver holds and
-broadcasts at a time has a fixed bound. A larger benchmark takes more passes over the index; each is stored, and its
-broadcast released, before the next begins.
+broadcasts at a time has a fixed bound. Tasks cut an item longer than an eighth of a pass into pieces, which overlap by
+a window less one word, so that each window stands in one. A larger benchmark takes more passes over the index; the
+matches of each are stored, and its broadcast released, before the next begins.
 
 Defined cases: null texts have no words; benchmark rows without id or words have no windows; an item shorter
-than a window is one window; repeated documents are reported one by one; empty tables give an empty result.
+than a window is one window, and one of fewer than NEAR_TERMS different words is near nothing; repeated documents are reported one by one; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ from .common import cut, drop_cut
 WINDOW = 10
 #: Words in a block of the index (a longer document is a block by itself), and of phrases in one pass.
 BLOCK_WORDS, PASS_WORDS = 500_000, 500_000
+#: A document is near an item if so many of the item's words, the longest different ones (of equally long ones the least
+#: in code-point order), stand within so many words of the longest.
+NEAR_TERMS, NEAR_WORDS = 3, 10
 
 INDEX = "block string, doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, deltas binary"
-MATCHES = "block string, ord bigint, doc_id bigint, n_words bigint, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
+MATCHES = "block string, ord bigint, doc_id bigint, n_words bigint, spans array<struct<start: bigint, stop: bigint>>, items array<string>, near array<string>"
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # the word class of the contract, on UTF-8 after lower-casing A-Z
 
@@ -162,10 +167,30 @@ def build_index(docs: DataFrame) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, INDEX))
 
 
+def pieces(benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(item_id, words, near): an item's words, of a long item in several rows, and in its first row what is asked for
+    in `near`."""
+    length = max(window, pass_words // 8)
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                longest = sorted(set(words), key=lambda w: (-len(w), w))[:NEAR_TERMS]
+                near = b" ".join(longest).decode() if len(longest) == NEAR_TERMS else None
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), length - window + 1):
+                    out.append((item, b" ".join(words[at : at + length]).decode(), None if at else near))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(3)], names=["item_id", "words", "near"])
+
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.distinct().mapInArrow(split, "item_id string, words string, near string")
+
+
 class Phrases:
-    """The windows of a pass: a vocabulary, and by length the windows with their item."""
+    """The windows of a pass: a vocabulary, by length the windows with their item, and what is asked for nearby."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, near: list[tuple[str, list[bytes]]] = ()):
         number: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.items = [i for i, _ in items]
@@ -174,6 +199,7 @@ class Phrases:
             length = min(window, len(ids))
             for s in range(len(ids) - length + 1) if length else ():
                 by_length.setdefault(length, {}).setdefault(tuple(ids[s : s + length]), set()).add(k)
+        self.near = list(near)
         self.vocabulary = list(number)
         self.windows = {n: (np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for n, w in by_length.items()}
 
@@ -196,24 +222,46 @@ class Phrases:
         return out
 
 
+    def close(self, p: Postings) -> dict[int, set[str]]:
+        """By document of the block, the items that it is near."""
+        out: dict[int, set[str]] = {}
+        for item, terms in self.near:
+            for d in p.near(terms, NEAR_WORDS).tolist():
+                out.setdefault(d, set()).add(item)
+        return out
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, ascending; those that touch are one."""
+    if not spans:
+        return []
+    a, b = np.array(spans, np.int64)[np.argsort([s for s, _ in spans], kind="stable")].T
+    b = np.maximum.accumulate(b)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[first].tolist(), b[np.append(first[1:], len(a)) - 1].tolist(), strict=True))
+
+
 def passes(benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> Iterator[tuple[Broadcast, bool]]:
     """The benchmark's items, in passes of bounded size, each broadcast, and whether it is the only one. A pass that is
     not is released when the next is asked for."""
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = cut(pieces(benchmark, window, pass_words))
+    chars = rows.agg(F.sum(F.length("words"))).first()[0] or 0
     n = max(1, -(-chars // (4 * pass_words)))
     for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        phrases = Phrases([(r[0], words_of(r[1])) for r in part.sort("item_id", "text").toLocalIterator()], window)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == i)
+        held = [(r[0], r[1].encode().split(), r[2]) for r in part.sort("item_id", "words").toLocalIterator()]
+        phrases = Phrases([x[:2] for x in held], window, [(item, near.encode().split()) for item, _, near in held if near])
         sent = benchmark.sparkSession.sparkContext.broadcast(phrases)
-        del phrases
+        del phrases, held
         yield sent, n == 1
         if n > 1:
             sent.destroy()
+    drop_cut(rows)
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """A row for every document: its words, the spans of words inside any window's occurrence, and the items."""
+    """A row for every document: its words, the spans of words inside any window's occurrence, the items that have one,
+    and the items that it is near. Stored."""
 
     def searcher(sent):
         def search(batches):
@@ -224,32 +272,33 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     found = phrases.search(p)
                     n = len(r["doc_ids"])
                     at = [found.get(d, ((), ())) for d in range(n)]
+                    close = phrases.close(p)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r["block"]] * n), pa.array(range(n), pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["n_words"], pa.int64()),
                          pa.array([[{"start": a, "stop": b} for a, b in s] for s, _ in at], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                         pa.array([sorted(i) for _, i in at], pa.list_(pa.string()))],
-                        names=["block", "ord", "doc_id", "n_words", "spans", "items"],
+                         pa.array([sorted(i) for _, i in at], pa.list_(pa.string())), pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string()))],
+                        names=["block", "ord", "doc_id", "n_words", "spans", "items", "near"],
                     )
 
         return search
 
+    def tidy(batches):
+        for batch in batches:
+            spans = pa.array([joined([(s["start"], s["stop"]) for s in row]) for row in batch.column("spans").to_pylist()], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", spans)
+
     parts = []
     for sent, only in passes(benchmark, window, pass_words):
-        found = index.mapInArrow(searcher(sent), MATCHES)
+        parts.append(cut(index.mapInArrow(searcher(sent), MATCHES)))
         if only:
-            return found
-        parts.append(cut(found))
+            sent.destroy()
+            return parts[0]
     both = parts[0]
     for x in parts[1:]:
         both = both.unionByName(x)
-
-    def join(a, s):
-        last = F.element_at(a, -1)
-        return F.when((F.size(a) > 0) & (s["start"] <= F.get(a, F.size(a) - 1)["stop"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(s)))
-
-    merged = both.groupBy("block", "ord", "doc_id", "n_words").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.slice("spans", F.lit(1), F.lit(0))
-    return merged.withColumn("spans", F.aggregate("spans", empty, join)).select(*parts[0].columns)
+    names = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near"))
+    merged = both.groupBy("block", "ord", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), *names)
+    return merged.mapInArrow(tidy, MATCHES)
 
 
 def proximity_matches(index: DataFrame, queries: list[list[str]], within: int = 10) -> DataFrame:
@@ -267,8 +316,8 @@ def proximity_matches(index: DataFrame, queries: list[list[str]], within: int =
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans, items of every document, through the stored index."""
-    return phrase_matches(build_index(docs), benchmark, window).select("doc_id", "n_words", "spans", "items")
+    """doc_id, n_words, spans, items, near of every document, through the stored index."""
+    return phrase_matches(build_index(docs), benchmark, window).select("doc_id", "n_words", "spans", "items", "near")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:

@@ -60,17 +60,23 @@ FROM f LEFT JOIN rejected USING (doc_id)
 
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS win
   FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
 dw AS (SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS win
   FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 m AS (SELECT rid, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
-it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid)
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid),
+t AS (SELECT *, max(k) OVER (PARTITION BY bid) AS n_terms FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY strlen(w) DESC, w) AS k
+  FROM (SELECT DISTINCT bid, item_id, unnest(ws) AS w FROM b)) WHERE k <= 3),
+dp AS (SELECT * FROM (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM t)),
+nr AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM (
+  SELECT c.rid, c.p, t.bid, t.item_id, count(DISTINCT o.k) AS others FROM dp c JOIN t ON c.w = t.w AND t.k = 1 AND t.n_terms = 3
+    JOIN t o ON o.bid = t.bid AND o.k > 1 JOIN dp x ON x.rid = c.rid AND x.w = o.w AND abs(x.p - c.p) <= 10 GROUP BY ALL) WHERE others = 2 GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN h USING (rid) LEFT JOIN it USING (rid) LEFT JOIN nr USING (rid)
 """
 
 OP3 = r"""

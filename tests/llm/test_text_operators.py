@@ -8,6 +8,8 @@ import re
 import struct
 
 import duckdb
+import hypothesis
+import hypothesis.strategies as st
 import numpy as np
 import pytest
 import xxhash
@@ -266,6 +268,54 @@ def _leaks(rows, items, window=10):
     return out
 
 
+def _near(rows, items):
+    out = []
+    for i, t, *_ in rows:
+        words, found = decontaminate.words_of(t), set()
+        for item, text in items:
+            terms = sorted(set(decontaminate.words_of(text)), key=lambda w: (-len(w), w))[:3]
+            if item is None or len(terms) < 3:
+                continue
+            for p, w in enumerate(words):
+                if w == terms[0] and set(terms) <= set(words[max(0, p - 10) : p + 11]):
+                    found.add(str(item))
+        out.append((i, sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("pass_words", [decontaminate.PASS_WORDS, 30])
+def test_near_items_equal_brute_force(spark, docs, mixed_rows, pass_words):
+    words = [t.split() for _, t, *_ in mixed_rows[:6]]
+    items = [(k, " ".join(w[a : a + 4])) for k, w in enumerate(words) for a in (0, 30)] + [(20, "a b c"), (21, "a b"), (22, None), (None, "a b c"), (23, " ".join(words[2]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.find_leaks(docs, bench) if pass_words > 30 else decontaminate.phrase_matches(decontaminate.build_index(docs), bench, pass_words=pass_words)
+    got = [(r["doc_id"], r["near"]) for r in out.collect()]
+    want = _near(mixed_rows, items)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(len(x) for _, x in want) > 6
+
+
+def test_a_long_item_is_cut_into_pieces_that_hold_every_window(spark):
+    words = [f"w{k}" for k in range(1000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one"), (3, ""), (4, " ".join(words[:10]))], "item_id long, text string")
+    rows = decontaminate.pieces(bench, 10, 400).collect()
+    assert max(len(r["words"].split()) for r in rows) == 50 and {r["item_id"] for r in rows} == {"1", "2", "4"}
+    windows = [tuple(w[a : a + 10]) for r in rows if r["item_id"] == "1" for w in [r["words"].split()] for a in range(len(w) - 9)]
+    assert sorted(windows) == sorted(tuple(words[a : a + 10]) for a in range(991))
+    assert sum(r["near"] is not None for r in rows) == 2
+    index = decontaminate.build_index(documents(spark, [(7, "x " + " ".join(words) + " y", "en", "s"), (8, " ".join(words[495:507]), "en", "s")]))
+    out = {r["doc_id"]: r for r in decontaminate.phrase_matches(index, bench, pass_words=400).collect()}
+    assert [tuple(s) for s in out[7]["spans"]] == [(1, 1001)] and [tuple(s) for s in out[8]["spans"]] == [(0, 12)]
+    assert out[7]["items"] == ["1", "4"] and out[8]["items"] == ["1"]
+
+
+@hypothesis.given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=40))
+def test_joined_spans_are_the_union(given):
+    spans = [(a, a + n) for a, n in given]
+    covered = {p for a, b in spans for p in range(a, b)}
+    out = decontaminate.joined(spans)
+    assert [p for a, b in out for p in range(a, b)] == sorted(covered) and all(b < c for (_, b), (c, _) in zip(out, out[1:]))
+
+
 @pytest.mark.parametrize("pass_words", [decontaminate.PASS_WORDS, 30])
 def test_leaks_equal_brute_force(spark, docs, mixed_rows, pass_words):
     items = [(1, " ".join(mixed_rows[3][1].upper().split()[5:30])), (2, "W1, w2"), (10, mixed_rows[5][1][:200]), (None, "x y"), (3, None), (4, ""), (5, "a b c"), (5, "a b c"), (6, "é é é")]
