@@ -12,11 +12,12 @@ colliding hashes). A range sums what all blocks sent and answers each block in t
 no frequent word is ever more than one number of a block, and neither model is ever in one place. The answers meet
 the stored block, which scores its texts.
 
-A document has been counted by one of the models, so what it counted there is taken away again when it is scored by
-it (leave one out).
+The vocabulary, all different words of the corpus, is counted once, exactly (by ranges of the words' 64-bit hashes), and
+shared: both models spread UNIFORM of a word's share evenly over it. So the probabilities of all words, and of the
+text's end, sum to one in either model, before every word.
 
-Fixed value: UNIFORM of a word's share is spread evenly over 2^WORD_BITS words, whatever the number of different words,
-so that losses of corpora of any size are on one scale.
+A document has been counted by one of the models, so what it counted there is taken away again when it is scored by
+it (leave one out). Its copies stay counted: a text that stands twice is scored by its twin.
 
 Defined cases: a null text, or one without words, has zero words and null losses; a text's first word has no word
 before it; of repeated labels the lowest counts; repeated rows are counted each; a model that has
@@ -33,14 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: 2^WORD_BITS words share the uniform part; PAIR_BITS is the room that tests keep for the pairs of a few texts.
-WORD_BITS, PAIR_BITS = 18, 20
 #: Weight of the pair estimate, and in the word estimate that of the uniform part.
 PAIR_WEIGHT, UNIFORM = 0.6, 0.01
 #: Words in a block (a longer document is a block by itself).
 BLOCK_WORDS = 1_000_000
 #: Ranges of the hashes: at least so many, and one for so many words of the corpus.
 RANGES, RANGE_WORDS = 1024, 2_000_000
+#: The same of the vocabulary's count; a block has far fewer different words than words.
+VOCABULARY_RANGES, VOCABULARY_RANGE_WORDS = 64, 20_000_000
 
 BLOCKS = "block string, doc_ids array<bigint>, n_words array<bigint>, words binary, names binary"
 REQUESTS = "part int, block string, names binary, target binary, background binary"
@@ -68,12 +69,6 @@ def pairs(n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return both // size - 1, both % size, pair
 
 
-def classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in each text, number of each word, number of each word's pair); no two words or pairs share one."""
-    n, word = numbered(texts, {})
-    return n, word, pairs(n, word)[2]
-
-
 def _before(n: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The word before each word, -1 at a text's start."""
     before = np.concatenate([[-1], word[:-1]]) if len(word) else word
@@ -131,9 +126,9 @@ class Block:
 
         return mine(self.word, self.size), mine(self.pair + 1, self.n_pairs + 1)
 
-    def losses(self, counts: np.ndarray, total: float, own: tuple[np.ndarray, np.ndarray], counted: np.ndarray) -> np.ndarray:
-        """The mean loss of each text, in nats, under a model with these counts of the names asked for; texts that
-        were counted are left out for their own words."""
+    def losses(self, counts: np.ndarray, total: float, own: tuple[np.ndarray, np.ndarray], counted: np.ndarray, vocabulary: int) -> np.ndarray:
+        """The mean loss of each text, in nats, under a model with these counts of the names asked for and so many
+        different words; texts that were counted are left out for their own words."""
         placed = np.empty(len(counts), np.int64)
         placed[self.order] = counts
         words, pairs_ = placed[: self.size], np.append(placed[self.size :], 0)  # the last one for texts' starts
@@ -144,7 +139,7 @@ class Block:
         c_before = np.where(self.pair < 0, 0, np.concatenate([c_word[:1], c_word[:-1]]))
         others = total - held
         uniform = np.where(others > 0, UNIFORM, 1.0)
-        single = (1 - uniform) * c_word / np.maximum(others, 1) + uniform / float(1 << WORD_BITS)
+        single = (1 - uniform) * c_word / np.maximum(others, 1) + uniform / float(vocabulary)
         weight = np.where(c_before > 0, PAIR_WEIGHT, 0.0)
         loss = -np.log(weight * (c_pair / np.maximum(c_before, 1)) * (self.pair >= 0) + (1 - weight) * single)
         return np.where(self.n > 0, np.bincount(self.doc, weights=loss, minlength=len(self.n)) / np.maximum(self.n, 1), np.nan)
@@ -182,6 +177,27 @@ def build_blocks(docs: DataFrame) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, BLOCKS))
 
 
+def count_vocabulary(blocks: DataFrame, ranges: int) -> int:
+    """How many different words all blocks hold: each block sends its words' names, by ranges, and a range counts them."""
+
+    def send(batches):
+        for batch in batches:
+            for held in batch.column("names").to_pylist():
+                names = np.sort(np.frombuffer(held, np.uint64))
+                part = ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                used, first = np.unique(part, return_index=True)
+                cuts = np.split(names, first[1:]) if len(used) else []
+                packed = [_pack(np.diff(x, prepend=np.uint64(0))) for x in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], names=["part", "names"])
+
+    def count(table: pa.Table) -> pa.Table:
+        held = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("names").to_pylist()]
+        return pa.table({"n": pa.array([len(np.unique(np.concatenate(held)))], pa.int64())})
+
+    sent = blocks.select("names").mapInArrow(send, "part int, names binary")
+    return int(sent.groupBy("part").applyInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0)
+
+
 def count_names(marked: DataFrame, ranges: int) -> DataFrame:
     """(part, block, target, background): the whole corpus' counts of the names of each block, range by range."""
 
@@ -231,6 +247,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     every = float(rows.agg(F.sum("n")).first()[0] or 0)
     in_target = float(targets.agg(F.sum("words")).first()[0] or 0)
     marked = blocks.join(targets.select("block", "counted").hint("merge"), "block", "left")
+    vocabulary = count_vocabulary(blocks, max(VOCABULARY_RANGES, int(every) // VOCABULARY_RANGE_WORDS))
     counts = count_names(marked, max(RANGES, int(every) // RANGE_WORDS))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,7 +257,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own, gone, losses, mine = b.own(), b.n == 0, [], b.flags(r["counted"])
         for column, total, counted in (("target", in_target, mine), ("background", every - in_target, ~mine)):
             got = [_unpack(x) for x in answers.column(column).to_pylist()]
-            losses.append(b.losses(np.concatenate([np.zeros(0, np.int64), *got]), total, own, counted))
+            losses.append(b.losses(np.concatenate([np.zeros(0, np.int64), *got]), total, own, counted, vocabulary))
         return pa.table(
             [pa.array(r["doc_ids"], pa.int64()), pa.array(b.n), *(pa.array(x, mask=gone) for x in (losses[0], losses[1], losses[0] - losses[1]))],
             names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],

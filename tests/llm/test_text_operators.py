@@ -672,14 +672,15 @@ def test_scores_equal_a_plain_model(spark, docs, mixed_rows):
     texts = [t for _, t, *_ in mixed_rows]
     counted = [i in good for i, *_ in mixed_rows]
     got = sorted(lmscore.score_documents(docs, labels).collect(), key=repr)
-    n, word, pair = lmscore.classes(texts)
-    end = np.cumsum(n)
-    tables = np.zeros((2, (1 << lmscore.WORD_BITS) + (1 << lmscore.PAIR_BITS)))
+    n, word = lmscore.numbered(texts, {})
+    pair = lmscore.pairs(n, word)[2]
+    vocabulary, end = int(word.max()) + 1, np.cumsum(n)
+    tables = np.zeros((2, vocabulary + len(pair)))
     for k in range(len(texts)):
         for w, p in zip(word[end[k] - n[k] : end[k]], pair[end[k] - n[k] : end[k]], strict=True):
             row = 0 if counted[k] else 1
             tables[row, w] += 1
-            tables[row, (1 << lmscore.WORD_BITS) + p] += 1
+            tables[row, vocabulary + p] += 1
     want = []
     for k, (i, *_) in enumerate(mixed_rows):
         losses = []
@@ -690,12 +691,12 @@ def test_scores_equal_a_plain_model(spark, docs, mixed_rows):
                 for j in span:
                     mine["w", word[j]] += 1
                     mine["p", pair[j]] += 1
-            total, before, loss = tables[row, : 1 << lmscore.WORD_BITS].sum() - (n[k] if own else 0), None, 0.0
+            total, before, loss = tables[row, :vocabulary].sum() - (n[k] if own else 0), None, 0.0
             for j in span:
                 cw = tables[row, word[j]] - mine["w", word[j]]
-                cp = tables[row, (1 << lmscore.WORD_BITS) + pair[j]] - mine["p", pair[j]]
+                cp = tables[row, vocabulary + pair[j]] - mine["p", pair[j]]
                 cb = 0 if before is None else tables[row, before] - mine["w", before]
-                single = (1 - lmscore.UNIFORM) * cw / total + lmscore.UNIFORM / (1 << lmscore.WORD_BITS)
+                single = (1 - lmscore.UNIFORM) * cw / total + lmscore.UNIFORM / vocabulary
                 weight = lmscore.PAIR_WEIGHT if cb > 0 else 0.0
                 loss -= np.log(weight * min(1.0, cp / max(cb, 1)) + (1 - weight) * single)
                 before = word[j]
@@ -724,7 +725,8 @@ def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
         for k in (0 if i in good else 1,):
             words[k].update(w)
             both[k].update(zip(w, w[1:]))
-    assert len(words[0] + words[1]) > 1 << lmscore.WORD_BITS and len(both[0] + both[1]) > 1 << 19
+    vocabulary = len(words[0] + words[1])
+    assert vocabulary > 1 << 18 and len(both[0] + both[1]) > 1 << 19
     want = []
     for i, t, *_ in rows:
         w, losses = t.split(), []
@@ -733,7 +735,7 @@ def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
             mine, mine2 = (collections.Counter(w), collections.Counter(zip(w, w[1:]))) if own else (collections.Counter(), collections.Counter())
             total, loss = sum(words[k].values()) - sum(mine.values()), 0.0
             for a, b in zip([None, *w], w):
-                single = (1 - lmscore.UNIFORM) * (words[k][b] - mine[b]) / total + lmscore.UNIFORM / (1 << lmscore.WORD_BITS)
+                single = (1 - lmscore.UNIFORM) * (words[k][b] - mine[b]) / total + lmscore.UNIFORM / vocabulary
                 c = words[k][a] - mine[a] if a else 0
                 loss -= np.log(lmscore.PAIR_WEIGHT * (both[k][a, b] - mine2[a, b]) / c + (1 - lmscore.PAIR_WEIGHT) * single if c else single)
             losses.append(loss / len(w))
@@ -743,6 +745,25 @@ def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
     assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], rtol=1e-9)
 
 
+def test_probabilities_sum_to_one(spark, monkeypatch):
+    """Of all words of the corpus, and of the text's end, before a word and at a text's start, in both models."""
+    monkeypatch.setattr(lmscore, "BLOCK_WORDS", 60)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    words = sorted({w for t in texts for w in t.split()} | {"w1", "never"})
+    seen = {i: t for i, t in enumerate(texts)}
+    # probes have their own model out of the way: the other one has not counted them
+    probes = {1000 + k: w for k, w in enumerate(words)} | {2000 + k: f"w1 {w}" for k, w in enumerate(words)}
+    for column, good in (("target_loss", set(seen)), ("background_loss", set(probes))):
+        labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+        rows = [(i, t, "en", "s") for i, t in (seen | probes).items()]
+        loss = {r["doc_id"]: r[column] * r["n_words"] for r in lmscore.score_documents(documents(spark, rows), labels).collect()}
+        start = {w: loss[1000 + k] for k, w in enumerate(words)}
+        assert sum(math.exp(-x) for x in start.values()) == pytest.approx(1)
+        ended = sum(t.split()[-1] == "w1" for t in texts) / sum(t.split().count("w1") for t in texts)
+        assert sum(math.exp(start["w1"] - loss[2000 + k]) for k in range(len(words))) + lmscore.PAIR_WEIGHT * ended == pytest.approx(1)
+
+
 def test_target_like_texts_score_lower(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(f"{'t' if i % 2 else 'b'}{min(rng.randrange(60), rng.randrange(60))}" for _ in range(100)), "en", "s") for i in range(200)]
@@ -756,11 +777,11 @@ def test_scores_of_empty_tables_and_long_texts(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lmscore.score_documents(none, labels).count() == 0
-    uniform = math.log(1 << lmscore.WORD_BITS)
+    uniform = math.log(len({w for r in docs.select("text").collect() for w in (r[0] or "").encode().split()}))
     for r in lmscore.score_documents(docs, empty).collect():
         assert r["target_loss"] is None if not r["n_words"] else r["target_loss"] == pytest.approx(uniform)
     out = lmscore.score_documents(documents(spark, [(1, "x y " * 400_000, "en", "s"), (2, "x y", "en", "s")]), labels).orderBy("doc_id").collect()
-    assert [r["n_words"] for r in out] == [800_000, 2] and out[0]["target_loss"] == pytest.approx(uniform)
+    assert [r["n_words"] for r in out] == [800_000, 2] and out[0]["target_loss"] == pytest.approx(math.log(2))
     assert out[1]["target_loss"] < out[1]["background_loss"]
 
 
