@@ -195,12 +195,14 @@ class Catalogue:
         return self._table("part").select(F.col("p_partkey").alias("key"), self._long("p_name", "p_type", k=F.col("p_partkey")).alias("title"))
 
     def payload_lines(self) -> DataFrame:
-        """Lines of 16 files: payloads, lines cut short, lines without a track, blank ones; one file has very long lines."""
-        k = F.col("p_partkey")
-        file = (k % 16).cast("int")
+        """Lines of 16 files: payloads, lines cut short, lines without a track, blank ones; one file has very long lines.
+
+        A file's lines are in one task, in order; they are made after the sort, which holds only their numbers and names."""
+        k, file = F.col("p_partkey"), F.col("file")
+        light = self._table("part").select((k % 16).cast("int").alias("file"), "p_partkey", "p_name").repartition(16, "file").sortWithinPartitions("file", "p_partkey")
         body = F.concat(F.when(k % 11 == 0, F.lit("{")).otherwise(F.concat(F.lit('{"track_id": '), k.cast("string"), F.lit(", "))), F.lit('"mode": "'), "p_name", F.when(file == 3, F.repeat(F.lit("x"), F.lit(20_000))).otherwise(""), F.lit('"}'))
         line = F.when(k % 13 == 0, "").when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body)
-        return self._table("part").select(file.alias("file"), k.alias("n"), line.alias("line"))
+        return light.select("file", k.alias("n"), line.alias("line"))
 
     def payloads(self) -> DataFrame:
         """Analysis payloads: numbers as numbers and as strings, other names of the place, bad elements, broken JSON."""

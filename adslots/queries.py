@@ -90,7 +90,7 @@ def s2_read_analysis(x: Catalogue) -> DataFrame:
 def s2_scan_payloads(x: Catalogue) -> DataFrame:
     """Files of up to 1 MB: what is read and what is not, with its place; a file by its number."""
     path = scratch_path(x.spark, "payloads")
-    x.payload_lines().repartition(16, "file").sortWithinPartitions("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    x.payload_lines().select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
     payloads, rejects = files.scan_payloads(x.spark, path, max_bytes=1_000_000, pattern="*.txt")
     number = F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("int").alias("file")
     read = payloads.select(number, "track_id", "line_offset", F.octet_length("payload").cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("reason"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from adslots.fixtures import Catalogue
 from adslots import sources, storage
 from adslots.sources import files, reports
 
@@ -132,3 +133,9 @@ def test_scopes_of_threads(spark):
     done.set()
     thread.join()
     assert held[1] == 5
+
+
+def test_long_lines_are_made_after_the_sort(spark, small):
+    """A task sorts the numbers and names of a file's lines, not lines of 20,000 characters."""
+    plan = Catalogue(spark, small).payload_lines()._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("substring(") < plan.find("Sort [") < plan.find("Exchange")
