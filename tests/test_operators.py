@@ -217,6 +217,32 @@ def test_long_titles_near_k_pairs_a_term(spark):
     assert kept.count() <= 9
 
 
+def _matched(asked, titles, k=3):
+    """By brute force: the k products that share most words with a term."""
+    want = set()
+    for i, o, term in asked:
+        ranked = sorted((-len(set(term.split()) & set(t.split())), key, t) for key, t in titles)
+        want |= {(i, o, term, n, key, t) for n, (c, key, t) in enumerate(ranked[:k], 1) if c < 0}
+    return want
+
+
+def test_long_terms_of_frequent_words_meet_few_products(spark, monkeypatch):
+    """Terms of 9 to 16 words that a twelfth of all titles hold at least: equal to brute force, and terms of up to 12 words
+    aren't met by word, as which they would meet most titles each."""
+    rng = random.Random(4)
+    titles = [(i, " ".join(["all", *(f"{c}{rng.randrange(n)}" for c, n in zip("abcdefgh", (2, 2, 3, 4, 5, 7, 11, 12)))])) for i in range(2000)]
+    text = lambda i: " ".join(["all", "b0", "b1", "c0", *(f"{c}{rng.randrange(n)}" for c, n in zip("adefgh", (2, 4, 5, 7, 11, 12)))][: rng.choice([1, 3, 9, 10])])
+    asked = [(i, 1, text(i)) for i in range(40)]
+    more = [(100, 1, " ".join(f"{c}{n}" for c in "abcd" for n in range(2)) + " h1 h2 h3 g1 g2 g3 g4 f5")]
+    met = []
+    monkeypatch.setattr(r, "_longest", lambda t, h, k, f=r._longest: met.append(t.count()) or f(t, h, k))
+    for terms in (asked, more):
+        out = r.match_products(spark.createDataFrame(terms, "track_id long, ord int, term string"), spark.createDataFrame(titles, "key long, title string"))
+        assert {tuple(x) for x in out.select("track_id", "ord", "term", "rank", "key", "title").collect()} == _matched(terms, titles)
+        assert met == [] or terms is more
+    assert met == [1]
+
+
 def test_two_top_speakers(spark):
     turns = [(1, 0, "x", 0, 100), (1, 1, "y", 100, 300), (1, 2, "z", 300, 310), (1, 3, "x", 310, 410), (1, 4, "y", 410, 410)]
     out = k.top_speakers(spark.createDataFrame(turns, "track_id long, turn_idx int, label string, start_ms long, end_ms long"))
