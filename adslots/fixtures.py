@@ -39,14 +39,13 @@ class Catalogue:
         return table(self.spark, self.dir, name)
 
     def segments(self) -> DataFrame:
-        words = F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "")
-        w = self._table("documents").select(F.col("doc_id").alias("track_id"), words.alias("ws"))
-        # an outer explode, as a filter before the explode would split each text twice
-        starts = F.when(F.size("ws") > 0, F.sequence(F.lit(0), F.size("ws") - 1, F.lit(12)))
-        rows = w.select("track_id", "ws", F.explode_outer(starts).alias("o")).where("o IS NOT NULL")
-        rows = rows.select("track_id", F.col("o").cast("long").alias("o"), F.slice("ws", F.col("o") + 1, F.lit(12)).alias("part")).withColumn("seg_idx", F.expr("cast(o div 12 as int)"))
-        rows = rows.select("track_id", "seg_idx", F.array_join("part", " ").alias("text"), (F.col("o") * 400).alias("start_ms"),
-                           F.greatest(F.col("o") * 400 + 100, (F.col("o") + F.size("part")) * 400 - ((F.col("seg_idx") * 7 + F.col("track_id")) % 10) * 100).alias("end_ms"))
+        # a match is twelve words with what stands between them, so words aren't split and joined one by one
+        chunks = F.regexp_extract_all("text", F.lit("[^ \t\n\r]+(?:[ \t\n\r]+[^ \t\n\r]+){0,11}"), F.lit(0))
+        rows = self._table("documents").select(F.col("doc_id").alias("track_id"), F.posexplode(chunks).alias("seg_idx", "said"))
+        said = F.when(F.col("said").rlike("  |[\t\n\r]"), F.regexp_replace("said", "[ \t\n\r]+", " ")).otherwise(F.col("said"))
+        rows = rows.select("track_id", "seg_idx", said.alias("text"), (F.col("seg_idx").cast("long") * 12).alias("o"))
+        n = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+        rows = rows.select("track_id", "seg_idx", "text", (F.col("o") * 400).alias("start_ms"), F.greatest(F.col("o") * 400 + 100, (F.col("o") + n) * 400 - ((F.col("seg_idx") * 7 + F.col("track_id")) % 10) * 100).alias("end_ms"))
         return rows.select("*", (F.col("start_ms") / F.lit(1000.0)).alias("start_s"), (F.col("end_ms") / F.lit(1000.0)).alias("end_s"))
 
     def transcripts(self) -> DataFrame:

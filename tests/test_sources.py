@@ -1,6 +1,7 @@
 """Files in and reports out."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,18 @@ def test_long_lines_are_made_after_the_sort(spark, small):
     """A task sorts the numbers and names of a file's lines, not lines of 20,000 characters."""
     plan = Catalogue(spark, small).payload_lines()._jdf.queryExecution().executedPlan().toString()
     assert 0 <= plan.find("substring(") < plan.find("Sort [") < plan.find("Exchange")
+
+
+def test_segments_are_cut_without_lists_of_words(spark, tmp_path):
+    """Twelve words a segment, whatever stands between them; the plan makes no list of a text's words."""
+    texts = ["", None, " \n ", "a", " a\tb\n\nc ", " ".join(f"w{i}" for i in range(24)), "\r\n".join(f"w{i}" for i in range(25)), "é\u00a0x y  z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for doc, text in enumerate(texts):
+        words = [w for w in re.split("[ \t\n\r]+", text or "") if w]
+        for o in range(0, len(words), 12):
+            part = words[o : o + 12]
+            want.add((doc, o // 12, " ".join(part), o * 400, max(o * 400 + 100, (o + len(part)) * 400 - (o // 12 * 7 + doc) % 10 * 100)))
+    rows = Catalogue(spark, str(tmp_path)).segments()
+    assert {tuple(r) for r in rows.select("track_id", "seg_idx", "text", "start_ms", "end_ms").collect()} == want
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
