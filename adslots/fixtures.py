@@ -98,10 +98,18 @@ class Catalogue:
     def slots(self) -> DataFrame:
         return self._stored("slots", lambda: analyse_slots(self.episodes(), self.silence_cands(), self.marks()))
 
-    def frames(self) -> DataFrame:
+    def numbered(self) -> DataFrame:
         at = F.row_number().over(by_track("ts", "event_id")).cast("long") - 1
         e = self._table("events").select(F.col("user_id").alias("track_id"), "ts", "event_id", "value")
-        return e.select("track_id", at.alias("frame_idx"), F.col("value").alias("amp")).select("track_id", "frame_idx", (F.col("frame_idx") * 100).alias("t_ms"), "amp", (F.col("amp") * F.col("amp")).alias("ms_power"))
+        return e.select("track_id", at.alias("frame_idx"), F.col("value").alias("amp"))
+
+    def store_frames(self) -> None:
+        """For a query that starts from the frames several times: they are numbered once and stored."""
+        self._stored("frames", self.numbered)
+
+    def frames(self) -> DataFrame:
+        rows = self._held["frames"] if "frames" in self._held else self.numbered()
+        return rows.select("track_id", "frame_idx", (F.col("frame_idx") * 100).alias("t_ms"), "amp", (F.col("amp") * F.col("amp")).alias("ms_power"))
 
     def samples(self) -> DataFrame:
         return self.frames().select("track_id", F.col("frame_idx").alias("i"), "amp")

@@ -301,14 +301,99 @@ def context_loudness(blocks: DataFrame, slots: DataFrame, ads: DataFrame, rate:
 # M3, M5 ------------------------------------------------------------------------------------------------------
 
 
-def _ramp(i: np.ndarray, n: int) -> np.ndarray:
+#: Samples worked on at a time, in whole rows.
+AT_ONCE = 1 << 18
+
+
+def _ramp(i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     """0 at i = 0, 1 from i = n on; 1 everywhere if n is 0."""
-    return np.clip(i / n, 0.0, 1.0) if n > 0 else np.ones(len(i))
+    return np.where(np.asarray(n) > 0, np.clip(i / np.maximum(n, 1), 0.0, 1.0), 1.0)
 
 
-def _fall(i: np.ndarray, n: int) -> np.ndarray:
+def _fall(i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     """1 down to 0 over n steps; none if n is 0."""
-    return 1 - _ramp(i, n) if n > 0 else np.ones(len(i))
+    return np.where(np.asarray(n) > 0, 1 - _ramp(i, n), 1.0)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _samples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's samples begin, with the end of the last one's, and the samples."""
+    amps = batch.column("amps")
+    ends = amps.offsets.to_numpy()
+    return ends - ends[0], amps.values.slice(ends[0], ends[-1] - ends[0]).fill_null(0.0).to_numpy()
+
+
+_PARTS = "track_id long, part long, start long, amps array<double>"
+
+
+def _placed(df: DataFrame, place: Callable[[Callable[[str], np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], size: int) -> DataFrame:
+    """(track_id, part, start, amps): parts of `size` samples of the mix, from rows (track_id, start, amps, ...).
+
+    `place` is given a function from a column's name to the value of each sample's row, the samples' numbers in their
+    signal and the samples; it returns their numbers in the mix, -1 for those left out, and what they are there."""
+    kinds = T._parse_datatype_string(_PARTS)
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: _column(batch, c) for c in batch.schema.names if c != "amps"}
+            ends, values = _samples(batch)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, "right")) - 1)
+                row = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                i = columns["start"][row] + np.arange(ends[lo], ends[hi]) - ends[row]
+                at, amps = place(lambda c: columns[c][row], i, values[ends[lo] : ends[hi]])  # noqa: B023
+                kept = at >= 0
+                row, at, amps = row[kept], at[kept], amps[kept]
+                if len(at):
+                    part = at // size
+                    new = np.append(0, np.flatnonzero((np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(part) != 0)) + 1)
+                    pieces = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array(amps))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns["track_id"][row[new]]), pa.array(part[new]), pa.array(at[new]), pieces.cast(arrow.field("amps").type)], schema=arrow)
+                lo = hi
+
+    return df.mapInArrow(run, kinds)
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """(track_id, start, amps): each part once, the sum of all that is laid there.
+
+    Parts are sorted, and added as they stream by, all of a batch at once; the last one waits for the next batch. Groups of
+    a few samples each, as here, would cost a call and an Arrow stream for every one of them."""
+    kinds = T._parse_datatype_string("track_id long, start long, amps array<double>")
+    arrow = to_arrow_schema(kinds)
+
+    def total(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        ends, values = _samples(batch)
+        start, n = _column(batch, "start"), np.diff(ends)
+        first = np.minimum.reduceat(start, new)
+        length = np.maximum.reduceat(start + n, new) - first
+        to = np.append(0, np.cumsum(length))
+        group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(start))))
+        where = np.repeat(to[group] + start - first[group] - ends[:-1], n) + np.arange(len(values))
+        amps = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(np.bincount(where, values, to[-1])))
+        return pa.RecordBatch.from_arrays([batch.column("track_id").take(pa.array(new)), pa.array(first), amps.cast(arrow.field("amps").type)], schema=arrow)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            if not batch.num_rows:
+                continue
+            track, part = _column(batch, "track_id"), _column(batch, "part")
+            new = np.append(0, np.flatnonzero((np.diff(track) != 0) | (np.diff(part) != 0)) + 1)
+            if len(new) > 1:
+                yield total(batch.slice(0, new[-1]), new[:-1])
+            held = pa.concat_batches([batch.slice(new[-1])])
+        if held is not None:
+            yield total(held, np.array([0]))
+
+    return parts.repartition("track_id", "part").sortWithinPartitions("track_id", "part", "start").mapInArrow(run, kinds)
 
 
 def overlay_gain(blocks: DataFrame, promo: DataFrame, slots: DataFrame, duck_db: float = 0.0, crossfade: int = 11_025, fade: int = 8_820, duck_ramp: int = 4_410, size: int = SIZE) -> DataFrame:
@@ -316,8 +401,9 @@ def overlay_gain(blocks: DataFrame, promo: DataFrame, slots: DataFrame, duck_db:
     lengths are in samples, and all is as in the form with a row for each sample.
 
     Blocks that the ad and its crossfades don't touch keep their samples, later ones under an earlier start. Only touched
-    blocks and the ad's are shuffled: as parts of `size` samples of the mix, which are added up."""
-    plan = overlay_plan(_lengths(blocks, size, "n").join(_lengths(promo, size, "ad"), "track_id").join(slots.select("track_id", "at"), "track_id"), crossfade)
+    blocks and the ad's become parts of `size` samples of the mix, which are sorted and added up. The plan, a row for a
+    track, is stored, as three joins start from it; blocks and promo are read several times."""
+    plan = cut(overlay_plan(_lengths(blocks, size, "n").join(_lengths(promo, size, "ad"), "track_id").join(slots.select("track_id", "at"), "track_id"), crossfade))
     start = F.col("block") * size
     planned = blocks.join(plan, "track_id", "left").withColumn("start", start)
     first = F.least(F.col("p") - F.col("c1"), F.col("m") - F.col("c2"))  # the second crossfade may begin before a short ad
@@ -325,49 +411,26 @@ def overlay_gain(blocks: DataFrame, promo: DataFrame, slots: DataFrame, duck_db:
     shift = F.when(behind, F.col("c1") + F.col("c2")).otherwise(0)
     same = F.col("p").isNull() | before | behind
     left = planned.where(same).select("track_id", (F.col("start") - shift).alias("start"), "amps")
-    out = "track_id long, part long, start long, amps array<double>"
-
-    def parts(track: int, start: int, amps: np.ndarray) -> Iterator[tuple]:
-        for part in range(start // size, (start + len(amps) - 1) // size + 1) if len(amps) else ():
-            lo, hi = max(start, part * size), min(start + len(amps), (part + 1) * size)
-            yield track, part, lo, amps[lo - start : hi - start]
-
-    def programme(r: dict, amps: np.ndarray) -> Iterator[tuple]:
-        p, length, c1, c2, m = r["p"], r["l"], r["c1"], r["c2"], r["m"]
-        i = r["start"] + np.arange(len(amps))
-        for lo, hi in ((0, p), (p, p + length), (p + length, r["n"])):
-            lo, hi = max(lo, r["start"]), min(hi, r["start"] + len(amps))
-            if lo >= hi:
-                continue
-            x, at = amps[lo - r["start"] : hi - r["start"]], i[lo - r["start"] : hi - r["start"]]
-            if hi <= p:
-                yield from parts(r["track_id"], lo, x * _fall(at - (p - c1), c1) * _fall(at - (m - c2), c2))
-            elif lo < p + length:
-                j = at - p
-                duck = 10 ** (-duck_db / 20) * _ramp(j, duck_ramp) * _ramp(length - 1 - j, duck_ramp) if duck_db > 0 else 1.0
-                yield from parts(r["track_id"], lo - c1, x * duck * _ramp(j, c1) * _fall(at - c1 - (m - c2), c2))
-            else:
-                yield from parts(r["track_id"], lo - c1 - c2, x * _ramp(at - p - length, c2))
-
-    def ad(r: dict, amps: np.ndarray) -> Iterator[tuple]:
-        amps = amps[: max(0, r["l"] - r["start"])]
-        a = r["start"] + np.arange(len(amps))
-        at = r["p"] - r["c1"] + a
-        gain = _ramp(a, fade) * _ramp(r["ad"] - 1 - a, fade) * _ramp(a, r["c1"]) * _fall(at - (r["m"] - r["c2"]), r["c2"])
-        yield from parts(r["track_id"], r["p"] - r["c1"] + r["start"], amps * gain)
-
-    touched = _mapped(planned.where(~same), programme, out).unionByName(_mapped(promo.join(plan, "track_id").withColumn("start", start), ad, out))
-
-    def add(table: pa.Table) -> pa.Table:
-        starts, amps = table.column("start").to_pylist(), [x.values.to_numpy() for x in table.column("amps")]
-        first = min(starts)
-        total = np.zeros(max(s + len(x) for s, x in zip(starts, amps)) - first)
-        for s, x in zip(starts, amps):
-            total[s - first : s - first + len(x)] += x
-        return pa.table({"track_id": table.column("track_id")[:1], "start": [first], "amps": pa.array([total], pa.list_(pa.float64()))})
-
-    mixed = touched.groupBy("track_id", "part").applyInArrow(add, "track_id long, start long, amps array<double>")
-    return left.unionByName(mixed)
+
+    def programme(of: Callable[[str], np.ndarray], i: np.ndarray, amps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, length, c1, c2 = of("p"), of("l"), of("c1"), of("c2")
+        j = i - p
+        pre, post = j < 0, j >= length
+        at = i - np.where(pre, 0, c1) - np.where(post, c2, 0)
+        duck = 10 ** (-duck_db / 20) * _ramp(j, duck_ramp) * _ramp(length - 1 - j, duck_ramp) if duck_db > 0 else 1.0
+        into = np.where(pre, _fall(j + c1, c1), np.where(post, _ramp(j - length, c2), duck))
+        return at, amps * into * np.where(pre | post, 1.0, _ramp(j, c1)) * np.where(post, 1.0, _fall(at - (of("m") - c2), c2))
+
+    def ad(of: Callable[[str], np.ndarray], a: np.ndarray, amps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c1, c2 = of("c1"), of("c2")
+        at = of("p") - c1 + a
+        gain = _ramp(a, fade) * _ramp(of("ad") - 1 - a, fade) * _ramp(a, c1) * _fall(at - (of("m") - c2), c2)
+        return np.where(a < of("l"), at, -1), amps * gain
+
+    needed = ["track_id", "start", "p", "l", "c1", "c2", "m", "amps"]
+    under = _placed(planned.where(~same).select(*needed), programme, size)
+    over = _placed(promo.join(plan, "track_id").withColumn("start", start).select(*needed, "ad"), ad, size)
+    return left.unionByName(_added(under.unionByName(over)))
 
 
 def room_tone_bed(blocks: DataFrame, promo: DataFrame, slots: DataFrame, tone: int = 26_460, gain_db: float = -26.0, podcasts_only: bool = True, size: int = SIZE) -> DataFrame:

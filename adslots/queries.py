@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .sources import files, reports
-from .storage import scratch_path
+from .storage import cut, scratch_path
 from .fixtures import Catalogue
 from .functions import by_track
 from .operators import blocks as b
@@ -331,7 +331,8 @@ def f8_weighted_loudness(x: Catalogue) -> DataFrame:
 
 
 def m3_overlay_gain_blocks(x: Catalogue) -> DataFrame:
-    mix = b.overlay_gain(_blocks(x.samples()), _blocks(x.promo()), x.frame_slots(), duck_db=6.0, crossfade=2, fade=2, duck_ramp=1, size=BLOCK)
+    x.store_frames()
+    mix = b.overlay_gain(cut(_blocks(x.samples())), cut(_blocks(x.promo())), x.frame_slots(), duck_db=6.0, crossfade=2, fade=2, duck_ramp=1, size=BLOCK)
     return b.unpack(mix, "start", "amps", "out_idx", "amp").select("track_id", "out_idx", _6("amp"))
 
 

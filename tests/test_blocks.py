@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from adslots import queries
+from adslots.fixtures import Catalogue
 from adslots.operators import blocks as b
 from adslots.operators import frames as f
 from adslots.operators import splice as m
+from adslots.storage import scratch
 
 
 def table(spark, tracks, size):
@@ -155,6 +158,23 @@ def test_overlay(spark, size, crossfade, duck):
     assert max(abs(have[k] - should[k]) for k in should) < 1e-12
 
 
+def test_overlay_of_many_tracks(spark, small):
+    """Batches of three rows, so parts of the mix that meet are in two of them; frames are numbered once, and no group of a few
+    samples is a call of its own."""
+    with scratch(spark):
+        x = Catalogue(spark, small)
+        want = {(r.track_id, r.out_idx): r.amp for r in queries.m3_overlay_gain(x).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        try:
+            out = queries.m3_overlay_gain_blocks(Catalogue(spark, small))
+            got = out.collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan
+    assert len(got) == len(want) and all(abs(r.amp - want[r.track_id, r.out_idx]) < 2e-6 for r in got)
+
+
 @pytest.mark.parametrize("size", [4, 16])
 @pytest.mark.parametrize("only", [True, False])
 def test_room_tone(spark, size, only):
